@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from urban_spark.llm import packing, tokens
-from urban_spark.llm.shared import load
+from urban_spark.llm import packing, tokens, warc
+from urban_spark.llm.shared import load, shared_dir
 
 
 def _tokenizer(name: str) -> str:
@@ -22,6 +25,16 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(load(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op2_token_counts, op3_best_fit_packing)}
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = load(spark, sf_dir, "pages")
+    path = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
+    warc.write_warc(pages, path)
+    kind = pages.schema["page_id"].dataType
+    number = lambda urn: F.expr(f"substr({urn}, {len('urn:page:') + 1})").cast(kind)
+    records = warc.read_warc(spark, path).where("kind = 'record'")
+    return records.select(number("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", number("refers_to").alias("refers_to"))
+
+
+QUERIES = {f.__name__: f for f in (op2_token_counts, op3_best_fit_packing, op10_warc)}
 #: DuckDB SQL by query name, where SQL can express the query.
 SQL: dict[str, str] = {}
