@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from urban_spark.llm import packing, tokens, warc
+from urban_spark.llm import lines, packing, rules, tokens, warc
 from urban_spark.llm.shared import load, shared_dir
 
 
@@ -35,6 +35,15 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.select(number("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", number("refers_to").alias("refers_to"))
 
 
-QUERIES = {f.__name__: f for f in (op2_token_counts, op3_best_fit_packing, op10_warc)}
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cleaned = lines.line_dedup(load(spark, sf_dir, "documents"))
+    return cleaned.select("doc_id", "n_lines", "n_removed", F.length("text").cast("long").alias("n_kept_chars"), F.md5("text").alias("kept_md5"))
+
+
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.quality_rules(load(spark, sf_dir, "documents")).drop("quality")
+
+
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_token_counts, op3_best_fit_packing, op4_quality_rules, op10_warc)}
 #: DuckDB SQL by query name, where SQL can express the query.
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op1_line_dedup": lines.SQL, "op4_quality_rules": rules.sql()}
