@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from urban_spark.llm import decontam, lines, packing, rules, tokens, warc
+from urban_spark.llm import decontam, jaccard, lines, packing, rules, tokens, warc
 from urban_spark.llm.shared import load, shared_dir
 
 
@@ -48,6 +48,11 @@ def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return decontam.decontaminate(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_token_counts, op3_best_fit_packing, op4_quality_rules, op5_benchmark_decontamination, op10_warc)}
+def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_classes(load(spark, sf_dir, "documents"))
+
+
+_ALL = (op1_line_dedup, op2_token_counts, op3_best_fit_packing, op4_quality_rules, op5_benchmark_decontamination, op8_ngram_jaccard_join, op10_warc)
+QUERIES = {f.__name__: f for f in _ALL}
 #: DuckDB SQL by query name, where SQL can express the query.
 SQL: dict[str, str] = {"op1_line_dedup": lines.SQL, "op4_quality_rules": rules.sql(), "op5_benchmark_decontamination": decontam.SQL}

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import os
 import uuid
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -46,4 +48,9 @@ def let(value: Column, body) -> Column:
 
 
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    """A table of the folder. Python workers also look for this package where the driver has it; a cluster whose
+    machines don't have it there is given it with --py-files."""
+    here, known = str(Path(__file__).parents[2]), spark.sparkContext.environment.get("PYTHONPATH", "")
+    if here not in known.split(os.pathsep):
+        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(filter(None, (known, here)))
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
