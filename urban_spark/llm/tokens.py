@@ -72,6 +72,19 @@ def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out()
 
 
+def _most_frequent(vocabulary: DataFrame) -> dict[str, int]:
+    """Tokens of at most HEAD of the most frequent pre-tokens: all from the lowest frequency class that leaves no more."""
+    short = vocabulary.where(F.length("piece") <= HEAD_CHARS).withColumn("_class", F.floor(8 * F.log2("n")).cast("int"))
+    sizes, lowest, held = sorted(short.groupBy("_class").count().collect(), reverse=True), 1 << 30, 0
+    for name, count in sizes:
+        held += count
+        if held > HEAD:
+            break
+        lowest = name
+    top = short.where(F.col("_class") >= lowest).select("piece", "tokens").toArrow()
+    return dict(zip(top.column(0).to_pylist(), top.column(1).to_pylist(), strict=True))
+
+
 class _Known(dict):
     """Counts of the frequent pre-tokens; others are noted in `missed` and count as 0."""
 
@@ -102,8 +115,7 @@ def token_counts(docs: DataFrame, model_path: str, *, id_col: str = "doc_id", te
 
     distinct = docs.select("_text").mapInArrow(_frequencies, "piece string, n long").groupBy("piece").agg(F.sum("n").alias("n"))
     vocabulary = written(distinct.mapInArrow(encoded, "piece string, n long, tokens long"), "pretokens")
-    top = vocabulary.where(F.length("piece") <= HEAD_CHARS).orderBy(F.desc("n"), "piece").limit(HEAD).select("piece", "tokens")
-    head = spark.sparkContext.broadcast({r[0]: r[1] for r in top.collect()})
+    head = spark.sparkContext.broadcast(_most_frequent(vocabulary))
 
     kind = docs.schema["_id"].dataType
 
