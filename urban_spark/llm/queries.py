@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from urban_spark.llm import decontam, jaccard, lines, packing, rules, tokens, warc
+from urban_spark.llm import decontam, jaccard, langid, lines, packing, quality, rules, tokens, warc
 from urban_spark.llm.shared import load, shared_dir
 
 
@@ -48,11 +48,25 @@ def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return decontam.decontaminate(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(spark, sf_dir, "documents").withColumn("held_out", langid.held_out("doc_id"))
+    model = langid.train(docs.where(~F.col("held_out") & F.col("doc_id").isNotNull()))
+    found = langid.identify(docs.select("doc_id", "held_out", "text"), model)
+    return found.select("doc_id", "held_out", "lang_pred", "score")
+
+
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(spark, sf_dir, "documents").select("doc_id", "text").withColumn("held_out", langid.held_out("doc_id"))
+    labels = load(spark, sf_dir, "labels")
+    model = quality.fit(docs, labels.where(~langid.held_out("doc_id")))
+    return quality.score_quality(docs, model).select("doc_id", "held_out", "score", "predicted")
+
+
 def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_classes(load(spark, sf_dir, "documents"))
 
 
-_ALL = (op1_line_dedup, op2_token_counts, op3_best_fit_packing, op4_quality_rules, op5_benchmark_decontamination, op8_ngram_jaccard_join, op10_warc)
+_ALL = (op1_line_dedup, op2_token_counts, op3_best_fit_packing, op4_quality_rules, op5_benchmark_decontamination, op6_language_id, op7_quality_classifier, op8_ngram_jaccard_join, op10_warc)
 QUERIES = {f.__name__: f for f in _ALL}
 #: DuckDB SQL by query name, where SQL can express the query.
 SQL: dict[str, str] = {"op1_line_dedup": lines.SQL, "op4_quality_rules": rules.sql(), "op5_benchmark_decontamination": decontam.SQL}
