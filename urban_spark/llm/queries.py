@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from urban_spark.llm import decontam, jaccard, langid, lines, packing, quality, rules, tokens, warc
+from urban_spark.llm import decontam, jaccard, langid, lines, packing, pii, quality, rules, tokens, warc
 from urban_spark.llm.shared import load, shared_dir
 
 
@@ -25,6 +25,10 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(load(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"))
 
 
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.personal_data_digest(load(spark, sf_dir, "documents"))
+
+
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = load(spark, sf_dir, "pages")
     path = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
@@ -66,7 +70,7 @@ def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_classes(load(spark, sf_dir, "documents"))
 
 
-_ALL = (op1_line_dedup, op2_token_counts, op3_best_fit_packing, op4_quality_rules, op5_benchmark_decontamination, op6_language_id, op7_quality_classifier, op8_ngram_jaccard_join, op10_warc)
+_ALL = (op1_line_dedup, op2_token_counts, op3_best_fit_packing, op4_quality_rules, op5_benchmark_decontamination, op6_language_id, op7_quality_classifier, op8_ngram_jaccard_join, op9_pii, op10_warc)
 QUERIES = {f.__name__: f for f in _ALL}
 #: DuckDB SQL by query name, where SQL can express the query.
 SQL: dict[str, str] = {"op1_line_dedup": lines.SQL, "op4_quality_rules": rules.sql(), "op5_benchmark_decontamination": decontam.SQL}

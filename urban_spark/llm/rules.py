@@ -72,28 +72,26 @@ def rule_features(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     )
 
 
-def accuracies(voted: DataFrame) -> DataFrame:
-    """One row (prior, accuracy array, patterns with their posterior), by expectation-maximisation over vote patterns.
-
-    Rules are taken as independent given the quality; a vote is right with the rule's accuracy. Each rule votes one
-    way or abstains, so there are at most 2 ** len(RULES) patterns, which are gathered into one row.
+def accuracies(voted: DataFrame, rules: int) -> DataFrame:
+    """One row (accuracy array, patterns with their posterior q), by expectation-maximisation over the patterns of the
+    column `votes` (arrays of `rules` numbers: 1 for, -1 against, 0 abstains).
+
+    Rules are taken as independent given the truth, and a vote as right with the rule's accuracy. Both truths are
+    equally likely beforehand: rules that vote one way only leave the balance open, and fitting it would let it
+    outvote them. A rule that nothing contradicts keeps the accuracy 4/5 it starts with. There are at most 2 ** rules
+    patterns, as each rule votes one way or abstains, and they are gathered into one row.
     """
     patterns = voted.groupBy("votes").agg(F.count(F.lit(1)).cast("double").alias("n"))
     one = patterns.agg(F.sort_array(F.collect_list(F.struct("votes", "n"))).alias("p"))
-    logit = "ln({0} / (1D - {0}))"
-    odds = f"{logit.format('m.prior')} + aggregate(zip_with(x.votes, m.accuracy, (v, a) -> v * {logit.format('a')}), 0D, (s, y) -> s + y)"
+    odds = "aggregate(zip_with(x.votes, m, (v, a) -> v * ln(a / (1D - a))), 0D, (s, y) -> s + y)"
     scored = f"transform(p, x -> named_struct('votes', x.votes, 'n', x.n, 'q', 1D / (1D + exp(-({odds})))))"
     total = lambda what: f"aggregate(s, 0D, (t, x) -> t + {what})"
     right = total("CASE x.votes[j] WHEN 1 THEN x.n * x.q WHEN -1 THEN x.n * (1D - x.q) ELSE 0D END")
     cast = total("CASE WHEN x.votes[j] <> 0 THEN x.n ELSE 0D END")
-    clip = lambda x, low, high: f"greatest({low}D, least({high}D, {x}))"
-    step = (
-        f"transform(array({scored}), s -> named_struct('prior', {clip(total('x.n * x.q') + ' / ' + total('x.n'), 0.01, 0.99)}, "
-        f"'accuracy', transform(sequence(0, {len(RULES) - 1}), j -> {clip(f'({right} + 4D) / ({cast} + 5D)', 0.05, 0.995)})))[0]"
-    )
-    start = f"named_struct('prior', 0.5D, 'accuracy', array_repeat(0.8D, {len(RULES)}))"
-    fitted = one.where("size(p) > 0").select("p", F.expr(f"aggregate(sequence(1, {ITERATIONS}), {start}, (m, i) -> {step})").alias("m"))
-    return fitted.select("m.prior", "m.accuracy", F.expr(scored).alias("patterns"))
+    fitted = f"transform(sequence(0, {rules - 1}), j -> greatest(0.05D, least(0.995D, ({right} + 4D) / ({cast} + 5D))))"
+    step = f"transform(array({scored}), s -> {fitted})[0]"
+    model = one.where("size(p) > 0").select("p", F.expr(f"aggregate(sequence(1, {ITERATIONS}), array_repeat(0.8D, {rules}), (m, i) -> {step})").alias("m"))
+    return model.select(F.col("m").alias("accuracy"), F.expr(scored).alias("patterns"))
 
 
 def quality_rules(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", keep_from: float = 0.5) -> DataFrame:
@@ -107,7 +105,7 @@ def quality_rules(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     """
     counts = rule_features(docs, id_col=id_col, text_col=text_col)
     voted = cut(counts.withColumn("votes", F.array(*(F.expr(VOTES[r]) for r in RULES))))
-    posterior = accuracies(voted).select(F.explode("patterns").alias("x")).select("x.votes", F.col("x.q").alias("quality"))
+    posterior = accuracies(voted, len(RULES)).select(F.explode("patterns").alias("x")).select("x.votes", F.col("x.q").alias("quality"))
     failed = F.expr(BASE_FAILED)
     joined = voted.join(F.broadcast(posterior), "votes")  # at most 2 ** len(RULES) rows
     return joined.select(
@@ -119,14 +117,14 @@ def sql() -> str:
     """DuckDB's form of the op4 query: the same counts and votes, and the fit unrolled."""
     names = [f"v{i}" for i in range(len(RULES))]
     logit = "ln({0} / (1 - {0}))"
-    odds = logit.format("m.prior") + "".join(f" + {v} * {logit.format(f'm.a{i}')}" for i, v in enumerate(names))
-    steps = ["m0 AS (SELECT 0.5::DOUBLE AS prior, " + ", ".join(f"0.8::DOUBLE AS a{i}" for i in range(len(RULES))) + ")"]
+    odds = " + ".join(f"{v} * {logit.format(f'm.a{i}')}" for i, v in enumerate(names))
+    steps = ["m0 AS (SELECT " + ", ".join(f"0.8::DOUBLE AS a{i}" for i in range(len(RULES))) + ")"]
     for k in range(ITERATIONS):
         fitted = ", ".join(
             f"greatest(0.05, least(0.995, (sum(CASE {v} WHEN 1 THEN n * q WHEN -1 THEN n * (1 - q) ELSE 0 END) + 4) / (sum(CASE WHEN {v} <> 0 THEN n ELSE 0 END) + 5))) AS a{i}"
             for i, v in enumerate(names)
         )
-        steps.append(f"m{k + 1} AS MATERIALIZED (SELECT greatest(0.01, least(0.99, sum(n * q) / sum(n))) AS prior, {fitted} FROM (SELECT p.*, 1 / (1 + exp(-({odds}))) AS q FROM patterns p, m{k} m))")
+        steps.append(f"m{k + 1} AS MATERIALIZED (SELECT {fitted} FROM (SELECT p.*, 1 / (1 + exp(-({odds}))) AS q FROM patterns p, m{k} m))")
     word, blank = r"[^\x20\x09-\x0D]+", r"[\x20\x09-\x0D]"
     return rf"""
 WITH w AS MATERIALIZED (
