@@ -1,10 +1,6 @@
 """Registered queries: name -> query(spark, sf_dir), and the DuckDB SQL with the same rows."""
 
-from __future__ import annotations
+from urban_spark.plans import panels, relational, spatial
+from urban_spark.plans.base import QUERIES, SQL
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
+__all__ = ["QUERIES", "SQL", "panels", "relational", "spatial"]
