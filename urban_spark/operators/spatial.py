@@ -49,8 +49,8 @@ def nearest(points: DataFrame, targets: DataFrame, *, key: str, target: str, lon
     placed = t.withColumn("cx", _cell(F.col("_tx"), size)).withColumn("cy", _cell(F.col("_ty"), size))
     done, left, ring = None, p, 1
     while ring <= most_rings:
-        around = F.explode(F.sequence(F.lit(-ring), F.lit(ring)))
-        near = left.withColumn("cx", _cell(F.col("_px"), size) + around).withColumn("cy", _cell(F.col("_py"), size) + F.explode(F.sequence(F.lit(-ring), F.lit(ring))))
+        around = lambda c: F.explode(F.sequence(_cell(F.col(c), size) - ring, _cell(F.col(c), size) + ring))  # noqa: E731, B023
+        near = left.withColumn("cx", around("_px")).withColumn("cy", around("_py"))
         reach = ring * size * 111.0 * F.greatest(F.lit(0.05), F.cos(F.radians(F.abs(F.col("_py")) + ring * size)))
         found = best(near.join(placed, ["cx", "cy"]))
         sure = found.join(left, key).where(F.col(out) <= reach).select(key, target, out)

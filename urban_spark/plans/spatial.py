@@ -71,7 +71,7 @@ def g3(t):
 
 @query(
     "g4_g5_g7_polygon_measures",
-    f"WITH {WARDS} SELECT ward, round({2 * HALF} * {2 * HALF} * 111 * 111, 6) AS km2, round(lon, 6) AS cx, round(lat, 6) AS cy, round(lon - {HALF}, 9) AS x0, round(lat + {HALF}, 9) AS y1 FROM wards",
+    f"WITH {WARDS} SELECT ward, round(CAST({2 * HALF} * {2 * HALF} * 111 * 111 AS DOUBLE), 6) AS km2, round(lon, 6) AS cx, round(lat, 6) AS cy, round(lon - {HALF}, 9) AS x0, round(lat + {HALF}, 9) AS y1 FROM wards",
 )
 @tabled
 def g4(t):
@@ -81,7 +81,10 @@ def g4(t):
     return rounded(rounded(df, "km2", "cx", "cy", digits=6), "x0", "y1", digits=9)
 
 
-@query("g6_g19_line_segments", "SELECT conv_id, turn, round(sqrt(1 + pow(length(text) - lag(length(text)) OVER w, 2)), 6) AS length FROM conversations WHERE TRUE QUALIFY lag(turn) OVER w IS NOT NULL WINDOW w AS (PARTITION BY conv_id ORDER BY turn)".replace("sqrt(1 +", "sqrt(pow(turn - lag(turn) OVER w, 2) +"))
+@query(
+    "g6_g19_line_segments",
+    "SELECT conv_id, turn, round(length, 6) AS length FROM (SELECT conv_id, turn, sqrt(pow(turn - lag(turn) OVER w, 2) + pow(length(text) - lag(length(text)) OVER w, 2)) AS length FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn, length(text))) WHERE length IS NOT NULL",
+)
 @tabled
 def g6(t):
     vertex = F.struct(F.col("turn").cast("double").alias("x"), F.length("text").cast("double").alias("y"))
