@@ -40,7 +40,7 @@ def features(names: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     left = np.repeat(np.cumsum(lengths), lengths) - np.arange(len(data))
     buckets, words = [own], [np.arange(len(own))]
     rolled = np.zeros(len(data), np.uint64)
-    for k in range(max(ORDERS)):
+    for k in range(min(max(ORDERS), len(data))):
         rolled[: len(data) - k] = rolled[: len(data) - k] * np.uint64(0x100000001B3) + data[k:] + np.uint64(1)
         if k + 1 in ORDERS:
             some = np.flatnonzero(left > k)
