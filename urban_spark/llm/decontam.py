@@ -104,10 +104,10 @@ def phrase_matches(index: PositionalIndex, *, window: int = 10) -> DataFrame:
 
 
 def proximity_matches(index: PositionalIndex, *, window: int = 10, slop: int = 3, least: int = 8) -> DataFrame:
-    """(doc, text_hash, item, item_hash, terms): texts and items where, around a posting of the rarest term of some window,
+    """(doc, text_hash, item, item_hash, terms): texts and items where, around a posting of the rarest or second rarest term of some window,
     at least `least` terms of that window (all, if it has fewer) lie within `slop` words of where the item has them."""
-    anchors = _anchors(index, window).select("item", "item_hash", "p1", "term1").distinct()
-    lists = index.postings
+    pairs, lists = _anchors(index, window), index.postings
+    anchors = pairs.select("item", "item_hash", "p1", "term1").union(pairs.select("item", "item_hash", "p2", "term2")).distinct()
     first = lists.join(small(anchors), lists["term"] == anchors["term1"]).select("doc", "text_hash", "item", "item_hash", "p1", (F.col("pos") - F.col("p1")).alias("shift")).distinct()
     around = index.items.select("item", "item_hash", "size", F.col("pos").alias("at"), "term")
     wanted = first.join(small(around), ["item", "item_hash"]).where(F.abs(F.col("at") - F.col("p1")) < window)
