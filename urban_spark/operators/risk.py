@@ -126,3 +126,11 @@ def flow_accumulation(edges: DataFrame, cells: DataFrame, passes: int = 3) -> Da
         sent = moved.where("to IS NOT NULL").select(F.col("to").alias("cell"), (0.6 * F.col("flow")).alias("flow"))
         flow = kept.unionByName(sent).groupBy("cell").agg(F.sum("flow").alias("flow"))
     return flow
+
+
+def flood_risk(cells: DataFrame) -> DataFrame:
+    """(cell, flood_risk) from elevation, flow and slope, each on 0..1 over all cells: low, wet and flat is 1."""
+    from urban_spark.operators.agg import min_max
+
+    scaled = min_max(cells.select("cell", "elevation", "flow", "slope"), ["elevation", "flow", "slope"])
+    return scaled.select("cell", (0.5 * (1 - F.col("elevation")) + 0.3 * F.col("flow") + 0.2 * (1 - F.col("slope"))).alias("flood_risk"))

@@ -132,3 +132,66 @@ def snap_ends(lines: DataFrame, nodes: DataFrame, *, key: str, line: str, most_k
     found = nearest(ends, nodes, key="_k", target="node")
     near = F.col("km") <= most_km
     return found.select(F.col(f"_k.{key}").alias(key), F.col("_k.end").alias("end"), F.when(near, F.col("node")).alias("node"), F.when(near, F.col("km")).alias("km"))
+
+
+def name_sectors(sectors: DataFrame, *, key: str, lon: str = "lon", lat: str = "lat") -> DataFrame:
+    """(key, name): the sector nearest the mean of all is Central; the others are named by their bearing from it, and of those
+    that share a name the nearest has it, the next ones with a number."""
+    from pyspark.sql import Window
+
+    mean = sectors.agg(F.avg(lon).alias("_mx"), F.avg(lat).alias("_my")).withColumn("_one", F.lit(1))
+    rows = sectors.withColumn("_one", F.lit(1)).join(F.broadcast(mean), "_one")
+    d = F.pow(F.col(lon) - F.col("_mx"), 2) + F.pow(F.col(lat) - F.col("_my"), 2)
+    center = rows.agg(F.min(F.struct(d.alias("d"), F.col(key).alias("k"), F.col(lon).alias("x"), F.col(lat).alias("y"))).alias("_c")).withColumn("_one", F.lit(1))
+    named = rows.join(F.broadcast(center), "_one").withColumn("_b", g.cardinal(g.bearing(F.col("_c.x"), F.col("_c.y"), F.col(lon), F.col(lat))))
+    base = F.when(F.col(key) == F.col("_c.k"), "Central").otherwise(F.col("_b"))
+    placed = named.withColumn("_b", base).withColumn("_n", F.row_number().over(Window.partitionBy("_b").orderBy(d, key)))
+    return placed.select(key, F.when(F.col("_n") == 1, F.col("_b")).otherwise(F.concat_ws(" ", "_b", F.col("_n").cast("string"))).alias("name"))
+
+
+def group_polygons(polygons: DataFrame, by: str, *, rings: str = "rings") -> DataFrame:
+    """One multi-part feature for each name; inner borders stay."""
+    return polygons.groupBy(by).agg(F.flatten(F.collect_list(rings)).alias(rings), F.count(F.lit(1)).alias("parts"))
+
+
+def nearest_pairs(a: DataFrame, k: int, *, key: str, km: float) -> DataFrame:
+    """(src, dst, km): each row's k nearest others within `km`."""
+    from pyspark.sql import Window
+
+    pairs = within_distance(a, key=key, km=km)
+    both = pairs.unionByName(pairs.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "km"))
+    return both.withColumn("_r", F.row_number().over(Window.partitionBy("src").orderBy("km", "dst"))).where(F.col("_r") <= k).drop("_r")
+
+
+def segment_graph(lines: DataFrame, line: str, tolerance: float) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) of lines: ends of segments snapped to a tolerance are nodes, named by their place; edges (src, dst,
+    length) keep the shortest of parallel ones."""
+    s = lines.select(F.explode(g.segments(F.col(line))).alias("s"))
+    at = lambda x, y: F.concat_ws(",", F.round(F.col(x) / tolerance).cast("long").cast("string"), F.round(F.col(y) / tolerance).cast("long").cast("string"))
+    length = F.sqrt(F.pow(F.col("s.x1") - F.col("s.x2"), 2) + F.pow(F.col("s.y1") - F.col("s.y2"), 2))
+    rows = s.select(at("s.x1", "s.y1").alias("a"), at("s.x2", "s.y2").alias("b"), length.alias("length")).where("a <> b")
+    edges = rows.select(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst"), "length").groupBy("src", "dst").agg(F.min("length").alias("length"))
+    nodes = edges.select(F.col("src").alias("id")).union(edges.select("dst")).distinct()
+    return nodes, edges
+
+
+def repair_contiguity(areas: DataFrame, edges: DataFrame, *, rounds: int = 10) -> DataFrame:
+    """(id, zone): parts of a zone apart from its largest take, all at once in each round, the zone that most neighbours outside
+    the part have (ties to the least zone). areas (id, zone), edges (src, dst) both ways."""
+    from urban_spark.operators.graph import _cut, components
+
+    areas = areas.select("id", "zone")
+    for _ in range(rounds):
+        z = areas.select(F.col("id").alias("src"), F.col("zone").alias("_a")), areas.select(F.col("id").alias("dst"), F.col("zone").alias("_b"))
+        pairs = edges.join(z[0], "src").join(z[1], "dst")
+        parts = components(areas, pairs.where("_a = _b").select("src", "dst"))
+        sized = areas.join(parts, "id").groupBy("zone", "component").agg(F.count(F.lit(1)).alias("n"))
+        main = sized.groupBy("zone").agg(F.min(F.struct((-F.col("n")).alias("n"), F.col("component").alias("c"))).alias("m")).select("zone", F.col("m.c").alias("component"))
+        loose = areas.join(parts, "id").join(main, ["zone", "component"], "left_anti")
+        votes = loose.select(F.col("id").alias("src"), "component").join(pairs.where("_a <> _b"), "src").groupBy("component", F.col("_b").alias("zone")).count()
+        best = votes.groupBy("component").agg(F.min(F.struct((-F.col("count")).alias("c"), F.col("zone").alias("z"))).alias("v")).select("component", F.col("v.z").alias("_new"))
+        moved = _cut(loose.join(best, "component").select("id", "_new"))
+        if moved.isEmpty():
+            return areas
+        areas = _cut(areas.join(moved, "id", "left").select("id", F.coalesce("_new", "zone").alias("zone")))
+    return areas
