@@ -102,7 +102,7 @@ def gini(df: DataFrame, value: str) -> DataFrame:
     upto = cumulative(counts, "v", "count", "upto")
     # The sum of the ranks of the values that are equal is their number times the mean of their ranks.
     ranks = F.col("count") * (2 * F.col("upto") - F.col("count") + 1) / 2
-    sums = upto.agg(F.sum("count").alias("n"), F.sum(F.col("v") * F.col("count")).alias("s"), F.sum(F.col("v") * ranks).alias("r"))
+    sums = upto.agg(*(F.coalesce(F.sum(x), F.lit(0)).alias(k) for k, x in (("n", F.col("count")), ("s", F.col("v") * F.col("count")), ("r", F.col("v") * ranks))))
     return sums.select("n", F.when((F.col("n") == 0) | (F.col("s") == 0), 0.0).otherwise((2 * F.col("r") - (F.col("n") + 1) * F.col("s")) / (F.col("n") * F.col("s"))).alias("gini"))
 
 

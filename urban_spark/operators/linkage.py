@@ -29,7 +29,8 @@ def _one_to_one(pairs: DataFrame, a: str, b: str, order: list) -> DataFrame:
 
 def link(left: DataFrame, right: DataFrame, *, left_key: str, left_name: str, right_key: str, right_name: str, least: float = 88.0) -> DataFrame:
     """(left, right, method, score), one to one: the number in the text equals the right key; else equal normalised names; else
-    token-set similarity of `least` or more among names that share a token; each stage takes what the ones before left."""
+    token-set similarity of `least` or more among names that share one of their two rarest tokens, so that a token common to
+    many names pairs nothing; each stage takes what the ones before left."""
     a = left.select(F.col(left_key).alias("left"), F.col(left_name).alias("_a"))
     b = right.select(F.col(right_key).alias("right"), F.col(right_name).alias("_b"))
     found = None
@@ -44,7 +45,10 @@ def link(left: DataFrame, right: DataFrame, *, left_key: str, left_name: str, ri
     stage(number.join(b.select("right"), "right").withColumn("score", F.lit(100.0)), "number")
     stage(a.withColumn("_k", normalized(F.col("_a"))).join(b.withColumn("_k", normalized(F.col("_b"))), "_k").withColumn("score", F.lit(100.0)), "name")
     tokens = lambda df, c: df.withColumn("_t", F.explode(F.array_distinct(F.split(normalized(F.col(c)), " ")))).where("_t <> ''")
-    near = tokens(a, "_a").join(tokens(b, "_b"), "_t").select("left", "right", "_a", "_b").distinct().withColumn("score", token_set_ratio(F.col("_a"), F.col("_b")))
+    own, other = tokens(a, "_a"), tokens(b, "_b")
+    often = own.select("_t").unionByName(other.select("_t")).groupBy("_t").agg(F.count(F.lit(1)).alias("_often"))
+    rarest = lambda df, key: df.join(often, "_t").withColumn("_rn", F.row_number().over(Window.partitionBy(key).orderBy("_often", "_t"))).where("_rn <= 2").drop("_rn", "_often")
+    near = rarest(own, "left").join(rarest(other, "right"), "_t").select("left", "right", "_a", "_b").distinct().withColumn("score", token_set_ratio(F.col("_a"), F.col("_b")))
     stage(near.where(F.col("score") >= least), "fuzzy")
     return found
 

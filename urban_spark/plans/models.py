@@ -208,10 +208,10 @@ def m20(t):
     return rounded(rounded(s.slopes(t.lineitem, ["l_suppkey"], "l_quantity", "l_extendedprice"), "slope", digits=4), "intercept", digits=3)
 
 
-@query("m21_scaled", "SELECT c_custkey, round((c_acctbal - (SELECT avg(c_acctbal) FROM customer WHERE c_custkey % 2 = 0)) / (SELECT stddev_pop(c_acctbal) FROM customer WHERE c_custkey % 2 = 0), 7) AS c_acctbal FROM customer")
+@query("m21_scaled", "SELECT c_custkey, round((c_acctbal - (SELECT avg(c_acctbal) FROM customer WHERE c_mktsegment <> 'BUILDING')) / (SELECT stddev_pop(c_acctbal) FROM customer WHERE c_mktsegment <> 'BUILDING'), 7) AS c_acctbal FROM customer")
 @tabled
 def m21(t):
-    return rounded(s.scaled(t.customer.select("c_custkey", "c_acctbal"), ["c_acctbal"], F.col("c_custkey") % 2 == 0), "c_acctbal", digits=7)
+    return rounded(s.scaled(t.customer.select("c_custkey", "c_mktsegment", "c_acctbal"), ["c_acctbal"], F.col("c_mktsegment") != "BUILDING").drop("c_mktsegment"), "c_acctbal", digits=7)
 
 
 def _points(t):
@@ -239,7 +239,7 @@ def m24(t):
 @query("m25_capped_assignment")
 @tabled
 def m25(t):
-    centers = t.wards.where("ward % 6 = 1").select(F.col("ward").alias("center"), F.col("lon").alias("cx"), F.col("lat").alias("cy"))
+    centers = t.wards.groupBy(F.col("sector").alias("center")).agg(F.avg("lon").alias("cx"), F.avg("lat").alias("cy"))
     rows = t.homes.select("home", F.lit(1.0).alias("size"), F.col("lon").alias("x"), F.col("lat").alias("y"))
     return c.capped_assignment(rows, centers, "size", key="home")
 
@@ -359,7 +359,7 @@ def f18(t):
     return f.first_crossing(t.panel, "demand", threshold=0.95, kind="quantile")
 
 
-@query("f19_combined_panel", f"WITH {PANEL} SELECT ward, month, a.n AS n, b.demand AS demand FROM (SELECT ward, month, n FROM panel WHERE ward % 2 = 0) a FULL JOIN (SELECT ward, month, demand FROM panel WHERE ward % 3 = 0) b USING (ward, month)")
+@query("f19_combined_panel", f"WITH {PANEL} SELECT ward, month, a.n AS n, b.demand AS demand FROM (SELECT ward, month, n FROM panel WHERE n >= 3) a FULL JOIN (SELECT ward, month, demand FROM panel WHERE demand > 300000) b USING (ward, month)")
 @tabled
 def f19(t):
-    return t.panel.where("ward % 2 = 0").select("ward", "month", "n").join(t.panel.where("ward % 3 = 0").select("ward", "month", "demand"), ["ward", "month"], "full")
+    return t.panel.where("n >= 3").select("ward", "month", "n").join(t.panel.where("demand > 300000").select("ward", "month", "demand"), ["ward", "month"], "full")

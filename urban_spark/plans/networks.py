@@ -9,6 +9,7 @@ from urban_spark.operators import access as q
 from urban_spark.operators import agg as a
 from urban_spark.operators import graph as g
 from urban_spark.operators import spatial as s
+from urban_spark.operators.clean import hashed_sample
 from urban_spark.plans.base import PANEL, SITES, WARDS, query, rounded, tabled
 from urban_spark.plans.relational import od_flows
 from urban_spark.plans.spatial import _km
@@ -55,43 +56,43 @@ def n5(t):
 
 @query(
     "n6_components",
-    "WITH RECURSIVE e AS (SELECT o_custkey AS src, o_custkey + 1 AS dst FROM orders WHERE o_orderkey % 11 = 0 UNION SELECT o_custkey + 1, o_custkey FROM orders WHERE o_orderkey % 11 = 0), r AS (SELECT c_custkey AS id, c_custkey AS reach FROM customer UNION SELECT r.id, e.dst FROM r JOIN e ON e.src = r.reach JOIN customer ON c_custkey = e.dst) SELECT id, min(reach) AS component FROM r GROUP BY id",
+    "WITH RECURSIVE e AS (SELECT o_custkey AS src, o_custkey + 1 AS dst FROM orders WHERE o_totalprice > 460000 UNION SELECT o_custkey + 1, o_custkey FROM orders WHERE o_totalprice > 460000), r AS (SELECT c_custkey AS id, c_custkey AS reach FROM customer UNION SELECT r.id, e.dst FROM r JOIN e ON e.src = r.reach JOIN customer ON c_custkey = e.dst) SELECT id, min(reach) AS component FROM r GROUP BY id",
 )
 @tabled
 def n6(t):
     nodes = t.customer.select(F.col("c_custkey").alias("id"))
-    e = t.orders.where("o_orderkey % 11 = 0").select(F.col("o_custkey").alias("src"), (F.col("o_custkey") + 1).alias("dst"))
+    e = t.orders.where("o_totalprice > 460000").select(F.col("o_custkey").alias("src"), (F.col("o_custkey") + 1).alias("dst"))
     return g.components(nodes, e.join(nodes.select(F.col("id").alias("dst")), "dst", "left_semi"))
 
 
 @query(
     "n7_shortest_paths",
-    f"""WITH RECURSIVE {SITES}, {ROADS}, p AS (SELECT site AS source, site AS id, 0.0::DOUBLE AS distance, 0 AS k FROM sites WHERE site IN (1, 2) UNION ALL
+    f"""WITH RECURSIVE {SITES}, {ROADS}, p AS (SELECT site AS source, site AS id, 0.0::DOUBLE AS distance, 0 AS k FROM sites WHERE site IN (SELECT min(site) FROM sites GROUP BY ward) UNION ALL
 SELECT source, id, distance, k FROM (SELECT source, r.dst AS id, min(p.distance + r.weight) AS distance, any_value(p.k) + 1 AS k FROM p JOIN roads r ON r.src = p.id WHERE p.k < 110 GROUP BY source, r.dst))
 SELECT source, id, round(min(distance), 6) AS distance FROM p GROUP BY 1, 2""",
 )
 @tabled
 def n7(t):
-    return rounded(g.shortest_paths(_roads(t), _site_nodes(t).where("id IN (1, 2)")), "distance", digits=6)
+    return rounded(g.shortest_paths(_roads(t), t.sites.groupBy("ward").agg(F.min("site").alias("id")).select("id")), "distance", digits=6)
 
 
 @query("n8_closeness")
 @tabled
 def n8(t):
-    return rounded(g.closeness(g.shortest_paths(_roads(t), _site_nodes(t).where("id % 20 = 1"))), "closeness", digits=6)
+    return rounded(g.closeness(g.shortest_paths(_roads(t), hashed_sample(_site_nodes(t), "id", 6))), "closeness", digits=6)
 
 
 @query("n9_betweenness")
 @tabled
 def n9(t):
-    return rounded(g.betweenness(_site_nodes(t), _roads(t), _site_nodes(t).where("id % 25 = 1")), "betweenness", digits=6)
+    return rounded(g.betweenness(_site_nodes(t), _roads(t), hashed_sample(_site_nodes(t), "id", 4)), "betweenness", digits=6)
 
 
 @query("n10_o6_pagerank")
 @tabled
 def n10(t):
     nodes = t.nation.select(F.col("n_nationkey").alias("id"))
-    return rounded(g.pagerank(nodes, od_flows(t).where("flow % 3 = 0"), rounds=12), "rank", digits=9)
+    return rounded(g.pagerank(nodes, od_flows(t), rounds=12), "rank", digits=9)
 
 
 @query("n11_edge_means", f"WITH {SITES}, {ROADS} SELECT src, dst, round((a.capacity + b.capacity) / 2, 4) AS capacity FROM roads JOIN sites a ON a.site = src JOIN sites b ON b.site = dst")
@@ -132,7 +133,7 @@ TIMES = f"times AS (SELECT w.ward, s.site, s.capacity, {_km('w.lon', 'w.lat', 's
 
 
 def _times(t):
-    df = q.travel_times(t.wards, t.sites, ward="ward", candidate="site")
+    df = q.travel_times(t.wards, t.sites, ward="ward", candidate="site").join(t.sites.select("site", "capacity"), "site")
     return df.withColumn("kind", F.when(F.col("site") % 3 == 0, "school").when(F.col("site") % 3 == 1, "clinic").otherwise("park"))
 
 
@@ -228,10 +229,10 @@ def q13(t):
     return q.suppress_close(t.sites, s.within_distance(t.sites, key="site", km=2.0), key="site", size="capacity").select("site")
 
 
-@query("q14_weighted_time_change", f"WITH {WARDS}, {SITES}, {TIMES}, {PEOPLE}, m AS (SELECT ward, min(CASE WHEN site % 10 = 0 THEN travel_min END) AS a, min(CASE WHEN site % 5 = 0 THEN travel_min END) AS b FROM times GROUP BY 1), w AS (SELECT sum(a * population) / sum(population) AS before, sum(b * population) / sum(population) AS after FROM m JOIN people USING (ward)) SELECT round(before, 6) AS before, round(after, 6) AS after, round((before - after) / before * 100, 6) AS reduction_pct FROM w")
+@query("q14_weighted_time_change", f"WITH {WARDS}, {SITES}, {TIMES}, {PEOPLE}, m AS (SELECT ward, min(CASE WHEN capacity > 5000 THEN travel_min END) AS a, min(CASE WHEN capacity > 0 THEN travel_min END) AS b FROM times GROUP BY 1), w AS (SELECT sum(a * population) / sum(population) AS before, sum(b * population) / sum(population) AS after FROM m JOIN people USING (ward)) SELECT round(before, 6) AS before, round(after, 6) AS after, round((before - after) / before * 100, 6) AS reduction_pct FROM w")
 @tabled
 def q14(t):
-    df = q.weighted_time_change(_times(t), _people(t), ward="ward", population="population", before=F.col("site") % 10 == 0, after=F.col("site") % 5 == 0)
+    df = q.weighted_time_change(_times(t), _people(t), ward="ward", population="population", before=F.col("capacity") > 5000, after=F.col("capacity") > 0)
     return rounded(df, "before", "after", "reduction_pct", digits=6)
 
 
@@ -268,10 +269,10 @@ def q19(t):
     return df.withColumn("beds", F.ceil(F.col("population") / 1000.0 * F.when(F.col("sector") == 1, 3.0).otherwise(2.0)))
 
 
-@query("q20_population_lookup", f"WITH {PANEL}, {PEOPLE}, f AS (SELECT ward, CAST(sum(n) AS BIGINT) AS p FROM panel WHERE year(month) = 2001 AND ward < 10 GROUP BY 1) SELECT p.ward, CAST(coalesce(f.p, p.population) AS BIGINT) AS population FROM people p LEFT JOIN f USING (ward)")
+@query("q20_population_lookup", f"WITH {PANEL}, {PEOPLE}, f AS (SELECT ward, CAST(sum(n) AS BIGINT) AS p FROM panel WHERE year(month) = 2001 AND demand > 400000 GROUP BY 1) SELECT p.ward, CAST(coalesce(f.p, p.population) AS BIGINT) AS population FROM people p LEFT JOIN f USING (ward)")
 @tabled
 def q20(t):
-    f = t.panel.where("year(month) = 2001 AND ward < 10").groupBy("ward").agg(F.sum("n").alias("p"))
+    f = t.panel.where("year(month) = 2001 AND demand > 400000").groupBy("ward").agg(F.sum("n").alias("p"))
     return _people(t).join(f, "ward", "left").select("ward", F.coalesce("p", "population").alias("population"))
 
 

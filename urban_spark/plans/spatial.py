@@ -209,17 +209,20 @@ def a9(t):
     return rounded(a.inverse_distance(t.wards.select("ward"), pairs, ["capacity"], cell="ward"), "capacity", digits=5)
 
 
-@query("j14_cross_with_few", f"WITH {WARDS}, {SITES} SELECT w.ward, s.site FROM wards w, sites s WHERE s.site % 10 = 1")
+@query("j14_cross_with_few", f"WITH {WARDS}, {SITES} SELECT w.ward, s.site FROM wards w, sites s")
 @tabled
 def j14(t):
-    return t.sites.where("site % 10 = 1").select("site").join(F.broadcast(t.wards.select("ward"))).select("ward", "site")
+    return t.sites.select("site").join(F.broadcast(t.wards.select("ward"))).select("ward", "site")
 
 
 @query("j3_assign_polygons")
 @tabled
 def j3(t):
-    """Squares around wards assigned to larger squares around every fifth ward, by shared lattice points."""
-    return rounded(s.assign_polygons(squares(t).drop("sector"), squares(t, 0.08).where("ward % 5 = 0").select(F.col("ward").alias("zone"), "rings"), key="ward", to="zone"), "share", digits=6)
+    """Squares around wards assigned to larger squares around the mean places of sectors, by shared lattice points."""
+    centers = t.wards.groupBy("sector").agg(F.avg("lon").alias("lon"), F.avg("lat").alias("lat"))
+    corner = lambda dx, dy: F.struct((F.col("lon") + dx * 0.08).alias("x"), (F.col("lat") + dy * 0.08).alias("y"))
+    zones = centers.select(F.col("sector").alias("zone"), F.array(F.array(corner(-1, -1), corner(1, -1), corner(1, 1), corner(-1, 1))).alias("rings"))
+    return rounded(s.assign_polygons(squares(t).drop("sector"), zones, key="ward", to="zone"), "share", digits=6)
 
 
 @query("j18_queen_neighbours")
