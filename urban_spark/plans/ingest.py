@@ -257,3 +257,54 @@ def r16(t):
     return rounded(r.flood_risk(df), "flood_risk", digits=6)
 
 
+
+
+@query("s2_format_by_suffix", "SELECT CAST(n_nationkey AS VARCHAR) AS k, n_name AS name, s AS format FROM nation, (VALUES ('csv'), ('jsonl'), ('parquet')) f(s)")
+@tabled
+def s2(t):
+    rows, parts = t.nation.select(F.col("n_nationkey").cast("string").alias("k"), F.col("n_name").alias("name")), []
+    for suffix in ("csv", "jsonl", "parquet"):
+        path = f"{_path(t, 'nations')}.{suffix}"
+        rows.write.json(path) if suffix == "jsonl" else io.write_table(rows, path)
+        parts.append(io.read_table(t.spark, path).select("k", "name", F.lit(suffix).alias("format")))
+    return io.union_layers(parts)
+
+
+@query("s5_geojson_collection", f"WITH {WARDS} SELECT name, 'Polygon' AS type, 5 AS vertices, round(lon - {HALF}, 9) AS x FROM wards")
+@tabled
+def s5(t):
+    """One collection for each sector, written as text and read by the GeoJSON reader."""
+    path = _path(t, "collections") + ".geojson"
+    features = io.feature_json(squares(t).join(t.wards.select("ward", "name"), "ward"), "rings", "Polygon").withColumn("sector", F.get_json_object("value", "$.properties.sector"))
+    whole = features.groupBy("sector").agg(F.concat(F.lit('{"type":"FeatureCollection","features":['), F.array_join(F.array_sort(F.collect_list("value")), ","), F.lit("]}")).alias("value"))
+    whole.repartition("sector").select("value").write.option("maxRecordsPerFile", 1).text(path)
+    rows = io.read_table(t.spark, path)
+    return rounded(rows.select(F.col("properties")["name"].alias("name"), "type", F.size(F.col("rings")[0]).alias("vertices"), F.col("rings")[0][0]["x"].alias("x")), "x", digits=9)
+
+
+@query("s18_keyed_csvs", "SELECT CAST(c_custkey AS VARCHAR) AS id, lower(c_mktsegment) AS target FROM customer")
+@tabled
+def s18(t):
+    base = _path(t, "segments")
+    names = [r[0] for r in t.customer.select(F.lower("c_mktsegment")).distinct().collect()]
+    for name in names:
+        io.write_table(t.customer.where(F.lower("c_mktsegment") == name).select(F.col("c_custkey").alias("id")), f"{base}/{name}.csv")
+    return io.read_keyed_csvs(t.spark, f"{base}/*.csv")
+
+
+@query("p14_first_present", "SELECT p_partkey, coalesce(CASE WHEN p_size > 40 THEN p_brand END, CASE WHEN p_size > 20 THEN p_type END, p_name) AS tag FROM part")
+@tabled
+def p14(t):
+    tags = F.create_map(F.lit("building"), F.when(F.col("p_size") > 40, F.col("p_brand")), F.lit("amenity"), F.when(F.col("p_size") > 20, F.col("p_type")), F.lit("shop"), F.col("p_name"))
+    return t.part.select("p_partkey", F.coalesce(*(tags[k] for k in ("building", "amenity", "shop"))).alias("tag"))
+
+
+@query("g10_cell_boundary", f"WITH {WARDS} SELECT ward, 6 AS corners, round(3 * sqrt(3.0) / 2 * 640000 / 1e6, 6) AS km2 FROM wards")
+@tabled
+def g10(t):
+    """Corners of the hexagon of each ward's point, and the area they enclose in metres of the projection."""
+    from urban_spark.functions import geo
+
+    b = geo.cell_boundary(geo.cell_id(F.col("lon"), F.col("lat"), 800), 800)
+    metres = F.transform(b, lambda v: F.struct(geo.mercator_x(v["x"]).alias("x"), geo.mercator_y(v["y"]).alias("y")))
+    return rounded(t.wards.select("ward", F.size(b).alias("corners"), (polygon_area(F.array(metres)) / 1e6).alias("km2")), "km2", digits=6)

@@ -366,3 +366,15 @@ def r13(t):
 def r17(t):
     df = r.apply_rules(_based(t), {"n": {"threshold": 6}, "demand": {"baseline": "baseline", "limit": 0.4}})
     return rounded(df.select("ward", "month", r.failure_probability([F.col("sev_n"), F.col("sev_demand")]).alias("probability")), "probability", digits=6)
+
+
+@query("j24_lagged_edges", f"WITH {SEQUENCES} SELECT ward, step, src, dst FROM seq WHERE src <> dst")
+@tabled
+def j24(t):
+    return r.failure_sequences(_states(t), _edges(t)).where("src <> dst").select("ward", F.col("step").cast("long").alias("step"), "src", "dst")
+
+
+@query("r6_severity_label", f"WITH {BASED}, s AS (SELECT ward, month, CASE WHEN baseline IS NULL OR baseline = 0 THEN 0 ELSE least(2.0, greatest(0.0, (demand - baseline) / baseline / 0.4)) END AS sev FROM based) SELECT ward, month, CASE WHEN sev <= 0 THEN 'healthy' WHEN sev < 0.5 THEN 'warning' WHEN sev < 1 THEN 'failure' ELSE 'severe' END AS label FROM s")
+@tabled
+def r6(t):
+    return _based(t).select("ward", "month", r.severity_label(r.severity_relative(F.col("demand"), F.col("baseline"), F.lit(0.4))).alias("label"))

@@ -133,8 +133,8 @@ def read_metrics(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_keyed_csvs(spark: SparkSession, pattern: str, key: str = "target") -> DataFrame:
-    """All CSV files of a pattern, the name of each as the column `key`."""
-    return read_csv(spark, pattern).withColumn(key, F.regexp_extract(F.input_file_name(), r"([^/]+)\.csv$", 1))
+    """All CSV files (or folders of parts) of a pattern, the name of each without its suffix as the column `key`."""
+    return read_csv(spark, pattern).withColumn(key, F.regexp_extract(F.input_file_name(), r"([^/]+?)\.csv(?:/[^/]+)?$", 1))
 
 
 def fingerprints(spark: SparkSession, path: str) -> DataFrame:
