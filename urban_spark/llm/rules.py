@@ -11,14 +11,15 @@ SPACE = r"\x20\x09-\x0D"
 WINDOW = 8
 ITERATIONS = 10
 
-_ODD = "(20 * n_symbols > n_words OR 4 * n_upper > word_chars OR 20 * n_marks > n_words OR 10 * n_repeat_words > n_words OR 5 * n_dup_lines > n_lines)"
+_ODD = "(20 * n_symbols > n_words OR 4 * n_upper > word_chars OR 20 * n_marks > n_words OR 10 * n_repeat_words > n_words OR 20 * n_same > n_words OR 5 * n_dup_lines > n_lines)"
 #: name -> SQL condition; a rule votes only where its condition holds, the first group against a text, the second for it.
 AGAINST = {
     "symbols": "10 * n_symbols > n_words",
     "capitals": "5 * n_upper > 2 * word_chars",
     "exclamations": "10 * n_marks > n_words",
-    "repeated_words": "5 * n_repeat_words > n_words",
-    "repeated_lines": "10 * n_dup_lines > 3 * n_lines",
+    "repeated_words": "10 * n_repeat_words > 3 * n_words",
+    "same_words": "5 * n_same > n_words",
+    "repeated_lines": "n_dup_lines >= 4 AND 10 * n_dup_lines > 3 * n_lines",
     "word_length": "word_chars > 14 * n_words OR 2 * word_chars < 5 * n_words",
     "no_sentences": "n_words >= 60 AND n_stops = 0",
 }
@@ -56,18 +57,23 @@ def _repeated(words: Column) -> Column:
     return F.when(F.size(words) < WINDOW, F.lit(0).cast("long")).otherwise(let(F.transform(words, lambda w: F.xxhash64(w)), of_hashes))
 
 
+def _same(words: Column) -> Column:
+    """Words equal to the one before."""
+    return F.size(F.filter(words, lambda w, i: (i > 0) & (w == F.get(words, i - 1)))).cast("long")
+
+
 def rule_features(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Counts over each whole text that the rules look at. Null text counts as an empty one."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     count = lambda pattern: F.regexp_count(text, F.lit(pattern)).cast("long")
-    words = let(F.regexp_extract_all(text, F.lit(f"[^{SPACE}]+"), F.lit(0)), lambda w: F.struct(F.size(w).cast("long").alias("n"), _repeated(w).alias("again")))
+    words = let(F.regexp_extract_all(text, F.lit(f"[^{SPACE}]+"), F.lit(0)), lambda w: F.struct(F.size(w).cast("long").alias("n"), _repeated(w).alias("again"), _same(w).alias("same")))
     lines = let(F.filter(F.split(text, "\n", -1), lambda x: x.rlike(f"[^{SPACE}]")), lambda x: F.struct(F.size(x).cast("long").alias("n"), (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("again")))
     found = docs.select(
         F.col(id_col).alias("_id"), words.alias("_words"), lines.alias("_lines"), (F.length(text) - count(f"[{SPACE}]")).cast("long").alias("word_chars"),
         count("[#*$%&|<>]").alias("n_symbols"), count(r"\p{Lu}").alias("n_upper"), count("!").alias("n_marks"), count(r"[.?!](?:\s|$)").alias("n_stops"),
     )
     return found.select(
-        "_id", F.col("_words.n").alias("n_words"), "word_chars", "n_symbols", F.col("_lines.again").alias("n_dup_lines"), F.col("_words.again").alias("n_repeat_words"),
+        "_id", F.col("_words.n").alias("n_words"), "word_chars", "n_symbols", F.col("_lines.again").alias("n_dup_lines"), F.col("_words.again").alias("n_repeat_words"), F.col("_words.same").alias("n_same"),
         F.col("_lines.n").alias("n_lines"), "n_upper", "n_marks", "n_stops",
     )
 
@@ -138,7 +144,7 @@ WITH w AS MATERIALIZED (
   SELECT r, count(DISTINCT p) AS n FROM (SELECT r, unnest(range(i, i + 8)) AS p FROM twice) GROUP BY r
 ), f AS MATERIALIZED (
   SELECT doc_id, len(ws)::BIGINT AS n_words, (length(t) - len(regexp_extract_all(t, '{blank}')))::BIGINT AS word_chars, len(regexp_extract_all(t, '[#*$%&|<>]'))::BIGINT AS n_symbols,
-    (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines, coalesce(again.n, 0)::BIGINT AS n_repeat_words, len(ls) AS n_lines, len(regexp_extract_all(t, '\p{{Lu}}')) AS n_upper,
+    (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines, coalesce(again.n, 0)::BIGINT AS n_repeat_words, len(list_filter(range(2, len(ws) + 1), lambda i: ws[i] = ws[i - 1])) AS n_same, len(ls) AS n_lines, len(regexp_extract_all(t, '\p{{Lu}}')) AS n_upper,
     len(regexp_extract_all(t, '!')) AS n_marks, len(regexp_extract_all(t, '[.?!](?:[\x20\x09-\x0D]|$)')) AS n_stops FROM w LEFT JOIN again USING (r)
 ), votes AS MATERIALIZED (SELECT *, {", ".join(f"{VOTES[r]} AS {v}" for r, v in zip(RULES, names, strict=True))} FROM f
 ), patterns AS MATERIALIZED (SELECT {", ".join(names)}, count(*)::DOUBLE AS n FROM votes GROUP BY ALL
