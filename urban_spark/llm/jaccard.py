@@ -194,7 +194,7 @@ def jaccard_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     members = cut(spread.join(shared, "bucket"))
     homes = cut(members.groupBy("node").agg(F.min("leader").alias("home"), F.first("words").alias("words")))
     sizes = homes.groupBy("home").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_DOCS), F.ceil(F.sum("words") / BLOCK_WORDS)).alias("blocks"))
-    dealt = cut(homes.join(sizes, "home").select("node", F.xxhash64("home", F.pmod(F.xxhash64("node"), F.col("blocks"))).alias("block")))
+    dealt = cut(homes.join(small(cut(sizes)), "home").select("node", F.xxhash64("home", F.pmod(F.xxhash64("node"), F.col("blocks"))).alias("block")))
     met = members.select("node", "bucket").join(dealt, "node").groupBy("bucket").agg(F.sort_array(F.collect_set("block")).alias("b"))
     pairs = F.flatten(F.transform("b", lambda x, i: F.transform(F.slice("b", i + 1, F.size("b")), lambda y: F.struct(x.alias("one"), y.alias("two")))))
     units = met.select(F.explode(pairs).alias("u")).select("u.one", "u.two").distinct()
