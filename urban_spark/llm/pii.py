@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from urban_spark.llm.rules import accuracies
@@ -107,17 +107,18 @@ def classify_secrets(candidates: DataFrame) -> DataFrame:
     candidate's posterior. With these as soft labels a naive Bayes classifier over FEATURES is counted, and it decides.
     """
     votes = F.array(*(F.expr(f"CASE WHEN {x} THEN {v} ELSE 0 END") for rules, v in ((AGAINST, -1), (FOR, 1)) for x in rules.values()))
-    voted = cut(candidates.withColumn("votes", votes).withColumn("features", F.array(*(F.expr(x) for x in FEATURES))))
+    features = F.array(*(F.expr(x) for x in FEATURES))
+    voted = cut(candidates.withColumn("votes", votes).withColumn("features", features).withColumn("_row", F.monotonically_increasing_id()))
     soft = accuracies(voted, len(LABELERS)).select(F.explode("patterns").alias("x")).select("x.votes", F.col("x.q").alias("q"))
     labelled = voted.join(F.broadcast(soft), "votes")  # at most 2 ** len(LABELERS) rows
-    counted = labelled.select(F.explode(F.concat(F.array(F.lit("")), "features")).alias("feature"), "q").groupBy("feature").agg(F.sum("q").alias("yes"), F.sum(1 - F.col("q")).alias("no"))
-    # One row of the few feature values: the share of each among secrets against that among the others.
-    weights = counted.agg(F.map_from_entries(F.collect_list(F.struct("feature", F.struct("yes", "no")))).alias("w"))
-    all_ = F.col("w")[""]
-    ratio = lambda f: F.ln((F.col("w")[f]["yes"] + 0.5) / (all_["yes"] + 4)) - F.ln((F.col("w")[f]["no"] + 0.5) / (all_["no"] + 4))
-    odds = F.aggregate("features", F.ln((all_["yes"] + 1) / (all_["no"] + 1)), lambda a, f: a + ratio(f))
-    weights = F.broadcast(weights.withColumn("size", F.lit(len(FEATURES))))
-    return labelled.join(weights, F.size("features") == F.col("size")).withColumn("chance", 1 / (1 + F.exp(-odds))).drop("votes", "features", "q", "w", "size")
+    counted = labelled.select(F.explode("features").alias("feature"), "q").groupBy("feature").agg(F.sum("q").alias("yes"), F.sum(1 - F.col("q")).alias("no"))
+    # Feature values are few, and each candidate has one of each kind, so that sums over all count it so many times.
+    total = lambda c: F.sum(c).over(Window.partitionBy()) / len(FEATURES)
+    weighed = counted.select(
+        "feature", (F.ln((F.col("yes") + 0.5) / (total("yes") + 4)) - F.ln((F.col("no") + 0.5) / (total("no") + 4))).alias("weight"), F.ln((total("yes") + 1) / (total("no") + 1)).alias("prior")
+    )
+    odds = voted.select("_row", F.explode("features").alias("feature")).join(F.broadcast(weighed), "feature").groupBy("_row").agg((F.sum("weight") + F.first("prior")).alias("odds"))
+    return voted.join(odds, "_row").withColumn("chance", 1 / (1 + F.exp(-F.col("odds")))).drop("votes", "features", "_row", "odds")
 
 
 def personal_data(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", least: float = 0.5) -> DataFrame:
