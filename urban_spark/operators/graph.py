@@ -55,7 +55,7 @@ def components(nodes: DataFrame, edges: DataFrame, most_rounds: int = 100) -> Da
     raise RuntimeError("components did not settle")
 
 
-def shortest_paths(edges: DataFrame, sources: DataFrame, most_rounds: int = 200) -> DataFrame:
+def shortest_paths(edges: DataFrame, sources: DataFrame, most_rounds: int = 10_000) -> DataFrame:
     """(source, id, distance) over edges (src, dst, weight), from each row of `sources` (id): every round relaxes the
     edges of the nodes that got nearer in the last."""
     best = _cut(sources.select(F.col("id").alias("source"), "id", F.lit(0.0).alias("distance")))
