@@ -84,3 +84,16 @@ def test_components(spark):
     edges = [(bytes([i]), bytes([i + 1])) for i in range(40)] + [(bytes([60]), bytes([61])), (bytes([61]), bytes([60])), (bytes([70]), bytes([70]))]
     out = {r.node[0]: r.label[0] for r in jaccard.connected_components(spark.createDataFrame([(bytearray(a), bytearray(b)) for a, b in edges], "node binary, root binary")).collect()}
     assert out == {**{i: 0 for i in range(41)}, 60: 60, 61: 60}
+
+
+def test_pairs_at_the_threshold_are_links(spark):
+    rows = []
+    for k in range(1, 41):  # 4k of 5k n-grams, then one of both fewer
+        base = [f"t{k}w{i}" for i in range(5 * k + 4)]
+        rows += [(10 * k, " ".join(base[: 4 * k + 4])), (10 * k + 1, " ".join(base))]
+        below = [f"b{k}w{i}" for i in range(5 * k + 3)]
+        rows += [(10 * k + 2, " ".join(below[: 4 * k + 3])), (10 * k + 3, " ".join(below))] if k > 1 else []
+    out = jaccard.jaccard_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert Counter((r.doc_id, r.class_id, r.n_links) for r in out) == brute(rows)
+    links = {r.doc_id: r.n_links for r in out}
+    assert all(links[10 * k] == links[10 * k + 1] == 1 for k in range(1, 41)) and all(not links[10 * k + 2] for k in range(2, 41))
