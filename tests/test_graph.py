@@ -97,3 +97,72 @@ def test_property_graph_and_chains(spark):
     assert edges.count() == 2
     chains = spark.createDataFrame([("a > b > c", 2), ("a > c", 1), ("z", 5)], "c string, w int")
     assert {(r.src, r.dst): (r.n, round(r.share, 3)) for r in g.chain_transitions(chains, "c", "w").collect()} == {("a", "b"): (2, 0.667), ("b", "c"): (2, 1.0), ("a", "c"): (1, 0.333)}
+
+
+def brandes(rows, nodes, sources):
+    """Betweenness of nodes and undirected edges by weight, from some sources."""
+    near = {i: {} for i in nodes}
+    for a, b, w in rows:
+        near[a][b] = near[b][a] = min(w, near[a].get(b, w))
+    through, over = dict.fromkeys(nodes, 0.0), {(min(a, b), max(a, b)): 0.0 for a, b, _ in rows}
+    for s in sources:
+        far, queue, order = {s: 0.0}, [(0.0, s)], []
+        while queue:
+            d, a = heapq.heappop(queue)
+            if d > far[a] or a in order:
+                continue
+            order.append(a)
+            for b, w in near[a].items():
+                if d + w < far.get(b, 1e18):
+                    far[b] = d + w
+                    heapq.heappush(queue, (d + w, b))
+        paths = {s: 1.0}
+        for b in order[1:]:
+            paths[b] = sum(paths[a] for a, w in near[b].items() if far[a] + w == far[b])
+        delta = dict.fromkeys(order, 0.0)
+        for b in reversed(order):
+            for a, w in near[b].items():
+                if far[a] + w == far[b]:
+                    part = paths[a] / paths[b] * (1 + delta[b])
+                    delta[a] += part
+                    over[min(a, b), max(a, b)] += part
+        for i, v in delta.items():
+            through[i] += v * (i != s)
+    return through, over
+
+
+def test_weighted_betweenness_of_nodes_and_edges(net):
+    nodes, edges, rows = net
+    through, over = brandes(rows, range(34), range(4))
+    got = {r.id: r.betweenness for r in g.betweenness(nodes, edges, nodes.where("id < 4"), weight="weight").collect()}
+    assert np.allclose([got[i] for i in range(34)], [through[i] for i in range(34)])
+    got = {(r.src, r.dst): r.betweenness for r in g.edge_betweenness(edges, nodes.where("id < 4"), weight="weight").collect()}
+    assert set(got) == set(over) and np.allclose([got[k] for k in over], [over[k] for k in over])
+
+
+def test_betweenness_goes_to_the_end_of_long_paths(spark):
+    nodes, edges = spark.range(66).select("id"), spark.range(65).selectExpr("id AS src", "id + 1 AS dst")
+    got = {r.id: r.betweenness for r in g.betweenness(nodes, edges, nodes.where("id = 0")).collect()}
+    assert got == {i: float(65 - i) if i else 0.0 for i in range(66)}
+    with pytest.raises(RuntimeError):
+        g.betweenness(nodes, edges, nodes.where("id = 0"), 5).collect()
+
+
+def test_rank_and_radius_settle_or_fail(net, spark):
+    nodes, edges, rows = net
+    got = {r.id: r.rank for r in g.pagerank(nodes, edges, damping=0.5, rounds=100, tolerance=1e-7).collect()}
+    m = np.zeros((34, 34))
+    for a, b, _ in rows:
+        m[b, a] = 1
+    m = np.where(m.sum(0) > 0, m / np.maximum(m.sum(0), 1), 1 / 34)
+    assert np.allclose([got[i] for i in range(34)], np.linalg.solve(np.eye(34) - 0.5 * m, np.full(34, 0.5 / 34)), atol=1e-6, rtol=0)
+    with pytest.raises(RuntimeError):
+        g.pagerank(nodes, edges, rounds=4, tolerance=1e-15)
+    m = [(0, 0, 0.5), (0, 1, 0.5), (1, 2, 0.5), (2, 0, 0.5), (0, 2, 0.25)]
+    dense = np.zeros((3, 3))
+    for a, b, w in m:
+        dense[b, a] = w
+    flow = spark.createDataFrame(m, "src int, dst int, weight double")
+    assert abs(g.spectral_radius(flow, 200, tolerance=1e-6) - max(abs(np.linalg.eigvals(dense)))) < 1e-5
+    with pytest.raises(RuntimeError):
+        g.spectral_radius(flow, 6, tolerance=1e-12)

@@ -78,8 +78,9 @@ def closeness(paths: DataFrame) -> DataFrame:
     return joined.select("id", F.when(F.col("_hi") > F.col("_lo"), (F.col("c") - F.col("_lo")) / (F.col("_hi") - F.col("_lo"))).otherwise(1.0).alias("closeness"))
 
 
-def pagerank(nodes: DataFrame, edges: DataFrame, *, damping: float = 0.85, rounds: int = 20) -> DataFrame:
-    """(id, rank), adding up to 1; the rank of nodes without edges out is spread over all."""
+def pagerank(nodes: DataFrame, edges: DataFrame, *, damping: float = 0.85, rounds: int = 20, tolerance: float | None = None) -> DataFrame:
+    """(id, rank), adding up to 1; the rank of nodes without edges out is spread over all. With a tolerance the rounds
+    end when the ranks change by less than it a node on average, and are an error if they don't."""
     n = nodes.count()
     out = _cut(edges.select("src", "dst").distinct().withColumn("w", 1.0 / F.count(F.lit(1)).over(Window.partitionBy("src"))))
     sinks = nodes.select("id").join(out.select(F.col("src").alias("id")).distinct(), "id", "left_anti")
@@ -90,33 +91,74 @@ def pagerank(nodes: DataFrame, edges: DataFrame, *, damping: float = 0.85, round
         joined = nodes.select("id").join(sent, "id", "left").withColumn("_one", F.lit(1)).join(F.broadcast(lost), "_one")
         ranks = joined.select("id", ((1 - damping) / n + damping * (F.coalesce("in", F.lit(0.0)) + F.col("_lost") / n)).alias("rank"))
         if k % 4 == 3:
-            ranks = _cut(ranks)
+            new = _cut(ranks)
+            if tolerance is not None and k > 3:
+                change = new.join(old.withColumnRenamed("rank", "_old"), "id").agg(F.sum(F.abs(F.col("rank") - F.col("_old")))).collect()[0][0]
+                if (change or 0.0) < n * tolerance:
+                    return new
+            ranks = old = new
+    if tolerance is not None:
+        raise RuntimeError("ranks did not settle")
     return ranks
 
 
-def betweenness(nodes: DataFrame, edges: DataFrame, sources: DataFrame, most_rounds: int = 60) -> DataFrame:
-    """(id, betweenness): shortest paths by number of edges from `sources` (id) that pass through a node, each source's
-    paths to a target counting 1 in all: levels and path counts outwards, dependencies back."""
-    around = _cut(undirected(edges.select("src", "dst")))
-    seen = _cut(sources.select(F.col("id").alias("source"), "id", F.lit(0).alias("level"), F.lit(1.0).alias("paths")))
-    front, depth = seen, 0
-    while depth < most_rounds:
-        depth += 1
-        new = front.join(around, front["id"] == around["src"]).groupBy("source", F.col("dst").alias("id")).agg(F.sum("paths").alias("paths"))
-        front = _cut(new.join(seen, ["source", "id"], "left_anti").select("source", "id", F.lit(depth).alias("level"), "paths"))
+def _summed(parts: list[DataFrame], value: str) -> DataFrame:
+    return reduce(DataFrame.unionByName, parts).groupBy("source", "id").agg(F.sum(value).alias(value))
+
+
+def _along(front: DataFrame, steps: DataFrame, value: str, most_rounds: int) -> DataFrame:
+    """(source, id, value): `front` and all that reaches a node from it over `steps` (source, from, to), which have no cycle."""
+    parts = [front]
+    for _ in range(most_rounds):
+        new = front.withColumnRenamed("id", "from").join(steps, ["source", "from"]).groupBy("source", F.col("to").alias("id")).agg(F.sum(value).alias(value))
+        front = _cut(new)
         if front.isEmpty():
-            break
-        seen = _cut(seen.unionByName(front))
-    share = seen.select("source", "id", "level", "paths", F.lit(0.0).alias("delta"))
-    for level in range(depth - 1, 0, -1):
-        low = share.where(F.col("level") == level).join(around, F.col("id") == F.col("src")).select("source", F.col("dst").alias("up"), ((1 + F.col("delta")) / F.col("paths")).alias("part"))
-        gained = low.groupBy("source", F.col("up").alias("id")).agg(F.sum("part").alias("part"))
-        add = F.when((F.col("level") == level - 1) & F.col("part").isNotNull(), F.col("paths") * F.col("part")).otherwise(0.0)
-        share = _cut(share.join(gained, ["source", "id"], "left").select("source", "id", "level", "paths", (F.col("delta") + add).alias("delta")))
-    sums = share.where("level > 0").groupBy("id").agg(F.sum("delta").alias("betweenness"))
+            return _cut(_summed(parts, value))
+        parts.append(front)
+        if len(parts) > 20:
+            parts = [_cut(_summed(parts, value))]
+    raise RuntimeError("paths did not end")
+
+
+def _shares(edges: DataFrame, sources: DataFrame, weight: str | None, most_rounds: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Undirected edges, the steps (source, up, id) of all shortest paths, and (source, id, paths, part) by node: the number of
+    shortest paths from the source, and the dependencies on the node's followers for each of these paths."""
+    around = _cut(undirected(edges.select("src", "dst", (F.lit(1.0) if weight is None else F.col(weight).cast("double")).alias("weight"))))
+    if not around.where("NOT coalesce(weight > 0 AND NOT isnan(weight), false)").isEmpty():
+        raise ValueError("weights must be positive")
+    best = shortest_paths(around, sources, most_rounds)
+    ends = best.select("source", F.col("id").alias("dst"), F.col("distance").alias("_far"))
+    steps = best.join(around, best["id"] == around["src"]).join(ends, ["source", "dst"]).where("distance + weight = _far")
+    steps = _cut(steps.select("source", F.col("src").alias("up"), F.col("dst").alias("id")))
+    start = sources.select(F.col("id").alias("source"), "id", F.lit(1.0).alias("paths"))
+    paths = _along(start, steps.select("source", F.col("up").alias("from"), F.col("id").alias("to")), "paths", most_rounds)
+    back = _along(paths.select("source", "id", (1 / F.col("paths")).alias("part")), steps.select("source", F.col("id").alias("from"), F.col("up").alias("to")), "part", most_rounds)
+    return around, steps, _cut(paths.join(back, ["source", "id"]))
+
+
+def betweenness(nodes: DataFrame, edges: DataFrame, sources: DataFrame, most_rounds: int = 10_000, *, weight: str | None = None) -> DataFrame:
+    """(id, betweenness): shortest paths from `sources` (id), by the sum of the positive `weight` or else the number of
+    edges, that pass through a node, each source's paths to a target counting 1 in all: path counts outwards,
+    dependencies back, until no path goes on."""
+    _, _, shares = _shares(edges, sources, weight, most_rounds)
+    sums = shares.where("source <> id").groupBy("id").agg(F.sum(F.col("paths") * F.col("part") - 1).alias("betweenness"))
     return nodes.select("id").join(sums, "id", "left").fillna(0.0, ["betweenness"])
 
 
+def edge_betweenness(edges: DataFrame, sources: DataFrame, most_rounds: int = 10_000, *, weight: str | None = None) -> DataFrame:
+    """(src, dst, betweenness) of each undirected edge, src < dst: as betweenness(), for the paths that go over the edge."""
+    around, steps, shares = _shares(edges, sources, weight, most_rounds)
+    up = shares.select("source", F.col("id").alias("up"), F.col("paths").alias("_paths"))
+    over = steps.join(shares.select("source", "id", "part"), ["source", "id"]).join(up, ["source", "up"])
+    sums = over.groupBy(F.least("up", "id").alias("src"), F.greatest("up", "id").alias("dst")).agg(F.sum(F.col("_paths") * F.col("part")).alias("betweenness"))
+    return around.where("src < dst").select("src", "dst").join(sums, ["src", "dst"], "left").fillna(0.0, ["betweenness"])
+
+
+def source_count(nodes: int) -> int:
+    """How many sources stand for all nodes: a tenth, from 10 to 400."""
+    return min(400, max(10, nodes // 10))
+
+
 def edge_means(edges: DataFrame, nodes: DataFrame, value: str) -> DataFrame:
     a, b = nodes.select(F.col("id").alias("src"), F.col(value).alias("_a")), nodes.select(F.col("id").alias("dst"), F.col(value).alias("_b"))
     return edges.join(a, "src").join(b, "dst").withColumn(value, (F.col("_a") + F.col("_b")) / 2).drop("_a", "_b")
@@ -128,8 +170,9 @@ def normalized_weights(edges: DataFrame) -> DataFrame:
     return edges.withColumn("weight", F.when(total > 0, F.col("weight") / total).otherwise(0.0))
 
 
-def spectral_radius(edges: DataFrame, rounds: int = 50) -> float:
-    """Absolute dominant eigenvalue of the weight matrix, by the growth of a vector over the last half of the rounds."""
+def spectral_radius(edges: DataFrame, rounds: int = 50, tolerance: float | None = None) -> float:
+    """Absolute dominant eigenvalue of the weight matrix, by the growth of a vector over the last half of the rounds. With
+    a tolerance the rounds end when the last five grew alike but for this share, and are an error if they don't."""
     nodes = edges.select(F.col("src").alias("id")).union(edges.select("dst")).distinct()
     x, logs = nodes.withColumn("v", F.lit(1.0)), []
     for _ in range(rounds):
@@ -139,7 +182,11 @@ def spectral_radius(edges: DataFrame, rounds: int = 50) -> float:
         if not norm:
             return 0.0
         logs.append(norm)
+        if tolerance is not None and len(logs) > 5 and max(logs[-5:]) - min(logs[-5:]) <= tolerance * norm:
+            return norm
         x = y.select("id", (F.col("v") / norm).alias("v"))
+    if tolerance is not None:
+        raise RuntimeError("growth did not settle")
     import math
 
     half = logs[len(logs) // 2 :]
