@@ -69,3 +69,33 @@ def test_proximity(spark):
     near = {r.doc for r in decontam.proximity_matches(index).collect()}
     assert {1, 2, 5} <= near and not near & {3, 4}
     assert {r.doc for r in decontam.phrase_matches(index).collect()} == {1}
+
+
+def brute_near(text, item, window=10, slop=3, least=8):
+    w, v = words(text), words(item)
+    n = min(window, len(v))
+    for shift in range(-len(v) - slop, len(w) + slop + 1):
+        has = [any(0 <= p < len(w) and w[p] == t for p in range(shift + k - slop, shift + k + slop + 1)) for k, t in enumerate(v)]
+        if n and any(sum(has[k : k + n]) >= min(least, n) for k in range(len(v) - n + 1)):
+            return True
+    return False
+
+
+def test_proximity_same_as_brute_force(spark):
+    rnd = random.Random(5)
+    items = [(i, " ".join(f"v{rnd.randrange(40)}" for _ in range(n))) for i, n in enumerate((10, 25, 9, 4, 1, 14))]
+    items.append((6, "never seen words stand in here as nowhere else at all"))
+    items.append((7, "ab cd ef unseenword gh ij kl mn op qr"))
+    rows = [(1, "x ab cd ef other gh ij kl mn op qr y"), (2, "seen words stand changed here as nowhere changed at all")]
+    for k in range(80):
+        v = words(items[k % 7][1])
+        for _ in range(rnd.randint(0, 4)):
+            at = rnd.randrange(len(v) + 1)
+            v[at : at + rnd.randint(0, 1)] = [f"v{rnd.randrange(60)}"] * rnd.randint(0, 2)
+        rows.append((100 + k, " ".join([f"v{rnd.randrange(40)}" for _ in range(rnd.randint(0, 9))] + v + ["tail"] * 3)))
+    out = decontam.near_items(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    got = {r.doc_id: (r.n_proximity, r.proximity_sha256) for r in out}
+    for i, text in rows:
+        near = sorted(str(k) for k, t in items if brute_near(text, t))
+        assert got[i] == (len(near), hashlib.sha256(",".join(near).encode()).hexdigest()), (i, near)
+    assert got[1][0] == 1 and sum(n for n, _ in got.values()) > 60

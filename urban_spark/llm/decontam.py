@@ -103,24 +103,54 @@ def phrase_matches(index: PositionalIndex, *, window: int = 10) -> DataFrame:
     return runs.select("doc", "text_hash", "item", "item_hash", "pos")
 
 
+def _rare_places(index: PositionalIndex, window: int, least: int) -> DataFrame:
+    """(item, item_hash, size, p, term): of each window of an item the places of the rarest terms, two more than may be
+    missing in a match, so that two of them at least are in it. Terms without a posting count as the rarest."""
+    freq = index.postings.groupBy("term").count()
+    placed = index.items.join(freq, "term", "left").select("*", F.coalesce("count", F.lit(0)).alias("freq"))
+    starts = F.explode(F.sequence(F.greatest(F.lit(0), F.col("pos") - window + 1), F.least(F.col("pos"), F.greatest(F.lit(0), F.col("size") - window))))
+    windows = placed.select("item", "item_hash", "size", starts.alias("start"), F.struct("freq", "pos", "term").alias("place")).groupBy("item", "item_hash", "size", "start")
+    full = F.least(F.lit(window), F.col("size"))
+    rare = windows.agg(F.sort_array(F.collect_list("place")).alias("places")).withColumn("many", F.least(full, full - F.least(F.lit(least), full) + 2))
+    return cut(rare.select("item", "item_hash", "size", F.explode(F.slice("places", F.lit(1), F.col("many"))).alias("r")).select("item", "item_hash", "size", F.col("r.pos").alias("p"), F.col("r.term").alias("term")).distinct())
+
+
 def proximity_matches(index: PositionalIndex, *, window: int = 10, slop: int = 3, least: int = 8) -> DataFrame:
-    """(doc, text_hash, item, item_hash, terms): texts and items where, around a posting of the rarest or second rarest term of some window,
-    at least `least` terms of that window (all, if it has fewer) lie within `slop` words of where the item has them."""
-    pairs, lists = _anchors(index, window), index.postings
-    anchors = pairs.select("item", "item_hash", "p1", "term1").union(pairs.select("item", "item_hash", "p2", "term2")).distinct()
-    first = lists.join(small(anchors), lists["term"] == anchors["term1"]).select("doc", "text_hash", "item", "item_hash", "p1", (F.col("pos") - F.col("p1")).alias("shift")).distinct()
-    around = index.items.select("item", "item_hash", "size", F.col("pos").alias("at"), "term")
-    wanted = first.join(small(around), ["item", "item_hash"]).where(F.abs(F.col("at") - F.col("p1")) < window)
-    a, b = wanted.alias("a"), lists.alias("b")
-    found = a.join(b, _same_text("a", "b") & (F.col("a.term") == F.col("b.term")) & (F.abs(F.col("b.pos") - F.col("a.shift") - F.col("a.at")) <= slop))
-    found = found.select("a.doc", "a.text_hash", "a.item", "a.item_hash", "a.shift", "a.size", "a.at", "a.p1").distinct()
-    starts = F.explode(F.sequence(F.greatest(F.lit(0), F.col("p1") - window + 1), F.least(F.col("p1"), F.greatest(F.lit(0), F.col("size") - window))))
-    inside = found.withColumn("start", starts).where((F.col("at") >= F.col("start")) & (F.col("at") < F.col("start") + window))
-    terms = inside.groupBy("doc", "text_hash", "item", "item_hash", "shift", "size", "start").agg(F.count_distinct("at").alias("terms"))
+    """(doc, text_hash, item, item_hash, terms): texts and items of which, with the item laid somewhere over the text, at
+    least `least` terms of a window (all, if it has fewer) lie within `slop` words of where the item has them; terms is
+    the most of a window. Positions in the text count empty parts at its ends as words. Exact up to equal hashes.
+
+    Two of each window's rarest places are in any match, with shifts between text and item that differ by 2 * slop at
+    most; where they are, all terms of the item are looked up around that shift and counted for each way to lay it.
+    """
+    lists, width = index.postings, 2 * slop + 1
+    hits = lists.join(small(_rare_places(index, window, least)), "term").select("doc", "text_hash", "item", "item_hash", "size", "p", F.floor((F.col("pos") - F.col("p")) / width).alias("zone"))
+    # A zone has the shifts of two neighbouring strips, so that any two that are near enough share one.
+    zones = hits.distinct().withColumn("zone", F.explode(F.array(F.col("zone"), F.col("zone") + 1)))
+    places = zones.groupBy("doc", "text_hash", "item", "item_hash", "size", "zone").agg(F.count_distinct("p").alias("n")).where(F.col("n") >= F.least(F.lit(2), F.lit(least), F.col("size")))
+    places = cut(places.drop("n"))
+    item = index.items.select(F.col("item").alias("i"), F.col("item_hash").alias("ih"), F.col("pos").alias("at"), "term")
+    a = places.join(small(cut(item)), F.col("item").eqNullSafe(F.col("i")) & (F.col("item_hash") == F.col("ih"))).drop("i", "ih").alias("a")
+    b, shift = lists.alias("b"), F.col("b.pos") - F.col("a.at")
+    found = a.join(b, _same_text("a", "b") & (F.col("a.term") == F.col("b.term")) & shift.between((F.col("a.zone") - 1) * width, (F.col("a.zone") + 1) * width - 1))
+    laid = found.select("a.doc", "a.text_hash", "a.item", "a.item_hash", "a.size", "a.at", shift.alias("shift")).distinct()
+    laid = laid.withColumn("shift", F.explode(F.sequence(F.col("shift") - slop, F.col("shift") + slop))).distinct()
+    starts = F.explode(F.sequence(F.greatest(F.lit(0), F.col("at") - window + 1), F.least(F.col("at"), F.greatest(F.lit(0), F.col("size") - window))))
+    terms = laid.withColumn("start", starts).groupBy("doc", "text_hash", "item", "item_hash", "size", "shift", "start").agg(F.count(F.lit(1)).alias("terms"))
     terms = terms.where(F.col("terms") >= F.least(F.lit(least), F.col("size")))
     return terms.groupBy("doc", "text_hash", "item", "item_hash").agg(F.max("terms").alias("terms"))
 
 
+def near_items(docs: DataFrame, items: DataFrame, *, window: int = 10, slop: int = 3, least: int = 8, id_col: str = "doc_id", item_col: str = "item_id", text_col: str = "text") -> DataFrame:
+    """(id, n_proximity, proximity_sha256) for each row of `docs`: number and digest of the items of proximity_matches()."""
+    index = build_index(docs, items, id_col=id_col, item_col=item_col, text_col=text_col)
+    found = proximity_matches(index, window=window, slop=slop, least=least)
+    names = F.array_join(F.sort_array(F.collect_set(F.col("item").cast("string"))), ",")
+    near = found.groupBy(F.col("doc").alias("d"), F.col("text_hash").alias("h")).agg(F.size(F.collect_set("item")).cast("long").alias("n"), names.alias("names"))
+    joined = index.documents.join(near, F.col("doc").eqNullSafe(F.col("d")) & (F.col("text_hash") == F.col("h")), "left")
+    return joined.select(F.col("doc").alias(id_col), F.coalesce("n", F.lit(0)).cast("long").alias("n_proximity"), F.sha2(F.coalesce("names", F.lit("")), 256).alias("proximity_sha256"))
+
+
 def decontaminate(docs: DataFrame, items: DataFrame, *, window: int = 10, id_col: str = "doc_id", item_col: str = "item_id", text_col: str = "text") -> DataFrame:
     """(id, n_words, n_hit, n_items, items_sha256, contaminated) for each row of `docs`.
 

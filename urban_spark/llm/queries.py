@@ -52,6 +52,10 @@ def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return decontam.decontaminate(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
 
 
+def op5_benchmark_proximity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.near_items(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = load(spark, sf_dir, "documents").withColumn("held_out", langid.held_out("doc_id"))
     model = langid.train(docs.where(~F.col("held_out") & F.col("doc_id").isNotNull()))
@@ -70,7 +74,7 @@ def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_classes(load(spark, sf_dir, "documents"))
 
 
-_ALL = (op1_line_dedup, op2_token_counts, op3_best_fit_packing, op4_quality_rules, op5_benchmark_decontamination, op6_language_id, op7_quality_classifier, op8_ngram_jaccard_join, op9_pii, op10_warc)
+_ALL = (op1_line_dedup, op2_token_counts, op3_best_fit_packing, op4_quality_rules, op5_benchmark_decontamination, op5_benchmark_proximity, op6_language_id, op7_quality_classifier, op8_ngram_jaccard_join, op9_pii, op10_warc)
 QUERIES = {f.__name__: f for f in _ALL}
 #: DuckDB SQL by query name, where SQL can express the query.
 SQL: dict[str, str] = {"op1_line_dedup": lines.SQL, "op4_quality_rules": rules.sql(), "op5_benchmark_decontamination": decontam.SQL}
