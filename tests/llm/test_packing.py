@@ -1,5 +1,6 @@
 import zlib
 from collections import Counter, defaultdict
+from functools import lru_cache
 
 import numpy as np
 import public_tokenizers
@@ -12,10 +13,15 @@ TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 ODD = ["", "It's <|endoftext|> Élan 12", "a\x1cb\x85c\xa0d İx 中文字 3٣", "ΑΣ 1² x½ ª_ _a don't ẞ é", "\t\n ", "word " * 9_000, "z" * 30_000, "á ́b"]
 
 
-def library(text):
+@lru_cache
+def tokenizer():
     from tokenizers import Tokenizer
 
-    return np.array([*Tokenizer.from_file(TOKENIZER).encode(text or "", add_special_tokens=False).ids, 1], "<u4")
+    return Tokenizer.from_file(TOKENIZER)
+
+
+def library(text):
+    return np.array([*tokenizer().encode(text or "", add_special_tokens=False).ids, 1], "<u4")
 
 
 def check(rows, out, capacity):
@@ -45,6 +51,27 @@ def test_whole_texts_null_ties_and_repeats(spark):
     assert packing.pack_documents(spark.createDataFrame([], "doc_id long, text string"), TOKENIZER).collect() == []
 
 
+ALPHABET = st.sampled_from(" \t\n\r\x0b\x0c\x1c\x85\xa0'<|>_-.,09aAsStTzßÉéİıǅΣςσ²½ªॐ\u0301中٣🙂") | st.characters(codec="utf-8")
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.none() | st.text(ALPHABET, max_size=40) | st.sampled_from([*ODD, "don't <|endoftext|>x", "<|startoftext|"]), max_size=6))
+def test_ids_are_the_library_s(texts):
+    found = packing.token_ids(texts, TOKENIZER)
+    assert len(found) == len(texts) and all((a == library(t)).all() and len(a) == len(library(t)) for a, t in zip(found, texts, strict=True))
+
+
+def test_small_caches_and_segments(monkeypatch):
+    monkeypatch.setattr(packing, "SEGMENT", 50)
+    monkeypatch.setattr(packing, "_ids", {})
+    texts = [" ".join(f"w{i * k % 37}é" for i in range(60)) for k in range(9)] + [None, "x" * 300]
+    packing.token_ids(texts, TOKENIZER)
+    for cache in (packing._ids[TOKENIZER].words, packing._ids[TOKENIZER].stems):
+        cache.size = 5
+    for _ in range(2):
+        assert all(np.array_equal(a, library(t)) for a, t in zip(packing.token_ids(texts, TOKENIZER), texts, strict=True))
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.integers(1, 60).flatmap(lambda cap: st.tuples(st.just(cap), st.dictionaries(st.integers(1, cap), st.integers(1, 30), max_size=12))))
 def test_plan_places_all_within_capacity(case):

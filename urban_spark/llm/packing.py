@@ -9,65 +9,138 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import accumulate, chain, compress, pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from urban_spark.llm.shared import cut
 
-END = (1).to_bytes(4, "little")
-BLANK = re.compile(r"[^ \n\t\r]+")
-#: Up to U+024F case, letters and numbers are as in any Unicode version, and nothing composes.
-LATIN = re.compile("[\x00-ɏ]*")
-PRE_TOKEN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\s\w]|_)+")
-DIGIT_LIKE = re.compile("[\xaa\xb2\xb3\xb9\xba\xbc-\xbe\x1c-\x1f\x85\xa0]")
-CACHE = 300_000
-
-
-class _Ids(dict):
-    """Word -> its ids as little-endian 32-bit integers, each distinct word encoded once while the cache holds it.
-
-    Words part at white space, which the tokenizer drops, so the ids of a text are those of its words in turn.
-    """
+END = 1
+#: Up to U+024F case, letters and numbers are as in any Unicode version, and nothing composes. Words beyond it, and those
+#: with special strings or with characters that count as a digit or a blank in one library only, go to the tokenizer whole.
+ODD = r"[^\x00-\x{24F}]|<\||[\x{AA}\x{B2}\x{B3}\x{B9}\x{BA}\x{BC}-\x{BE}\x1C-\x1F\x{85}\x{A0}]"
+PRE_TOKEN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\s\w]|_)+| ")
+BLANK = re.compile(r"[ \t-\r]")
+#: Stands for a blank among ids; an id's last byte is 0, so it is found at the border of two ids only.
+MARK = b"\xff\xff\xff\xff"
+CACHE, SEGMENT = 400_000, 1 << 22
+
+
+class _Recent:
+    """A cache of two generations: what was looked up since the last change of generations outlives the next."""
+
+    def __init__(self, size: int = CACHE):
+        self.size, self.new, self.old = size, {}, {}
+
+    def look_up(self, keys: list[str], make) -> list[bytes]:
+        """Values of the distinct `keys`; those not held come from make(list of keys)."""
+        found = list(map(self.new.get, keys))
+        lost = [i for i, value in enumerate(found) if value is None]
+        if lost:
+            names = [keys[i] for i in lost]
+            held = list(map(self.old.get, names))
+            made = iter(make([name for name, value in zip(names, held, strict=True) if value is None]))
+            values = [next(made) if value is None else value for value in held]
+            for i, value in zip(lost, values, strict=True):
+                found[i] = value
+            self.new.update(zip(names, values, strict=True))
+            if len(self.new) >= self.size:
+                self.old, self.new = self.new, {}
+        return found
+
+
+class _Ids:
+    """Words -> their ids as little-endian 32-bit integers. Words part at ASCII white space, which the tokenizer drops, so
+    the ids of a text are those of its words in turn; within a word, those of its pre-tokens."""
 
     def __init__(self, path: str):
-        super().__init__()
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.stems = Tokenizer.from_file(path), {}
+        self.tokenizer, self.words, self.stems = Tokenizer.from_file(path), _Recent(), _Recent()
         # Byte-level spelling: printable bytes stand for themselves, the others for U+0100 and on, in order.
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
         rest = [b for b in range(256) if b not in plain]
         self.spelling = {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
-    def stem(self, token: str) -> bytes:
-        if token not in self.stems:
-            if len(self.stems) >= CACHE:
-                self.stems.clear()
-            spelled = token.encode().decode("latin-1").translate(self.spelling)
-            self.stems[token] = np.array([t.id for t in self.tokenizer.model.tokenize(spelled)], "<u4").tobytes()
-        return self.stems[token]
-
-    def __missing__(self, word: str) -> bytes:
-        if len(self) >= CACHE:
-            self.clear()
-        if LATIN.fullmatch(word) and "<|" not in word and not DIGIT_LIKE.search(word):
-            ids = b"".join(map(self.stem, PRE_TOKEN.findall(word.lower())))
-        else:  # special strings and other scripts: as the library normalises and splits them
-            ids = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
-        self[word] = ids
-        return ids
+    def of_stems(self, stems: list[str]) -> list[bytes]:
+        if not stems:
+            return []
+        tokenize = self.tokenizer.model.tokenize
+        spelled = " ".join(stems).encode().decode("latin-1").translate(self.spelling).split(self.spelling[32])
+        found = [[t.id for t in tokenize(x)] for x in spelled]
+        flat = np.fromiter(chain.from_iterable(found), "<u4").tobytes()
+        ends = [0, *accumulate(4 * len(ids) for ids in found)]
+        return [flat[a:b] for a, b in pairwise(ends)]
+
+    def of_plain(self, words: list[str]) -> list[bytes]:
+        if not words:
+            return []
+        tokens = PRE_TOKEN.findall(" ".join(words).lower())
+        names = list({*tokens} - {" "})
+        stems = dict(zip(names, self.stems.look_up(names, self.of_stems), strict=True)) | {" ": MARK}
+        return b"".join(map(stems.__getitem__, tokens)).split(MARK)
+
+    def of_words(self, words: list[str]) -> list[bytes]:
+        if not words:
+            return []
+        odd = pc.match_substring_regex(pa.array(words, pa.string()), ODD).to_numpy(zero_copy_only=False).tolist()
+        plain = iter(self.of_plain([w for w, o in zip(words, odd, strict=True) if not o]))
+        whole = iter(self.tokenizer.encode_batch(list(compress(words, odd)), add_special_tokens=False))
+        return [np.array(next(whole).ids, "<u4").tobytes() if o else next(plain) for o in odd]
+
+    def of_segments(self, segments: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all segments in turn, and how many each has."""
+        lists = pc.ascii_split_whitespace(pa.array(segments, pa.string()))
+        coded = lists.flatten().dictionary_encode()
+        names, code = coded.dictionary.to_numpy(zero_copy_only=False).tolist(), coded.indices.to_numpy()
+        runs = self.words.look_up(names, self.of_words)
+        each = np.fromiter(map(len, runs), np.int64, len(runs)) // 4
+        table = np.frombuffer(b"".join(runs), "<u4")
+        many = each[code]
+        upto = np.concatenate([[0], np.cumsum(many)])
+        at = np.repeat((np.cumsum(each) - each)[code] - upto[:-1], many)
+        at += np.arange(len(at))
+        return table[at], np.diff(upto[lists.offsets.to_numpy() - lists.offsets[0].as_py()])
 
 
 _ids: dict[str, _Ids] = {}
 
 
-def token_bytes(text: str, path: str) -> bytes:
-    """Ids of `text` without special tokens, then id 1, as little-endian unsigned 32-bit integers."""
+def token_ids(texts: list[str | None], path: str) -> list[np.ndarray]:
+    """Ids of each text (null: empty) without special tokens, then END, as little-endian unsigned 32-bit integers. Long
+    texts are taken by segments of about SEGMENT characters that end at white space."""
     ids = _ids.get(path) or _ids.setdefault(path, _Ids(path))
-    return b"".join(map(ids.__getitem__, BLANK.findall(text))) + END
+    segments, owner = [], []
+    for i, text in enumerate(texts):
+        text, low = text or "", 0
+        while low < len(text):
+            blank = BLANK.search(text, low + SEGMENT) if len(text) - low > SEGMENT else None
+            high = blank.start() if blank else len(text)
+            segments.append(text[low:high])
+            owner.append(i)
+            low = high
+    flat, sizes = ids.of_segments(segments)
+    each = np.bincount(np.array(owner, np.int64), sizes, len(texts)).astype(np.int64)
+    ends = np.cumsum(each + 1)
+    out = np.full(len(flat) + len(texts), END, "<u4")
+    held = np.ones(len(out), bool)
+    held[ends - 1] = False
+    out[held] = flat
+    return np.split(out, ends[:-1]) if len(texts) else []
+
+
+def _parts(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
+    """Slices of `batch` with about SEGMENT bytes of text, a row at least."""
+    size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False))
+    low = 0
+    while low < batch.num_rows:
+        high = max(low + 1, int(np.searchsorted(size, (size[low - 1] if low else 0) + SEGMENT, side="right")))
+        yield batch.slice(low, high - low)
+        low = high
 
 
 def token_pieces(docs: DataFrame, tokenizer_path: str, *, capacity: int = 4096, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -76,15 +149,13 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, *, capacity: int = 4096,
 
     def cuts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
+            for part in _parts(batch, 2):
                 take, found = [], []
-                for i, text in enumerate(part.column(2).to_pylist()):
-                    ids = token_bytes(text or "", tokenizer_path)
-                    for k, start in enumerate(range(0, len(ids), 4 * capacity)):
-                        run = ids[start : start + 4 * capacity]
+                for i, ids in enumerate(token_ids(part.column(2).to_pylist(), tokenizer_path)):
+                    for k, start in enumerate(range(0, len(ids), capacity)):
+                        run = ids[start : start + capacity]
                         take.append(i)
-                        found.append((k, start // 4, len(run) // 4, zlib.crc32(run)))
+                        found.append((k, start, len(run), zlib.crc32(run)))
                 columns = [part.column(c).take(pa.array(take, pa.int64())) for c in (0, 1)]
                 columns += [pa.array([f[0] for f in found], pa.int32()), *(pa.array([f[k] for f in found], pa.int64()) for k in (1, 2, 3))]
                 yield pa.RecordBatch.from_arrays(columns, ["_row", "_id", "piece", "start", "length", "ids_crc32"])
@@ -154,15 +225,15 @@ def plan(histogram: dict[int, int], capacity: int) -> list[tuple[int, int, int,
     return places
 
 
-def best_fit_packing(pieces: DataFrame, *, capacity: int = 4096, buckets: int = 64) -> DataFrame:
+def best_fit_packing(pieces: DataFrame, *, capacity: int = 4096, per_bucket: int = 500_000) -> DataFrame:
     """`pieces` (cheap to read again: cut) with sequence_id and offset; offsets in a sequence have no gaps and start at 0.
 
-    Needs columns _row, piece and length (1 to `capacity`). Rows are ranked by length within `buckets` hash buckets,
-    so that one very common length is not one task; bucket offsets come from the (length, bucket) counts.
+    Needs columns _row, piece and length (1 to `capacity`). Rows are ranked by length within hash buckets, so many that
+    none has much more than `per_bucket` rows of the commonest length; bucket offsets come from the (length, bucket) counts.
     """
     spark = pieces.sparkSession
     histogram = {r[0]: r[1] for r in pieces.groupBy("length").count().collect()}  # at most `capacity` rows
-    rows = plan(histogram, capacity)
+    rows, buckets = plan(histogram, capacity), max(64, -(-max(histogram.values(), default=0) // per_bucket))
     keys = np.array([(n << 44) + r for n, r, *_ in rows] or [0], np.int64)
     order = np.argsort(keys)
     table = spark.sparkContext.broadcast((keys[order], np.array(rows or [(0,) * 5], np.int64)[order]))
