@@ -78,17 +78,18 @@ def rule_features(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     )
 
 
-def accuracies(voted: DataFrame, rules: int) -> DataFrame:
-    """One row (accuracy array, patterns with their posterior q), by expectation-maximisation over the patterns of the
-    column `votes` (arrays of `rules` numbers: 1 for, -1 against, 0 abstains).
+def accuracies(voted: DataFrame, rules: int, *by: str) -> DataFrame:
+    """One row (accuracy array, patterns with their posterior q), or one for each value of the columns `by`, by
+    expectation-maximisation over the patterns of the column `votes` (arrays of `rules` numbers: 1 for, -1 against, 0
+    abstains).
 
     Rules are taken as independent given the truth, and a vote as right with the rule's accuracy. Both truths are
     equally likely beforehand: rules that vote one way only leave the balance open, and fitting it would let it
     outvote them. A rule that nothing contradicts keeps the accuracy 4/5 it starts with. There are at most 2 ** rules
     patterns, as each rule votes one way or abstains, and they are gathered into one row.
     """
-    patterns = voted.groupBy("votes").agg(F.count(F.lit(1)).cast("double").alias("n"))
-    one = patterns.agg(F.sort_array(F.collect_list(F.struct("votes", "n"))).alias("p"))
+    patterns = voted.groupBy(*by, "votes").agg(F.count(F.lit(1)).cast("double").alias("n"))
+    one = patterns.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("votes", "n"))).alias("p"))
     odds = "aggregate(zip_with(x.votes, m, (v, a) -> v * ln(a / (1D - a))), 0D, (s, y) -> s + y)"
     scored = f"transform(p, x -> named_struct('votes', x.votes, 'n', x.n, 'q', 1D / (1D + exp(-({odds})))))"
     total = lambda what: f"aggregate(s, 0D, (t, x) -> t + {what})"
@@ -96,8 +97,8 @@ def accuracies(voted: DataFrame, rules: int) -> DataFrame:
     cast = total("CASE WHEN x.votes[j] <> 0 THEN x.n ELSE 0D END")
     fitted = f"transform(sequence(0, {rules - 1}), j -> greatest(0.05D, least(0.995D, ({right} + 4D) / ({cast} + 5D))))"
     step = f"transform(array({scored}), s -> {fitted})[0]"
-    model = one.where("size(p) > 0").select("p", F.expr(f"aggregate(sequence(1, {ITERATIONS}), array_repeat(0.8D, {rules}), (m, i) -> {step})").alias("m"))
-    return model.select(F.col("m").alias("accuracy"), F.expr(scored).alias("patterns"))
+    model = one.where("size(p) > 0").select(*by, "p", F.expr(f"aggregate(sequence(1, {ITERATIONS}), array_repeat(0.8D, {rules}), (m, i) -> {step})").alias("m"))
+    return model.select(*by, F.col("m").alias("accuracy"), F.expr(scored).alias("patterns"))
 
 
 def quality_rules(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", keep_from: float = 0.5) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import uuid
+from collections.abc import Iterable
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -42,6 +43,18 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def free(taken: Iterable[str], *names: str) -> list[str]:
+    """Names like `names` that no column of `taken` has, in upper or lower case."""
+    used = {c.lower() for c in taken}
+    out = []
+    for name in names:
+        name = f"_{name}"
+        while name.lower() in used:
+            name = f"_{name}"
+        out.append(name)
+    return out
+
+
 def let(value: Column, body) -> Column:
     """body(value) with `value` computed once a row, also where body uses it inside a lambda."""
     return F.transform(F.array(value), body).getItem(0)
