@@ -111,7 +111,8 @@ def test_votes_and_classifier_by_hand(spark):
                 right = [sum(x if r[f"v{j}"] > 0 else 1 - x for r, x in zip(mine, q, strict=True) if r[f"v{j}"]) for j in range(len(rules))]
                 accuracy = [min(0.995, max(0.05, (right[j] + 4) / (sum(r[f"v{j}"] != 0 for r in mine) + 5))) for j in range(len(rules))]
         odds = [math.log((sum(q) + 1) / (len(q) - sum(q) + 1))] * len(mine)
-        for g in pii.FEATURES:
+        mine = [r.asDict() | {"votes": [j for j in range(len(rules)) if r[f"v{j}"]]} for r in mine]
+        for g in [*pii.FEATURES, "votes"]:
             yes, no = Counter(), Counter()
             for r, x in zip(mine, q, strict=True):
                 for v in r[g]:
@@ -119,9 +120,9 @@ def test_votes_and_classifier_by_hand(spark):
                     no[v] += 1 - x
             weight = lambda v: math.log((yes[v] + 0.5) / (sum(yes.values()) + 0.5 * len(yes)) / (no[v] + 0.5) * (sum(no.values()) + 0.5 * len(yes)))  # noqa: B023, E731
             for i, r in enumerate(mine):
-                odds[i] += sum(map(weight, r[g])) / len(r[g]) if r[g] else 0
+                odds[i] += sum(map(weight, r[g])) / (1 if g == "votes" else len(r[g])) if r[g] else 0
         for r, o in zip(mine, odds, strict=True):
-            assert out[r.id] == pytest.approx(1 / (1 + math.exp(-o)), rel=1e-9)
+            assert out[r["id"]] == pytest.approx(1 / (1 + math.exp(-o)), rel=1e-9)
 
 
 def test_masks(spark):

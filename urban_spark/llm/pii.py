@@ -50,26 +50,33 @@ MONTHS = "January|February|March|April|May|June|July|August|September|October|No
 BIRTH_WORDS = "born|birth|birthday|birthdate|dob|d\\.o\\.b|geboren|geburtstag|geburtsdatum|née?|naissance|nacid[oa]|nacimiento"
 ACCOUNT_WORDS = "iban|ssn|social security|account|konto|compte|cuenta|passport|pasaporte|reisepass|passeport|dni|nif|tax id|tax|steuer|national id|identity|driver|licence number|license number|insurance"
 
-_ASSIGNED = rf"(?i:(?<![A-Za-z])(?:{SECRET_WORDS}))[\"']?[ \t]{{0,4}}[:=][ \t]{{0,4}}"
+_ASSIGNED = rf"[:=](?<=(?i:(?<![A-Za-z])(?:{SECRET_WORDS}))[\"']?[ \t]{{0,4}}[:=])[ \t]{{0,4}}"
 _TAIL = lambda words: f"(?:{words})[^\\\\p{{L}}\\\\p{{N}}]*$"
-#: kind -> patterns of candidates; a group 1, where a pattern has one, is what goes before the span itself.
+#: kind -> patterns of candidates; a group 1, where a pattern has one, is what goes before the span itself. A pattern
+#: begins with what few characters pass, so that the rest is seldom tried.
 CANDIDATES = {
     "secret": [
-        rf"(?<![{_CODE}])(?:(?=[A-Za-z_+/]*[0-9])[{_CODE}]{{12,}}+|(?:AKIA|ASIA|AGPA|AROA)[0-9A-Z]{{16}}+(?![{_CODE}])|(?:sk|pk|rk|ghp|gho|ghs|xox[abp]|glpat)[_-][A-Za-z0-9_-]{{10,}}+)",
+        rf"(?<![{_CODE}])(?=[A-Za-z_+/]*[0-9])[{_CODE}]{{12,}}+",
+        rf"(?=[Aspgrx])(?<![{_CODE}])(?:(?:AKIA|ASIA|AGPA|AROA)[0-9A-Z]{{16}}+(?![{_CODE}])|(?:sk|pk|rk|ghp|gho|ghs|xox[abp]|glpat)[_-][A-Za-z0-9_-]{{10,}}+)",
         rf"({_ASSIGNED}[\"'])[^\s\"']{{4,}}+(?=[\"'])",
         rf"({_ASSIGNED})(?=[a-z]*[A-Z0-9!@#$%^&*_+-])[^\s\"'<>,;()]{{4,}}+",
     ],
     "name": [
-        rf"{_EDGE}(?!{_LEAD})(?:(?:{TITLES})\.?\x20\p{{Lu}}\p{{Ll}}++|(?!(?:{TITLES})\b)\p{{Lu}}\p{{Ll}}++(?=\x20(?:(?:{PARTICLES})\x20){{0,2}}(?!(?:{TITLES})\b)\p{{Lu}}))(?:(?:\x20(?:{PARTICLES})){{0,2}}\x20(?!(?:{TITLES})\b)\p{{Lu}}(?:\p{{Ll}}++|\.)){{0,3}}(?!\p{{L}})"
+        rf"(?=\p{{Lu}}){_EDGE}(?!{_LEAD})(?:(?:{TITLES})\.?\x20\p{{Lu}}\p{{Ll}}++|(?!(?:{TITLES})\b)\p{{Lu}}\p{{Ll}}++(?=\x20(?:(?:{PARTICLES})\x20){{0,2}}(?!(?:{TITLES})\b)\p{{Lu}}))(?:(?:\x20(?:{PARTICLES})){{0,2}}\x20(?!(?:{TITLES})\b)\p{{Lu}}(?:\p{{Ll}}++|\.)){{0,3}}(?!\p{{L}})"
     ],
     "address": [
-        rf"{_EDGE}(?:[0-9]{{1,5}}[a-zA-Z]?,?\x20(?:[\p{{Lu}}0-9][\p{{L}}.'-]{{0,19}}\x20){{1,3}}(?:{STREETS})|(?:{STREETS_FIRST})\x20(?:[\p{{L}}.'-]{{1,20}}[\x20,]{{1,2}}){{1,4}}[0-9]{{1,5}}|\p{{Lu}}\p{{Ll}}{{1,20}}(?:{STREETS_JOINED})\x20[0-9]{{1,4}}[a-z]?){_END}"
+        rf"(?=[0-9\p{{Lu}}rcapvb]){_EDGE}(?:[0-9]{{1,5}}[a-zA-Z]?,?\x20(?:[\p{{Lu}}0-9][\p{{L}}.'-]{{0,19}}\x20){{1,3}}(?:{STREETS})|(?:{STREETS_FIRST})\x20(?:[\p{{L}}.'-]{{1,20}}[\x20,]{{1,2}}){{1,4}}[0-9]{{1,5}}|\p{{Lu}}\p{{Ll}}{{1,20}}(?:{STREETS_JOINED})\x20[0-9]{{1,4}}[a-z]?){_END}"
     ],
-    "account": [rf"{_EDGE}(?:[A-Z]{{2}}[0-9]{{2}}(?:\x20?[A-Z0-9]{{4}}){{2,7}}(?:\x20?[A-Z0-9]{{1,3}})?|[0-9]{{3}}-[0-9]{{2}}-[0-9]{{4}}|[A-Z]{{1,2}}[0-9]{{6,9}}[A-Z]?|[0-9]{{8}}-?[A-Z]){_END}"],
+    "account": [rf"(?=[A-Z0-9]){_EDGE}(?:[A-Z]{{2}}[0-9]{{2}}(?:\x20?[A-Z0-9]{{4}}){{2,7}}(?:\x20?[A-Z0-9]{{1,3}})?|[0-9]{{3}}-[0-9]{{2}}-[0-9]{{4}}|[A-Z]{{1,2}}[0-9]{{6,9}}[A-Z]?|[0-9]{{8}}-?[A-Z]){_END}"],
     "birth_date": [
-        rf"(?<![0-9./-])(?:[0-9]{{1,2}}[./-][0-9]{{1,2}}[./-](?:19|20)[0-9]{{2}}|(?:19|20)[0-9]{{2}}-[0-9]{{2}}-[0-9]{{2}}|[0-9]{{1,2}}(?:\.|st|nd|rd|th)?\x20(?:de\x20)?(?:{MONTHS})\x20(?:de\x20)?(?:19|20)[0-9]{{2}}|(?:{MONTHS})\x20[0-9]{{1,2}}(?:st|nd|rd|th)?,?\x20(?:19|20)[0-9]{{2}})(?![0-9])"
+        rf"(?=[0-9JFMASOND])(?<![0-9./-])(?:[0-9]{{1,2}}[./-][0-9]{{1,2}}[./-](?:19|20)[0-9]{{2}}|(?:19|20)[0-9]{{2}}-[0-9]{{2}}-[0-9]{{2}}|[0-9]{{1,2}}(?:\.|st|nd|rd|th)?\x20(?:de\x20)?(?:{MONTHS})\x20(?:de\x20)?(?:19|20)[0-9]{{2}}|(?:{MONTHS})\x20[0-9]{{1,2}}(?:st|nd|rd|th)?,?\x20(?:19|20)[0-9]{{2}})(?![0-9])"
     ],
 }
+#: What a text must have for any pattern of a kind to match: texts without it are not searched.
+NEEDS = {
+    "email": lambda t: t.contains("@"), "phone": lambda t: t.contains("+"), "ip": lambda t: t.rlike("[0-9]"), "card": lambda t: t.rlike("[0-9]"),
+    "address": lambda t: t.rlike("[0-9]"), "account": lambda t: t.rlike("[0-9]"), "birth_date": lambda t: t.rlike("[0-9]"),
+}
 #: kind -> name -> SQL condition on a candidate: m (its characters), before and after (what stands around it). Labelers
 #: of AGAINST vote that it is none, those of FOR that it is one: by pattern, by a list of words, or by context.
 AGAINST = {
@@ -82,6 +89,8 @@ AGAINST = {
     "name": {
         "no_name": f"m rlike '(?:^| )(?:{NOT_NAMES})(?: |$)'",
         "sentence_start": f"before rlike '(?:^|[.!?:]\\\\s*|\\\\n)$' AND NOT m rlike '(?:^| )(?:{GIVEN_NAMES}|{TITLES})(?: |[.])'",
+        "no_sign": f"NOT (m rlike '^(?:{TITLES})[. ]' OR m rlike '(?:^| )(?:{GIVEN_NAMES})(?: |$)' OR lower(before) rlike '(?<!\\\\p{{L}})(?:{NAME_CUES})[^\\\\p{{L}}]*$')",
+        "repeats": "m rlike '(?:^| )(\\\\p{L}+) \\\\1(?: |$)'",
         "longer_run": "after rlike '^[ ,]{1,2}\\\\p{Lu}' AND before rlike '\\\\p{Lu}\\\\p{Ll}*[ ,]{1,2}$'",
     },
     "address": {
@@ -105,6 +114,7 @@ FOR = {
     "secret": {
         "access_key": "m rlike '^(?:AKIA|ASIA|AGPA|AROA)[0-9A-Z]{16}$'",
         "known_prefix": "m rlike '^(?:sk|pk|rk|ghp|gho|ghs|xox[abp]|glpat)[_-][A-Za-z0-9_-]{10,}$'",
+        "capital_code": "m rlike '^[A-Z0-9]{16,}$' AND m rlike '[A-Z]'",
         "hexadecimal": "m rlike '^[0-9a-f]{16,}$' AND m rlike '[a-f]' AND m rlike '[0-9]'",
         "mixed": "regexp_count(m, '[A-Za-z][0-9]|[0-9][A-Za-z]') >= 4",
         "secret_word_before": f"lower(before) rlike '{_TAIL(SECRET_WORDS)}'",
@@ -134,7 +144,8 @@ FOR = {
 }
 LEARNED = list(CANDIDATES)
 MOST_LABELERS = max(len(AGAINST[k]) + len(FOR[k]) for k in LEARNED)
-#: group -> SQL array of a candidate's values in it; the classifier takes the mean evidence of each group.
+#: group -> SQL array of a candidate's values in it; the classifier takes the mean
+#: evidence of each group, as values of one group tell much the same; of the labelers' votes, a group too, it takes the sum.
 FEATURES = {
     "length": "array(least(floor(length(m) / 4), 16))",
     "shape": "array(concat(floor(8 * length(regexp_replace(m, '[^0-9]', '')) / length(m)), ' ', floor(4 * length(regexp_replace(m, '[^\\\\p{Lu}]', '')) / length(m)), ' ', least(regexp_count(m, '[A-Za-z][0-9]|[0-9][A-Za-z]'), 8)))",
@@ -147,11 +158,11 @@ FEATURES = {
 _SPAN = "array<struct<n:int,at:int,i:int,gap:int,skip:int,size:int,m:string,before:string,after:string>>"
 
 
-def _matches(text: Column, n: int, at: int, pattern: str, learned: bool) -> Column:
+def _matches(text: Column, needs: Column, n: int, at: int, pattern: str, learned: bool) -> Column:
     """Matches in turn, with the code points between each and the one before it."""
     gaps = F.split(text, pattern, -1)
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    lead = F.regexp_extract_all(text, F.lit(pattern), F.lit(1)) if "(" in pattern and pattern.startswith("((") else None
+    lead = F.regexp_extract_all(text, F.lit(pattern), F.lit(1)) if "(" in pattern and pattern.startswith("([:=]") else None
     none = F.lit(None).cast("string")
 
     def span(x: Column, i: Column) -> Column:
@@ -165,7 +176,7 @@ def _matches(text: Column, n: int, at: int, pattern: str, learned: bool) -> Colu
 
     parts = [gaps.alias("g"), found.alias("m"), F.slice(gaps, 2, F.size(gaps)).alias("a"), *([lead.alias("p")] if lead is not None else [])]
     zipped = F.filter(F.arrays_zip(*parts), lambda x: x["m"].isNotNull())
-    return F.when(text.rlike(pattern), F.transform(zipped, span)).otherwise(F.array()).cast(_SPAN)
+    return F.when(needs & text.rlike(pattern), F.transform(zipped, span)).otherwise(F.array()).cast(_SPAN)
 
 
 def _luhn(digits: Column) -> Column:
@@ -209,8 +220,10 @@ def classify(candidates: DataFrame) -> DataFrame:
     arms = " ".join(f"WHEN '{k}' THEN array({', '.join(vote(k, j) for j in range(MOST_LABELERS))})" for k in LEARNED)
     row, votes, features, checks, odds = free(candidates.columns, "row", "votes", "features", "checks", "odds")
     checked = candidates.withColumn("checks", F.when(F.col("kind") == "account", _checks(F.col("m"))).otherwise(False))
-    values = F.array(*(F.expr(f"named_struct('g', '{g}', 'v', transform({x}, v -> CAST(v AS STRING)))") for g, x in FEATURES.items()))
-    voted = cut(checked.select(*candidates.columns, F.expr(f"CASE kind {arms} END").alias(votes), values.alias(features), F.monotonically_increasing_id().alias(row)))
+    checked = checked.withColumn(votes, F.expr(f"CASE kind {arms} END"))
+    cast = f"filter(transform({votes}, (v, j) -> IF(v = 0, NULL, j)), v -> v IS NOT NULL)"
+    values = F.array(*(F.expr(f"named_struct('g', '{g}', 'v', transform({x}, v -> CAST(v AS STRING)))") for g, x in (FEATURES | {"votes": cast}).items()))
+    voted = cut(checked.select(*candidates.columns, votes, values.alias(features), F.monotonically_increasing_id().alias(row)))
     soft = accuracies(voted.withColumnRenamed(votes, "votes"), MOST_LABELERS, "kind").select("kind", F.explode("patterns").alias("x")).select("kind", F.col("x.votes").alias(votes), F.col("x.q").alias("q"))
     labelled = voted.select("kind", votes, features).join(F.broadcast(soft), ["kind", votes])  # at most 2 ** MOST_LABELERS rows a kind
     each = labelled.select("kind", "q", F.explode(features).alias("f")).select("kind", "q", "f.g", F.explode("f.v").alias("v"))
@@ -220,7 +233,7 @@ def classify(candidates: DataFrame) -> DataFrame:
     weights = counted.select("kind", "g", "v", (rate("yes") - rate("no")).alias("w"))
     prior = labelled.groupBy("kind").agg(F.ln((F.sum("q") + 1) / (F.sum(1 - F.col("q")) + 1)).alias("prior"))
     own = voted.select(row, "kind", F.explode(features).alias("f")).select(row, "kind", "f.g", F.explode("f.v").alias("v"))
-    means = own.join(F.broadcast(weights), ["kind", "g", "v"]).groupBy(row, "kind", "g").agg(F.avg("w").alias("w")).groupBy(row, "kind").agg(F.sum("w").alias("w"))
+    means = own.join(F.broadcast(weights), ["kind", "g", "v"]).groupBy(row, "kind", "g").agg(F.when(F.col("g") == "votes", F.sum("w")).otherwise(F.avg("w")).alias("w")).groupBy(row, "kind").agg(F.sum("w").alias("w"))
     scored = means.join(F.broadcast(prior), "kind").select(row, (F.col("w") + F.col("prior")).alias(odds))
     return voted.join(scored, row).select(*candidates.columns, (1 / (1 + F.exp(-F.col(odds)))).alias("chance"))
 
@@ -235,10 +248,11 @@ def personal_data(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     """
     text = F.col("_text")
     kinds = [*KINDS, *LEARNED]
-    patterns = [(n, p, False) for n, p in enumerate(KINDS.values())] + [(len(KINDS) + n, p, True) for n, k in enumerate(LEARNED) for p in CANDIDATES[k]]
+    patterns = [(n, p) for n, p in enumerate(KINDS.values())] + [(len(KINDS) + n, p) for n, k in enumerate(LEARNED) for p in CANDIDATES[k]]
+    needs = lambda n: NEEDS[kinds[n]](text) if kinds[n] in NEEDS else F.lit(True)
     rows = docs.select(F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("_hash"), F.col(text_col).alias("_text"))
     # Each pattern's matches, and the gaps between them, are counted from the text's begin on their own: `at` tells them apart.
-    found = [_matches(text, n, at, p, learned) for at, (n, p, learned) in enumerate(patterns)]
+    found = [_matches(text, needs(n), n, at, p, n >= len(KINDS)) for at, (n, p) in enumerate(patterns)]
     found = cut(rows.select(F.monotonically_increasing_id().alias("_row"), "_id", "_hash", F.concat(*found).alias("_found")))
     each = found.select("_row", F.explode("_found").alias("x")).select("_row", "x.*")
     upto = Window.partitionBy("_row", "at").orderBy("i").rowsBetween(Window.unboundedPreceding, Window.currentRow)
