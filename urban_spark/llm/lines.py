@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from urban_spark.llm.shared import cut, let, small
+from urban_spark.llm.shared import cut, free, let, small
 
 
 def _kept(text: Column, gone: Column) -> Column:
@@ -16,9 +16,10 @@ def _kept(text: Column, gone: Column) -> Column:
 
 
 def line_dedup(
-    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source", min_sites: int = 10, min_words: int = 3, lg_k: int = 12
-) -> DataFrame:
-    """`docs` without cross-site boilerplate, plus n_lines (lines before) and n_removed.
+    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source", min_sites: int = 10, min_words: int = 3, lg_k: int = 12,
+    lines_col: str = "n_lines", removed_col: str = "n_removed",
+) -> DataFrame:
+    """`docs` without cross-site boilerplate, plus n_lines (lines before) and n_removed, named `lines_col` and `removed_col`.
 
     A line is boilerplate if, without outer blanks, it has `min_words` words and stands on `min_sites` sites or more;
     of all its places the first (smallest id, then position) stays. Sites are counted by a HyperLogLog sketch for each
@@ -26,13 +27,14 @@ def line_dedup(
     of the threshold are counted exactly.
 
     Null text: stays null, no lines. Empty text: one line, which stays. Null sites count for nothing; null ids come
-    first. Rows that repeat an id and its text share one fate. No rows: no rows. Extra columns stay as they are; a
-    column n_lines or n_removed of the input is replaced.
+    first. Rows that repeat an id and its text share one fate. No rows: no rows. Extra columns stay as they are,
+    whatever their names; a column of the input that is named as one of the two added ones is replaced.
     """
     margin = max(5 * 1.04 / 2 ** (lg_k / 2), 1 / min_sites)
     words = r"[^ \t\r]+" + r"[ \t\r]+[^ \t\r]+" * (min_words - 1)
-    base = docs.withColumn("_text_hash", F.xxhash64(text_col))
-    places = base.select(F.col(id_col).alias("_id"), "_text_hash", F.col(site_col).alias("_site"), F.posexplode(F.split(text_col, "\n", -1)).alias("_pos", "_line"))
+    text_hash, gone_id, gone_hash, at = free(docs.columns, "text_hash", "gone_id", "gone_hash", "gone")
+    base = docs.withColumn(text_hash, F.xxhash64(text_col))
+    places = docs.select(F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("_text_hash"), F.col(site_col).alias("_site"), F.posexplode(F.split(text_col, "\n", -1)).alias("_pos", "_line"))
     line = F.trim(F.col("_line"), F.lit(" \t\r"))
     keyed = places.where(F.col("_line").rlike(words)).select("_id", "_text_hash", "_site", "_pos", F.xxhash64(line).alias("_k1"), F.crc32(line.cast("binary")).alias("_k2"))
 
@@ -49,12 +51,14 @@ def line_dedup(
     near = found.where(~F.col("_sure")).groupBy("_k1", "_k2").agg(F.count_distinct("_site").alias("_exact")).where(F.col("_exact") >= min_sites)
     common = found.where("_sure").unionByName(found.where(~F.col("_sure")).join(near.select("_k1", "_k2"), ["_k1", "_k2"], "left_semi"))
     here = F.struct("_id", "_text_hash", "_pos")
-    gone = common.where(~here.eqNullSafe(F.col("_first"))).groupBy(F.col("_id").alias("_gone_id"), F.col("_text_hash").alias("_gone_hash")).agg(F.collect_set("_pos").alias("_gone"))
-    joined = base.join(gone, F.col(id_col).eqNullSafe(F.col("_gone_id")) & (F.col("_text_hash") == F.col("_gone_hash")), "left")
+    gone = common.where(~here.eqNullSafe(F.col("_first"))).groupBy(F.col("_id").alias(gone_id), F.col("_text_hash").alias(gone_hash)).agg(F.collect_set("_pos").alias(at))
+    # Few documents have such lines as a rule; then the others are not shuffled to meet them.
+    gone = small(cut(gone), weight=F.size(at))
+    joined = base.join(gone, F.col(id_col).eqNullSafe(F.col(gone_id)) & (F.col(text_hash) == F.col(gone_hash)), "left")
     lines = F.when(F.col(text_col).isNull(), 0).otherwise(F.size(F.split(text_col, "\n", -1))).cast("long")
-    removed = F.coalesce(F.size("_gone"), F.lit(0)).cast("long")
-    rest = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
-    return joined.select(*(_kept(F.col(text_col), F.col("_gone")).alias(c) if c == text_col else F.col(c) for c in rest), lines.alias("n_lines"), removed.alias("n_removed"))
+    removed = F.when(F.col(at).isNull(), 0).otherwise(F.size(at)).cast("long")
+    rest = [c for c in docs.columns if c.lower() not in (lines_col.lower(), removed_col.lower())]
+    return joined.select(*(_kept(F.col(text_col), F.col(at)).alias(c) if c == text_col else F.col(f"`{c}`") for c in rest), lines.alias(lines_col), removed.alias(removed_col))
 
 
 SQL = r"""

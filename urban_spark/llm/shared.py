@@ -31,16 +31,21 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
-    """As cut(), as a compressed Parquet table: for tables with many rows, read several times and by column."""
+def written(df: DataFrame, label: str, *folders: str) -> DataFrame:
+    """As cut(), as a compressed Parquet table: for tables with many rows, read several times and by column, or by the
+    values of the columns `folders`, each of which is a folder."""
     path = f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.partitionBy(*folders).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """`df`, hinted for a broadcast if it has at most `rows` rows; `df` must be cheap to count (cut or written)."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def small(df: DataFrame, rows: int = BROADCAST_ROWS, weight: Column | None = None) -> DataFrame:
+    """`df`, hinted for a broadcast if it has at most `rows` rows, or if `weight` sums up to that at most, where rows hold
+    arrays; `df` must be cheap to count (cut or written)."""
+    count = df.limit(rows + 1).count()
+    if weight is not None and 0 < count <= rows:
+        count = df.agg(F.sum(weight)).first()[0]
+    return F.broadcast(df) if count <= rows else df
 
 
 def free(taken: Iterable[str], *names: str) -> list[str]:
