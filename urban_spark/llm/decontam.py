@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from urban_spark.llm.shared import cut, small, written
+from urban_spark.llm.shared import cut, free, small, written
 
 #: What parts words: everything in ASCII but letters and digits.
 GAP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -32,35 +32,51 @@ def _words(rows: DataFrame, *keys: str) -> DataFrame:
 
 @dataclass(frozen=True)
 class PositionalIndex:
-    """`postings`: (doc, text_hash, pos, term) of the training texts, for all terms that the test items have.
-    `items`: (item, item_hash, pos, term, size), positions from 0. `documents`: (doc, text_hash, n_words)."""
+    """`postings`: (doc, text_hash, pos, term, rank) of the training texts, for all terms that the test items have; each rank,
+    the logarithm of a term's number of postings, is a folder with its terms in order, so that a look-up of rare terms
+    reads no frequent ones. `frequencies`: (term, count, rank). `items`: (item, item_hash, pos, term, size), positions
+    from 0. `documents`: (doc, text_hash, n_words)."""
 
     postings: DataFrame
+    frequencies: DataFrame
     items: DataFrame
     documents: DataFrame
     id_col: str
     item_col: str
 
 
-def build_index(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", item_col: str = "item_id", text_col: str = "text") -> PositionalIndex:
+#: Postings of one rank that one key of the shuffle before they are written holds about.
+PER_KEY = 50_000
+
+
+def build_index(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", item_col: str = "item_id", text_col: str = "text", every_term: bool = False) -> PositionalIndex:
     """Stores the postings in the shared folder, once, as Parquet. Terms that no item has can't take part in a match
-    and get none; the item vocabulary is broadcast for that if it is small, else joined by a shuffle."""
+    and get none, unless `every_term`, for an index that shall serve other items too: nine tenths of all postings would
+    never be looked up. The item vocabulary and the frequencies are broadcast if they are small, else joined by a shuffle.
+
+    Null texts and texts without a word have no postings. Repeated rows have theirs several times. Extra columns are not read.
+    """
     rows = docs.select(F.col(id_col).alias("doc"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text"))
     tests = items.select(F.col(item_col).alias("item"), F.xxhash64(text_col).alias("item_hash"), F.col(text_col).alias("text")).distinct()
     words = _words(tests, "item", "item_hash")
     item = Window.partitionBy("item", "item_hash")
     words = words.withColumn("pos", (F.row_number().over(item.orderBy("pos")) - 1).cast("int")).withColumn("size", F.count(F.lit(1)).over(item).cast("int"))
     words = cut(words)
-    vocabulary = small(words.select("term").distinct(), 1_000_000)
-    postings = written(_words(rows, "doc", "text_hash").join(vocabulary, "term", "left_semi").select("doc", "text_hash", "pos", "term"), "postings")
-    return PositionalIndex(postings, words, rows.select("doc", "text_hash", _count(F.col("text")).alias("n_words")), id_col, item_col)
+    places = _words(rows, "doc", "text_hash")
+    own = _words(rows) if every_term else _words(rows).join(small(words.select("term").distinct(), 1_000_000), "term", "left_semi")
+    frequencies = cut(own.groupBy("term").agg(F.count(F.lit(1)).alias("count")).withColumn("rank", F.floor(F.log2("count")).cast("int")))
+    # A hot term is many keys of the shuffle, by text.
+    ranks = frequencies.groupBy("rank").agg(F.ceil(F.sum("count") / PER_KEY).alias("keys"))  # a row for each power of two
+    ranked = places.join(small(frequencies.select("term", "rank"), 1_000_000), "term").join(F.broadcast(ranks), "rank")
+    dealt = ranked.repartition("rank", F.pmod(F.xxhash64("term", "text_hash"), F.col("keys"))).select("doc", "text_hash", "pos", "term", "rank")
+    postings = written(dealt.sortWithinPartitions("rank", "term", "doc", "pos"), "postings", "rank")
+    return PositionalIndex(postings, frequencies, words, rows.select("doc", "text_hash", _count(F.col("text")).alias("n_words")), id_col, item_col)
 
 
 def _anchors(index: PositionalIndex, window: int) -> DataFrame:
     """(item, item_hash, p1, term1, p2, term2): for each window of an item its rarest and second rarest place, by the
     term's number of postings. A window with a term that has no posting occurs nowhere and has no row."""
-    freq = index.postings.groupBy("term").count()
-    placed = index.items.join(freq, "term", "left").select("*", F.coalesce("count", F.lit(0)).alias("freq"))
+    placed = index.items.join(small(index.frequencies), "term", "left").select("*", F.coalesce("count", F.lit(0)).alias("freq"))
     starts = F.explode(F.sequence(F.greatest(F.lit(0), F.col("pos") - window + 1), F.least(F.col("pos"), F.greatest(F.lit(0), F.col("size") - window))))
     windows = placed.select("item", "item_hash", starts.alias("start"), F.struct("freq", "pos", "term").alias("place")).groupBy("item", "item_hash", "start")
     # Of the places with the same term only the first counts: two lists of one term narrow less than those of two.
@@ -71,6 +87,12 @@ def _anchors(index: PositionalIndex, window: int) -> DataFrame:
     return cut(pair.distinct())
 
 
+def _lists(index: PositionalIndex, terms: DataFrame) -> DataFrame:
+    """Postings of the ranks that the column `term` of `terms` has: at most 64 numbers go through the driver."""
+    ranks = [r[0] for r in terms.join(index.frequencies, "term").select("rank").distinct().collect()]
+    return index.postings.where(F.col("rank").isin(ranks)).drop("rank")
+
+
 def _same_text(a: str, b: str) -> Column:
     return F.col(f"{a}.doc").eqNullSafe(F.col(f"{b}.doc")) & (F.col(f"{a}.text_hash") == F.col(f"{b}.text_hash"))
 
@@ -81,18 +103,20 @@ def phrase_matches(index: PositionalIndex, *, window: int = 10) -> DataFrame:
 
     The posting list of each window's rarest term gives the places where the item may lie, as the offset between text
     and item; the list of the second rarest, shifted by its own place in the item, narrows them; what is left is
-    intersected with the shifted lists of all the item's terms, and runs of `window` hits are kept.
+    intersected with the shifted lists of all the item's terms, and runs of `window` hits are kept. Null and empty texts
+    and items: no rows. Texts of any length; repeated rows of a text share theirs, each place once.
     """
     anchors = _anchors(index, window)
-    lists = index.postings
+    lists = _lists(index, anchors.select(F.col("term1").alias("term")))
     first = lists.join(small(anchors), lists["term"] == anchors["term1"]).select("doc", "text_hash", "item", "item_hash", (F.col("pos") - F.col("p1")).alias("shift"), "p2", "term2")
-    other = lists.join(small(anchors.select(F.col("term2").alias("term")).distinct()), "term", "left_semi")
+    seconds = anchors.select(F.col("term2").alias("term")).distinct()
+    other = _lists(index, seconds).join(small(seconds), "term", "left_semi")
     a, b = first.alias("a"), other.alias("b")
     both = a.join(b, _same_text("a", "b") & (F.col("b.term") == F.col("a.term2")) & (F.col("b.pos") == F.col("a.shift") + F.col("a.p2")), "left_semi")
     places = cut(both.select("doc", "text_hash", "item", "item_hash", "shift").distinct())
 
     texts = small(places.select(F.col("doc").alias("d"), F.col("text_hash").alias("h")).distinct())
-    near = lists.join(texts, F.col("doc").eqNullSafe(F.col("d")) & (F.col("text_hash") == F.col("h")), "left_semi")
+    near = index.postings.drop("rank").join(texts, F.col("doc").eqNullSafe(F.col("d")) & (F.col("text_hash") == F.col("h")), "left_semi")
     wanted = places.join(small(index.items), ["item", "item_hash"]).select("doc", "text_hash", "item", "item_hash", "shift", "size", F.col("pos").alias("at"), "term", (F.col("shift") + F.col("pos")).alias("pos"))
     w, n = wanted.alias("w"), near.distinct().alias("n")
     hits = w.join(n, _same_text("w", "n") & (F.col("w.pos") == F.col("n.pos")) & (F.col("w.term") == F.col("n.term")), "left_semi")
@@ -106,8 +130,7 @@ def phrase_matches(index: PositionalIndex, *, window: int = 10) -> DataFrame:
 def _rare_places(index: PositionalIndex, window: int, least: int) -> DataFrame:
     """(item, item_hash, size, p, term): of each window of an item the places of the rarest terms, two more than may be
     missing in a match, so that two of them at least are in it. Terms without a posting count as the rarest."""
-    freq = index.postings.groupBy("term").count()
-    placed = index.items.join(freq, "term", "left").select("*", F.coalesce("count", F.lit(0)).alias("freq"))
+    placed = index.items.join(small(index.frequencies), "term", "left").select("*", F.coalesce("count", F.lit(0)).alias("freq"))
     starts = F.explode(F.sequence(F.greatest(F.lit(0), F.col("pos") - window + 1), F.least(F.col("pos"), F.greatest(F.lit(0), F.col("size") - window))))
     windows = placed.select("item", "item_hash", "size", starts.alias("start"), F.struct("freq", "pos", "term").alias("place")).groupBy("item", "item_hash", "size", "start")
     full = F.least(F.lit(window), F.col("size"))
@@ -123,8 +146,9 @@ def proximity_matches(index: PositionalIndex, *, window: int = 10, slop: int = 3
     Two of each window's rarest places are in any match, with shifts between text and item that differ by 2 * slop at
     most; where they are, all terms of the item are looked up around that shift and counted for each way to lay it.
     """
-    lists, width = index.postings, 2 * slop + 1
-    hits = lists.join(small(_rare_places(index, window, least)), "term").select("doc", "text_hash", "item", "item_hash", "size", "p", F.floor((F.col("pos") - F.col("p")) / width).alias("zone"))
+    lists, width = index.postings.drop("rank"), 2 * slop + 1
+    rare = _rare_places(index, window, least)
+    hits = _lists(index, rare).join(small(rare), "term").select("doc", "text_hash", "item", "item_hash", "size", "p", F.floor((F.col("pos") - F.col("p")) / width).alias("zone"))
     # A zone has the shifts of two neighbouring strips, so that any two that are near enough share one.
     zones = hits.distinct().withColumn("zone", F.explode(F.array(F.col("zone"), F.col("zone") + 1)))
     places = zones.groupBy("doc", "text_hash", "item", "item_hash", "size", "zone").agg(F.count_distinct("p").alias("n")).where(F.col("n") >= F.least(F.lit(2), F.lit(least), F.col("size")))
@@ -151,6 +175,16 @@ def near_items(docs: DataFrame, items: DataFrame, *, window: int = 10, slop: int
     return joined.select(F.col("doc").alias(id_col), F.coalesce("n", F.lit(0)).cast("long").alias("n_proximity"), F.sha2(F.coalesce("names", F.lit("")), 256).alias("proximity_sha256"))
 
 
+def without_contaminated(docs: DataFrame, items: DataFrame, *, window: int = 10, id_col: str = "doc_id", item_col: str = "item_id", text_col: str = "text") -> DataFrame:
+    """`docs` without the rows in which a window of an item occurs. Cases as in decontaminate(): rows that share an id but
+    not the text are judged each by its own. All columns stay as they are, whatever their names."""
+    index = build_index(docs, items, id_col=id_col, item_col=item_col, text_col=text_col)
+    key, ours, theirs = free(docs.columns, "hash", "found_id", "found_hash")
+    found = phrase_matches(index, window=window).select(F.col("doc").alias(ours), F.col("text_hash").alias(theirs)).distinct()
+    kept = docs.withColumn(key, F.xxhash64(text_col)).join(small(cut(found)), F.col(id_col).eqNullSafe(F.col(ours)) & (F.col(key) == F.col(theirs)), "left_anti")
+    return kept.drop(key)
+
+
 def decontaminate(docs: DataFrame, items: DataFrame, *, window: int = 10, id_col: str = "doc_id", item_col: str = "item_id", text_col: str = "text") -> DataFrame:
     """(id, n_words, n_hit, n_items, items_sha256, contaminated) for each row of `docs`.
 
