@@ -14,10 +14,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from urban_spark.llm.shared import cut, small
+from urban_spark.llm.shared import cut, free, small
 
 #: Documents and words that a block of one group holds on average at most.
 BLOCK_DOCS, BLOCK_WORDS = 256, 400_000
+#: Blocks of one bucket on one side of the join that pairs them, about.
+PAIR_BLOCKS = 256
 
 
 def choose_bands(threshold: float, recall: float, most: int = 128) -> tuple[int, int]:
@@ -148,15 +150,15 @@ def _linked(table: pa.Table, n: int, threshold: float) -> pa.Table:
     return pa.table({"node": pa.array(nodes[has_link].tolist(), pa.binary()), "links": pa.array(links[has_link], pa.int64()), "root": pa.array(nodes[label[has_link]].tolist(), pa.binary())})
 
 
-def connected_components(edges: DataFrame, *, most_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame) -> DataFrame:
     """(node, label) for the ends of `edges` (node, root): label is the least node of the connected component.
 
-    Each round takes the least label among neighbours and then that label's own, so that paths halve.
+    Each round takes the least label among neighbours and then that label's own, so that paths halve, until none changes.
     """
     both = edges.where("node <> root").select("node", F.col("root").alias("other"))
     both = cut(both.unionByName(both.select(F.col("other").alias("node"), F.col("node").alias("other"))).distinct())
     labels = cut(both.groupBy("node").agg(F.least(F.min("other"), F.col("node")).alias("label")))
-    for _ in range(most_rounds):
+    while True:
         seen = both.join(labels.select(F.col("node").alias("other"), "label"), "other").groupBy("node").agg(F.min("label").alias("near"))
         lower = labels.join(seen, "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
         jump = labels.select(F.col("node").alias("label"), F.col("label").alias("further"))
@@ -165,29 +167,29 @@ def connected_components(edges: DataFrame, *, most_rounds: int = 60) -> DataFram
         labels = step.select("node", "label")
         if not changed:
             return labels
-    raise RuntimeError("components did not settle")
 
 
-def jaccard_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", n: int = 5, threshold: float = 0.8, recall: float = 0.9999) -> DataFrame:
-    """(id, class_id, n_links) for each row of `docs`.
+def _units(members: DataFrame, dealt: DataFrame) -> DataFrame:
+    """(one, two): each pair of blocks that share a bucket, and each block with itself. A bucket of many blocks is joined
+    with itself in so many parts that a task gets about PAIR_BLOCKS blocks on one side."""
+    met = cut(members.select("node", "bucket").join(dealt, "node").select("bucket", "block").distinct())
+    many = met.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / PAIR_BLOCKS).cast("int").alias("parts"), F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket", "parts")
+    crowded = met.join(many, "bucket")
+    part = F.pmod(F.xxhash64("block"), F.col("parts")).cast("int")
+    left = crowded.select("bucket", F.col("block").alias("one"), part.alias("part"))
+    right = crowded.select("bucket", F.col("block").alias("two"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    pairs = left.join(right, ["bucket", "part"]).where("one < two").select("one", "two")
+    return met.select(F.col("block").alias("one"), F.col("block").alias("two")).unionByName(pairs).distinct()
 
-    n_links: other rows whose set of word n-grams has Jaccard similarity `threshold` or more; class_id: the least id
-    among all that links connect. Candidates are texts that share a MinHash band, with bands and rows chosen so that
-    a pair at the threshold is one with probability `recall` at least; pairs are verified on their full sets.
 
-    Rows with the same words in turn are one node, so copies make no pairs. Texts that share a bucket are dealt into
-    blocks of about BLOCK_DOCS texts by the least node they meet; pairs of blocks that share a bucket are the units
-    of work, each pair of texts in exactly one. A group of any size is so many units of bounded size, which send on
-    sums of links and one edge a text, never pairs.
-
-    Null texts and texts without a word: a class of their own, no links. Null ids: linked as others; such rows and
-    classes have the least other id as class id, null if there is none. Rows that repeat an id and its text are
-    copies. No rows: no rows. Extra columns are not read.
-    """
+def _classes(docs: DataFrame, id_col: str, text_col: str, n: int, threshold: float, recall: float) -> tuple[DataFrame, DataFrame]:
+    """What jaccard_classes() says of its input: (_id, _hash, node) for each row, node null where there is no word; and
+    (node, first, copies, links, label) for each node, first being the row (no, id, hash) of it to keep, by id."""
     bands, rows = choose_bands(threshold, recall)
     docs = docs.select(F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("_hash"), F.col(text_col).alias("_text"))
     signed = cut(_signed(docs, n, bands, rows))
-    whole = signed.where("node IS NOT NULL").groupBy("node").agg(F.min(F.struct("_id", "_hash")).alias("first"), F.min("_id").alias("least"), F.count(F.lit(1)).alias("copies"), F.first("words").alias("words"), F.first("bands").alias("bands"))
+    row = F.struct(F.col("_id").isNull().alias("no"), F.col("_id").alias("id"), F.col("_hash").alias("hash"))
+    whole = signed.where("node IS NOT NULL").groupBy("node").agg(F.min(row).alias("first"), F.count(F.lit(1)).alias("copies"), F.first("words").alias("words"), F.first("bands").alias("bands"))
     nodes = cut(whole)
 
     spread = nodes.select("node", "words", F.explode("bands").alias("bucket"))
@@ -196,20 +198,59 @@ def jaccard_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     homes = cut(members.groupBy("node").agg(F.min("leader").alias("home"), F.first("words").alias("words")))
     sizes = homes.groupBy("home").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_DOCS), F.ceil(F.sum("words") / BLOCK_WORDS)).alias("blocks"))
     dealt = cut(homes.join(small(cut(sizes)), "home").select("node", F.xxhash64("home", F.pmod(F.xxhash64("node"), F.col("blocks"))).alias("block")))
-    met = members.select("node", "bucket").join(dealt, "node").groupBy("bucket").agg(F.sort_array(F.collect_set("block")).alias("b"))
-    pairs = F.flatten(F.transform("b", lambda x, i: F.transform(F.slice("b", i + 1, F.size("b")), lambda y: F.struct(x.alias("one"), y.alias("two")))))
-    units = met.select(F.explode(pairs).alias("u")).select("u.one", "u.two").distinct()
-    sides = units.select("one", "two", F.explode(F.array_distinct(F.array("one", "two"))).alias("side"))
+    sides = _units(members, dealt).select("one", "two", F.explode(F.array_distinct(F.array("one", "two"))).alias("side"))
     placed = dealt.join(sides, F.col("block") == F.col("side")).select("node", "one", "two", "side")
-    wanted = cut(placed.join(nodes.select("node", "copies", F.col("first._id").alias("i"), F.col("first._hash").alias("h")), "node"))
+    wanted = cut(placed.join(nodes.select("node", "copies", F.col("first.id").alias("i"), F.col("first.hash").alias("h")), "node"))
     texts = docs.join(small(wanted), F.col("_id").eqNullSafe(F.col("i")) & (F.col("_hash") == F.col("h"))).select("one", "two", "side", "node", "copies", "_text")
     found = cut(texts.groupBy("one", "two").applyInArrow(lambda table: _linked(table, n, threshold), "node binary, links long, root binary"))
 
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
     labels = connected_components(found.select("node", "root"))
-    linked = nodes.select("node", "least", "copies").join(links, "node", "left").join(labels, "node", "left")
-    linked = linked.select("node", "least", "copies", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("label", "node").alias("label"))
-    classes = linked.groupBy("label").agg(F.min("least").alias("class_id"))
+    linked = nodes.select("node", "first", "copies").join(links, "node", "left").join(labels, "node", "left")
+    return signed.select("_id", "_hash", "node"), linked.select("node", "first", "copies", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("label", "node").alias("label"))
+
+
+def without_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", n: int = 5, threshold: float = 0.8, recall: float = 0.9999) -> DataFrame:
+    """`docs` with one row of each class of jaccard_classes(): the one with the least id (none last), then text hash.
+
+    Rows that share an id but not a class are judged apart. Repeated rows: one stays. Null texts and texts without a
+    word: every row stays. No rows: no rows. All columns stay as they are, whatever their names.
+    """
+    signed, linked = _classes(docs, id_col, text_col, n, threshold, recall)
+    keep = linked.groupBy("label").agg(F.min("first").alias("keep"))
+    rows = signed.where("node IS NOT NULL").groupBy("_id", "_hash", "node").agg(F.count(F.lit(1)).alias("many"))
+    told = rows.join(linked.select("node", "label").join(keep, "label"), "node")
+    kept = F.col("_id").eqNullSafe(F.col("keep.id")) & (F.col("_hash") == F.col("keep.hash"))
+    key, ours, theirs, fate = free(docs.columns, "hash", "told_id", "told_hash", "kept")
+    # Only rows that go, or that stand for equal ones, are told; the others need not be shuffled to meet them if these are few.
+    told = small(cut(told.where(~kept | (F.col("many") > 1)).select(F.col("_id").alias(ours), F.col("_hash").alias(theirs), kept.alias(fate))))
+    met = docs.withColumn(key, F.xxhash64(text_col)).join(told, F.col(id_col).eqNullSafe(F.col(ours)) & (F.col(key) == F.col(theirs)), "left")
+    names = [F.col(f"`{c}`") for c in docs.columns]
+    single = met.where(F.col(fate).isNull()).select(*names)
+    if told.where(fate).isEmpty():
+        return single
+    repeated = met.where(F.col(fate)).dropDuplicates([ours, theirs]).select(*names)
+    return single.unionAll(repeated)
+
+
+def jaccard_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", n: int = 5, threshold: float = 0.8, recall: float = 0.9999) -> DataFrame:
+    """(id, class_id, n_links) for each row of `docs`.
+
+    n_links: other rows whose set of word n-grams has Jaccard similarity `threshold` or more; class_id: the least id
+    among all that links connect. Candidates are texts that share a MinHash band, with bands and rows chosen so that
+    a pair at the threshold is one with probability `recall` at least; pairs are verified on their full sets.
+
+    Rows with the same words in turn are one node, so copies make no pairs. Texts that share a bucket are dealt into
+    blocks of about BLOCK_DOCS texts by the least node they meet; pairs of blocks that share a bucket are the units
+    of work, each pair of texts in exactly one. A group of any size is so many units of bounded size, which send on
+    sums of links and one edge a text, never pairs.
+
+    Null texts and texts without a word: a class of their own, no links. Null ids: linked as others; such rows and
+    classes have the least other id as class id, null if there is none. Rows that repeat an id and its text are
+    copies. No rows: no rows. Extra columns are not read.
+    """
+    signed, linked = _classes(docs, id_col, text_col, n, threshold, recall)
+    classes = linked.groupBy("label").agg(F.min("first.id").alias("class_id"))
     result = linked.join(classes, "label").select("node", "class_id", (F.col("links") + F.col("copies") - 1).cast("long").alias("n_links"))
     full = signed.select("_id", "node").join(result, "node", "left")
     return full.select(F.col("_id").alias(id_col), F.when(F.col("node").isNull(), F.col("_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
