@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 #: Buckets of hashed letter trigrams; a model is so many counts a language.
 BUCKETS = 1 << 15
+#: Languages of a model at most: some 100 MB of counts.
+MOST_LANGS = 200
 LETTER = re.compile(r"[^\W\d_]")
 #: ASCII other than letters is a blank; bytes of other characters stand for themselves.
 _PLAIN = bytes(c if c > 127 or chr(c).isalpha() else 32 for c in range(256))
@@ -33,8 +35,13 @@ def trigrams(text: str) -> np.ndarray:
 def train(docs: DataFrame, *, lang_col: str = "lang", text_col: str = "text") -> tuple[list[str], np.ndarray]:
     """Languages and their trigram probabilities, from the counts over all rows with text and language.
 
-    Counts are summed by Spark; the driver gets one number for each language and bucket, whatever the input's size.
+    Counts are summed by Spark; the driver gets one number for each language and bucket, whatever the input's size. More
+    than MOST_LANGS different languages are an error: a model is a dense row for each. Repeated rows count each; a long
+    text counts whole; without rows there are no languages. Extra columns are not read.
     """
+    known = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
+    if docs.where(F.col(lang_col).isNotNull()).select(lang_col).distinct().limit(MOST_LANGS + 1).count() > MOST_LANGS:
+        raise ValueError(f"more than {MOST_LANGS} languages in {lang_col}")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
@@ -50,7 +57,7 @@ def train(docs: DataFrame, *, lang_col: str = "lang", text_col: str = "text") ->
             some = np.flatnonzero(sum_)
             yield pa.RecordBatch.from_arrays([pa.array([name] * len(some), pa.string()), pa.array(some, pa.int32()), pa.array(sum_[some], pa.int64())], ["lang", "bucket", "n"])
 
-    rows = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).cast("string"), text_col)
+    rows = known.select(F.col(lang_col).cast("string"), text_col)
     table = rows.mapInArrow(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
     names = table.column("lang").to_pylist()
     langs = sorted(set(names))
@@ -92,17 +99,21 @@ def mixture(weights: np.ndarray, chances: np.ndarray, rounds: int = 25, penalty:
     return {lang: float(share) for lang, share in zip(chosen, shares, strict=True)}, alone
 
 
-def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """All columns of `docs` with lang_pred, score and lang_set (language -> proportion), each replacing one of that name.
+def identify(
+    docs: DataFrame, model: tuple[list[str], np.ndarray], *, text_col: str = "text", pred_col: str = "lang_pred", score_col: str = "score", set_col: str = "lang_set"
+) -> DataFrame:
+    """All columns of `docs` with lang_pred, score and lang_set (language -> proportion), named `pred_col`, `score_col` and
+    `set_col`, each replacing one of that name; other columns stay, whatever their names.
 
     lang_pred has the largest proportion; score is that proportion times the language's probability among those of the
     set and the likeliest other. Null texts and texts without a letter: lang_pred `und`, score 0, an empty set; so are
     all if nothing was learned. Whole texts of any length count. Ties go to the language that sorts first. Repeated
     rows: a row each. No rows: no rows.
     """
-    kept = [c for c in docs.columns if c not in ("lang_pred", "score", "lang_set")]
+    kept = [c for c in docs.columns if c.lower() not in (pred_col.lower(), score_col.lower(), set_col.lower())]
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    rows = docs.select(*kept)
+    inner = [f"_{i}" for i in range(len(kept))]  # names with a dot can't be mapped
+    rows = docs.select(*(F.col(f"`{c}`").alias(n) for c, n in zip(kept, inner, strict=True)))
     text_at = kept.index(text_col)
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -129,7 +140,7 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], *, id_col: st
                         scores.append(min(1.0, found[top] / (1 + odds)))
                     sets.append([(langs[k], v) for k, v in found.items()])
                 columns = [*part.columns, pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(sets, pa.map_(pa.string(), pa.float64()))]
-                yield pa.RecordBatch.from_arrays(columns, [*kept, "lang_pred", "score", "lang_set"])
+                yield pa.RecordBatch.from_arrays(columns, [*inner, "pred", "score", "set"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
-    return rows.mapInArrow(predict, f"{schema}, lang_pred string, score double, lang_set map<string, double>")
+    return rows.mapInArrow(predict, f"{schema}, pred string, score double, set map<string, double>").toDF(*kept, pred_col, score_col, set_col)

@@ -136,9 +136,10 @@ def score_quality(docs: DataFrame, model: Model | None, *, text_col: str = "text
     empty ones, which get the score of no words; without a model all scores are 0.5. Repeated rows: a row each. No
     rows: no rows.
     """
-    kept = [c for c in docs.columns if c not in ("score", "predicted")]
+    kept = [c for c in docs.columns if c.lower() not in ("score", "predicted")]
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    rows = docs.select(*kept)
+    inner = [f"_{i}" for i in range(len(kept))]  # names with a dot can't be mapped
+    rows = docs.select(*(F.col(f"`{c}`").alias(n) for c, n in zip(kept, inner, strict=True)))
     at = kept.index(text_col)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -147,7 +148,7 @@ def score_quality(docs: DataFrame, model: Model | None, *, text_col: str = "text
                 part = batch.slice(low, 512)
                 found = np.full(part.num_rows, 0.5) if sent.value is None else scores(sent.value, part.column(at))
                 columns = [*part.columns, pa.array(found, pa.float64()), pa.array((found >= positive_from).astype(np.int32), pa.int32())]
-                yield pa.RecordBatch.from_arrays(columns, [*kept, "score", "predicted"])
+                yield pa.RecordBatch.from_arrays(columns, [*inner, "score", "predicted"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
-    return rows.mapInArrow(score, f"{schema}, score double, predicted int")
+    return rows.mapInArrow(score, f"{schema}, score double, predicted int").toDF(*kept, "score", "predicted")

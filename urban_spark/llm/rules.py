@@ -70,7 +70,7 @@ def rule_features(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     lines = let(F.filter(F.split(text, "\n", -1), lambda x: x.rlike(f"[^{SPACE}]")), lambda x: F.struct(F.size(x).cast("long").alias("n"), (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("again")))
     found = docs.select(
         F.col(id_col).alias("_id"), words.alias("_words"), lines.alias("_lines"), (F.length(text) - count(f"[{SPACE}]")).cast("long").alias("word_chars"),
-        count("[#*$%&|<>]").alias("n_symbols"), count(r"\p{Lu}").alias("n_upper"), count("!").alias("n_marks"), count(r"[.?!](?:\s|$)").alias("n_stops"),
+        count("[#*$%&|<>]").alias("n_symbols"), count(r"\p{Lu}").alias("n_upper"), count("!").alias("n_marks"), count(r"[.?!](?:\s|\z)").alias("n_stops"),
     )
     return found.select(
         "_id", F.col("_words.n").alias("n_words"), "word_chars", "n_symbols", F.col("_lines.again").alias("n_dup_lines"), F.col("_words.again").alias("n_repeat_words"), F.col("_words.same").alias("n_same"),
@@ -105,7 +105,8 @@ def quality_rules(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     """(id, counts, base_failed, quality, kept) for each row of `docs`.
 
     Rules vote on the counts or abstain; the posterior probability of quality, under accuracies fitted to all votes of
-    the corpus, replaces passing each. `kept` needs it to be `keep_from` at least, and the base rule to be passed.
+    the corpus, replaces passing each. `kept` needs it to be `keep_from` at least, and the base rule to be passed; where
+    all rules abstain it is 1/2, so that such a text is kept by the default.
 
     Null or empty text: no words, fails the base rule. Texts below WINDOW words repeat none. Repeated rows and repeated or null ids:
     a row each. No rows: no rows. Extra columns are not read. Counts are of whole texts of any length.
