@@ -1,6 +1,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
 
@@ -46,3 +47,42 @@ def test_empty_table(spark, tmp_path):
     spark.createDataFrame([(1, "a b")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs, str(tmp_path)).count() == 0
+
+
+CLASHES = ("_hash", "_first", "_gone", "_bad", "_text_hash", "n_lines", "n_removed", "score", "lang_pred", "lang_set", "_row", "_id", "_lang_pred", "node", "a.b")
+
+
+def test_columns_of_any_name_stay(spark, tmp_path):
+    sf_dir = table(spark, tmp_path)
+    plain = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = plain.select("*", *(F.concat(F.lit(n), F.coalesce(F.col("doc_id").cast("string"), F.lit("-"))).alias(n) for n in CLASHES))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        want = {(r.doc_id, r.text) for r in stage(spark, plain, sf_dir).collect()}
+        out = stage(spark, docs, sf_dir)
+        assert out.columns == docs.columns
+        rows = out.collect()
+        assert {(r.doc_id, r.text) for r in rows} == want and len(rows) == len(want), name
+        assert all(r[n] == f"{n}{r.doc_id}" for r in rows for n in CLASHES)
+    assert corpus_pipeline.best_fit_packing(spark, docs, sf_dir).count() == docs.count()
+
+
+def test_near_copies_with_null_and_shared_ids(spark):
+    t, u, v = (" ".join(f"{w}{i}" for i in range(20)) for w in "tuv")
+    kept = lambda rows: sorted(((r.doc_id, r.text) for r in corpus_pipeline.near_copies(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()), key=str)
+    assert kept([(None, t), (5, t), (None, u)]) == sorted([(5, t), (None, u)], key=str)
+    assert kept([(1, t), (1, u), (1, t), (2, u), (2, v)]) == sorted([(1, t), (1, u), (2, v)], key=str)
+    assert kept([(None, t), (None, t), (7, None), (7, None), (8, "")]) == sorted([(None, t), (7, None), (7, None), (8, "")], key=str)
+
+
+def test_shared_ids_in_decontamination(spark, tmp_path):
+    spark.createDataFrame([(1, "one two three four five")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = spark.createDataFrame([(1, "a one two three four five b"), (1, "clean"), (None, "one two three four five"), (None, None)], "doc_id long, text string")
+    assert {(r.doc_id, r.text) for r in corpus_pipeline.decontamination(spark, docs, str(tmp_path)).collect()} == {(1, "clean"), (None, None)}
+
+
+def test_mixed_languages_stay(spark, tmp_path):
+    spark.createDataFrame([(1, "x")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    words = {"en": "the quick brown fox jumps over", "de": "der schnelle braune fuchs springt über", "fr": "le renard brun rapide saute par-dessus", "es": "el zorro marrón rápido salta sobre"}
+    rows = [(i, f"{words[k]} " * 9, k) for i, k in enumerate([*words] * 3)] + [(50, " ".join(f"{w} " * 9 for w in words.values()), None)]
+    out = corpus_pipeline.language_id(spark, spark.createDataFrame(rows, "doc_id long, text string, lang string"), str(tmp_path))
+    assert {r.doc_id for r in out.collect()} == {r[0] for r in rows}
