@@ -51,11 +51,11 @@ def test_cells_hold_their_points(spark):
     assert sum(r.inside for r in rows) >= 297  # edges are straight in metres, not in degrees
 
 
-def test_nearest_in_growing_rings(spark):
+def test_nearest_in_growing_cells(spark):
     rnd = random.Random(4)
     a = [(i, 77 + rnd.random() * 3, 12 + rnd.random() * 3) for i in range(60)] + [(99, 10.0, -40.0)]
     b = [(i, 77 + rnd.random(), 12 + rnd.random()) for i in range(40)]
-    out = {r.k: r for r in s.nearest(spark.createDataFrame(a, "k int, lon double, lat double"), spark.createDataFrame(b, "t int, lon double, lat double"), key="k", target="t", broadcast_rows=5, most_rings=20).collect()}
+    out = {r.k: r for r in s.nearest(spark.createDataFrame(a, "k int, lon double, lat double"), spark.createDataFrame(b, "t int, lon double, lat double"), key="k", target="t", broadcast_rows=5).collect()}
 
     def km(x1, y1, x2, y2):
         h = math.sin(math.radians(y2 - y1) / 2) ** 2 + math.cos(math.radians(y1)) * math.cos(math.radians(y2)) * math.sin(math.radians(x2 - x1) / 2) ** 2
@@ -87,3 +87,33 @@ def test_segment_graph_snaps(spark):
     df = spark.createDataFrame([(ring((0, 0), (1, 0), (2, 0)),), (ring((2.01, 0.01), (2, 3), (2, 3)),), (ring((1, 0), (0, 0.02)),)], line)
     nodes, edges = s.segment_graph(df, "l", 0.1)
     assert nodes.count() == 4 and edges.count() == 3
+
+
+def test_wkb(spark):
+    import struct
+
+    from urban_spark.functions import geometry_text as gt
+
+    ring = [(0.0, 0.0), (0.0, 1.0), (1.0, 1.0), (0.0, 0.0)]
+    flat = [v for p in ring for v in p]
+    polygon = lambda sign: struct.pack(f"{sign}BIII8d", sign == "<", 3, 1, 4, *flat)
+    rows = {
+        1: polygon("<"), 2: polygon(">"), 3: struct.pack("<BII", 1, 6, 2) + polygon("<") + polygon(">"), 4: struct.pack("<BII3d", 1, 0x20000001 | 0x80000000, 4326, 7.0, 8.0, 9.0), 5: struct.pack("<BI3d", 1, 1001, 7.0, 8.0, 9.0),
+        6: b"\x01\x02", 7: None, 8: struct.pack("<BII4d", 1, 2, 2, 0, 0, 1, 1), 9: b"",
+    }
+    out = {r.k: (r.type, r.rings) for r in spark.createDataFrame([(k, v) for k, v in rows.items()], "k int, g binary").select("k", gt.decode_wkb("g").alias("s")).select("k", "s.*").collect()}
+    plain = lambda rings: [[(v.x, v.y) for v in r] for r in rings]
+    assert [(out[k][0], plain(out[k][1])) for k in (1, 2, 3)] == [("Polygon", [ring]), ("Polygon", [ring]), ("MultiPolygon", [ring, ring])]
+    assert [(out[k][0], plain(out[k][1])) for k in (4, 5)] == [("Point", [[(7.0, 8.0)]])] * 2 and out[8][0] == "LineString"
+    assert out[6] == out[7] == out[9] == (None, None)
+
+
+def test_nearest_far_outside_and_in_clumps(spark):
+    import random
+
+    rnd = random.Random(3)
+    targets = [(i, 77 + rnd.gauss(0, 0.001), 12 + rnd.gauss(0, 0.001)) for i in range(60)] + [(100 + i, 79 + rnd.random(), 14 + rnd.random()) for i in range(20)]
+    points = [(i, rnd.uniform(70, 85), rnd.uniform(5, 20)) for i in range(80)] + [(200 + i, 77 + rnd.gauss(0, 0.002), 12.0) for i in range(20)]
+    out = {r.k: (r.t, r.km) for r in s.nearest(spark.createDataFrame(points, "k int, lon double, lat double"), spark.createDataFrame(targets, "t int, lon double, lat double"), key="k", target="t", broadcast_rows=3).collect()}
+    near = {r.k: r for r in s.nearest(spark.createDataFrame(points, "k int, lon double, lat double"), spark.createDataFrame(targets, "t int, lon double, lat double"), key="k", target="t").collect()}
+    assert len(out) == 100 and all(out[k] == (near[k].t, near[k].km) for k in near)

@@ -101,3 +101,55 @@ def test_scaling_fits_on_the_cutoff_only(spark):
     df = spark.createDataFrame([(i, float(i)) for i in range(10)], "t int, v double")
     out = [r.v for r in s.scaled(df, ["v"], F.col("t") < 4).orderBy("t").collect()]
     assert np.allclose(out, (np.arange(10) - 1.5) / np.std([0, 1, 2, 3]))
+
+
+def test_p_of_t_and_of_z(spark):
+    # Fixed values from a table of Student's distribution.
+    for t, freedom, p in ((12.706, 1, 0.05), (2.228, 10, 0.05), (3.169, 10, 0.01), (2.086, 20, 0.05), (1.984, 100, 0.05), (0.0, 5, 1.0)):
+        assert abs(s.t_p(t, freedom) - p) < 2e-4 and s.t_p(-t, freedom) == s.t_p(t, freedom)
+    import math
+
+    zs = [-6.0, -1.96, -0.1, 0.0, 0.5, 1.0, 2.5758, 8.0]
+    for r in spark.createDataFrame([(z,) for z in zs], "z double").selectExpr("z", f"{s.NORMAL_P} AS p").collect():
+        assert abs(r.p / math.erfc(abs(r.z) / math.sqrt(2)) - 1) < 2e-7
+
+
+def test_local_moran_against_permutations(spark):
+    rng = np.random.default_rng(4)
+    n, x = 40, rng.normal(size=40)
+    x[:6] += 3
+    edges = [(i, (i + d) % n) for i in range(n) for d in (-2, -1, 1, 2)]
+    values = spark.createDataFrame([(i, float(v)) for i, v in enumerate(x)], "k int, x double")
+    out = {r.k: r for r in s.local_moran(values, s.row_standardized(spark.createDataFrame(edges, "src int, dst int")), "x", key="k").collect()}
+    z = x - x.mean()
+    for i in range(n):
+        others = np.delete(z, i)
+        draws = np.array([rng.choice(others, 4, replace=False).mean() for _ in range(4000)])
+        seen = z[[(i + d) % n for d in (-2, -1, 1, 2)]].mean()
+        assert abs(out[i].z - (seen - draws.mean()) / draws.std()) < 0.12
+        assert (out[i].label == "NotSig") == (out[i].p >= 0.05)
+
+
+def test_shuffled_deals_each_value_once(spark):
+    values = spark.createDataFrame([(i, float(i)) for i in range(300)], "k int, x double")
+    out = s.shuffled(values, "x", key="k", permutations=5).toPandas()
+    assert all(sorted(g["x"]) == sorted(map(float, range(300))) and sorted(g["k"]) == list(range(300)) for _, g in out.groupby("run")) and out["run"].nunique() == 5
+    first = out[out["run"] == 1].sort_values("k")["x"].tolist()
+    assert first != out[out["run"] == 2].sort_values("k")["x"].tolist() and first != sorted(first)
+
+
+def test_hac_by_hand(spark):
+    rng = np.random.default_rng(6)
+    n, lags = 50, 4
+    x = rng.normal(size=n)
+    y = 1 + 2 * x + np.convolve(rng.normal(size=n + 3), np.ones(4), "valid")
+    frame = spark.createDataFrame([(i * 3, float(a), float(b)) for i, (a, b) in enumerate(zip(x, y, strict=True))], "step int, x double, y double")
+    fit = s.ols(frame, "y", ["x"], "HAC", order="step", lags=lags)
+    design = np.column_stack([np.ones(n), x])
+    u = (y - design @ np.linalg.lstsq(design, y, rcond=None)[0])[:, None] * design
+    meat = u.T @ u
+    for lag in range(1, lags + 1):
+        cross = u[lag:].T @ u[:-lag]
+        meat += (1 - lag / (lags + 1)) * (cross + cross.T)
+    inverse = np.linalg.inv(design.T @ design)
+    assert np.allclose(fit.covariance, inverse @ meat @ inverse)

@@ -2,17 +2,34 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from urban_spark.functions.geo import haversine_km
+from urban_spark.operators.agg import gini, palma
+from urban_spark.operators.graph import _cut
+from urban_spark.operators.panel import exact_quantiles
+
+
+#: Candidates that are broadcast at most.
+MOST_CANDIDATES = 50_000
 
 
 def travel_times(wards: DataFrame, candidates: DataFrame, *, ward: str, candidate: str, speed: float = 25.0, factor: float = 1.25) -> DataFrame:
-    """(ward, candidate, travel_min) for every pair; candidates are few and broadcast."""
+    """(ward, candidate, travel_min) for every pair, which is what is asked for: the output is the product of both tables. The
+    candidates, a stated set, are broadcast up to MOST_CANDIDATES of them; beyond, they are met block by block."""
     c = candidates.select(candidate, F.col("lon").alias("_x"), F.col("lat").alias("_y"))
     km = haversine_km(F.col("lon"), F.col("lat"), F.col("_x"), F.col("_y"))
-    return wards.join(F.broadcast(c)).select(ward, candidate, (km * factor / speed * 60).alias("travel_min"))
+    count = c.limit(MOST_CANDIDATES + 1).count()
+    if count <= MOST_CANDIDATES:
+        pairs = wards.join(F.broadcast(c))
+    else:
+        blocks = -(-c.count() // MOST_CANDIDATES)
+        here = wards.withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+        pairs = here.join(c.withColumn("_b", F.pmod(F.xxhash64(candidate), F.lit(blocks)).cast("int")), "_b")
+    return pairs.select(ward, candidate, (km * factor / speed * 60).alias("travel_min"))
 
 
 def tiered_minutes(km: Column, detour: float = 1.2) -> Column:
@@ -22,6 +39,8 @@ def tiered_minutes(km: Column, detour: float = 1.2) -> Column:
 
 
 def time_summary(df: DataFrame, minutes: str, keys: list[str] = ()) -> DataFrame:
+    if not keys:
+        return df.agg(F.avg(minutes).alias("mean")).crossJoin(F.broadcast(exact_quantiles(df, {"median": (minutes, 0.5), "p90": (minutes, 0.9)})))  # one row each
     return df.groupBy(*keys).agg(F.avg(minutes).alias("mean"), F.percentile(minutes, F.lit(0.5)).alias("median"), F.percentile(minutes, F.lit(0.9)).alias("p90"))
 
 
@@ -54,30 +73,51 @@ def income_from_density(density: Column, low: float = 0.2, high: float = 1.0) ->
 
 def income_groups(df: DataFrame, income: str, access: str, share: float = 0.2) -> DataFrame:
     """group low / middle / high by the outer shares of income, and underserved: low with access time of the median or more."""
-    cuts = df.agg(F.percentile(income, F.lit(share)).alias("_lo"), F.percentile(income, F.lit(1 - share)).alias("_hi"), F.percentile(access, F.lit(0.5)).alias("_m")).withColumn("_one", F.lit(1))
+    cuts = exact_quantiles(df, {"_lo": (income, share), "_hi": (income, 1 - share), "_m": (access, 0.5)}).withColumn("_one", F.lit(1))
     joined = df.withColumn("_one", F.lit(1)).join(F.broadcast(cuts), "_one")
     group = F.when(F.col(income) <= F.col("_lo"), "low").when(F.col(income) >= F.col("_hi"), "high").otherwise("middle")
     return joined.withColumn("group", group).withColumn("underserved", (F.col("group") == "low") & (F.col(access) >= F.col("_m"))).drop("_lo", "_hi", "_m", "_one")
 
 
 def scorecard(df: DataFrame, access: str) -> DataFrame:
-    """Spread, group means and gap of a table with `group`; Gini and Palma are operators of their own."""
+    """Spread, group means and gap of a table with `group`."""
     mean = lambda g: F.avg(F.when(F.col("group") == g, F.col(access)))
     return df.agg((F.max(access) - F.min(access)).alias("range"), mean("low").alias("mean_low"), mean("high").alias("mean_high"), (mean("low") - mean("high")).alias("gap"))
 
 
+def before_and_after(df: DataFrame, before: str, after: str, order: str) -> DataFrame:
+    """Two rows of `stage`, before and after a change of access times: those of scorecard(), Gini, and Palma by `order`."""
+
+    df = _cut(df.select("group", before, after, order))
+
+    def one(stage: str, access: str) -> DataFrame:
+        cards = scorecard(df, access), gini(df, access).select("gini"), palma(df, access, order)
+        return reduce(lambda a, b: a.crossJoin(F.broadcast(b)), cards).select(F.lit(stage).alias("stage"), "*")  # one row each
+
+    return one("before", before).unionByName(one("after", after))
+
+
 def place_facilities(df: DataFrame, n: int, *, population: str, access: str, key: str) -> DataFrame:
     """The n underserved wards with the largest population times access time: the optimum if only their number is bounded."""
     return df.where("underserved").orderBy(F.desc(F.col(population) * F.col(access)), key).limit(n)
 
 
 def suppress_close(df: DataFrame, pairs: DataFrame, *, key: str, size: str) -> DataFrame:
-    """Without rows that have a close row (pairs src, dst) of larger size (ties: the lower key stays), all at once."""
+    """Without rows that are close (pairs src, dst) to a row that stays and is larger (ties: the lower key), as if the rows were
+    taken one by one, the largest first: in each round those without a larger row near that is still open stay, and the
+    open ones near them go, until none is open."""
     s = df.select(key, size)
     both = pairs.select("src", "dst").unionByName(pairs.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
     joined = both.join(s.select(F.col(key).alias("src"), F.col(size).alias("_a")), "src").join(s.select(F.col(key).alias("dst"), F.col(size).alias("_b")), "dst")
-    out = joined.where((F.col("_b") > F.col("_a")) | ((F.col("_b") == F.col("_a")) & (F.col("dst") < F.col("src")))).select(F.col("src").alias(key)).distinct()
-    return df.join(out, key, "left_anti")
+    above = joined.where((F.col("_b") > F.col("_a")) | ((F.col("_b") == F.col("_a")) & (F.col("dst") < F.col("src")))).select("src", "dst").distinct()
+    above, gone = _cut(above), None
+    while not above.isEmpty():
+        low, high = above.select(F.col("src").alias("id")).distinct(), above.select(F.col("dst").alias("id")).distinct()
+        stay = high.join(low, "id", "left_anti")
+        new = _cut(above.join(stay.withColumnRenamed("id", "dst"), "dst", "left_semi").select(F.col("src").alias("id")).distinct())
+        gone = new if gone is None else gone.unionByName(new)
+        above = _cut(above.join(new.withColumnRenamed("id", "src"), "src", "left_anti").join(new.withColumnRenamed("id", "dst"), "dst", "left_anti"))
+    return df if gone is None else df.join(gone.select(F.col("id").alias(key)), key, "left_anti")
 
 
 def weighted_time_change(times: DataFrame, wards: DataFrame, *, ward: str, population: str, before: Column, after: Column) -> DataFrame:
@@ -98,10 +138,17 @@ def best_projects(df: DataFrame, n: int, *, key: str) -> DataFrame:
 
 
 def within_budget(df: DataFrame, budget: float, *, key: str) -> DataFrame:
-    """Projects (a short list) in the order of their ratio as long as their costs add up to the budget at most."""
-    spent = F.sum("cost").over(Window.orderBy(F.desc("bc_ratio"), key).rowsBetween(Window.unboundedPreceding, 0))
-    return df.withColumn("spent", spent).where(F.col("spent") <= budget)
+    """Projects (a short list: a catalogue of bounded length) in the order of their ratio, each taken if its cost still fits into
+    the budget; `spent` is the sum after it."""
+    one = df.agg(F.array_sort(F.collect_list(F.struct((-F.col("bc_ratio")).alias("o"), F.col(key).alias("k"), F.col("cost").cast("double").alias("c")))).alias("p"))
+    fits = lambda a, x: a["spent"] + x["c"] <= budget
+    none = F.array().cast(f"array<struct<k:{df.schema[key].dataType.simpleString()},spent:double>>")
+    step = lambda a, x: F.when(fits(a, x), F.struct((a["spent"] + x["c"]).alias("spent"), F.concat(a["out"], F.array(F.struct(x["k"].alias("k"), (a["spent"] + x["c"]).alias("spent")))).alias("out"))).otherwise(a)
+    taken = one.select(F.explode(F.aggregate("p", F.struct(F.lit(0.0).alias("spent"), none.alias("out")), step, lambda a: a["out"])).alias("t")).select(F.col("t.k").alias(key), "t.spent")
+    return df.join(F.broadcast(taken), key)
 
 
 def portfolio(df: DataFrame) -> DataFrame:
-    return df.groupBy("type").agg(F.count(F.lit(1)).alias("projects"), F.sum("cost").alias("cost"), F.sum("benefit").alias("benefit"), (F.sum("benefit") / F.sum("cost")).alias("bc_ratio"))
+    """By type: number, cost, benefit, their ratio; and the minutes saved (column `saved_min`, if there is one)."""
+    saved = [F.sum("saved_min").alias("saved_min")] if "saved_min" in df.columns else []
+    return df.groupBy("type").agg(F.count(F.lit(1)).alias("projects"), F.sum("cost").alias("cost"), F.sum("benefit").alias("benefit"), (F.sum("benefit") / F.sum("cost")).alias("bc_ratio"), *saved)

@@ -66,11 +66,13 @@ def profile(df: DataFrame, columns: list[str]) -> DataFrame:
     """A row for each column: count, missing, mean, std, min, quartiles, max."""
     pairs = F.explode(F.array(*(F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("v")) for c in columns)))
     long = df.select(pairs.alias("_p")).select("_p.*")
-    quartile = lambda q: F.percentile("v", F.lit(q))
-    return long.groupBy("column").agg(
-        F.count("v").alias("count"), F.sum(F.col("v").isNull().cast("long")).alias("missing"), F.avg("v").alias("mean"), F.stddev_samp("v").alias("std"), F.min("v").alias("min"),
-        quartile(0.25).alias("q25"), quartile(0.5).alias("q50"), quartile(0.75).alias("q75"), F.max("v").alias("max"),
-    )
+    from urban_spark.operators.panel import exact_quantiles
+
+    moments = long.groupBy("column").agg(
+        F.count("v").alias("count"), F.sum(F.col("v").isNull().cast("long")).alias("missing"), F.avg("v").alias("mean"), F.stddev_samp("v").alias("std"), F.min("v").alias("min"), F.max("v").alias("max")
+    )
+    cuts = [exact_quantiles(df, {f"q{q}": (c, q / 100) for q in (25, 50, 75)}).withColumn("column", F.lit(c)) for c in columns]
+    return moments.join(F.broadcast(reduce(DataFrame.unionByName, cuts)), "column").select("column", "count", "missing", "mean", "std", "min", "q25", "q50", "q75", "max")
 
 
 def histogram(df: DataFrame, value: str, low: float, high: float, bins: int) -> DataFrame:
@@ -87,6 +89,11 @@ def exceedance(df: DataFrame, keys: list[str], value: str) -> DataFrame:
 
 
 def quantiles(df: DataFrame, value: str, at: list[float], keys: list[str] = ()) -> DataFrame:
+    """Exact quantiles by group, or of all rows without keys."""
+    if not keys:
+        from urban_spark.operators.panel import exact_quantiles
+
+        return exact_quantiles(df, {f"p{round(q * 100)}": (value, q) for q in at})
     return df.groupBy(*keys).agg(*(F.percentile(value, F.lit(q)).alias(f"p{round(q * 100)}") for q in at))
 
 
@@ -108,7 +115,9 @@ def gini(df: DataFrame, value: str) -> DataFrame:
 
 def palma(df: DataFrame, value: str, order: str) -> DataFrame:
     """Sum of the value over the top 10 % by `order` against that over the bottom 40 %, cut at exact percentiles."""
-    cuts = df.agg(F.percentile(order, F.lit(0.9)).alias("hi"), F.percentile(order, F.lit(0.4)).alias("lo")).withColumn("_one", F.lit(1))
+    from urban_spark.operators.panel import exact_quantiles
+
+    cuts = exact_quantiles(df, {"hi": (order, 0.9), "lo": (order, 0.4)}).withColumn("_one", F.lit(1))
     joined = df.withColumn("_one", F.lit(1)).join(F.broadcast(cuts), "_one")
     top, low = F.sum(F.when(F.col(order) >= F.col("hi"), F.col(value))), F.sum(F.when(F.col(order) <= F.col("lo"), F.col(value)))
     return joined.agg((top / F.nullif(low, F.lit(0))).alias("palma"))
@@ -153,7 +162,9 @@ def best_and_worst(df: DataFrame, keys: list[str], value: str, k: int, order: li
 
 def top_fraction(df: DataFrame, value: str, fraction: float) -> DataFrame:
     """Rows at or above the exact percentile 1 - fraction."""
-    cut = df.agg(F.percentile(value, F.lit(1 - fraction)).alias("_cut")).withColumn("_one", F.lit(1))
+    from urban_spark.operators.panel import exact_quantiles
+
+    cut = exact_quantiles(df, {"_cut": (value, 1 - fraction)}).withColumn("_one", F.lit(1))
     joined = df.withColumn("_one", F.lit(1)).join(F.broadcast(cut), "_one").where(F.col(value) >= F.col("_cut"))
     return joined.drop("_one", "_cut")
 

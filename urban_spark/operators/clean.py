@@ -80,7 +80,9 @@ def parse_date(value: Column) -> Column:
 
 
 def above_quantile(df: DataFrame, value: str, q: float, out: str) -> DataFrame:
-    cut = df.agg(F.percentile(value, F.lit(q)).alias("_cut")).withColumn("_one", F.lit(1))
+    from urban_spark.operators.panel import exact_quantiles
+
+    cut = exact_quantiles(df, {"_cut": (value, q)}).withColumn("_one", F.lit(1))
     joined = df.withColumn("_one", F.lit(1)).join(F.broadcast(cut), "_one")
     return joined.withColumn(out, (F.col(value) >= F.col("_cut")).cast("int")).drop("_one", "_cut")
 

@@ -25,6 +25,11 @@ def kmeans(df: DataFrame, features: list[str], ks: list[int], *, seed: int = 42)
     return df.sparkSession.createDataFrame(table, "k int, inertia double, silhouette double"), out
 
 
+def centroids(df: DataFrame, features: list[str], label: str = "label") -> DataFrame:
+    """(label, n, features): each label's mean in the units of `df`, which may not be those it was fitted in."""
+    return df.groupBy(label).agg(F.count(F.lit(1)).alias("n"), *(F.avg(f).alias(f) for f in features))
+
+
 def hierarchy(df: DataFrame, features: list[str], k: int = 4, *, seed: int = 42) -> DataFrame:
     """`df` with `label` by k-means that splits one group in two at a time."""
     from pyspark.ml.clustering import BisectingKMeans

@@ -150,7 +150,9 @@ def horizon_errors(df: DataFrame, ends: list[int], *, horizon: str = "horizon",
 def first_crossing(df: DataFrame, value: str, *, threshold: float, kind: str, key: str = "ward", date: str = "month") -> DataFrame:
     """(key, year): the first year in which a value is above the threshold, given as it is or as a quantile of all values."""
     if kind == "quantile":
-        cut = df.agg(F.percentile(value, F.lit(threshold)).alias("_cut")).withColumn("_one", F.lit(1))
+        from urban_spark.operators.panel import exact_quantiles
+
+        cut = exact_quantiles(df, {"_cut": (value, threshold)}).withColumn("_one", F.lit(1))
     else:
         cut = df.sparkSession.createDataFrame([(float(threshold), 1)], "_cut double, _one int")
     joined = df.withColumn("_one", F.lit(1)).join(F.broadcast(cut), "_one")

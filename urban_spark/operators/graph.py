@@ -11,7 +11,11 @@ from pyspark.sql import functions as F
 def _cut(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     if spark.sparkContext.getCheckpointDir() is None:
-        shared = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
+        shared = spark.conf.get("spark.checkpoint.dir", None)
+        if shared is None:
+            if not spark.sparkContext.master.startswith("local"):
+                raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+            shared = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
         spark.sparkContext.setCheckpointDir(shared)
     return df.checkpoint()
 
@@ -40,11 +44,12 @@ def degrees(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return joined.select("id", F.coalesce("count", F.lit(0)).alias("degree"), (F.coalesce("count", F.lit(0)) / F.greatest(F.col("_n") - 1, F.lit(1))).alias("centrality"))
 
 
-def components(nodes: DataFrame, edges: DataFrame, most_rounds: int = 100) -> DataFrame:
-    """(id, component): the least id that edges connect a node with; labels take the least around and then that one's own."""
+def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(id, component): the least id that edges connect a node with; labels take the least around and then that one's own,
+    until none changes."""
     around = _cut(undirected(edges.select("src", "dst")))
     labels = _cut(nodes.select("id", F.col("id").alias("component")))
-    for _ in range(most_rounds):
+    while True:
         near = around.join(labels.select(F.col("id").alias("dst"), "component"), "dst").groupBy(F.col("src").alias("id")).agg(F.min("component").alias("near"))
         lower = labels.join(near, "id", "left").select("id", F.col("component").alias("old"), F.least("component", F.coalesce("near", "component")).alias("component"))
         jump = labels.select(F.col("id").alias("component"), F.col("component").alias("further"))
@@ -52,7 +57,6 @@ def components(nodes: DataFrame, edges: DataFrame, most_rounds: int = 100) -> Da
         labels = step.select("id", "component")
         if step.where("old <> component").isEmpty():
             return labels
-    raise RuntimeError("components did not settle")
 
 
 def shortest_paths(edges: DataFrame, sources: DataFrame, most_rounds: int = 10_000) -> DataFrame:

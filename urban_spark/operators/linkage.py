@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from urban_spark.functions.text import normalized, number_between, token_set_ratio
+from urban_spark.operators.graph import _cut
+from urban_spark.operators.panel import cumulative
 
 
 def ordinal_join(left: DataFrame, right: DataFrame, *, group: str, left_order: str, right_order: str) -> DataFrame:
@@ -22,15 +24,29 @@ def ordinal_band(df: DataFrame, *, group: str, key: str, reach: int) -> DataFram
 
 
 def _one_to_one(pairs: DataFrame, a: str, b: str, order: list) -> DataFrame:
-    """Pairs that are each other's first by `order`."""
+    """Pairs as if taken one by one in the order of `order`, each row once: those that are each other's first, then those
+    among what is left, until nothing is."""
     wa, wb = Window.partitionBy(a).orderBy(*order), Window.partitionBy(b).orderBy(*order)
-    return pairs.withColumn("_ra", F.row_number().over(wa)).withColumn("_rb", F.row_number().over(wb)).where("_ra = 1 AND _rb = 1").drop("_ra", "_rb")
+    left, found = _cut(pairs), None
+    while found is None or not left.isEmpty():
+        one = left.withColumn("_ra", F.row_number().over(wa)).withColumn("_rb", F.row_number().over(wb)).where("_ra = 1 AND _rb = 1").drop("_ra", "_rb")
+        one = _cut(one)
+        found = one if found is None else found.unionByName(one)
+        left = _cut(left.join(one.select(a), a, "left_anti").join(one.select(b), b, "left_anti"))
+    return found
+
+
+def _in_order(a: DataFrame, b: DataFrame) -> DataFrame:
+    """(left, right): the n-th of a with the n-th of b, by their numeric keys; places are sums in two levels."""
+    place = lambda df, c: cumulative(df.select(F.col(c)).withColumn("_v", F.col(c).cast("double")).withColumn("_k", F.lit(1)), "_v", "_k", "_at").select(c, "_at")
+    return place(a, "left").join(place(b, "right"), "_at").select("left", "right")
 
 
-def link(left: DataFrame, right: DataFrame, *, left_key: str, left_name: str, right_key: str, right_name: str, least: float = 88.0) -> DataFrame:
+def link(left: DataFrame, right: DataFrame, *, left_key: str, left_name: str, right_key: str, right_name: str, least: float = 88.0, in_order: bool = False) -> DataFrame:
     """(left, right, method, score), one to one: the number in the text equals the right key; else equal normalised names; else
     token-set similarity of `least` or more among names that share one of their two rarest tokens, so that a token common to
-    many names pairs nothing; each stage takes what the ones before left."""
+    many names pairs nothing; each stage takes what the ones before left. With `in_order` what is left at last is paired by
+    the order of the keys, which must be numeric."""
     a = left.select(F.col(left_key).alias("left"), F.col(left_name).alias("_a"))
     b = right.select(F.col(right_key).alias("right"), F.col(right_name).alias("_b"))
     found = None
@@ -41,7 +57,8 @@ def link(left: DataFrame, right: DataFrame, *, left_key: str, left_name: str, ri
         a, b = a.join(one, "left", "left_anti"), b.join(one, "right", "left_anti")
         found = one if found is None else found.unionByName(one)
 
-    number = a.withColumn("right", number_between(F.col("_a"), 1, 1000).cast(b.schema["right"].dataType))
+    low, high = b.agg(F.min(F.col("right").try_cast("int")), F.max(F.col("right").try_cast("int"))).collect()[0]
+    number = a.withColumn("right", number_between(F.col("_a"), low or 0, high or 0).cast(b.schema["right"].dataType))
     stage(number.join(b.select("right"), "right").withColumn("score", F.lit(100.0)), "number")
     stage(a.withColumn("_k", normalized(F.col("_a"))).join(b.withColumn("_k", normalized(F.col("_b"))), "_k").withColumn("score", F.lit(100.0)), "name")
     tokens = lambda df, c: df.withColumn("_t", F.explode(F.array_distinct(F.split(normalized(F.col(c)), " ")))).where("_t <> ''")
@@ -50,6 +67,8 @@ def link(left: DataFrame, right: DataFrame, *, left_key: str, left_name: str, ri
     rarest = lambda df, key: df.join(often, "_t").withColumn("_rn", F.row_number().over(Window.partitionBy(key).orderBy("_often", "_t"))).where("_rn <= 2").drop("_rn", "_often")
     near = rarest(own, "left").join(rarest(other, "right"), "_t").select("left", "right", "_a", "_b").distinct().withColumn("score", token_set_ratio(F.col("_a"), F.col("_b")))
     stage(near.where(F.col("score") >= least), "fuzzy")
+    if in_order:
+        found = found.unionByName(_in_order(a, b).select("left", "right", F.lit("order").alias("method"), F.lit(0.0).alias("score")))
     return found
 
 

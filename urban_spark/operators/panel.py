@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,21 +33,34 @@ def rolling_std(df: DataFrame, value: str, sizes: list[int], *, key: str = "ward
     return df.withColumns({f"{value}_roll_std_{n}": F.coalesce(F.stddev_samp(value).over(_by(key, date).rowsBetween(-(n - 1), 0)), F.lit(0.0)) for n in sizes})
 
 
-def ordered_fold(df: DataFrame, keys: list[str], order: str, values: list[str], start: Column, step, out: str) -> DataFrame:
-    """Rows of each key in order, each with the state after it: step(state, row) starting from `start`.
+def ordered_fold(df: DataFrame, keys: list[str], order: str, value: str, fold, out: str) -> DataFrame:
+    """(keys, order, value, and the columns of `out`, a DDL string): the rows of each key in order, with what fold(values)
+    gives for them, a list for each column of `out`. One pass over a key's rows, which are one task's, with null as None."""
+    rows = df.select(*keys, order, value)
+    schema, names = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema), [c.split()[0] for c in out.split(", ")]
 
-    The rows of one key are gathered as an array; a state is kept for each.
-    """
-    rows = df.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(order, *values))).alias("_rows"))
-    states = F.aggregate("_rows", F.array(start), lambda a, x: F.concat(a, F.array(step(F.element_at(a, -1), x))))
-    zipped = F.arrays_zip(F.col("_rows").alias("row"), F.slice(states, 2, F.size("_rows")).alias("state"))
-    return rows.select(*keys, F.explode(zipped).alias("_x")).select(*keys, "_x.row.*", F.col("_x.state").alias(out))
+    def folded(table: pa.Table) -> pa.Table:
+        table = table.sort_by(order)
+        for name, column in zip(names, fold(table.column(value).to_pylist()), strict=True):
+            table = table.append_column(name, pa.array(column, pa.bool_() if isinstance(column[0], bool) else pa.float64()))
+        return table
+
+    return rows.groupBy(*keys).applyInArrow(folded, f"{schema}, {out}")
 
 
 def ema(df: DataFrame, value: str, span: int, *, key: str = "ward", date: str = "month") -> DataFrame:
-    """Exponential moving average, unadjusted: the first value, then a * x + (1 - a) * before with a = 2 / (span + 1)."""
+    """Exponential moving average, unadjusted: the first value, then a * x + (1 - a) * before with a = 2 / (span + 1). A null
+    has no average, and the next value starts anew."""
     a = 2 / (span + 1)
-    return ordered_fold(df, [key], date, [value], F.lit(None).cast("double"), lambda s, x: F.when(s.isNull(), x[value]).otherwise(a * x[value] + (1 - a) * s), f"{value}_ema_{span}")
+
+    def fold(values: list) -> tuple[list]:
+        out, state = [], None
+        for x in values:
+            state = None if x is None else float(x) if state is None else a * float(x) + (1 - a) * state
+            out.append(state)
+        return (out,)
+
+    return ordered_fold(df, [key], date, value, fold, f"{value}_ema_{span} double")
 
 
 def differences(df: DataFrame, value: str, steps: list[int], *, key: str = "ward", date: str = "month") -> DataFrame:
@@ -68,7 +82,7 @@ def fill_both_ways(df: DataFrame, value: str, *, key: str = "ward", date: str =
 def fill_by_medians(df: DataFrame, value: str, *, key: str = "ward") -> DataFrame:
     """Nulls take their key's median, else the median of all, else 0."""
     own = df.groupBy(F.col(key).alias("_key")).agg(F.median(value).alias("_own"))
-    all_ = df.agg(F.median(value).alias("_all")).withColumn("_one", F.lit(1))
+    all_ = exact_quantiles(df, {"_all": (value, 0.5)}).withColumn("_one", F.lit(1))
     joined = df.join(own, F.col(key).eqNullSafe(F.col("_key")), "left").withColumn("_one", F.lit(1)).join(F.broadcast(all_), "_one")
     return joined.withColumn(value, F.coalesce(value, "_own", "_all", F.lit(0.0))).select(*df.columns)
 
@@ -91,12 +105,34 @@ def average_rank_percent(df: DataFrame, value: str, scale: float, out: str) -> D
     return df.join(ranks, df[value] == ranks["_v"], "left").drop("_v")
 
 
+def exact_quantiles(df: DataFrame, wanted: dict[str, tuple[str, float]]) -> DataFrame:
+    """One row: name -> the exact quantile (column, share), between the two values beside it where it falls between; null
+    without values. From counts of distinct values, cumulated in two levels, so that no task sees all of them."""
+    out = None
+    for column in dict.fromkeys(c for c, _ in wanted.values()):
+        counts = df.where(F.col(column).isNotNull()).groupBy(F.col(column).cast("double").alias("_v")).count()
+        upto = cumulative(counts, "_v", "count", "_upto")
+        total = counts.agg(F.sum("count").alias("_n")).withColumn("_one", F.lit(1))
+        rows, names = upto.withColumn("_one", F.lit(1)).join(F.broadcast(total), "_one"), [k for k, (c, _) in wanted.items() if c == column]
+        ends = []
+        for name in names:
+            place = (F.col("_n") - 1) * F.lit(float(wanted[name][1]))
+            ends += [F.min(F.when(F.col("_upto") > F.floor(place), F.col("_v"))).alias(f"{name}_lo"), F.min(F.when(F.col("_upto") > F.ceil(place), F.col("_v"))).alias(f"{name}_hi"), F.max(place).alias(f"{name}_at")]
+        lo, hi, at = (lambda s: lambda name: F.col(f"{name}_{s}"))("lo"), (lambda s: lambda name: F.col(f"{name}_{s}"))("hi"), (lambda s: lambda name: F.col(f"{name}_{s}"))("at")
+        between = [F.when(lo(k) == hi(k), lo(k)).otherwise((F.ceil(at(k)) - at(k)) * lo(k) + (at(k) - F.floor(at(k))) * hi(k)).alias(k) for k in names]
+        one = rows.agg(*ends).select(*between)
+        out = one if out is None else out.crossJoin(F.broadcast(one))  # one row each
+    return out.select(*wanted)
+
+
 def cumulative(df: DataFrame, order: str, value: str, out: str, buckets: int = 64) -> DataFrame:
-    """Running sum of `value` over all rows in the order of a numeric column without ties, in two levels: within equal
-    ranges of the order's values, and over the few range totals."""
-    span = df.agg(F.min(order).alias("_lo"), F.max(order).alias("_hi")).withColumn("_one", F.lit(1))
-    width = F.when(F.col("_hi") > F.col("_lo"), (F.col(order) - F.col("_lo")) / (F.col("_hi") - F.col("_lo"))).otherwise(0.0)
-    ranged = df.withColumn("_one", F.lit(1)).join(F.broadcast(span), "_one").withColumn("_b", F.floor(width * buckets)).drop("_lo", "_hi", "_one")
+    """Running sum of `value` over all rows in the order of a numeric column without ties, in two levels: within ranges
+    of about as many rows each, by a sketch of the order's quantiles, and over the few range totals."""
+    cuts = sorted(set(df.stat.approxQuantile(order, [k / buckets for k in range(1, buckets)], 1 / (4 * buckets)) or []))
+    at = F.lit(0)
+    for cut in cuts:
+        at = at + (F.col(order) >= F.lit(cut)).cast("int")
+    ranged = df.withColumn("_b", at)
     before = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     sums = ranged.groupBy("_b").agg(F.sum(value).alias("_s")).withColumn("_before", F.coalesce(F.sum("_s").over(before), F.lit(0))).drop("_s")
     inside = Window.partitionBy("_b").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)

@@ -63,14 +63,18 @@ def apply_rules(df: DataFrame, rules: dict[str, dict]) -> DataFrame:
 
 def latched_accumulator(df: DataFrame, value: str, *, keys: list[str], date: str, decay: float, limit: float) -> DataFrame:
     """Stress: what is left of it after `decay` plus each rise of `value`; `failed` from the first time it is above `limit` on."""
-    start = F.struct(F.lit(None).cast("double").alias("last"), F.lit(0.0).alias("stress"), F.lit(False).alias("failed"))
 
-    def step(s: Column, x: Column) -> Column:
-        stress = s["stress"] * (1 - decay) + F.greatest(F.lit(0.0), x[value] - F.coalesce(s["last"], x[value]))
-        return F.struct(x[value].alias("last"), stress.alias("stress"), (s["failed"] | (stress > limit)).alias("failed"))
-
-    folded = ordered_fold(df, keys, date, [value], start, step, "_state")
-    return folded.select(*keys, date, value, F.col("_state.stress").alias("stress"), F.col("_state.failed").alias("failed"))
+    def fold(values: list) -> tuple[list, list]:
+        stresses, fails, last, stress, failed = [], [], None, 0.0, False
+        for x in values:
+            rise = 0.0 if x is None or last is None else max(0.0, float(x) - last)
+            stress, last = stress * (1 - decay) + rise, None if x is None else float(x)
+            failed = failed or stress > limit
+            stresses.append(stress)
+            fails.append(failed)
+        return stresses, fails
+
+    return ordered_fold(df, keys, date, value, fold, "stress double, failed boolean")
 
 
 def collapse_curve(states: DataFrame, *, date: str = "date", failed: str = "failed", stress: str = "stress", ward: str = "ward") -> DataFrame:

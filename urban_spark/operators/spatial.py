@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -34,32 +35,47 @@ def points_in_polygons(points: DataFrame, polygons: DataFrame, *, lon: str = "lo
     return points.join(found.select(key, *columns), key, "left")
 
 
-def nearest(points: DataFrame, targets: DataFrame, *, key: str, target: str, lon: str = "lon", lat: str = "lat", out: str = "km", size: float = 0.1, most_rings: int = 64, broadcast_rows: int = 2_000) -> DataFrame:
-    """(key, target, km): each point's nearest target, ties to the least target.
+def nearest(points: DataFrame, targets: DataFrame, *, key: str, target: str, lon: str = "lon", lat: str = "lat", out: str = "km", broadcast_rows: int = 2_000) -> DataFrame:
+    """(key, target, km): each point's nearest target, ties to the least target. No targets: no rows.
 
-    Up to `broadcast_rows` targets are compared with every point. More are met through coarse cells in rings that grow
-    until all points are done: one found within the reach of the searched rings can't be beaten from outside.
+    Up to `broadcast_rows` targets are compared with every point. More are met through cells, at first of about four
+    targets each: a point looks into its own cell, or that of the targets' extent nearest to it, and the eight around. What
+    it finds within one cell's width can't be beaten from outside; points without such a find look into cells four times
+    as wide, until a cell holds all targets.
     """
+    from urban_spark.operators.graph import _cut
+
     t = targets.select(target, F.col(lon).alias("_tx"), F.col(lat).alias("_ty"))
     p = points.select(key, F.col(lon).alias("_px"), F.col(lat).alias("_py"))
     km = g.haversine_km(F.col("_px"), F.col("_py"), F.col("_tx"), F.col("_ty"))
     best = lambda df: df.groupBy(key).agg(F.min(F.struct(km.alias("km"), F.col(target).alias("t"))).alias("_b")).select(key, F.col("_b.t").alias(target), F.col("_b.km").alias(out))
     if t.limit(broadcast_rows + 1).count() <= broadcast_rows:
         return best(p.join(F.broadcast(t)))
-    placed = t.withColumn("cx", _cell(F.col("_tx"), size)).withColumn("cy", _cell(F.col("_ty"), size))
-    done, left, ring = None, p, 1
-    while ring <= most_rings:
-        around = lambda c: F.explode(F.sequence(_cell(F.col(c), size) - ring, _cell(F.col(c), size) + ring))  # noqa: E731, B023
-        near = left.withColumn("cx", around("_px")).withColumn("cy", around("_py"))
-        reach = ring * size * 111.0 * F.greatest(F.lit(0.05), F.cos(F.radians(F.abs(F.col("_py")) + ring * size)))
-        found = best(near.join(placed, ["cx", "cy"]))
-        sure = found.join(left, key).where(F.col(out) <= reach).select(key, target, out)
-        done = sure if done is None else done.unionByName(sure)
-        left = left.join(sure, key, "left_anti")
-        if left.isEmpty():
-            return done
-        ring *= 4
-    return done.unionByName(best(left.join(F.broadcast(t))))
+    t = _cut(t)
+    count, x0, x1, y0, y1 = t.agg(F.count(F.lit(1)), F.min("_tx"), F.max("_tx"), F.min("_ty"), F.max("_ty")).collect()[0]
+    extent = max(x1 - x0, y1 - y0, 1e-9)
+    size = max(math.sqrt(max((x1 - x0) * (y1 - y0), 1e-18) * 4 / count), extent / 4096)
+    done, left = [], p
+    while True:
+        last = size > extent
+        low, high = (math.floor(x0 / size), math.floor(y0 / size)), (math.floor(x1 / size), math.floor(y1 / size))
+        inside = lambda c, i: F.greatest(F.lit(low[i]), F.least(F.lit(high[i]), _cell(F.col(c), size)))  # noqa: E731, B023
+        around = lambda c, i: F.explode(F.sequence(inside(c, i) - 1, inside(c, i) + 1))  # noqa: E731, B023
+        near = left.withColumn("cx", around("_px", 0)).withColumn("cy", around("_py", 1))
+        placed = t.withColumn("cx", _cell(F.col("_tx"), size)).withColumn("cy", _cell(F.col("_ty"), size))
+        reach = size * 111.0 * F.greatest(F.lit(0.0), F.cos(F.radians(F.least(F.lit(90.0), F.abs(F.col("_py")) + size))))
+        found = near.join(placed, ["cx", "cy"]).groupBy(key, "_px", "_py").agg(F.min(F.struct(km.alias("km"), F.col(target).alias("t"))).alias("_b"))
+        found = _cut(found.select(key, "_px", "_py", F.col("_b.t").alias(target), F.col("_b.km").alias(out), (F.lit(last) | (F.col("_b.km") <= reach)).alias("_sure")))
+        done.append(found.where("_sure").select(key, target, out))
+        if last:
+            break
+        left = left.join(done[-1].select(key), key, "left_anti")
+        if found.where("NOT _sure").isEmpty():  # those without any find are still to come
+            left = _cut(left)
+            if left.isEmpty():
+                break
+        size *= 4
+    return reduce(DataFrame.unionByName, done)
 
 
 def join_with_nearest(points: DataFrame, polygons: DataFrame, *, key: str, polygon: str, rings: str = "rings", lon: str = "lon", lat: str = "lat") -> DataFrame:
@@ -175,7 +191,7 @@ def segment_graph(lines: DataFrame, line: str, tolerance: float) -> tuple[DataFr
     return nodes, edges
 
 
-def repair_contiguity(areas: DataFrame, edges: DataFrame, *, rounds: int = 10) -> DataFrame:
+def repair_contiguity(areas: DataFrame, edges: DataFrame, *, rounds: int = 100) -> DataFrame:
     """(id, zone): parts of a zone apart from its largest take, all at once in each round, the zone that most neighbours outside
     the part have (ties to the least zone). areas (id, zone), edges (src, dst) both ways."""
     from urban_spark.operators.graph import _cut, components
@@ -194,4 +210,4 @@ def repair_contiguity(areas: DataFrame, edges: DataFrame, *, rounds: int = 10) -
         if moved.isEmpty():
             return areas
         areas = _cut(areas.join(moved, "id", "left").select("id", F.coalesce("_new", "zone").alias("zone")))
-    return areas
+    raise RuntimeError("zones did not settle")

@@ -5,12 +5,15 @@ What reaches the driver is a matrix over the columns of a model, never rows.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from urban_spark.operators.panel import cumulative
+
 
 def gram(df: DataFrame, columns: list[str], weight: Column | None = None) -> tuple[np.ndarray, int]:
     """Sums of products of all pairs of columns (the first is meant to be 1), by rows without a null; and their number."""
@@ -24,6 +27,34 @@ def gram(df: DataFrame, columns: list[str], weight: Column | None = None) -> tup
     return out, found["n"]
 
 
+#: Two-sided p of a normal z: a rational approximation of the complementary error function, whose relative error is below
+#: 1.2e-7; fixed values. As SQL over a column z.
+NORMAL_P = (
+    "({t} * exp(-{x} * {x} - 1.26551223 + {t} * (1.00002368 + {t} * (0.37409196 + {t} * (0.09678418 + {t} * (-0.18628806 + {t} * (0.27886807 + "
+    "{t} * (-1.13520398 + {t} * (1.48851587 + {t} * (-0.82215223 + {t} * 0.17087277))))))))))"
+).format(x="(abs(z) / sqrt(2.0))", t="(1 / (1 + 0.5 * abs(z) / sqrt(2.0)))")
+
+
+def t_p(t: float, freedom: float) -> float:
+    """Two-sided p of Student's t: the regularised incomplete beta function, by its continued fraction."""
+    x, a, b = freedom / (freedom + t * t), freedom / 2, 0.5
+    if x >= 1 or x <= 0:
+        return 1.0 if x >= 1 else 0.0
+    turned = x > (a + 1) / (a + b + 2)
+    if turned:
+        x, a, b = 1 - x, b, a
+    front = math.exp(a * math.log(x) + b * math.log1p(-x) + math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b)) / a
+    low, c, d = 1e-300, 1.0, 1 / max(1 - (a + b) * x / (a + 1), 1e-300)
+    out = d
+    for m in range(1, 500):
+        for term in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
+            d, c = 1 / (1 + term * d or low), 1 + term / c or low
+            out *= c * d
+        if abs(c * d - 1) < 1e-15:
+            break
+    return 1 - front * out if turned else front * out
+
+
 @dataclass(frozen=True)
 class Fit:
     names: list[str]
@@ -33,6 +64,7 @@ class Fit:
     n: int
     rss: float
     tss: float
+    robust: bool = False
 
     @property
     def r2(self) -> float:
@@ -51,9 +83,13 @@ class Fit:
         return np.log(self.n) * len(self.beta) - 2 * self.log_likelihood
 
     def table(self, df: DataFrame) -> DataFrame:
+        """A row for each term: coefficient, standard error, t, and its two-sided p, by Student's distribution or, with a robust
+        covariance or without a residual, the normal one."""
         se = np.sqrt(np.maximum(np.diag(self.covariance), 0))
-        rows = [(name, float(b), float(s), float(b / s) if s else None) for name, b, s in zip(self.names, self.beta, se, strict=True)]
-        return df.sparkSession.createDataFrame(rows, "term string, coefficient double, se double, t double")
+        freedom = self.n - len(self.beta)
+        p = lambda t: math.erfc(abs(t) / math.sqrt(2)) if self.robust or not self.rss or freedom < 1 else t_p(t, freedom)
+        rows = [(name, float(b), float(s), *((float(b / s), p(float(b / s))) if s else (None, None))) for name, b, s in zip(self.names, self.beta, se, strict=True)]
+        return df.sparkSession.createDataFrame(rows, "term string, coefficient double, se double, t double, p double")
 
 
 def _ones(df: DataFrame) -> DataFrame:
@@ -98,16 +134,17 @@ def ols(df: DataFrame, y: str, xs: list[str], robust: str | None = None, *, clus
         meat, count = gram(groups, [f"g{i}" for i in range(k)])
         meat *= count / (count - 1) * (n - 1) / (n - k)
     else:
-        columns = [f"g{i}" for i in range(k)]
+        columns, late = [f"g{i}" for i in range(k)], [f"l{i}" for i in range(k)]
         rows = data.select(order, *(s.alias(c) for s, c in zip(scores, columns, strict=True)))
         meat, _ = gram(rows, columns)
-        for lag in range(1, lags + 1):
-            late = [f"l{i}" for i in range(k)]
-            ahead = rows.withColumns({b: F.lag(a, lag).over(Window.orderBy(order)) for a, b in zip(columns, late, strict=True)})
-            cross, _ = gram(ahead, [*columns, *late])
-            cross = cross[:k, k:]
-            meat += (1 - lag / (lags + 1)) * (cross + cross.T)
-    return Fit(names, beta, inverse, inverse @ meat @ inverse, n, rss, tss)
+        # Each row meets those up to `lags` places before it by its place, which is a sum in two levels.
+        at = rows.withColumn("_v", F.col(order).cast("timestamp").cast("double") if dict(rows.dtypes)[order] in ("date", "timestamp") else F.col(order).cast("double"))
+        placed = cumulative(at.withColumn("_k", F.lit(1)), "_v", "_k", "_at").select("_at", *columns)
+        before = placed.select("_at", *(F.col(c).alias(d) for c, d in zip(columns, late, strict=True)), F.explode(F.sequence(F.lit(1), F.lit(lags))).alias("_lag")).withColumn("_at", F.col("_at") + F.col("_lag"))
+        weighted = placed.join(before, "_at").withColumn("_w", 1 - F.col("_lag") / (lags + 1.0))
+        cross, _ = gram(weighted, [*columns, *late], F.col("_w"))
+        meat += cross[:k, k:] + cross[:k, k:].T
+    return Fit(names, beta, inverse, inverse @ meat @ inverse, n, rss, tss, True)
 
 
 def correlations(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -175,6 +212,24 @@ def spatial_lag(values: DataFrame, weights: DataFrame, columns: list[str], *, ke
     return values.join(lagged, key, "left").fillna(0.0, [f"W_{c}" for c in columns])
 
 
+def shuffled(values: DataFrame, value: str, *, key: str, permutations: int, seed: int = 1) -> DataFrame:
+    """(run, key, value) for the runs 1 to `permutations`: in each the values are dealt anew to the keys, by the order of the keys'
+    hashes. Places in that order are row numbers within ranges of the hash and the sizes of the ranges below."""
+    hashed = lambda run: F.xxhash64(F.col(key), F.lit(seed), run)
+
+    def placed(df: DataFrame, run: Column) -> DataFrame:
+        at = df.withColumn("_h", hashed(run)).withColumn("_b", F.shiftrightunsigned("_h", 58))  # 64 ranges
+        counts = at.groupBy("run", "_b").agg(F.count(F.lit(1)).alias("_c"))
+        before = F.coalesce(F.sum("_c").over(Window.partitionBy("run").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        own = F.row_number().over(Window.partitionBy("run", "_b").orderBy("_h", key))
+        return at.withColumn("_own", own).join(F.broadcast(counts.select("run", "_b", before.alias("_before"))), ["run", "_b"]).withColumn("_at", F.col("_own") + F.col("_before"))
+
+    runs = F.explode(F.sequence(F.lit(1), F.lit(permutations))).alias("run")
+    new = placed(values.select(runs, key, value), F.col("run")).select("run", "_at", value)
+    places = placed(values.select(F.lit(0).alias("run"), key), F.lit(0)).select("_at", key).select(runs, "_at", key)
+    return places.join(new, ["run", "_at"]).select("run", key, value)
+
+
 def moran(values: DataFrame, weights: DataFrame, value: str, *, key: str, permutations: int = 0, seed: int = 1) -> DataFrame:
     """(n, i, expected, z, p): global Moran's I; z under randomisation of normal values; p from permutations by hashed order, if any."""
     lagged = spatial_lag(values.select(key, value), weights, [value], key=key)
@@ -199,27 +254,35 @@ def moran(values: DataFrame, weights: DataFrame, value: str, *, key: str, permut
     variance = (n * n * total - n * s2 + 3 * s0 * s0) / ((n * n - 1) * s0 * s0) - expected**2
     p = None
     if permutations:
-        places = values.select(key, F.row_number().over(Window.orderBy(key)).alias("_rn"))
-        above = 0
-        for k in range(permutations):
-            shuffled = values.select(F.col(value), F.row_number().over(Window.orderBy(F.xxhash64(F.col(key), F.lit(seed * 1000 + k)), key)).alias("_rn"))
-            above += abs(index(places.join(shuffled, "_rn").select(key, value)) - expected) >= abs(i - expected)
+        dealt = shuffled(values.select(key, value), value, key=key, permutations=permutations, seed=seed)
+        at = dealt.select("run", F.col(key).alias("src"), (F.col(value) - m["mean"]).alias("x"))
+        pair = weights.join(at, "src").join(at.select("run", F.col("src").alias("dst"), F.col("x").alias("y")), ["run", "dst"])
+        runs = pair.groupBy("run").agg((F.sum(F.col("w") * F.col("x") * F.col("y")) / (m["var"] * rows)).alias("i"))
+        above = runs.agg(F.coalesce(F.sum((F.abs(F.col("i") - expected) >= abs(i - expected)).cast("long")), F.lit(0))).collect()[0][0]
         p = (above + 1) / (permutations + 1)
     return values.sparkSession.createDataFrame([(n, float(i), expected, float((i - expected) / np.sqrt(variance)), p)], "n long, i double, expected double, z double, p double")
 
 
-def local_moran(values: DataFrame, weights: DataFrame, value: str, *, key: str) -> DataFrame:
-    """(key, local_i, quadrant): a value's deviation times that of its neighbours' mean, over the variance."""
-    m = values.agg(F.avg(value).alias("_m"), F.var_pop(value).alias("_v")).withColumn("_one", F.lit(1))
-    dev = values.withColumn("_one", F.lit(1)).join(F.broadcast(m), "_one").select(key, (F.col(value) - F.col("_m")).alias("z"), "_v")
-    lagged = spatial_lag(dev, weights, ["z"], key=key)
+def local_moran(values: DataFrame, weights: DataFrame, value: str, *, key: str, significant: float = 0.05) -> DataFrame:
+    """(key, local_i, quadrant, z, p, label): a value's deviation times that of its neighbours' weighted mean, over the variance; z
+    of that mean if the neighbours were drawn from all others, its two-sided p, and the quadrant where p is below
+    `significant`, else NotSig. Keys without neighbours have no z and are NotSig."""
+    m = values.agg(F.avg(value).alias("_m"), F.var_pop(value).alias("_v"), F.count(value).cast("double").alias("_n")).withColumn("_one", F.lit(1))
+    dev = values.withColumn("_one", F.lit(1)).join(F.broadcast(m), "_one").select(key, (F.col(value) - F.col("_m")).alias("z"), "_v", "_n")
+    squares = weights.groupBy(F.col("src").alias(key)).agg(F.sum("w").alias("_w1"), F.sum(F.col("w") * F.col("w")).alias("_w2"))
+    lagged = spatial_lag(dev, weights, ["z"], key=key).join(squares, key, "left")
     high, around = F.col("z") > 0, F.col("W_z") > 0
+    n, z = F.col("_n"), F.col("z")
+    mean = -z / (n - 1)
+    spread = (n * F.col("_v") - z * z) / (n - 1) - mean * mean
+    score = (F.col("W_z") - F.col("_w1") * mean) / F.sqrt(spread * (F.col("_w2") - F.col("_w1") * F.col("_w1") / (n - 1)) * (n - 1) / (n - 2))
     quadrant = F.when(high & around, "HH").when(~high & ~around, "LL").when(high, "HL").otherwise("LH")
-    return lagged.select(key, (F.col("z") * F.col("W_z") / F.col("_v")).alias("local_i"), quadrant.alias("quadrant"))
+    found = lagged.select(key, (F.col("z") * F.col("W_z") / F.col("_v")).alias("local_i"), quadrant.alias("quadrant"), score.alias("z")).withColumn("p", F.expr(NORMAL_P))
+    return found.withColumn("label", F.when(F.col("p") < significant, F.col("quadrant")).otherwise("NotSig"))
 
 
 def getis_ord(values: DataFrame, weights: DataFrame, value: str, *, key: str) -> DataFrame:
-    """(key, g, z): share of the others' total that lies with the neighbours (binary weights), and its z score."""
+    """(key, g, z, p): share of the others' total that lies with the neighbours (binary weights), its z score and two-sided p."""
     n, s1, s2 = values.agg(F.count(value), F.sum(value), F.sum(F.col(value) * F.col(value))).collect()[0]
     at = values.select(F.col(key).alias("dst"), F.col(value).alias("_x"))
     near = weights.select("src", "dst").distinct().where("src <> dst").join(at, "dst").groupBy(F.col("src").alias(key)).agg(F.sum("_x").alias("_s"), F.count(F.lit(1)).cast("double").alias("_k"))
@@ -228,7 +291,7 @@ def getis_ord(values: DataFrame, weights: DataFrame, value: str, *, key: str) ->
     var = (s2 - F.col("_v") * F.col("_v")) / (n - 1) - mean * mean
     g, expected = F.col("_s") / others, F.col("_k") / (n - 1)
     spread = F.sqrt(F.col("_k") * (n - 1 - F.col("_k")) * var / ((n - 1) * (n - 1) * (n - 2) * mean * mean))
-    return rows.select(key, g.alias("g"), ((g - expected) / spread).alias("z"))
+    return rows.select(key, g.alias("g"), ((g - expected) / spread).alias("z")).withColumn("p", F.expr(NORMAL_P))
 
 
 def influence(df: DataFrame, fit: Fit, y: str) -> DataFrame:
@@ -277,6 +340,42 @@ def att(df: DataFrame, matches: DataFrame, y: str, *, key: str) -> DataFrame:
     return matches.join(mine, key).join(theirs, "match").agg(F.avg(F.col("_a") - F.col("_b")).alias("att"), F.count(F.lit(1)).alias("n"))
 
 
+def permuted_att(df: DataFrame, y: str, *, treated: str, stratum: str, key: str, order, runs: int = 99) -> DataFrame:
+    """(att, runs, p): mean difference of treated and other rows of a stratum, over strata by their treated rows; and p from
+    reassignments in each of which as many rows of a stratum are treated, the first by order(run), a column. Strata without
+    either kind don't count."""
+    rows = df.select(key, treated, stratum, y)
+    again = rows.withColumn("run", F.explode(F.sequence(F.lit(1), F.lit(runs))))
+    w = Window.partitionBy("run", stratum)
+    dealt = again.withColumn("_t", (F.row_number().over(w.orderBy(order(F.col("run")), key)) <= F.sum(treated).over(w)).cast("int")).select("run", stratum, y, F.col("_t").alias(treated))
+    both = rows.select(F.lit(0).alias("run"), stratum, y, treated).unionByName(dealt)
+    mean = lambda v: F.avg(F.when(F.col(treated) == v, F.col(y)))
+    strata = both.groupBy("run", stratum).agg(F.sum(treated).alias("n"), (mean(1) - mean(0)).alias("d")).where("d IS NOT NULL")
+    effects = strata.groupBy("run").agg((F.sum(F.col("n") * F.col("d")) / F.sum("n")).alias("att"))  # a row for each run
+    one = effects.agg(F.max(F.when(F.col("run") == 0, F.col("att"))).alias("att"), F.collect_list(F.when(F.col("run") > 0, F.abs("att"))).alias("others"))
+    above = F.size(F.filter("others", lambda a: a >= F.abs("att")))
+    return one.select("att", F.size("others").cast("long").alias("runs"), ((above + 1) / (F.size("others") + 1)).alias("p"))
+
+
+def masked_refits(df: DataFrame, y: str, xs: list[str], masked: str, mask, *, replicas: int, group: str) -> DataFrame:
+    """(replica, arm, term, coefficient): least squares on replicas in which the values of `masked` are taken away where
+    mask(replica) holds: on complete rows, and with the mean of what is left in the `group`. What reaches the driver is a
+    matrix for each replica and arm."""
+    names = ["const", *xs, y]
+    each = df.select(group, *xs, y).columns
+    rows = df.withColumn("replica", F.explode(F.sequence(F.lit(1), F.lit(replicas)))).withColumn("_gone", mask(F.col("replica"))).select("replica", "_gone", *each)
+    means = rows.where("NOT _gone").groupBy("replica", group).agg(F.avg(masked).alias("_mean"))
+    filled = rows.join(F.broadcast(means), ["replica", group], "left").withColumn(masked, F.when(F.col("_gone"), F.col("_mean")).otherwise(F.col(masked).cast("double")))
+    arms = filled.withColumn("arm", F.explode(F.when(F.col("_gone"), F.array(F.lit("imputed"))).otherwise(F.array(F.lit("imputed"), F.lit("complete"))))).withColumn("const", F.lit(1.0)).dropna(subset=[*xs, y])
+    pairs = [(i, j) for i in range(len(names)) for j in range(i, len(names))]
+    sums = arms.groupBy("replica", "arm").agg(*(F.sum(F.col(names[i]).cast("double") * F.col(names[j]).cast("double")).alias(f"s{i}_{j}") for i, j in pairs)).collect()
+    out, k = [], len(names) - 1
+    for r in sums:
+        g = np.array([[r[f"s{min(i, j)}_{max(i, j)}"] for j in range(k + 1)] for i in range(k + 1)], float)
+        out += [(r["replica"], r["arm"], name, float(b)) for name, b in zip(names, np.linalg.pinv(g[:k, :k]) @ g[:k, k], strict=False)]
+    return df.sparkSession.createDataFrame(out, "replica int, arm string, term string, coefficient double")
+
+
 def propensity(df: DataFrame, treated: str, xs: list[str]) -> DataFrame:
     """`df` with a logistic propensity score."""
     from pyspark.ml.classification import LogisticRegression

@@ -184,6 +184,23 @@ def j9(t):
     return l.link(odd.select("k", "raw"), names.select(F.col("k").alias("id"), "name"), left_key="k", left_name="raw", right_key="id", right_name="name")
 
 
+@query("j8_ordinal_last_stage", "WITH a AS (SELECT c_custkey AS k, row_number() OVER (ORDER BY c_custkey) AS n FROM customer), b AS (SELECT s_suppkey AS k, row_number() OVER (ORDER BY s_suppkey) AS n FROM supplier) SELECT a.k AS left, b.k AS right, 'order' AS method FROM a JOIN b USING (n)")
+@tabled
+def j8_order(t):
+    """Names that nothing else matches, paired in order."""
+    a = t.customer.select(F.col("c_custkey").alias("k"), F.translate(F.concat(F.lit("left "), F.col("c_custkey").cast("string")), "0123456789", "abcdefghij").alias("name"))
+    b = t.supplier.select(F.col("s_suppkey").alias("id"), F.translate(F.concat(F.lit("right"), F.col("s_suppkey").cast("string")), "0123456789", "klmnopqrst").alias("other"))
+    return l.link(a, b, left_key="k", left_name="name", right_key="id", right_name="other", in_order=True).select("left", "right", "method")
+
+
+@query("p5_wkb_round_trip", f"WITH {SITES} SELECT site, 'Point' AS type, lon, lat FROM sites")
+@tabled
+def p5_wkb(t):
+    rows = t.sites.select("site", gt.point_wkb(F.col("lon"), F.col("lat")).alias("wkb"))
+    v = F.col("g.rings")[0][0]
+    return rows.select("site", gt.decode_wkb("wkb").alias("g")).select("site", "g.type", v["x"].alias("lon"), v["y"].alias("lat"))
+
+
 @query("j17_nearest_pairs", f"WITH {SITES}, p AS (SELECT a.site AS src, b.site AS dst, {_km('a.lon', 'a.lat', 'b.lon', 'b.lat')} AS km FROM sites a JOIN sites b ON a.site <> b.site) SELECT src, dst, round(km, 6) AS km FROM p WHERE km <= 4 QUALIFY row_number() OVER (PARTITION BY src ORDER BY p.km, dst) <= 3")
 @tabled
 def j17(t):

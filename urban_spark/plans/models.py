@@ -105,29 +105,43 @@ def m10(t):
 @tabled
 def m10_p(t):
     v, e = _ring(t)
-    return rounded(s.moran(v, e, "x", key="ward", permutations=9), "i", "expected", "z", "p", digits=6)
+    return rounded(s.moran(v, e, "x", key="ward", permutations=999), "i", "expected", "z", "p", digits=6)
 
 
 @query(
     "m11_local_moran",
-    f"WITH {RING}, m AS (SELECT avg(x) AS m, var_pop(x) AS s FROM v), l AS (SELECT v.ward, any_value(v.x - m) AS z, coalesce(sum(w * (n.x - m)), 0) AS wz, any_value(s) AS s FROM v LEFT JOIN e ON e.src = v.ward LEFT JOIN v n ON n.ward = e.dst, m GROUP BY 1) SELECT ward, round(z * wz / s, 6) AS local_i, CASE WHEN z > 0 AND wz > 0 THEN 'HH' WHEN z <= 0 AND wz <= 0 THEN 'LL' WHEN z > 0 THEN 'HL' ELSE 'LH' END AS quadrant FROM l",
+    f"""WITH {RING}, m AS (SELECT avg(x) AS m, var_pop(x) AS s, count(*)::DOUBLE AS n FROM v),
+l AS (SELECT v.ward, any_value(v.x - m) AS d, coalesce(sum(w * (o.x - m)), 0) AS wd, sum(w) AS w1, sum(w * w) AS w2, any_value(s) AS s, any_value(n) AS n FROM v LEFT JOIN e ON e.src = v.ward LEFT JOIN v o ON o.ward = e.dst, m GROUP BY 1),
+k AS (SELECT *, d * wd / s AS i, CASE WHEN d > 0 AND wd > 0 THEN 'HH' WHEN d <= 0 AND wd <= 0 THEN 'LL' WHEN d > 0 THEN 'HL' ELSE 'LH' END AS quadrant,
+  (wd + w1 * d / (n - 1)) / sqrt(((n * s - d * d) / (n - 1) - pow(d / (n - 1), 2)) * (w2 - w1 * w1 / (n - 1)) * (n - 1) / (n - 2)) AS z FROM l),
+p AS (SELECT *, {s.NORMAL_P} AS p FROM k)
+SELECT ward, round(i, 6) AS local_i, quadrant, round(z, 6) AS z, round(p, 6) AS p, CASE WHEN p.p < 0.05 THEN quadrant ELSE 'NotSig' END AS label FROM p""",
 )
 @tabled
 def m11(t):
     v, e = _ring(t)
-    return rounded(s.local_moran(v, e, "x", key="ward"), "local_i", digits=6)
+    return rounded(s.local_moran(v, e, "x", key="ward"), "local_i", "z", "p", digits=6)
 
 
 @query(
     "m12_getis_ord",
     f"""WITH {RING}, n AS (SELECT count(*) AS n, sum(x) AS s1, sum(x * x) AS s2 FROM v), k AS (SELECT e.src AS ward, sum(b.x) AS s, count(*)::DOUBLE AS k FROM e JOIN v b ON b.ward = e.dst GROUP BY 1),
-g AS (SELECT ward, s / (s1 - x) AS g, k / (n - 1) AS ex, n, k, (s1 - x) / (n - 1) AS m, (s2 - x * x) / (n - 1) - pow((s1 - x) / (n - 1), 2) AS var FROM k JOIN v USING (ward), n)
-SELECT ward, round(g, 7) AS g, round((g - ex) / sqrt(k * (n - 1 - k) * var / (pow(n - 1, 2) * (n - 2) * m * m)), 6) AS z FROM g""",
+g AS (SELECT ward, s / (s1 - x) AS g, k / (n - 1) AS ex, n, k, (s1 - x) / (n - 1) AS m, (s2 - x * x) / (n - 1) - pow((s1 - x) / (n - 1), 2) AS var FROM k JOIN v USING (ward), n),
+h AS (SELECT ward, g, (g - ex) / sqrt(k * (n - 1 - k) * var / (pow(n - 1, 2) * (n - 2) * m * m)) AS z FROM g)
+SELECT ward, round(g, 7) AS g, round(z, 6) AS z, round({s.NORMAL_P}, 6) AS p FROM h""",
 )
 @tabled
 def m12(t):
     v, e = _ring(t)
-    return rounded(rounded(s.getis_ord(v, e, "x", key="ward"), "g", digits=7), "z", digits=6)
+    return rounded(rounded(s.getis_ord(v, e, "x", key="ward"), "g", digits=7), "z", "p", digits=6)
+
+
+@query("m1_p_values")
+@tabled
+def m1_p(t):
+    """Coefficients with p by Student's distribution, and with HC3 errors by the normal one."""
+    plain, robust = (s.ols(t.customer, "c_acctbal", ["c_nationkey"], r).table(t.customer) for r in (None, "HC3"))
+    return rounded(plain.withColumn("errors", F.lit("plain")).unionByName(robust.withColumn("errors", F.lit("HC3"))), "coefficient", "se", "t", "p", digits=6)
 
 
 @query(
@@ -142,15 +156,18 @@ def m14(t):
     return rounded(s.influence(t.customer, fit, "c_acctbal").select("c_custkey", "leverage", "cooks_d"), "leverage", "cooks_d", digits=9)
 
 
-@query("m15_masked_refits")
+M15 = """WITH x AS (SELECT replica, l_returnflag AS g, l_extendedprice AS y, l_quantity AS x, md5(l_orderkey || '-' || l_linenumber || '-' || replica) < '1' AS masked FROM lineitem, (SELECT unnest(range(1, 9)) AS replica)),
+i AS (SELECT replica, y, masked, CASE WHEN masked THEN avg(x) FILTER (WHERE NOT masked) OVER (PARTITION BY replica, g) ELSE x END AS x FROM x),
+f AS (SELECT CAST(replica AS INTEGER) AS replica, 'complete' AS arm, regr_slope(y, x) AS b, regr_intercept(y, x) AS a FROM i WHERE NOT masked GROUP BY 1 UNION ALL SELECT CAST(replica AS INTEGER), 'imputed', regr_slope(y, x), regr_intercept(y, x) FROM i GROUP BY 1)
+SELECT replica, arm, 'const' AS term, round(a, 3) AS coefficient FROM f UNION ALL SELECT replica, arm, 'l_quantity', round(b, 3) FROM f"""
+
+
+@query("m15_masked_refits", M15)
 @tabled
 def m15(t):
-    """Slope without a tenth of the rows, on four replicas of masked rows."""
-    parts = []
-    for k in range(4):
-        kept = t.lineitem.where(F.pmod(F.xxhash64("l_orderkey", "l_linenumber", F.lit(k)), F.lit(10)) != 0)
-        parts.append((k, round(float(s.ols(kept, "l_extendedprice", ["l_quantity"]).beta[1]), 3)))
-    return t.spark.createDataFrame(parts, "replica int, slope double")
+    """Refits on eight replicas with a sixteenth of the values masked: complete rows only, and with group means put in."""
+    mask = lambda replica: F.md5(F.concat_ws("-", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string"), replica.cast("string")).cast("binary")) < "1"
+    return rounded(s.masked_refits(t.lineitem, "l_extendedprice", ["l_quantity"], "l_quantity", mask, replicas=8, group="l_returnflag"), "coefficient", digits=3)
 
 
 def _treated(t):
@@ -176,16 +193,22 @@ def j22(t):
     return rounded(s.nearest_scores(df, key="k", treated="treated", score="score"), "gap", digits=9)
 
 
-@query("m17_permuted_effect")
+M17 = """WITH r AS (SELECT c_custkey AS k, CAST(c_custkey % 7 = 0 AS INTEGER) AS treated, CAST(floor((c_acctbal + 1000) / 1200) AS BIGINT) AS stratum, c_acctbal + c_nationkey AS y FROM customer),
+e AS (SELECT 0 AS run, k, treated, stratum, y FROM r UNION ALL
+  SELECT run, k, CAST(row_number() OVER (PARTITION BY run, stratum ORDER BY md5(k || '-' || run), k) <= sum(treated) OVER (PARTITION BY run, stratum) AS INTEGER), stratum, y FROM r, (SELECT unnest(range(1, 100)) AS run)),
+s AS (SELECT run, stratum, sum(treated) AS n, avg(CASE WHEN treated = 1 THEN y END) - avg(CASE WHEN treated = 0 THEN y END) AS d FROM e GROUP BY 1, 2),
+a AS (SELECT run, sum(n * d) / sum(CASE WHEN d IS NOT NULL THEN n END) AS att FROM s GROUP BY 1)
+SELECT round(any_value(b.att), 6) AS att, count(*) AS runs, (count(*) FILTER (WHERE abs(a.att) >= abs(b.att)) + 1) / (count(*) + 1.0)::DOUBLE AS p FROM a, (SELECT att FROM a WHERE run = 0) b WHERE a.run > 0"""
+
+
+@query("m17_permuted_effect", M17)
 @tabled
 def m17(t):
-    """Difference of means under nine reassignments of the treatment by hash, and the share as large as the real one."""
-    df = _treated(t)
-    real = df.agg(F.avg(F.when(F.col("treated") == 1, F.col("y"))) - F.avg(F.when(F.col("treated") == 0, F.col("y")))).collect()[0][0]
-    share = F.avg("treated")
-    p = df.agg(share).collect()[0][0]
-    runs = df.withColumn("run", F.explode(F.sequence(F.lit(1), F.lit(9)))).withColumn("u", F.pmod(F.xxhash64("o_orderkey", "run"), F.lit(1_000_003)) / 1_000_003 < p)
-    return runs.groupBy("run").agg(F.round(F.avg(F.when(F.col("u"), F.col("y"))) - F.avg(F.when(~F.col("u"), F.col("y"))), 2).alias("difference")).withColumn("as_large", F.abs("difference") >= abs(real))
+    """Effect on the treated, matched within strata of a score, and its share among 99 reassignments within the strata."""
+    k = F.col("c_custkey")
+    df = t.customer.select(k.alias("k"), (k % 7 == 0).cast("int").alias("treated"), F.floor((F.col("c_acctbal") + 1000) / 1200).alias("stratum"), (F.col("c_acctbal") + F.col("c_nationkey")).alias("y"))
+    order = lambda run: F.md5(F.concat_ws("-", F.col("k").cast("string"), run.cast("string")).cast("binary"))
+    return rounded(s.permuted_att(df, "y", treated="treated", stratum="stratum", key="k", order=order, runs=99), "att", digits=6)
 
 
 @query("m18_two_stage", "SELECT 'fitted' AS term, round(covar_pop(l_extendedprice, z) / covar_pop(l_quantity, z), 2) AS coefficient FROM (SELECT *, l_quantity + l_suppkey % 5 AS z FROM lineitem)")
@@ -224,6 +247,23 @@ def m22(t):
     return rounded(c.kmeans(_points(t), [f"e{i}" for i in range(8)], [2, 4])[0], "inertia", "silhouette", digits=1)
 
 
+@query("m22_centroids")
+@tabled
+def m22_centroids(t):
+    """Labels' sizes and their centres in the columns' own units, of groups found on scaled columns."""
+    features = [f"e{i}" for i in range(8)]
+    points = _points(t)
+    scaled = s.scaled(points, features, F.lit(True))
+    labels = c.kmeans(scaled, features, [4])[1][4].select("vec_id", "label")
+    return rounded(c.centroids(points.join(labels, "vec_id"), features), *features, digits=4)
+
+
+@query("m22_labels")
+@tabled
+def m22_labels(t):
+    return c.kmeans(_points(t), [f"e{i}" for i in range(8)], [4])[1][4].select("vec_id", "label")
+
+
 @query("m23_dbscan")
 @tabled
 def m23(t):

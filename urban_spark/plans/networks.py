@@ -41,6 +41,14 @@ def n1(t):
     return nodes
 
 
+@query("n1_property_graph_edges", "SELECT CAST(n_nationkey AS VARCHAR) AS src, CAST(n_regionkey AS VARCHAR) AS dst, 'IN' AS type, '{}' AS props_json FROM nation UNION ALL SELECT CAST(s_suppkey AS VARCHAR), CAST(s_nationkey AS VARCHAR), 'LIES_IN', '{\"s_name\":\"' || s_name || '\"}' FROM supplier")
+@tabled
+def n1_edges(t):
+    suppliers = t.supplier.select("s_suppkey", "s_nationkey", "s_name")
+    _, edges = g.property_graph({"Sector": (t.region, "r_regionkey")}, {"IN": (t.nation.select("n_nationkey", "n_regionkey"), "n_nationkey", "n_regionkey"), "LIES_IN": (suppliers, "s_suppkey", "s_nationkey")})
+    return edges
+
+
 @query("n2_s16_flow_graph", f"WITH {FLOWS} SELECT src, dst, flow FROM flows")
 @tabled
 def n2(t):
@@ -228,13 +236,31 @@ def q10(t):
     return rounded(q.scorecard(_grouped(t), "access"), "range", "mean_low", "mean_high", "gap", digits=6)
 
 
+_CARD = """SELECT '{0}' AS stage, round(max({0}) - min({0}), 6) AS range, round(avg(CASE WHEN grp = 'low' THEN {0} END), 6) AS mean_low, round(avg(CASE WHEN grp = 'high' THEN {0} END), 6) AS mean_high,
+  round(avg(CASE WHEN grp = 'low' THEN {0} END) - avg(CASE WHEN grp = 'high' THEN {0} END), 6) AS gap, round((SELECT sum((2 * r - n - 1) * v) / (any_value(n) * sum(v)) FROM (SELECT {0} AS v, row_number() OVER (ORDER BY {0}) AS r, count(*) OVER () AS n FROM both_)), 6) AS gini,
+  round(sum({0}) FILTER (WHERE income >= (SELECT quantile_cont(income, 0.9) FROM both_)) / sum({0}) FILTER (WHERE income <= (SELECT quantile_cont(income, 0.4) FROM both_)), 6) AS palma FROM both_"""
+
+
+@query("q10_before_and_after", f"WITH {WARDS}, {SITES}, {TIMES}, {PEOPLE}, {ACC}, {GROUPS}, m AS (SELECT ward, min(CASE WHEN capacity > 5000 THEN travel_min END) AS before, min(travel_min) AS after FROM times GROUP BY 1), both_ AS (SELECT grp, income, before, after FROM grouped JOIN m USING (ward)) {_CARD.format('before')} UNION ALL {_CARD.format('after')}")
+@tabled
+def q10_both(t):
+    near = _times(t).groupBy("ward").agg(F.min(F.when(F.col("capacity") > 5000, F.col("travel_min"))).alias("before"), F.min("travel_min").alias("after"))
+    return rounded(q.before_and_after(_grouped(t).join(near, "ward"), "before", "after", "income"), "range", "mean_low", "mean_high", "gap", "gini", "palma", digits=6)
+
+
 @query("q12_place_facilities", f"WITH {WARDS}, {SITES}, {TIMES}, {PEOPLE}, {ACC}, {GROUPS} SELECT ward, round(access, 6) AS access FROM grouped WHERE underserved ORDER BY population * grouped.access DESC, ward LIMIT 5")
 @tabled
 def q12(t):
     return rounded(q.place_facilities(_grouped(t), 5, population="population", access="access", key="ward").select("ward", "access"), "access", digits=6)
 
 
-@query("q13_suppress_close", f"WITH {SITES}, p AS (SELECT a.site AS a, b.site AS b FROM sites a JOIN sites b ON a.site <> b.site WHERE {_km('a.lon', 'a.lat', 'b.lon', 'b.lat')} <= 2) SELECT site FROM sites s WHERE NOT EXISTS (SELECT 1 FROM p JOIN sites o ON o.site = p.b WHERE p.a = s.site AND (o.capacity > s.capacity OR (o.capacity = s.capacity AND o.site < s.site)))")
+@query(
+    "q13_suppress_close",
+    f"""WITH RECURSIVE {SITES}, p AS (SELECT a.site AS a, b.site AS b FROM sites a JOIN sites b ON a.site <> b.site WHERE {_km('a.lon', 'a.lat', 'b.lon', 'b.lat')} <= 2),
+o AS (SELECT site, row_number() OVER (ORDER BY capacity DESC, site) AS i FROM sites), n AS MATERIALIZED (SELECT o.site::BIGINT AS site, o.i, coalesce(list(p.b::BIGINT) FILTER (WHERE p.b IS NOT NULL), []) AS near FROM o LEFT JOIN p ON p.a = o.site GROUP BY 1, 2),
+r(i, kept) AS (SELECT 0::BIGINT, []::BIGINT[] UNION ALL SELECT n.i, CASE WHEN list_has_any(near, kept) THEN kept ELSE list_append(kept, site) END FROM r JOIN n ON n.i = r.i + 1)
+SELECT s.site FROM sites s WHERE s.site IN (SELECT unnest(kept) FROM (SELECT kept FROM r ORDER BY i DESC LIMIT 1))""",
+)
 @tabled
 def q13(t):
     return q.suppress_close(t.sites, s.within_distance(t.sites, key="site", km=2.0), key="site", size="capacity").select("site")
@@ -261,16 +287,21 @@ def q15(t):
     return rounded(q.best_projects(_projects(t), 100, key="project").select("project", "type", "bc_ratio"), "bc_ratio", digits=9)
 
 
-@query("q17_within_budget", f"WITH {FLOWS}, {PROJECTS}, c AS (SELECT * FROM projects ORDER BY bc_ratio DESC, project LIMIT 100), s AS (SELECT project, cost, sum(cost) OVER (ORDER BY bc_ratio DESC, project ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS spent FROM c) SELECT project, cost, spent FROM s WHERE spent <= 2500")
+@query(
+    "q17_within_budget",
+    f"""WITH RECURSIVE {FLOWS}, {PROJECTS}, c AS MATERIALIZED (SELECT project, cost::DOUBLE AS cost, row_number() OVER (ORDER BY bc_ratio DESC, project) AS i FROM projects QUALIFY i <= 100),
+r(i, project, cost, spent, taken) AS (SELECT 0::BIGINT, 0::BIGINT, 0::DOUBLE, 0::DOUBLE, FALSE UNION ALL SELECT c.i, c.project, c.cost, CASE WHEN r.spent + c.cost <= 2500 THEN r.spent + c.cost ELSE r.spent END, r.spent + c.cost <= 2500 FROM r JOIN c ON c.i = r.i + 1)
+SELECT project, cost, spent FROM r WHERE taken""",
+)
 @tabled
 def q17(t):
     return q.within_budget(q.best_projects(_projects(t), 100, key="project"), 2500.0, key="project").select("project", "cost", "spent")
 
 
-@query("q18_portfolio", f"WITH {FLOWS}, {PROJECTS} SELECT type, count(*) AS projects, sum(cost) AS cost, sum(benefit) AS benefit, round(sum(benefit) / sum(cost), 9) AS bc_ratio FROM projects GROUP BY 1")
+@query("q18_portfolio", f"WITH {FLOWS}, {PROJECTS} SELECT type, count(*) AS projects, sum(cost) AS cost, sum(benefit) AS benefit, round(sum(benefit) / sum(cost), 9) AS bc_ratio, sum(benefit / 3 * 0.5) AS saved_min FROM projects GROUP BY 1")
 @tabled
 def q18(t):
-    return rounded(q.portfolio(_projects(t)), "bc_ratio", digits=9)
+    return rounded(q.portfolio(_projects(t).withColumn("saved_min", F.col("flow") * 0.5)), "bc_ratio", digits=9)
 
 
 @query("q19_sector_counts", f"WITH {PEOPLE} SELECT n_regionkey AS sector, CAST(sum(population) AS BIGINT) AS population, CAST(ceil(sum(population) / 1000.0 * CASE n_regionkey WHEN 1 THEN 3.0 ELSE 2.0 END) AS BIGINT) AS beds FROM people JOIN nation ON n_nationkey = ward GROUP BY 1")
