@@ -86,3 +86,46 @@ def test_bytes_are_records_or_gaps(archive):
         data[at] ^= 0x55
     rows = list(warc.salvage("f", bytes(data)))
     assert sum(r[2] for r in rows if r[3] == "gap" and "in member" not in r[4]) + sum({r[1]: r[2] for r in rows if r[3] == "record"}.values()) <= len(data)
+
+
+def test_ranges_give_what_the_whole_gives(archive):
+    members, records = archive
+    hurt = [*members]
+    hurt[4] = hurt[4][:30] + bytes(40) + hurt[4][70:]
+    hurt[7] = gzip.compress(b"no record in here")
+    hurt[8] = gzip.compress(b"")
+    data = b"noise" + b"".join(hurt[:9]) + b"noise WARC/1.1\r\n" + b"".join(hurt[9:])[:-25]
+    whole = list(warc.salvage("f", data))
+    for size in (1, 7, 64, 300, 1000, 5000, len(data)):
+        parts = [row for start in range(0, len(data), size) for row in warc.salvage("f", data, start, start + size)]
+        assert parts == whole, size
+
+
+def test_reads_by_ranges(spark, tmp_path, monkeypatch, archive):
+    members, records = archive
+    (tmp_path / "a b.warc.gz").write_bytes(b"".join(members))
+    (tmp_path / "c.warc").write_bytes(b"".join(records))
+    (tmp_path / "empty").write_bytes(b"")
+    want = Counter((name, i) for name in ("a b.warc.gz", "c.warc") for i in range(12))
+    for size in (200, 1 << 20):
+        rows = warc.read_warc(spark, str(tmp_path), range_bytes=size).collect()
+        assert Counter((r.archive.rpartition("/")[2], int(r.record_id.rpartition(":")[2])) for r in rows if r.kind == "record") == want and len(rows) == 24
+    monkeypatch.setattr(warc, "_opened", lambda path: None)
+    assert warc.read_warc(spark, str(tmp_path)).count() == 24
+    monkeypatch.setattr(warc, "WHOLE", 100)
+    with pytest.raises(ValueError):
+        warc.read_warc(spark, str(tmp_path))
+
+
+def test_files_are_cut_by_bytes(spark):
+    path, out = trip(spark, [(i, "u", f"{i} " + "x" * 10_000) for i in range(40)], file_bytes=50_000)
+    assert len(out) == 40 and all(n <= 5 for n in Counter(r.archive for r in out).values())
+
+
+def test_invalid_utf8_passes_through_the_text_sink(spark):
+    from pyspark.sql import functions as F
+
+    path = f"{shared_dir(spark)}/bytes-{uuid.uuid4().hex}"
+    data = bytes(range(1, 256)) + b"\xc3\x28\xff\xfe"
+    spark.createDataFrame([(bytearray(data),)], "b binary").select(F.col("b").cast("string")).coalesce(1).write.option("lineSep", "\0").text(path)
+    assert [bytes(r.content) for r in spark.read.format("binaryFile").load(path).collect()] == [data + b"\0"]

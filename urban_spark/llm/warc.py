@@ -9,16 +9,21 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import io
 import re
 import zlib
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 MAGIC, VERSION = b"\x1f\x8b\x08", re.compile(rb"WARC/[01]\.[0-9]+\r?\n")
-CHUNK = 1 << 16
+START, BLANK_LINE = re.compile(re.escape(MAGIC) + b"|" + VERSION.pattern), re.compile(rb"\r\n\r\n")
+CHUNK, WINDOW, OVERLAP = 1 << 16, 1 << 20, 64
+#: Bytes of a record's header at most, and of a file that is taken whole.
+HEADER, WHOLE = 1 << 20, 1 << 30
 RECORDS = (
     "archive string, offset long, length long, kind string, reason string, record_id string, record_type string, "
     "refers_to string, target_uri string, payload_bytes long, payload_digest string, payload binary"
@@ -50,8 +55,9 @@ def member(data: bytes) -> bytes:
     return (out if out[-1] == 0 else out + member(b"") + b"\0")[:-1]
 
 
-def write_warc(pages: DataFrame, path: str, *, id_col: str = "page_id", uri_col: str = "url", payload_col: str = "html", min_bytes: int = 0, per_file: int = 20_000) -> None:
-    """Writes a record for each row of `pages` to archives below `path`.
+def write_warc(pages: DataFrame, path: str, *, id_col: str = "page_id", uri_col: str = "url", payload_col: str = "html", min_bytes: int = 0, file_bytes: int = 256 << 20) -> None:
+    """Writes a record for each row of `pages` to archives below `path`, with so many records each that one of average payloads
+    has at most `file_bytes` before compression.
 
     Of rows with equal payloads of at least `min_bytes` bytes the one with the smallest id is a response and the
     others revisit it; rows with smaller payloads are all responses. Null payload: empty. Null address: an empty one.
@@ -63,6 +69,8 @@ def write_warc(pages: DataFrame, path: str, *, id_col: str = "page_id", uri_col:
     rows = rows.withColumn("_sha1", F.sha1("body"))
     # One row for each payload, made by partial aggregates; a very common payload is a skewed key only in the join,
     # where Spark splits it.
+    count, size = rows.agg(F.count(F.lit(1)), F.sum(F.octet_length("body"))).first()
+    per_file = max(1, file_bytes * count // max(size or 0, 1))
     firsts = rows.where(F.octet_length("body") >= min_bytes).groupBy("_sha1").agg(F.min("_order").cast("string").alias("first"))
     parts = rows.drop("_order").join(firsts, "_sha1", "left")
 
@@ -85,11 +93,37 @@ class BadRecord(ValueError):
     pass
 
 
-def _inflate(data: memoryview, at: int) -> tuple[bytes, int]:
+class Archive:
+    """Bytes of an archive by place, of which a window is held at a time."""
+
+    def __init__(self, file, size: int):
+        self.file, self.size, self.at, self.held = file, size, 0, b""
+
+    def read(self, at: int, n: int) -> bytes:
+        n = min(n, self.size - at)
+        if n <= 0:
+            return b""
+        if at < self.at or at + n > self.at + len(self.held):
+            self.file.seek(at)
+            self.at, self.held = at, self.file.read(max(n, WINDOW))
+        return self.held[at - self.at : at - self.at + n]
+
+    def find(self, pattern: re.Pattern, at: int, end: int | None = None) -> int:
+        """Where `pattern`, of at most OVERLAP bytes, first matches from `at` on, before `end`; -1 where it doesn't."""
+        end = self.size if end is None else min(end, self.size)
+        while at < end:
+            found = pattern.search(self.read(at, WINDOW))
+            if found:
+                return at + found.start() if at + found.start() < end else -1
+            at += WINDOW - OVERLAP
+        return -1
+
+
+def _inflate(archive: Archive, at: int) -> tuple[bytes, int]:
     """The gzip member at `at` and where it ends."""
     unpack, out, start = zlib.decompressobj(31), [], at
     while not unpack.eof:
-        piece = data[at : at + CHUNK]
+        piece = archive.read(at, CHUNK)
         if not piece:
             raise BadRecord(f"member at {start} is cut off")
         try:
@@ -100,15 +134,15 @@ def _inflate(data: memoryview, at: int) -> tuple[bytes, int]:
     return b"".join(out), at - len(unpack.unused_data)
 
 
-def _parse(data: bytes, at: int) -> tuple[dict, int]:
+def _parse(archive: Archive, at: int) -> tuple[dict, int]:
     """The checked record at `at` and where it ends."""
-    if not VERSION.match(data, at):
+    if not VERSION.match(archive.read(at, OVERLAP)):
         raise BadRecord("no version line")
-    end = data.find(b"\r\n\r\n", at)
+    end = archive.find(BLANK_LINE, at, at + HEADER)
     if end < 0:
         raise BadRecord("header has no end")
     fields = {}
-    for line in data[at:end].decode("utf-8", "replace").split("\r\n")[1:]:
+    for line in archive.read(at, end - at).decode("utf-8", "replace").split("\r\n")[1:]:
         name, colon, value = line.partition(":")
         if not colon:
             raise BadRecord("header line without a colon")
@@ -117,91 +151,139 @@ def _parse(data: bytes, at: int) -> tuple[dict, int]:
         raise BadRecord("no content length")
     start = end + 4
     stop = start + int(fields["content-length"])
-    block = data[start:stop]
-    if data[stop : stop + 4] != b"\r\n\r\n":
+    if archive.read(stop, 4) != b"\r\n\r\n":
         raise BadRecord("block doesn't end where its length says")
+    block = archive.read(start, stop - start)
     said = fields.get("warc-block-digest", "").removeprefix("sha1:")
     if said and said != digest(block):
         raise BadRecord("block digest differs")
     return fields | {"block": block}, stop + 4
 
 
-def salvage(name: str, content: bytes) -> Iterator[tuple]:
+def salvage(name: str, content: bytes | Archive, start: int = 0, end: int | None = None) -> Iterator[tuple]:
     """Rows of RECORDS for one archive: checked records, and as gaps the bytes that hold none.
 
     After a failed check, reading goes on at the next member start or version line that checks out; nothing in
     between is given as a record. Offsets in a gzip archive are those of the member.
+
+    With `start` and `end`, those of one range: the records that begin in it, and the gaps behind each of them, wherever
+    they end. What lies before the first record of a range that isn't the archive's first belongs to the range of the
+    record before. All ranges of an archive together give what the whole gives, but where a member holds, uncompressed,
+    the members of another archive and a range begins within it.
     """
-    whole, at, bad_from, why = memoryview(content), 0, None, ""
+    archive = Archive(io.BytesIO(content), len(content)) if isinstance(content, bytes) else content
+    at, bad_from, why, owns, end = start, None, "", start == 0, archive.size if end is None else end
 
-    def gap(start: int, end: int, reason: str) -> tuple:
-        return (name, start, end - start, "gap", reason, *[None] * 7)
+    def gap(low: int, high: int, reason: str) -> tuple:
+        return (name, low, high - low, "gap", reason, *[None] * 7)
 
-    def good(fields: dict, start: int, length: int) -> tuple:
+    def good(fields: dict, low: int, length: int) -> tuple:
         kind = fields.get("warc-type")
         size = fields.get("x-payload-length", "")
         sha1 = fields.get("warc-payload-digest", "").removeprefix("sha1:")
         bare = {k: fields.get(k, "").strip("<>") or None for k in ("warc-record-id", "warc-refers-to")}
         if kind != "revisit":
             size, sha1 = str(len(fields["block"])), digest(fields["block"])
-        return (name, start, length, "record", None, bare["warc-record-id"], kind, bare["warc-refers-to"], fields.get("warc-target-uri"), int(size) if size.isdigit() else None, sha1 or None, fields["block"])
+        return (name, low, length, "record", None, bare["warc-record-id"], kind, bare["warc-refers-to"], fields.get("warc-target-uri"), int(size) if size.isdigit() else None, sha1 or None, fields["block"])
 
-    while at < len(content):
+    while at < archive.size and (at < end or owns):
         found: list[tuple] = []
         try:
-            if content.startswith(MAGIC, at):
-                data, end = _inflate(whole, at)
-                inner, lost = 0, None
+            if archive.read(at, 3) == MAGIC:
+                data, after = _inflate(archive, at)
+                whole, inner, lost = Archive(io.BytesIO(data), len(data)), 0, None
                 while inner < len(data):
                     try:
-                        fields, inner = _parse(data, inner)
-                        found.append(good(fields, at, end - at))
+                        fields, inner = _parse(whole, inner)
+                        found.append(good(fields, at, after - at))
                         lost = None
                     except BadRecord as e:
                         if lost is None:
-                            found.append(gap(at, end, f"in member: {e}"))
+                            found.append(gap(at, after, f"in member: {e}"))
                             lost = inner
-                        step = VERSION.search(data, inner + 1)
-                        inner = step.start() if step else len(data)
+                        step = whole.find(VERSION, inner + 1)
+                        inner = step if step >= 0 else len(data)
+                if not owns and not any(row[3] == "record" for row in found):
+                    raise BadRecord("no record")  # chance bytes or an empty member: whose it is, the range before knows
             else:
-                fields, end = _parse(content, at)
-                found.append(good(fields, at, end - at))
+                fields, after = _parse(archive, at)
+                found.append(good(fields, at, after - at))
         except BadRecord as e:
             if bad_from is None:
                 bad_from, why = at, str(e)
-            line = VERSION.search(content, at + 1)
-            starts = [x for x in (content.find(MAGIC, at + 1), line.start() if line else -1) if x > at]
-            at = min(starts, default=len(content))
+            at = archive.find(START, at + 1)
+            if at < 0:
+                at = archive.size
             continue
-        if bad_from is not None:
+        if bad_from is not None and owns:
             yield gap(bad_from, at, why)
-            bad_from = None
+        bad_from = None
+        if at >= end and any(row[3] == "record" for row in found):
+            return
+        owns = True
         yield from found
-        at = end
-    if bad_from is not None:
-        yield gap(bad_from, len(content), why)
+        at = after
+    if bad_from is not None and owns:
+        yield gap(bad_from, archive.size, why)
 
 
-def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """RECORDS of all files below `path` (.warc, .warc.gz or without a suffix), a task to a few files.
+def _opened(path: str):
+    """A file that can be read by place, from the store of its path; None for a store that only Spark reads."""
+    from pyarrow import fs
+
+    if re.match("file:/|/", path):
+        return fs.LocalFileSystem().open_input_file("/" + re.sub("^file:", "", path).lstrip("/"))
+    try:
+        store, inner = fs.FileSystem.from_uri(path)
+    except (pa.ArrowInvalid, NotImplementedError, OSError, ImportError):
+        return None
+    return store.open_input_file(inner)
+
+
+def read_warc(spark: SparkSession, path: str, *, range_bytes: int = 64 << 20) -> DataFrame:
+    """RECORDS of all files below `path` (.warc, .warc.gz or without a suffix), a task to about `range_bytes` of a file, of which a
+    window and a record are held at a time. A file that isn't compressed is one range, whatever its size.
 
     `kind` is record or gap; gaps tell the quarantined bytes and why. A file without a valid record is one gap; an
-    empty file gives no row.
+    empty file gives no row. Files in a store that only Spark reads are taken whole, up to WHOLE bytes; larger ones there
+    are an error.
     """
+    files = spark.read.format("binaryFile").load(path).select("path", "length").where("length > 0")  # without their content
+    some = files.first()
+    columns = [c.split()[0] for c in RECORDS.split(", ")]
+
+    def batches(rows: Iterator[tuple]) -> Iterator[pd.DataFrame]:
+        held, size = [], 0
+        for row in rows:
+            held.append(row)
+            size += row[2] + len(row[-1] or b"")
+            if size > 16 << 20:
+                yield pd.DataFrame(held, columns=columns).astype({"payload_bytes": "Int64"})
+                held, size = [], 0
+        if held:
+            yield pd.DataFrame(held, columns=columns).astype({"payload_bytes": "Int64"})
 
-    def rows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        columns = [c.split()[0] for c in RECORDS.split(", ")]
+    def ranged(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for name, size, start in zip(frame["path"], frame["length"], frame["start"], strict=True):
+                with _opened(name) as file:
+                    archive = Archive(file, int(size))
+                    packed = archive.read(0, 3) == MAGIC
+                    if packed or start == 0:
+                        yield from batches(salvage(name, archive, int(start), int(start) + range_bytes if packed else None))
+
+    def whole(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for name, content in zip(frame["path"], frame["content"], strict=True):
-                held, size = [], 0
-                for row in salvage(name, content):
-                    held.append(row)
-                    size += row[2] + len(row[-1] or b"")
-                    if size > 16 << 20:
-                        yield pd.DataFrame(held, columns=columns).astype({"payload_bytes": "Int64"})
-                        held, size = [], 0
-                if held:
-                    yield pd.DataFrame(held, columns=columns).astype({"payload_bytes": "Int64"})
-
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
-    return files.mapInPandas(rows, RECORDS)
+                yield from batches(salvage(name, bytes(content)))
+
+    if some is None:
+        return spark.createDataFrame([], RECORDS)
+    probe = _opened(some["path"])
+    if probe is None:
+        if not files.where(F.col("length") > WHOLE).isEmpty():
+            raise ValueError(f"a file of more than {WHOLE} bytes in a store that can't be read by place")
+        return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(whole, RECORDS)
+    probe.close()
+    ranges = files.withColumn("start", F.explode(F.sequence(F.lit(0).cast("long"), F.col("length") - 1, F.lit(range_bytes).cast("long"))))
+    return ranges.repartition(min(20_000, ranges.count()), "path", "start").mapInPandas(ranged, RECORDS)
