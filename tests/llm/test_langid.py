@@ -1,10 +1,12 @@
+import math
 import random
 import zlib
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
-from urban_spark.llm import langid
+from urban_spark.llm import langid, queries
 
 SYLLABLES = {"en": ["the", "ing", "and", "wh", "tion", "ed"], "fr": ["eau", "que", "ment", "é", "oi", "les"], "de": ["sch", "ung", "ein", "ü", "ch", "ver"]}
 
@@ -54,3 +56,71 @@ def test_mixture_fits_what_it_was_given():
     seen = weights > 0
     shares, alone = langid.mixture(weights[seen], np.maximum(chances[:, seen], 1e-9))
     assert set(shares) == {1, 3} and abs(shares[1] - 0.6) < 0.03 and len(alone) == 5
+
+
+def plain_trigrams(text):
+    """Buckets of a text's trigrams, one by one."""
+    data = b" " + bytes(c if c > 127 or chr(c).isalpha() else 32 for c in text.lower().encode()) + b" "
+    out = []
+    for a, b, c in zip(data, data[1:], data[2:], strict=False):
+        mixed = (a * 0x9E3779B1 + b * 0x85EBCA77 + c * 0xC2B2AE3D) % 2**32
+        out.append(((mixed ^ (mixed >> 15)) * 0x27D4EB2F) % 2**32 >> 17)
+    return out
+
+
+def plain_answer(text, langs, chances):
+    """Language and score of one text by the definition of the mixture, without arrays."""
+    if text is None or not any(c.isalpha() for c in text):
+        return "und", 0.0
+    grams = plain_trigrams(text)
+    alone = [sum(math.log(chances[k][g]) for g in grams) for k in range(len(langs))]
+    chosen, shares = [max(range(len(langs)), key=lambda k: (alone[k], -k))], [1.0]
+    fit, price = max(alone), 4.0 * math.log(1 + len(grams))
+    while len(chosen) < len(langs):
+        best = None
+        for new in range(len(langs)):
+            if new in chosen or sum(chances[new][g] / sum(s * chances[c][g] for s, c in zip(shares, chosen, strict=True)) for g in grams) - len(grams) <= price:
+                continue
+            among, part = [*chosen, new], [*(0.7 * s for s in shares), 0.3]
+            for _ in range(25):
+                owed = [0.0] * len(among)
+                for g in grams:
+                    whole = sum(p * chances[c][g] for p, c in zip(part, among, strict=True))
+                    owed = [o + p * chances[c][g] / whole for o, p, c in zip(owed, part, among, strict=True)]
+                part = [o / len(grams) for o in owed]
+            gained = sum(math.log(sum(p * chances[c][g] for p, c in zip(part, among, strict=True))) for g in grams)
+            if best is None or gained > best[0]:
+                best = gained, new, part
+        if best is None or best[0] - fit <= price:
+            break
+        fit, shares, chosen = best[0], best[2], [*chosen, best[1]]
+    top = max(range(len(chosen)), key=lambda i: (shares[i], -chosen[i]))
+    others = [alone[k] for k in range(len(langs)) if k not in chosen]
+    odds = math.exp(min(0.0, max(others) - max(alone[k] for k in chosen))) if others else 0.0
+    return langs[chosen[top]], min(1.0, shares[top] / (1 + odds))
+
+
+def test_query_against_plain_computation(spark, tmp_path):
+    rnd = random.Random(5)
+    table = [(i, text, lang) for i, text, lang, _ in rows(60, 7)] + [(60 + i, say("en", 20, rnd) + " " + say(k, 15, rnd), None) for i, k in enumerate(["fr", "de"] * 4)] + [(80, None, "en"), (81, "12 !", "en"), (82, "the", None), (None, "les eau", "fr")]
+    spark.createDataFrame(table, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    out = {r.doc_id: r for r in queries.op6_language_id(spark, str(tmp_path)).collect()}
+    held = {i: i is not None and zlib.crc32(str(i).encode()) % 5 == 0 for i, *_ in table}
+    langs, counts = ["de", "en", "fr"], {}
+    for i, text, lang in table:
+        if i is not None and not held[i] and text is not None and lang is not None:
+            own = counts.setdefault(lang, [0.1] * langid.BUCKETS)
+            if any(c.isalpha() for c in text):
+                for g in plain_trigrams(text):
+                    own[g] += 1
+    chances = [[float(np.float32(c / sum(counts[k]))) for c in counts[k]] for k in langs]
+    assert len(out) == len(table)
+    for i, text, _ in table:
+        lang, score = plain_answer(text, langs, chances)
+        assert (out[i].lang_pred, out[i].held_out) == (lang, held[i]) and abs(out[i].score - score) < 1e-6, i
+
+
+def test_too_many_languages(spark, monkeypatch):
+    monkeypatch.setattr(langid, "MOST_LANGS", 2)
+    with pytest.raises(ValueError):
+        langid.train(spark.createDataFrame(rows(50, 2), SCHEMA))

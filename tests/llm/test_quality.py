@@ -1,9 +1,13 @@
+import math
 import random
+import zlib
+from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 
-from urban_spark.llm import quality
+from urban_spark.llm import quality, queries
 
 
 def rows(count, seed):
@@ -52,3 +56,68 @@ def test_word_features():
     assert buckets.max() < quality.SIZE - 2
     again, _ = quality.features(names[:1])
     assert set(again) == set(buckets[word == 0])
+
+
+def plain_buckets(word):
+    """Buckets of one word and of its n-grams, one by one."""
+    data, out = b"<%b>" % word.encode(), [int(pd.util.hash_array(np.array([word], dtype=object), categorize=False)[0] % np.uint64(quality.WORDS))]
+    for n in quality.ORDERS:
+        for at in range(len(data) - n + 1):
+            rolled = 0
+            for b in data[at : at + n]:
+                rolled = (rolled * 0x100000001B3 + b + 1) % 2**64
+            out.append(((rolled + n - 1) * 0x9E3779B97F4A7C15 % 2**64 >> 47) + quality.WORDS)
+    return out
+
+
+def plain_counts(text):
+    words = (text or "").split()
+    counts = Counter({quality.SIZE - 1: 1})
+    for word in words:
+        counts.update(plain_buckets(word))
+    counts[quality.SIZE - 2] += sum(a == b for a, b in zip(words, words[1:], strict=False))
+    return counts
+
+
+def plain_model(texts, labels, dims=12, epochs=6, rate=0.4, seed=7):
+    """Stochastic gradient descent on the logistic loss, one number after the other."""
+    random_ = np.random.default_rng(seed)
+    table = ((random_.random((quality.SIZE, dims)) - 0.5) / dims).astype(np.float32).astype(float)
+    out, bias, done = [[0.0] * dims, [0.0] * dims], [0.0, 0.0], 0
+    rows = [plain_counts(t) for t in texts]
+    for _ in range(epochs):
+        for i in random_.permutation(len(rows)):
+            total, ids = sum(rows[i].values()), list(rows[i])
+            hidden = [sum(rows[i][b] / total * table[b][d] for b in ids) for d in range(dims)]
+            logits = [sum(o * h for o, h in zip(out[c], hidden, strict=True)) + bias[c] for c in (0, 1)]
+            chance = [math.exp(x - max(logits)) for x in logits]
+            error = [x / sum(chance) - (c == labels[i]) for c, x in enumerate(chance)]
+            step = rate * (1 - done / (epochs * len(rows)))
+            done += 1
+            back = [sum(error[c] * out[c][d] for c in (0, 1)) for d in range(dims)]
+            for c in (0, 1):
+                bias[c] -= step * 0.1 * error[c]
+                for d in range(dims):
+                    out[c][d] -= step * error[c] * hidden[d]
+            for b in ids:
+                table[b] -= step * len(ids) * min(rows[i][b] / total, 0.05) * np.array(back)
+
+    def score(text):
+        counts = plain_counts(text)
+        logit = sum(n * float(table[b] @ (np.array(out[1]) - out[0])) for b, n in counts.items()) / sum(counts.values())
+        return 1 / (1 + math.exp(-(logit + bias[1] - bias[0])))
+
+    return score
+
+
+def test_query_against_plain_computation(spark, tmp_path):
+    table = [(i, t) for i, t, _ in rows(40, 5)] + [(90, None), (91, ""), (92, "one one one two"), (None, "the ing")]
+    spark.createDataFrame(table, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, q) for i, _, q in rows(40, 5)], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    out = {r.doc_id: r for r in queries.op7_quality_classifier(spark, str(tmp_path)).collect()}
+    known = [(t, q) for i, t, q in rows(40, 5) if zlib.crc32(str(i).encode()) % 5]
+    known.sort(key=lambda r: pd.util.hash_array(np.array([r[0]], dtype=object))[0])
+    score = plain_model([t for t, _ in known], [q for _, q in known])
+    assert len(out) == len(table)
+    for i, text in table:
+        assert abs(out[i].score - score(text)) < 1e-3 and out[i].predicted == (out[i].score >= 0.3) and out[i].held_out == (i is not None and zlib.crc32(str(i).encode()) % 5 == 0), i
