@@ -37,7 +37,7 @@ def test_held_out_accuracy(spark):
 
 
 def test_odd_texts(spark):
-    model = quality.train([t for _, t, _ in rows(60, 1)], [q for *_, q in rows(60, 1)])
+    model = quality.train(quality.examples(pa.array([t for _, t, _ in rows(60, 1)])), [q for *_, q in rows(60, 1)])
     odd = [None, "", " \n", "a", "é中 " * 3, "word " * 30_000, "z" * 50_000]
     found = quality.scores(model, pa.array(odd, pa.string()))
     alone = [quality.scores(model, pa.array([t], pa.string()))[0] for t in odd]

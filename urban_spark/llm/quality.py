@@ -58,28 +58,32 @@ class Model:
     bias: float
 
 
-def train(texts: list[str], labels: list[int], *, dims: int = 12, epochs: int = 6, rate: float = 0.4, seed: int = 7) -> Model:
-    """Bucket vectors, averaged over a text, and a softmax layer over two classes, by stochastic gradient descent."""
+def examples(texts: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each text its buckets and their shares of all it has; at most SIZE of them, whatever its length."""
+    names, code, at = _words(texts)
+    buckets, word = features(names)
+    order = np.argsort(word, kind="stable")
+    buckets, begin = buckets[order], np.concatenate([[0], np.cumsum(np.bincount(word, minlength=len(names)))])
+    rows = []
+    for i in range(len(at) - 1):
+        own = code[at[i] : at[i + 1]]
+        distinct, times = np.unique(own, return_counts=True)
+        spans = begin[distinct + 1] - begin[distinct]
+        places = np.repeat(begin[distinct] - np.concatenate([[0], np.cumsum(spans)[:-1]]), spans) + np.arange(spans.sum())
+        again = int((own[1:] == own[:-1]).sum())
+        ids = np.concatenate([buckets[places], [SIZE - 2, SIZE - 1]]).astype(np.int64)
+        counts = np.concatenate([np.repeat(times, spans), [again, 1]]).astype(np.float64)
+        ids, inverse = np.unique(ids, return_inverse=True)
+        sums = np.bincount(inverse, counts)
+        rows.append((ids, (sums / sums.sum()).astype(np.float32)))
+    return rows
+
+
+def train(rows: list[tuple[np.ndarray, np.ndarray]], labels: list[int], *, dims: int = 12, epochs: int = 6, rate: float = 0.4, seed: int = 7) -> Model:
+    """Bucket vectors, averaged over a text's examples(), and a softmax layer over two classes, by stochastic gradient descent."""
     random = np.random.default_rng(seed)
     table = ((random.random((SIZE, dims)) - 0.5) / dims).astype(np.float32)
     out, bias = np.zeros((2, dims), np.float32), np.zeros(2, np.float32)
-    rows = []
-    for low in range(0, len(texts), 256):
-        names, code, at = _words(pa.array(texts[low : low + 256], pa.string()))
-        buckets, word = features(names)
-        order = np.argsort(word, kind="stable")
-        buckets, begin = buckets[order], np.concatenate([[0], np.cumsum(np.bincount(word, minlength=len(names)))])
-        for i in range(len(at) - 1):
-            own = code[at[i] : at[i + 1]]
-            distinct, times = np.unique(own, return_counts=True)
-            spans = begin[distinct + 1] - begin[distinct]
-            places = np.repeat(begin[distinct] - np.concatenate([[0], np.cumsum(spans)[:-1]]), spans) + np.arange(spans.sum())
-            again = int((own[1:] == own[:-1]).sum())
-            ids = np.concatenate([buckets[places], [SIZE - 2, SIZE - 1]]).astype(np.int64)
-            counts = np.concatenate([np.repeat(times, spans), [again, 1]]).astype(np.float64)
-            ids, inverse = np.unique(ids, return_inverse=True)
-            sums = np.bincount(inverse, counts)
-            rows.append((ids, (sums / sums.sum()).astype(np.float32)))
     steps, done = epochs * len(rows), 0
     for _ in range(epochs):
         for i in random.permutation(len(rows)):
@@ -116,17 +120,31 @@ def scores(model: Model, texts: pa.Array) -> np.ndarray:
 
 
 def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE) -> Model | None:
-    """A model from at most `sample` labelled rows, those whose ids have the least hashes; None without any.
+    """A model from at most `sample` labelled rows, those whose ids have the least hashes; None without any. What the driver gets
+    of each is its hashed counts, not its text.
 
     A document with several labels has the least of them; rows without text, id or label are left out."""
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for low in range(0, batch.num_rows, 256):
+                part = batch.slice(low, 256)
+                found = examples(part.column(0))
+                place = pd.util.hash_array(part.column(0).to_numpy(zero_copy_only=False).astype(object), categorize=False).view(np.int64)
+                lists = [pa.array([r[k] for r in found], pa.list_(t)) for k, t in ((0, pa.int32()), (1, pa.float32()))]
+                yield pa.RecordBatch.from_arrays([pa.array(place), part.column(1), *lists], ["place", "label", "ids", "shares"])
+
     known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.min(label_col).cast("int").alias("_label"))
     known = known.orderBy(F.xxhash64("_id"), "_id").limit(sample)
-    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).where("_text IS NOT NULL").join(F.broadcast(known), "_id").select("_text", "_label").toArrow()
-    if not rows.num_rows:
+    labelled = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).where("_text IS NOT NULL").join(F.broadcast(known), "_id").select("_text", "_label")
+    found = labelled.mapInArrow(counted, "place long, label int, ids array<int>, shares array<float>").toArrow()
+    if not found.num_rows:
         return None
-    order = np.argsort(pd.util.hash_array(rows.column(0).to_numpy().astype(object)), kind="stable")
-    rows = rows.take(pa.array(order))
-    return train(rows.column(0).to_pylist(), [int(x > 0) for x in rows.column(1).to_pylist()])
+    order = np.argsort(found.column("place").to_numpy().view(np.uint64), kind="stable")
+    ids, shares = (found.column(c).combine_chunks() for c in ("ids", "shares"))
+    rows = [(ids[i].values.to_numpy().astype(np.int64), shares[i].values.to_numpy()) for i in order.tolist()]
+    labels_ = found.column("label").to_numpy()[order]
+    return train(rows, [int(x > 0) for x in labels_])
 
 
 def score_quality(docs: DataFrame, model: Model | None, *, text_col: str = "text", positive_from: float = 0.3) -> DataFrame:
