@@ -38,6 +38,29 @@ def test_pre_tokens_add_up(text):
 
 def test_head_is_bounded(spark, monkeypatch):
     monkeypatch.setattr(tokens, "HEAD", 2)
+    monkeypatch.setattr(tokens, "LONG", 0)
     table = spark.createDataFrame([(f"p{i}", 1 << i, 1) for i in range(8)] + [("y" * 99, 10**6, 1)], "piece string, n long, tokens long")
     assert set(tokens._most_frequent(table)) == {"p7", "p6"}
     assert pytest.approx(8) == len(tokens.PRE_TOKEN.findall(" a b\nc d  e f g h"))
+
+
+def test_long_frequent_pre_tokens_and_models(spark, monkeypatch):
+    monkeypatch.setattr(tokens, "LONG", 2)
+    text = ("=" * 200 + " a\n") * 30 + "-" * 90
+    out = tokens.token_counts(spark.createDataFrame([(1, text), (2, text)], "doc_id long, text string"), MODEL).collect()
+    import sentencepiece
+
+    count = len(sentencepiece.SentencePieceProcessor(model_file=MODEL).encode(text))
+    assert [r.n_tokens for r in out] == [count] * 2
+    real = tokens._model(MODEL)
+
+    class Other:
+        normalize, get_piece_size = real.normalize, real.get_piece_size
+
+        def id_to_piece(self, i):
+            return "a▁b" if i == 700 else real.id_to_piece(i)
+
+    tokens.check_model(MODEL)
+    monkeypatch.setitem(tokens._models, "other", Other())
+    with pytest.raises(ValueError):
+        tokens.check_model("other")

@@ -15,8 +15,11 @@ BROADCAST_ROWS = 400_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, which all executors share; where that is unset, one inside the warehouse."""
+    """The folder in spark.checkpoint.dir, which all executors share; where that is unset and all runs on this
+    machine, one inside the warehouse."""
     set_here = spark.conf.get("spark.checkpoint.dir", None)
+    if not set_here and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     return set_here or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
 
 

@@ -21,6 +21,8 @@ from urban_spark.llm.shared import written
 PRE_TOKEN = re.compile(r"[ ▁]+[^ ▁\n]*|[^ ▁\n]+")
 #: The most frequent pre-tokens, no longer than HEAD_CHARS, that every task is sent: at most HEAD of them, at any input size.
 HEAD, HEAD_CHARS = 1 << 18, 64
+#: And of longer ones, so many of so many characters.
+LONG, LONG_CHARS = 1_000, 16_384
 _models: dict[str, object] = {}
 
 
@@ -32,6 +34,18 @@ def _model(path: str):
     return _models[path]
 
 
+def check_model(path: str) -> None:
+    """Fails for a model whose counts are not sums over pre-tokens: one that changes texts before it splits them, or that has a
+    piece with a space behind another character or with a line feed and anything else."""
+    model = _model(path)
+    odd = "ﬁ ²  Ａ e\u0301\t x \u00a0y  "
+    if model.normalize(odd) != "▁" + odd.replace(" ", "▁"):
+        raise ValueError(f"{path} normalises texts or drops blanks")
+    for piece in (model.id_to_piece(i) for i in range(model.get_piece_size())):
+        if "▁" in piece.lstrip("▁") or ("\n" in piece and piece != "\n"):
+            raise ValueError(f"{path} has the piece {piece!r}")
+
+
 def _slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
@@ -81,7 +95,9 @@ def _most_frequent(vocabulary: DataFrame) -> dict[str, int]:
         if held > HEAD:
             break
         lowest = name
-    top = short.where(F.col("_class") >= lowest).select("piece", "tokens").toArrow()
+    # Long ones, such as rules of dashes, are few if frequent: the LONG most frequent, up to LONG_CHARS characters.
+    long = vocabulary.where(F.length("piece").between(HEAD_CHARS + 1, LONG_CHARS)).orderBy(F.desc("n"), "piece").limit(LONG)
+    top = short.where(F.col("_class") >= lowest).select("piece", "tokens").unionByName(long.select("piece", "tokens")).toArrow()
     return dict(zip(top.column(0).to_pylist(), top.column(1).to_pylist(), strict=True))
 
 
@@ -102,9 +118,10 @@ def token_counts(docs: DataFrame, model_path: str, *, id_col: str = "doc_id", te
     frequencies: those of the HEAD most frequent pre-tokens are summed in place against a broadcast of that fixed
     size, all rarer ones are joined by a shuffle on the pre-token.
 
-    Null or empty text: 0 bytes, 0 tokens. Repeated rows and repeated or null ids: a row each. No rows: no rows.
+    Models for which this sum isn't the library's count are an error (check_model). Null or empty text: 0 bytes, 0 tokens. Repeated rows and repeated or null ids: a row each. No rows: no rows.
     Extra columns are not read.
     """
+    check_model(model_path)
     spark = docs.sparkSession
     docs = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
 
