@@ -358,10 +358,10 @@ def j19(t):
     return t.customer.join(t.orders.where("o_totalprice > 300000"), F.col("c_custkey") == F.col("o_custkey"), "left_semi").select("c_custkey")
 
 
-@query("j20_anti_join", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("j20_anti_join", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 300000)")
 @tabled
 def j20(t):
-    return t.customer.join(t.orders, F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
+    return t.customer.join(t.orders.where("o_totalprice > 300000"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
 
 
 @query("p3_to_number", "SELECT c_custkey, TRY_CAST(replace(replace(trim(x), ',', ''), ' ', '') AS DOUBLE) AS v FROM (SELECT c_custkey, CASE WHEN c_custkey % 4 = 0 THEN 'n/a' ELSE ' 1,' || CAST(c_custkey AS VARCHAR) || '.5 ' END AS x FROM customer)")
