@@ -7,7 +7,10 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from urban_spark.operators.graph import components
+from urban_spark.operators.graph import _cut, components
+
+#: Centres that rows are assigned to at most.
+MOST_CENTERS = 1_000
 
 
 def kmeans(df: DataFrame, features: list[str], ks: list[int], *, seed: int = 42) -> tuple[DataFrame, dict[int, DataFrame]]:
@@ -65,22 +68,38 @@ def dbscan(df: DataFrame, features: list[str], *, key: str, eps: float, least: i
     return joined.select(F.col("id").alias(key), F.coalesce("component", "near").alias("label"))
 
 
-def capped_assignment(df: DataFrame, centers: DataFrame, size: str, *, key: str, slack: float = 0.05, rounds: int = 4) -> DataFrame:
+def capped_assignment(df: DataFrame, centers: DataFrame, size: str, *, key: str, slack: float = 0.05) -> DataFrame:
     """(key, center): rows go to the nearest centre with room, all at once in each round: a centre takes the nearest that ask
-    until its share of the total, times 1 + slack, is full; the rest ask the next nearest. After the last round what is left
-    goes to its nearest. `df`: key, size, x, y; centers (few): center, cx, cy."""
+    until its share of the total, times 1 + slack, is full; the rest ask the next nearest, until none is left. Rows that no
+    centre had room for, once each has been asked, go to their nearest. `df`: key, size, x, y; centers: center, cx, cy, at
+    most MOST_CENTERS, as each row holds its wishes.
+
+    What asks of a centre before a row is summed in two levels: within ranges of the distance, and over the ranges below.
+    """
     n = centers.count()
-    limit = df.agg(F.sum(size)).collect()[0][0] / n * (1 + slack)
-    d = F.pow(F.col("x") - F.col("cx"), 2) + F.pow(F.col("y") - F.col("cy"), 2)
-    wishes = df.join(F.broadcast(centers)).select(key, size, F.struct(d.alias("d"), F.col("center").alias("c")).alias("_w")).groupBy(key, size).agg(F.array_sort(F.collect_list("_w")).alias("_w"))
-    left, done, used = wishes, None, None
-    for k in range(min(rounds, n)):
+    if n > MOST_CENTERS:
+        raise ValueError(f"more than {MOST_CENTERS} centres")
+    limit = df.agg(F.sum(size)).collect()[0][0] / n * (1 + slack) if n else 0.0
+    one = centers.agg(F.collect_list(F.struct("center", "cx", "cy")).alias("_all"))
+    wishes = F.array_sort(F.transform("_all", lambda c: F.struct((F.pow(F.col("x") - c["cx"], 2) + F.pow(F.col("y") - c["cy"], 2)).alias("d"), c["center"].alias("c"))))
+    left, done, used = _cut(df.crossJoin(F.broadcast(one)).select(key, size, wishes.alias("_w"))), [], None  # `one` is one row
+    for k in range(n):
         ask = left.select(key, size, "_w", F.col("_w")[k]["c"].alias("center"), F.col("_w")[k]["d"].alias("_d"))
-        total = F.sum(size).over(Window.partitionBy("center").orderBy("_d", key).rowsBetween(Window.unboundedPreceding, 0))
-        ask = ask.withColumn("_t", total)
+        cuts = sorted(set(ask.stat.approxQuantile("_d", [i / 64 for i in range(1, 64)], 1 / 256) or []))
+        at = F.lit(0)
+        for cut in cuts:
+            at = at + (F.col("_d") >= F.lit(cut)).cast("int")
+        ask = ask.withColumn("_b", at)
+        below = Window.partitionBy("center").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+        sums = ask.groupBy("center", "_b").agg(F.sum(size).cast("double").alias("_s")).withColumn("_before", F.coalesce(F.sum("_s").over(below), F.lit(0.0))).drop("_s")
+        own = F.sum(size).over(Window.partitionBy("center", "_b").orderBy("_d", key).rowsBetween(Window.unboundedPreceding, 0))
+        ask = ask.withColumn("_own", own).join(F.broadcast(sums), ["center", "_b"])  # at most 64 rows a centre
         ask = ask.withColumn("_u", F.lit(0.0)) if used is None else ask.join(F.broadcast(used), "center", "left").fillna(0.0, ["_u"])
-        got = ask.where(F.col("_t") + F.col("_u") <= limit).select(key, size, "center")
-        done = got if done is None else done.unionByName(got)
-        used = done.groupBy("center").agg(F.sum(size).cast("double").alias("_u"))
-        left = left.join(got, key, "left_anti")
-    return done.select(key, "center").unionByName(left.select(key, F.col("_w")[0]["c"].alias("center")))
+        got = _cut(ask.where(F.col("_own") + F.col("_before") + F.col("_u") <= limit).select(key, size, "center"))
+        done.append(got)
+        used = reduce(DataFrame.unionByName, done).groupBy("center").agg(F.sum(size).cast("double").alias("_u"))
+        left = _cut(left.join(got.select(key), key, "left_anti"))
+        if left.isEmpty():
+            break
+    rest = left.select(key, F.col("_w")[0]["c"].alias("center"))
+    return reduce(DataFrame.unionByName, (g.select(key, "center") for g in done), rest)
