@@ -51,8 +51,8 @@ PER_KEY = 50_000
 
 def build_index(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", item_col: str = "item_id", text_col: str = "text", every_term: bool = False) -> PositionalIndex:
     """Stores the postings in the shared folder, once, as Parquet. Terms that no item has can't take part in a match
-    and get none, unless `every_term`, for an index that shall serve other items too: nine tenths of all postings would
-    never be looked up. The item vocabulary and the frequencies are broadcast if they are small, else joined by a shuffle.
+    and get none, unless `every_term`, for an index that shall serve other items too: about half of all postings would never
+    be looked up. The item vocabulary and the frequencies are broadcast if they are small, else joined by a shuffle.
 
     Null texts and texts without a word have no postings. Repeated rows have theirs several times. Extra columns are not read.
     """
