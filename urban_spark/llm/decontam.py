@@ -141,7 +141,8 @@ def _rare_places(index: PositionalIndex, window: int, least: int) -> DataFrame:
 def proximity_matches(index: PositionalIndex, *, window: int = 10, slop: int = 3, least: int = 8) -> DataFrame:
     """(doc, text_hash, item, item_hash, terms): texts and items of which, with the item laid somewhere over the text, at
     least `least` terms of a window (all, if it has fewer) lie within `slop` words of where the item has them; terms is
-    the most of a window. Positions in the text count empty parts at its ends as words. Exact up to equal hashes.
+    the most of a window. Positions in the text count empty parts at its ends as words. Exact up to equal hashes. Null and
+    empty texts and items: no rows. Texts of any length; repeated rows of a text share theirs; ties of rarity go by place.
 
     Two of each window's rarest places are in any match, with shifts between text and item that differ by 2 * slop at
     most; where they are, all terms of the item are looked up around that shift and counted for each way to lay it.

@@ -228,7 +228,8 @@ def plan(histogram: dict[int, int], capacity: int) -> list[tuple[int, int, int,
 def best_fit_packing(pieces: DataFrame, *, capacity: int = 4096, per_bucket: int = 500_000) -> DataFrame:
     """`pieces` (cheap to read again: cut) with sequence_id and offset; offsets in a sequence have no gaps and start at 0.
 
-    Needs columns _row, piece and length (1 to `capacity`). Rows are ranked by length within hash buckets, so many that
+    Needs columns _row, piece and length (1 to `capacity`); others stay. Ties in length go by _row and piece, repeated rows
+    (same _row and piece) to places of their own, no rows to no places. Rows are ranked by length within hash buckets, so many that
     none has much more than `per_bucket` rows of the commonest length; bucket offsets come from the (length, bucket) counts.
     """
     spark = pieces.sparkSession

@@ -63,7 +63,8 @@ def _same(words: Column) -> Column:
 
 
 def rule_features(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Counts over each whole text that the rules look at. Null text counts as an empty one."""
+    """Counts over each whole text, of any length, that the rules look at: a row for each row, repeated or not. Null text counts as
+    an empty one, with 0 of everything. No rows: no rows. Extra columns are not read."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     count = lambda pattern: F.regexp_count(text, F.lit(pattern)).cast("long")
     words = let(F.regexp_extract_all(text, F.lit(f"[^{SPACE}]+"), F.lit(0)), lambda w: F.struct(F.size(w).cast("long").alias("n"), _repeated(w).alias("again"), _same(w).alias("same")))
