@@ -22,8 +22,7 @@ def travel_times(wards: DataFrame, candidates: DataFrame, *, ward: str, candidat
     candidates, a stated set, are broadcast up to MOST_CANDIDATES of them; beyond, they are met block by block."""
     c = candidates.select(candidate, F.col("lon").alias("_x"), F.col("lat").alias("_y"))
     km = haversine_km(F.col("lon"), F.col("lat"), F.col("_x"), F.col("_y"))
-    count = c.limit(MOST_CANDIDATES + 1).count()
-    if count <= MOST_CANDIDATES:
+    if c.limit(MOST_CANDIDATES + 1).count() <= MOST_CANDIDATES:
         pairs = wards.join(F.broadcast(c))
     else:
         blocks = -(-c.count() // MOST_CANDIDATES)

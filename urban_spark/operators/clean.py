@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from urban_spark.functions.text import by_keywords, to_number
+from urban_spark.operators.sizes import small
 
 
 def resolve_columns(df: DataFrame, spec: dict[str, list[str]]) -> DataFrame:
@@ -53,8 +54,8 @@ def building_type(tags: Column, keys: list[str], rules: list[tuple[str, str]], o
 
 
 def map_by_rules(df: DataFrame, rules: DataFrame, key: str, defaults: dict[str, object]) -> DataFrame:
-    """Attributes from a rule table of few rows, with defaults for keys that it lacks."""
-    joined = df.join(F.broadcast(rules), key, "left")
+    """Attributes from a rule table, broadcast if it is small, with defaults for keys that it lacks."""
+    joined = df.join(small(rules), key, "left")
     return joined.withColumns({c: F.coalesce(F.col(c), F.lit(v)) for c, v in defaults.items()})
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from urban_spark.operators.panel import ordered_fold
+from urban_spark.operators.sizes import small
 
 # Concentration steps (low, high) and the index steps they map to.
 PM25_STEPS = [(0, 30, 0, 50), (30, 60, 50, 100), (60, 90, 100, 200), (90, 120, 200, 300), (120, 250, 300, 400), (250, 500, 400, 500)]
@@ -96,7 +97,7 @@ def failure_sequences(states: DataFrame, edges: DataFrame, *, least: float = 0.0
     new = marked.where(F.col(failed) & ~F.col("_before")).select(ward, F.col(step), F.col(indicator).alias("dst"))
     old = marked.where(failed).select(F.col(ward), (F.col(step) + 1).alias(step), F.col(indicator).alias("src"))
     strong = edges.where(F.col("weight") > least).select("src", "dst", "weight")
-    return new.join(F.broadcast(strong), "dst").join(old, [ward, step, "src"]).select(ward, step, "src", "dst", "weight")
+    return new.join(small(strong), "dst").join(old, [ward, step, "src"]).select(ward, step, "src", "dst", "weight")
 
 
 def frequent_chains(sequences: DataFrame, least: int, *, ward: str = "ward") -> DataFrame:

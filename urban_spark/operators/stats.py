@@ -365,7 +365,7 @@ def masked_refits(df: DataFrame, y: str, xs: list[str], masked: str, mask, *, re
     each = df.select(group, *xs, y).columns
     rows = df.withColumn("replica", F.explode(F.sequence(F.lit(1), F.lit(replicas)))).withColumn("_gone", mask(F.col("replica"))).select("replica", "_gone", *each)
     means = rows.where("NOT _gone").groupBy("replica", group).agg(F.avg(masked).alias("_mean"))
-    filled = rows.join(F.broadcast(means), ["replica", group], "left").withColumn(masked, F.when(F.col("_gone"), F.col("_mean")).otherwise(F.col(masked).cast("double")))
+    filled = rows.join(means, ["replica", group], "left").withColumn(masked, F.when(F.col("_gone"), F.col("_mean")).otherwise(F.col(masked).cast("double")))
     arms = filled.withColumn("arm", F.explode(F.when(F.col("_gone"), F.array(F.lit("imputed"))).otherwise(F.array(F.lit("imputed"), F.lit("complete"))))).withColumn("const", F.lit(1.0)).dropna(subset=[*xs, y])
     pairs = [(i, j) for i in range(len(names)) for j in range(i, len(names))]
     sums = arms.groupBy("replica", "arm").agg(*(F.sum(F.col(names[i]).cast("double") * F.col(names[j]).cast("double")).alias(f"s{i}_{j}") for i, j in pairs)).collect()
