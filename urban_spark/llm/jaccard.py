@@ -126,7 +126,7 @@ def _linked(table: pa.Table, n: int, threshold: float) -> pa.Table:
     order = np.argsort(column, kind="stable")
     owner, column = owner[order], column[order]
     # Each product is a whole number below 2^24, exact in float32; the sums and the comparison need float64.
-    common, width = np.zeros((count, count), np.float64), max(64, 8_000_000 // max(count, 1))
+    common, width = np.zeros((count, count), np.float64), max(64, 4_000_000 // max(count, 1))
     for low in range(0, int(column[-1]) + 1 if len(column) else 0, width):
         a, b = np.searchsorted(column, [low, low + width])
         has = np.zeros((count, min(width, int(column[-1]) + 1 - low)), np.float32)

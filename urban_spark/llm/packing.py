@@ -27,7 +27,7 @@ PRE_TOKEN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\s\w]|_)+| ")
 BLANK = re.compile(r"[ \t-\r]")
 #: Stands for a blank among ids; an id's last byte is 0, so it is found at the border of two ids only.
 MARK = b"\xff\xff\xff\xff"
-CACHE, SEGMENT = 100_000, 1 << 22
+CACHE, SEGMENT = 60_000, 1 << 20
 
 
 class _Recent:
