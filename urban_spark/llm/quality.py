@@ -141,10 +141,10 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
     if not found.num_rows:
         return None
     order = np.argsort(found.column("place").to_numpy().view(np.uint64), kind="stable")
-    ids, shares = (found.column(c).combine_chunks() for c in ("ids", "shares"))
-    rows = [(ids[i].values.to_numpy().astype(np.int64), shares[i].values.to_numpy()) for i in order.tolist()]
+    # Views of what was received, without a copy.
+    views = [[x.values.to_numpy() for chunk in found.column(c).chunks for x in chunk] for c in ("ids", "shares")]
     labels_ = found.column("label").to_numpy()[order]
-    return train(rows, [int(x > 0) for x in labels_])
+    return train([(views[0][i], views[1][i]) for i in order], [int(x > 0) for x in labels_])
 
 
 def score_quality(docs: DataFrame, model: Model | None, *, text_col: str = "text", positive_from: float = 0.3) -> DataFrame:
