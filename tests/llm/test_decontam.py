@@ -99,3 +99,12 @@ def test_proximity_same_as_brute_force(spark):
         near = sorted(str(k) for k, t in items if brute_near(text, t))
         assert got[i] == (len(near), hashlib.sha256(",".join(near).encode()).hexdigest()), (i, near)
     assert got[1][0] == 1 and sum(n for n, _ in got.values()) > 60
+
+
+def test_stage_says_the_same_as_the_query(spark):
+    rnd = random.Random(12)
+    words = [f"w{i}" for i in range(40)]
+    docs = spark.createDataFrame([(i, " ".join(rnd.choices(words, k=rnd.randint(0, 200)))) for i in range(60)] + [(60, "x " + " ".join(words[:12]))], "doc_id long, text string")
+    items = spark.createDataFrame([(i, " ".join(words[i : i + 12])) for i in range(5)] + [(9, "w1 w2")], "item_id long, text string")
+    bad = {r.doc_id for r in decontam.decontaminate(docs, items).collect() if r.contaminated}
+    assert {r.doc_id for r in decontam.without_contaminated(docs, items).collect()} == set(range(61)) - bad and 60 in bad

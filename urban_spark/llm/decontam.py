@@ -47,13 +47,17 @@ class PositionalIndex:
 
 #: Postings of one rank that one key of the shuffle before they are written holds about.
 PER_KEY = 50_000
+#: Postings that a task sorts and writes, about, as long as there are no more than MOST_TASKS tasks.
+PER_TASK, MOST_TASKS = 700_000, 20_000
 
 
-def build_index(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", item_col: str = "item_id", text_col: str = "text", every_term: bool = False) -> PositionalIndex:
+def build_index(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", item_col: str = "item_id", text_col: str = "text", every_term: bool = False, clustered: bool = True) -> PositionalIndex:
     """Stores the postings in the shared folder, once, as Parquet. Terms that no item has can't take part in a match
     and get none, unless `every_term`, for an index that shall serve other items too: about half of all postings would never
     be looked up. The item vocabulary and the frequencies are broadcast if they are small, else joined by a shuffle.
 
+    With `clustered` off postings stay in the order of the texts: no shuffle, but every look-up reads them all.
+
     Null texts and texts without a word have no postings. Repeated rows have theirs several times. Extra columns are not read.
     """
     rows = docs.select(F.col(id_col).alias("doc"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text"))
@@ -68,9 +72,15 @@ def build_index(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", it
     # A hot term is many keys of the shuffle, by text.
     ranks = frequencies.groupBy("rank").agg(F.ceil(F.sum("count") / PER_KEY).alias("keys"))  # a row for each power of two
     ranked = places.join(small(frequencies.select("term", "rank"), 1_000_000), "term").join(F.broadcast(ranks), "rank")
-    dealt = ranked.repartition("rank", F.pmod(F.xxhash64("term", "text_hash"), F.col("keys"))).select("doc", "text_hash", "pos", "term", "rank")
+    columns = ["doc", "text_hash", "pos", "term", "rank"]
+    documents = rows.select("doc", "text_hash", _count(F.col("text")).alias("n_words"))
+    if not clustered:
+        return PositionalIndex(written(ranked.select(*columns), "postings"), frequencies, words, documents, id_col, item_col)
+    tasks = (frequencies.agg(F.sum("count")).first()[0] or 0) // PER_TASK + 1
+    tasks = min(MOST_TASKS, max(tasks, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    dealt = ranked.repartition(tasks, "rank", F.pmod(F.xxhash64("term", "text_hash"), F.col("keys"))).select(*columns)
     postings = written(dealt.sortWithinPartitions("rank", "term", "doc", "pos"), "postings", "rank")
-    return PositionalIndex(postings, frequencies, words, rows.select("doc", "text_hash", _count(F.col("text")).alias("n_words")), id_col, item_col)
+    return PositionalIndex(postings, frequencies, words, documents, id_col, item_col)
 
 
 def _anchors(index: PositionalIndex, window: int) -> DataFrame:
@@ -178,8 +188,10 @@ def near_items(docs: DataFrame, items: DataFrame, *, window: int = 10, slop: int
 
 def without_contaminated(docs: DataFrame, items: DataFrame, *, window: int = 10, id_col: str = "doc_id", item_col: str = "item_id", text_col: str = "text") -> DataFrame:
     """`docs` without the rows in which a window of an item occurs. Cases as in decontaminate(): rows that share an id but
-    not the text are judged each by its own. All columns stay as they are, whatever their names."""
-    index = build_index(docs, items, id_col=id_col, item_col=item_col, text_col=text_col)
+    not the text are judged each by its own. All columns stay as they are, whatever their names.
+
+    The index is made for this one look-up, and not clustered: that would cost a shuffle of the postings."""
+    index = build_index(docs, items, id_col=id_col, item_col=item_col, text_col=text_col, clustered=False)
     key, ours, theirs = free(docs.columns, "hash", "found_id", "found_hash")
     found = phrase_matches(index, window=window).select(F.col("doc").alias(ours), F.col("text_hash").alias(theirs)).distinct()
     kept = docs.withColumn(key, F.xxhash64(text_col)).join(small(cut(found)), F.col(id_col).eqNullSafe(F.col(ours)) & (F.col(key) == F.col(theirs)), "left_anti")
