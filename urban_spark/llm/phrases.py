@@ -215,6 +215,12 @@ def _named(keyed: DataFrame, column: str, words: DataFrame, out: str) -> DataFra
     return keyed.join(names.agg(F.transform(F.array_sort(F.collect_list(F.struct("_at", "word"))), lambda x: x["word"]).alias("_words")), column).withColumn(out, F.array_join("_words", " ")).drop("_words")
 
 
+def score_column() -> Column:
+    """floor(1000 * a * n / (l * r)) of the columns a, n, l and r, by decimals of 38 digits."""
+    wide = lambda c: f"CAST({c} AS DECIMAL(19, 0))"
+    return F.expr(f"(CAST(1000 AS DECIMAL(4, 0)) * {wide('a')} * {wide('n')}) div ({wide('l')} * {wide('r')})")
+
+
 def repeated_passages(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", min_count: int = 100, longest: int = 5) -> DataFrame:
     """(lang, passage, n_words, n): the compacted unary paths of the graph of collocations(): passages of `longest` words or more, within
     pieces, that occur `min_count` times and of which every window of `longest` words occurs as often. Cases as in collocations()."""
@@ -262,9 +268,7 @@ def collocations(
     cuts = left.select("key", "a", "n", F.explode(F.sequence(F.lit(1), F.size("key") - 1)).alias("k"))
     cuts = cuts.withColumn("first", F.slice("key", F.lit(1), F.col("k"))).withColumn("rest", F.slice("key", F.col("k") + 1, F.size("key") - F.col("k")))
     cuts = cuts.join(all_counts.select(F.col("key").alias("first"), F.col("f").alias("l")), "first").join(all_counts.select(F.col("key").alias("rest"), F.col("f").alias("r")), "rest")
-    wide = lambda c: f"CAST({c} AS DECIMAL(19, 0))"
-    score = F.expr(f"(CAST(1000 AS DECIMAL(4, 0)) * {wide('a')} * {wide('n')}) div ({wide('l')} * {wide('r')})")
-    best = cuts.withColumn("score", score).groupBy("key").agg(F.min(F.struct("score", "k", "l", "r")).alias("cut"))
+    best = cuts.withColumn("score", score_column()).groupBy("key").agg(F.min(F.struct("score", "k", "l", "r")).alias("cut"))
     scored = left.join(best, "key").select("key", "lang", "a", "n", "cut.l", "cut.r", "cut.score")
     named = _named(cut(scored), "key", words, "phrase").drop("key")
     return _first(named, top).select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
