@@ -76,7 +76,7 @@ def test_shorter_windows(spark):
 
 def test_small_blocks_give_the_same(spark, monkeypatch):
     monkeypatch.setattr(phrases, "STRETCH", 40)
-    held = list(phrases._tokens(iter([spark.createDataFrame(made(6), SCHEMA).select(F.coalesce("lang", F.lit("und")), "text").toArrow().to_batches()[0]])))
+    held = list(phrases._tokens(iter(spark.createDataFrame(made(6), SCHEMA).select(F.coalesce("lang", F.lit("und")), "text").toArrow().to_batches())))
     want = Counter((lang, tuple(words)) for lang, words in pieces(made(6)) if words)
     got = Counter()
     for lang, tokens in held:
@@ -93,7 +93,7 @@ def test_passages_are_unary_paths(spark):
     text = "one two three four five six seven eight nine ten eleven twelve"
     rows = [(i, f"{deal.choice('abcdefgh')} {text} {deal.choice('rstuvw')}", "en", "w", 1) for i in range(50)]
     rows += [(100 + i, "five six seven eight nine ten eleven", "en", "w", 1) for i in range(10)]
-    got = {(r.passage, r.n) for r in repeated_passages(spark.createDataFrame(rows, SCHEMA), min_count=10).collect()}
+    got = {(r.passage, r.n) for r in repeated_passages(spark.createDataFrame(rows, SCHEMA), min_count=40).collect()}
     want = {("one two three four five six seven eight", 50), ("five six seven eight nine ten eleven", 60), ("eight nine ten eleven twelve", 50)}
     assert got == want
 

@@ -128,15 +128,16 @@ def _gathered(parts: Iterator[np.ndarray], names: list[str]) -> Iterator[pa.Reco
 
 def _windows(codes: np.ndarray, pairs: _Filter, longest: int) -> np.ndarray:
     """The `longest` words from each word on, with 0 behind the end of its piece. Pieces also end where a pair is not frequent."""
-    whole = np.zeros(len(codes), bool)
-    whole[:-1] = pairs.has(p := _pairs(codes)) & (p > 0)
-    out, going = np.zeros((len(codes), longest), np.uint64), np.ones(len(codes), bool)
-    out[:, 0] = codes
+    rows = len(codes)
+    codes = np.concatenate([codes, np.zeros(longest, np.uint64)])
+    beside = _pairs(codes)
+    whole = pairs.has(beside) & (beside > 0)
+    out, going = np.zeros((rows, longest), np.uint64), np.ones(rows, bool)
+    out[:, 0] = codes[:rows]
     for k in range(1, longest):
-        going[: len(codes) - k + 1] &= whole[k - 1 :]  # the words k - 1 and k of the window are in one piece
-        going[len(codes) - k :] = False
-        out[: len(codes) - k, k] = np.where(going[: len(codes) - k], codes[k:], 0)
-    return out[codes > 0]
+        going &= whole[k - 1 : k - 1 + rows]  # the words k - 1 and k of the window are in one piece
+        out[:, k] = np.where(going, codes[k : k + rows], 0)
+    return out[out[:, 0] > 0]
 
 
 def _names(k: int) -> list[str]:
