@@ -16,8 +16,8 @@ from urban_spark.llm.shared import cut, small, written
 
 #: Tabs to blanks, and what ends a piece to a line feed.
 _TABLE = bytes.maketrans(b"\t.,;:!?\x0b\x0c\r", b" \n\n\n\n\n\n\n\n\n")
-#: Bytes of text that are held as words at once, words whose windows are summed before they leave a task, and distinct ones.
-STRETCH, WINDOWS, DISTINCT = 1 << 21, 400_000, 200_000
+#: Bytes of text that are held as words at once, codes that are summed before they leave a task, and distinct words.
+STRETCH, CODES, DISTINCT = 1 << 21, 1 << 21, 200_000
 #: Bits of the filters of frequent words and pairs, at most: 32 MB a filter.
 FILTER_BITS = 1 << 28
 #: Odd multipliers that mix the codes of a window.
@@ -119,7 +119,7 @@ def _gathered(parts: Iterator[np.ndarray], names: list[str]) -> Iterator[pa.Reco
     for part in parts:
         held.append(part)
         rows += len(part)
-        if rows >= WINDOWS:
+        if rows * len(names) >= CODES:
             yield out()
             held, rows = [], 0
     if rows:

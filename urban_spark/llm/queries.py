@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from urban_spark.llm import decontam, jaccard, langid, lines, packing, phrases, pii, quality, rules, tokens, variants, warc
+from urban_spark.llm import decontam, jaccard, langid, lines, mixing, packing, phrases, pii, quality, rules, tokens, variants, warc
 from urban_spark.llm.shared import load, shared_dir
 
 
@@ -82,7 +82,11 @@ def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return variants.spelling_groups(variants.word_counts(load(spark, sf_dir, "documents"), drop_every=199))
 
 
-_ALL = (op1_line_dedup, op2_token_counts, op3_best_fit_packing, op4_quality_rules, op5_benchmark_decontamination, op5_benchmark_proximity, op6_language_id, op7_quality_classifier, op8_ngram_jaccard_join, op9_pii, op10_warc, op11_phrase_collocations, op12_spelling_variants)
+def op13_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_sources(load(spark, sf_dir, "documents"))
+
+
+_ALL = (op1_line_dedup, op2_token_counts, op3_best_fit_packing, op4_quality_rules, op5_benchmark_decontamination, op5_benchmark_proximity, op6_language_id, op7_quality_classifier, op8_ngram_jaccard_join, op9_pii, op10_warc, op11_phrase_collocations, op12_spelling_variants, op13_source_mix)
 QUERIES = {f.__name__: f for f in _ALL}
 #: DuckDB SQL by query name, where SQL can express the query.
-SQL: dict[str, str] = {"op1_line_dedup": lines.SQL, "op4_quality_rules": rules.sql(), "op5_benchmark_decontamination": decontam.SQL, "op11_phrase_collocations": phrases.SQL}
+SQL: dict[str, str] = {"op1_line_dedup": lines.SQL, "op4_quality_rules": rules.sql(), "op5_benchmark_decontamination": decontam.SQL, "op11_phrase_collocations": phrases.SQL, "op13_source_mix": mixing.SQL}
