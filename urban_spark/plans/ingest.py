@@ -175,13 +175,68 @@ def j16(t):
     return l.ordinal_band(t.sites, group="ward", key="site", reach=5)
 
 
-@query("j8_j9_record_linkage")
+#: Names of three words for suppliers, and what customers write of those that they stand for: with a letter missing, a letter replaced and
+#: the words turned round, more words, a number, or as they are in capitals.
+_NAMED = """words AS (SELECT s_suppkey AS id, translate(CAST(s_suppkey * 7919 % 99991 + 100000 AS VARCHAR), '0123456789', 'balecimodu') AS u, translate(CAST(s_suppkey * 104729 % 99989 + 100000 AS VARCHAR), '0123456789', 'renastivop') AS v FROM supplier),
+registry AS (SELECT id, u || ' ' || v || ' hall' AS name FROM words),
+written AS (SELECT c_custkey AS k, CASE c_custkey % 5 WHEN 0 THEN substr(u, 1, 2) || substr(u, 4) || ' ' || v || ' hall' WHEN 1 THEN v || ' Hall ' || substr(u, 1, 4) || 'x' || substr(u, 6)
+  WHEN 2 THEN u || '-' || v || ' hall, ' || lower(c_mktsegment) WHEN 3 THEN 'No. ' || CAST(id AS VARCHAR) ELSE upper(name) END AS raw
+  FROM customer JOIN words ON c_custkey % 1000 = id JOIN registry USING (id))"""
+#: The full matrix of scores.
+_SCORES = """plain AS (SELECT k, trim(regexp_replace(lower(raw), '[^a-z0-9]+', ' ', 'g')) AS n FROM written), plain_b AS (SELECT id, trim(regexp_replace(lower(name), '[^a-z0-9]+', ' ', 'g')) AS n FROM registry),
+both_sets AS (SELECT k, id, a.n AS an, b.n AS bn, list_sort(list_distinct(string_split(a.n, ' '))) AS x, list_sort(list_distinct(string_split(b.n, ' '))) AS y FROM plain a, plain_b b),
+parts AS (SELECT *, array_to_string(list_filter(x, lambda w: list_contains(y, w)), ' ') AS s, array_to_string(list_filter(x, lambda w: NOT list_contains(y, w)), ' ') AS p, array_to_string(list_filter(y, lambda w: NOT list_contains(x, w)), ' ') AS q FROM both_sets),
+ends AS (SELECT *, trim(s || ' ' || p) AS one, trim(s || ' ' || q) AS two FROM parts),
+scores AS (SELECT k AS a, id AS b, an, bn, greatest(CASE WHEN s <> '' THEN greatest(100.0::DOUBLE * (1 - levenshtein(s, one) / greatest(length(s), length(one))::DOUBLE), 100.0::DOUBLE * (1 - levenshtein(s, two) / greatest(length(s), length(two))::DOUBLE)) ELSE 0.0::DOUBLE END,
+  100.0::DOUBLE * (1 - levenshtein(one, two) / greatest(length(one), length(two))::DOUBLE)) AS score FROM ends)"""
+
+
+def _names(t):
+    digits = lambda c, to: F.translate(c.cast("string"), "0123456789", to)
+    k = F.col("s_suppkey")
+    words = t.supplier.select(k.alias("id"), digits(k * 7919 % 99991 + 100000, "balecimodu").alias("u"), digits(k * 104729 % 99989 + 100000, "renastivop").alias("v"))
+    registry = words.withColumn("name", F.concat("u", F.lit(" "), "v", F.lit(" hall")))
+    kind, c, u, v = F.col("c_custkey") % 5, F.concat, F.col("u"), F.col("v")
+    raw = (
+        F.when(kind == 0, c(F.substring(u, 1, 2), F.substring(u, 4, 99), F.lit(" "), v, F.lit(" hall")))
+        .when(kind == 1, c(v, F.lit(" Hall "), F.substring(u, 1, 4), F.lit("x"), F.substring(u, 6, 99)))
+        .when(kind == 2, c(u, F.lit("-"), v, F.lit(" hall, "), F.lower("c_mktsegment")))
+        .when(kind == 3, c(F.lit("No. "), F.col("id").cast("string")))
+        .otherwise(F.upper("name"))
+    )
+    written = t.customer.join(registry, F.col("c_custkey") % 1000 == F.col("id")).select(F.col("c_custkey").alias("k"), raw.alias("raw"))
+    return written, registry.select("id", "name")
+
+
+@query("j9_fuzzy_pairs", f"WITH {_NAMED}, {_SCORES} SELECT a AS left, b AS right, round(score, 6) AS score FROM scores WHERE score >= 80")
+@tabled
+def j9_pairs(t):
+    """All pairs of names that score 80 or more."""
+    a, b = _names(t)
+    return rounded(l.fuzzy_pairs(a, b, left_key="k", left_name="raw", right_key="id", right_name="name", least=80.0), "score", digits=6)
+
+
+@query(
+    "j8_j9_record_linkage",
+    f"""WITH RECURSIVE {_NAMED}, {_SCORES},
+numbered AS (SELECT k, try_cast(regexp_extract(raw, '[0-9]+') AS BIGINT) AS id FROM written WHERE regexp_matches(raw, '[0-9]')),
+by_number AS (SELECT min(k) AS a, id AS b FROM numbered JOIN registry USING (id) GROUP BY id),
+left_a AS (SELECT * FROM scores WHERE a NOT IN (SELECT a FROM by_number) AND b NOT IN (SELECT b FROM by_number)),
+by_name AS (SELECT a, b FROM (SELECT a, b, row_number() OVER (PARTITION BY b ORDER BY a) AS n FROM left_a WHERE an = bn) WHERE n = 1),
+rounds AS (
+  SELECT a, b, score, 0 AS step FROM left_a WHERE score >= 80 AND a NOT IN (SELECT a FROM by_name) AND b NOT IN (SELECT b FROM by_name)
+  UNION ALL
+  SELECT a, b, score, step + 1 FROM (SELECT *, bool_or(hit) OVER (PARTITION BY a) OR bool_or(hit) OVER (PARTITION BY b) AS gone FROM (
+    SELECT *, row_number() OVER (PARTITION BY a ORDER BY score DESC, b) = 1 AND row_number() OVER (PARTITION BY b ORDER BY score DESC, a) = 1 AS hit FROM rounds)) WHERE NOT gone
+),
+by_score AS (SELECT a, b, score FROM (SELECT *, row_number() OVER (PARTITION BY step, a ORDER BY score DESC, b) = 1 AND row_number() OVER (PARTITION BY step, b ORDER BY score DESC, a) = 1 AS hit FROM rounds) WHERE hit)
+SELECT a AS left, b AS right, 'number' AS method, 100.0::DOUBLE AS score FROM by_number UNION ALL SELECT a, b, 'name', 100.0::DOUBLE FROM by_name UNION ALL SELECT a, b, 'fuzzy', round(score, 6) FROM by_score""",
+)
 @tabled
 def j9(t):
-    """Customer names written in other ways, matched to their table: by number, by name, by similarity."""
-    names = t.customer.select(F.col("c_custkey").alias("k"), F.concat(F.lit("Site "), F.reverse("c_name"), F.lit(" "), "c_mktsegment").alias("name"))
-    odd = names.withColumn("raw", F.when(F.col("k") % 3 == 0, F.concat(F.lit("No. "), F.col("k").cast("string"))).when(F.col("k") % 3 == 1, F.upper("name")).otherwise(F.concat(F.col("name"), F.lit(" s"))))
-    return l.link(odd.select("k", "raw"), names.select(F.col("k").alias("id"), "name"), left_key="k", left_name="raw", right_key="id", right_name="name")
+    """Names that customers write, matched to the suppliers' one to one: by number, by name, by similarity."""
+    a, b = _names(t)
+    return rounded(l.link(a, b, left_key="k", left_name="raw", right_key="id", right_name="name", least=80.0), "score", digits=6)
 
 
 @query("j8_ordinal_last_stage", "WITH a AS (SELECT c_custkey AS k, row_number() OVER (ORDER BY c_custkey) AS n FROM customer), b AS (SELECT s_suppkey AS k, row_number() OVER (ORDER BY s_suppkey) AS n FROM supplier) SELECT a.k AS left, b.k AS right, 'order' AS method FROM a JOIN b USING (n)")
