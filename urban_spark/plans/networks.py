@@ -8,6 +8,7 @@ from urban_spark.functions.geo import haversine_km
 from urban_spark.operators import access as q
 from urban_spark.operators import agg as a
 from urban_spark.operators import graph as g
+from urban_spark.operators import routes
 from urban_spark.operators import spatial as s
 from urban_spark.operators.clean import hashed_sample
 from urban_spark.plans.base import PANEL, SITES, WARDS, query, rounded, tabled
@@ -55,10 +56,56 @@ def n2(t):
     return od_flows(t)
 
 
-@query("n4_travel_minutes", f"WITH {SITES}, {ROADS} SELECT src, dst, round(weight / CASE WHEN src % 3 = 0 THEN 35.0 ELSE 20.0 END::DOUBLE * 60, 6) AS minutes FROM roads")
+#: Roads between sites at 35 km/h, metro lines between the places of wards at 40, and walks of 5 km/h from a station to the nearest site.
+LAYERED = f"""metro AS (SELECT a.ward AS src, b.ward AS dst, {_km('a.lon', 'a.lat', 'b.lon', 'b.lat')} AS km FROM wards a JOIN wards b ON b.ward = a.ward + 5 WHERE a.ward % 5 < 3),
+walks AS (SELECT w.ward, s.site, {_km('w.lon', 'w.lat', 's.lon', 's.lat')} AS km FROM wards w, sites s QUALIFY row_number() OVER (PARTITION BY w.ward ORDER BY km, s.site) = 1),
+every AS (SELECT 'road:' || src AS a, 'road:' || dst AS b, weight / 35.0::DOUBLE * 60 AS minutes, 'road' AS mode FROM roads UNION ALL SELECT 'metro:' || src, 'metro:' || dst, km / 40.0::DOUBLE * 60, 'metro' FROM metro
+  UNION ALL SELECT 'metro:' || ward, 'road:' || site, km / 5.0::DOUBLE * 60, 'transfer' FROM walks WHERE ward IN (SELECT src FROM metro UNION SELECT dst FROM metro)),
+layered AS (SELECT least(a, b) AS src, greatest(a, b) AS dst, min({{'minutes': minutes, 'mode': mode}}) AS m FROM every WHERE a <> b AND minutes > 0 GROUP BY 1, 2)"""
+#: Times between all pairs of nodes, by squaring: after seven steps all ways of 128 edges.
+_CLOSED = "t0 AS (SELECT src, dst, min(m) AS m FROM (SELECT src, dst, m.minutes AS m FROM layered UNION ALL SELECT dst, src, m.minutes FROM layered UNION ALL SELECT src, src, 0 FROM layered UNION ALL SELECT dst, dst, 0 FROM layered) GROUP BY 1, 2)" + "".join(
+    f", t{k} AS MATERIALIZED (SELECT a.src, b.dst, min(a.m + b.m) AS m FROM t{k - 1} a JOIN t{k - 1} b ON a.dst = b.src GROUP BY 1, 2)" for k in range(1, 8)
+)
+NETWORK_TIMES = f"""{LAYERED}, {_CLOSED}, network_times AS (SELECT a.ward AS src, b.ward AS dst, CASE WHEN a.ward = b.ward THEN 0 ELSE coalesce(t.m, sqrt(pow(a.lon - b.lon, 2) + pow(a.lat - b.lat, 2)) * 111 / 30.0::DOUBLE * 60) END AS minutes
+  FROM wards a CROSS JOIN wards b JOIN walks x ON x.ward = a.ward JOIN walks y ON y.ward = b.ward LEFT JOIN t7 t ON t.src = 'road:' || x.site AND t.dst = 'road:' || y.site)"""
+
+
+def _layered(t):
+    """The graph (src, dst, minutes, mode), and the site next to each ward (ward, node)."""
+    w = t.wards
+    ends = w.select(F.col("ward").alias("src"), F.col("lon").alias("x"), F.col("lat").alias("y")).where("src % 5 < 3").withColumn("dst", F.col("src") + 5).join(w.withColumnRenamed("ward", "dst"), "dst")
+    metro = ends.select("src", "dst", haversine_km(F.col("x"), F.col("y"), F.col("lon"), F.col("lat")).alias("km"))
+    walks = s.nearest(w, t.sites, key="ward", target="site")
+    stations = metro.select(F.col("src").alias("ward")).union(metro.select("dst")).distinct()
+    node = lambda name, c: F.concat(F.lit(name), F.col(c).cast("string"))
+    transfers = walks.join(stations, "ward", "left_semi").select(node("metro:", "ward").alias("src"), node("road:", "site").alias("dst"), (F.col("km") / 5.0 * 60).alias("minutes"))
+    edges = routes.multimodal_graph({"road": (_roads(t).withColumnRenamed("weight", "km"), 35.0), "metro": (metro, 40.0)}, transfers)
+    return edges, walks.select("ward", node("road:", "site").alias("node"))
+
+
+def network_times(t):
+    edges, snapped = _layered(t)
+    return routes.travel_matrix(edges, t.wards, snapped, key="ward")
+
+
+@query("n4_travel_minutes", f"WITH {SITES}, {WARDS}, {ROADS}, {LAYERED} SELECT src, dst, round(m.minutes, 6) AS minutes, m.mode AS mode FROM layered")
 @tabled
 def n4(t):
-    return rounded(_roads(t).select("src", "dst", (F.col("weight") / F.when(F.col("src") % 3 == 0, 35.0).otherwise(20.0) * 60).alias("minutes")), "minutes", digits=6)
+    return rounded(_layered(t)[0], "minutes", digits=6)
+
+
+@query("q4_network_times", f"WITH {SITES}, {WARDS}, {ROADS}, {NETWORK_TIMES} SELECT src, dst, round(minutes, 6) AS minutes FROM network_times")
+@tabled
+def q4_times(t):
+    """Minutes from ward to ward over roads and metro."""
+    return rounded(network_times(t), "minutes", digits=6)
+
+
+@query("q4_network_summary", f"WITH {SITES}, {WARDS}, {ROADS}, {NETWORK_TIMES} SELECT round(avg(minutes), 6) AS mean, round(quantile_cont(minutes, 0.5), 6) AS median, round(quantile_cont(minutes, 0.9), 6) AS p90, round(max(minutes), 6) AS most FROM network_times WHERE minutes > 0")
+@tabled
+def q4_summary(t):
+    times = network_times(t).where("minutes > 0")
+    return rounded(q.time_summary(times, "minutes").crossJoin(F.broadcast(times.agg(F.max("minutes").alias("most")))), "mean", "median", "p90", "most", digits=6)  # one row each
 
 
 @query("n5_degrees", f"WITH {SITES}, {ROADS}, u AS (SELECT src, dst FROM roads UNION SELECT dst, src FROM roads), d AS (SELECT src, count(*) AS d FROM u GROUP BY 1) SELECT site AS id, coalesce(d, 0) AS degree, round(coalesce(d, 0) / greatest((SELECT count(*) FROM sites) - 1, 1)::DOUBLE, 9) AS centrality FROM sites LEFT JOIN d ON src = site")
@@ -86,7 +133,10 @@ SELECT source, id, round(min(distance), 6) AS distance FROM p GROUP BY 1, 2""",
 )
 @tabled
 def n7(t):
-    return rounded(g.shortest_paths(_roads(t), t.sites.groupBy("ward").agg(F.min("site").alias("id")).select("id"), growth=8.0), "distance", digits=6)
+    """From the first site of each ward to all sites."""
+    first = t.sites.groupBy("ward").agg(F.min("site").alias("id")).select("id")
+    found = routes.distances(routes.route_index(_roads(t)), first, _site_nodes(t))
+    return rounded(found.withColumnRenamed("target", "id"), "distance", digits=6)
 
 
 @query("n8_closeness")
