@@ -16,8 +16,8 @@ from urban_spark.llm.shared import cut, small, written
 
 #: Tabs to blanks, and what ends a piece to a line feed.
 _TABLE = bytes.maketrans(b"\t.,;:!?\x0b\x0c\r", b" \n\n\n\n\n\n\n\n\n")
-#: Bytes of text that are held as words at once, codes that are summed before they leave a task, and distinct words.
-STRETCH, CODES, DISTINCT = 1 << 21, 1 << 21, 200_000
+#: Rows of a batch and bytes of text that are held as words at once, codes that are summed before they leave a task, and distinct words.
+ROWS, STRETCH, CODES, DISTINCT = 512, 1 << 21, 1 << 20, 200_000
 #: Bits of the filters of frequent words and pairs, at most: 32 MB a filter.
 FILTER_BITS = 1 << 28
 #: Odd multipliers that mix the codes of a window.
@@ -26,9 +26,9 @@ _MIX = np.random.default_rng(5).integers(1 << 62, (1 << 63) - 1, 16, np.uint64)
 
 def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, list[bytes]]]:
     """(language, words in lower case with a line feed where a piece ends) for stretches of whole pieces."""
-    for batch in batches:
+    for part in (batch.slice(at, ROWS) for batch in batches for at in range(0, batch.num_rows, ROWS)):
         by: dict[str, list[bytes]] = {}
-        for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+        for lang, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
             if text:
                 by.setdefault(lang, []).append(text.encode())
         for lang, texts in by.items():
