@@ -103,3 +103,58 @@ def capped_assignment(df: DataFrame, centers: DataFrame, size: str, *, key: str,
             break
     rest = left.select(key, F.col("_w")[0]["c"].alias("center"))
     return reduce(DataFrame.unionByName, (g.select(key, "center") for g in done), rest)
+
+
+def balanced_assignment(
+    df: DataFrame, centers: DataFrame, measures: tuple[str, str], *, key: str, shares: dict | None = None, margin: float = 0.05, rounds: int = 300, noise: float = 1e-3, strict: bool = True
+) -> DataFrame:
+    """(key, center): every row of `df` (key, x, y and the `measures`) at one of `centers` (center, cx, cy), near ones first, such that of both
+    measures each centre holds its share of the total (`shares`: center -> weight; equal ones without), within `margin` of it, above and below.
+
+    An auction: each centre has a price for a unit of either measure, each row takes the centre with the least sum of its distance and
+    prices. Prices go up where a centre holds too much and down where too little, by steps that grow as long as the sign stays and halve where it
+    turns. A round is one pass over the rows that sums by centre; the driver sees two sums a centre. Equal rows are told apart
+    by `noise` times the mean distance, dealt by hash.
+
+    If no round is within the margin (rows may be too large for it) that is an error, or with strict=False the round whose
+    worst centre is least off. Null measures count 0. More than MOST_CENTERS centres are an error; no rows: no rows.
+    """
+    import math
+
+    at = [(r["center"], float(r["cx"]), float(r["cy"])) for r in centers.select("center", "cx", "cy").orderBy("center").limit(MOST_CENTERS + 1).collect()]
+    if not 0 < len(at) <= MOST_CENTERS:
+        raise ValueError(f"1 to {MOST_CENTERS} centres")
+    value = lambda c: F.coalesce(F.col(c).cast("double"), F.lit(0.0))
+    rows = _cut(df.select(key, F.col("x").cast("double").alias("_x"), F.col("y").cast("double").alias("_y"), *(value(c).alias(f"_m{i}") for i, c in enumerate(measures))))
+    cx, cy = F.lit([c[1] for c in at]), F.lit([c[2] for c in at])
+    far = F.zip_with(cx, cy, lambda x, y: F.sqrt(F.pow(F.col("_x") - x, 2) + F.pow(F.col("_y") - y, 2)))
+    count, mean, *totals = rows.agg(F.count(F.lit(1)), F.avg(F.array_min(far)), F.sum("_m0"), F.sum("_m1")).first()
+    weight = [float(shares[c[0]]) if shares else 1.0 for c in at]
+    goals = [[w / sum(weight) * (t or 0.0) for w in weight] for t in totals]
+    unit, scale = [(t or 0.0) / max(count, 1) or 1.0 for t in totals], mean or 1.0
+    prices, steps, signs = ([[v] * len(at) for _ in totals] for v in (0.0, 0.25, 0))
+    deal = lambda i: F.pmod(F.xxhash64(key, i), F.lit(1 << 20)) / float(1 << 20)
+
+    def choice(prices: list[list[float]]):
+        own = F.zip_with(F.lit(prices[0]), F.lit(prices[1]), lambda p, q: p * F.col("_m0") / unit[0] + q * F.col("_m1") / unit[1])
+        cost = F.zip_with(far, own, lambda d, p: d / scale + p)
+        return F.array_min(F.transform(cost, lambda v, i: F.struct((v + noise * deal(i)).alias("v"), i.alias("i"))))["i"]
+
+    best, kept = math.inf, prices
+    for _ in range(rounds):
+        held = {r["i"]: (r["a"], r["b"]) for r in rows.groupBy(choice(prices).alias("i")).agg(F.sum("_m0").alias("a"), F.sum("_m1").alias("b")).collect()}
+        off = [[(held.get(i, (0.0, 0.0))[m] - g) / g if g else 0.0 for i, g in enumerate(goals[m])] for m in (0, 1)]
+        worst = max(abs(v) for m in off for v in m)
+        if worst < best:
+            best, kept = worst, [list(p) for p in prices]
+        if worst <= margin:
+            break
+        for m in (0, 1):
+            for i, v in enumerate(off[m]):
+                sign = 0 if abs(v) <= margin / 2 else 1 if v > 0 else -1
+                steps[m][i] = min(8.0, max(1e-7, steps[m][i] * (1.25 if sign * signs[m][i] > 0 else 0.5 if sign * signs[m][i] < 0 else 1.0)))
+                prices[m][i] += sign * steps[m][i] * min(1.0, abs(v) * 4)
+                signs[m][i] = sign
+    if best > margin and strict:
+        raise RuntimeError(f"no assignment within {margin:.0%}: the best is {best:.1%} off")
+    return rows.select(key, F.get(F.lit([c[0] for c in at]), choice(kept)).alias("center"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
@@ -107,6 +108,107 @@ def recursive_forecast(df: DataFrame, value: str, weights: list[float], intercep
     return made.select(key, F.add_months("_d", F.col("_i") + 1).alias(date), (F.col("_i") + 1).alias("h"), "forecast")
 
 
+@dataclass
+class Trees:
+    """A fitted ensemble as arrays over all nodes: the feature that a node asks for (-1 in a leaf), its threshold, where it goes on, its value; and by
+    tree the root and the weight. `depth` is the longest way down."""
+
+    feature: list[int]
+    threshold: list[float]
+    left: list[int]
+    right: list[int]
+    value: list[float]
+    roots: list[int]
+    weights: list[float]
+    depth: int
+
+    def predicted(self, x: Column) -> Column:
+        """The ensemble's value for an array of features, in the order they were fitted in."""
+        feature, threshold, left, right = F.lit(self.feature), F.lit(self.threshold), F.lit(self.left), F.lit(self.right)
+
+        def down(node: Column, _: Column) -> Column:
+            goes_left = F.get(x, F.get(feature, node)) <= F.get(threshold, node)
+            return F.when(F.get(feature, node) < 0, node).when(goes_left, F.get(left, node)).otherwise(F.get(right, node))
+
+        steps = F.sequence(F.lit(1), F.lit(max(self.depth, 1)))
+        leaves = F.transform(F.lit(self.roots), lambda root: F.get(F.lit(self.value), F.aggregate(steps, root, down)))
+        return F.aggregate(F.zip_with(leaves, F.lit(self.weights), lambda v, w: v * w), F.lit(0.0), lambda s, v: s + v)
+
+
+def compiled(model) -> Trees:
+    """A random forest or gradient-boosted regression model of pyspark.ml with continuous features, as Trees."""
+    out = Trees([], [], [], [], [], [], [], model_depth(model))
+    forest = type(model).__name__.startswith("RandomForest")
+
+    def put(node) -> int:
+        at = len(out.feature)
+        inner = node.getClass().getSimpleName() == "InternalNode"
+        out.feature.append(node.split().featureIndex() if inner else -1)
+        out.threshold.append(float(node.split().threshold()) if inner else 0.0)
+        out.value.append(float(node.prediction()))
+        out.left.append(at)
+        out.right.append(at)
+        if inner:
+            out.left[at], out.right[at] = put(node.leftChild()), put(node.rightChild())
+        return at
+
+    for tree, weight in zip(model.trees, model.treeWeights, strict=True):
+        out.roots.append(put(tree._java_obj.rootNode()))
+        out.weights.append(1.0 / len(model.trees) if forest else float(weight))
+    return out
+
+
+def model_depth(model) -> int:
+    return max(tree.depth for tree in model.trees)
+
+
+def _lag_names(value: str, lags: list[int], means: list[int]) -> list[str]:
+    return [*(f"{value}_lag_{k}" for k in lags), *(f"{value}_mean_{k}" for k in means), "_month_of_year"]
+
+
+def lag_features(df: DataFrame, value: str, lags: list[int], means: list[int], *, key: str = "ward", date: str = "month") -> DataFrame:
+    """`df` with the values `lags` rows ago, the means of so many rows before (null where there are fewer), and the month of the year."""
+    w = Window.partitionBy(key).orderBy(date)
+    before = {f"{value}_mean_{k}": F.when(F.count(value).over(w.rowsBetween(-k, -1)) == k, F.avg(F.col(value).cast("double")).over(w.rowsBetween(-k, -1))) for k in means}
+    return df.withColumns({f"{value}_lag_{k}": F.lag(F.col(value).cast("double"), k).over(w) for k in lags} | before | {"_month_of_year": F.month(date).cast("double")})
+
+
+def fit_lag_trees(
+    df: DataFrame, value: str, lags: list[int], means: list[int], train: Column, *, kind: str = "forest", trees: int = 20, depth: int = 5, seed: int = 7, key: str = "ward", date: str = "month"
+):
+    """A model of pyspark.ml for `value` on lag_features() over all keys, fitted where `train` holds: a random forest, or boosted trees (kind="boosted")."""
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
+
+    names = _lag_names(value, lags, means)
+    rows = lag_features(df, value, lags, means, key=key, date=date).where(train).dropna(subset=[value, *names])
+    rows = VectorAssembler(inputCols=names, outputCol="_x").transform(rows.withColumn(value, F.col(value).cast("double")))
+    options = {"featuresCol": "_x", "labelCol": value, "maxDepth": depth, "seed": seed}
+    return (RandomForestRegressor(numTrees=trees, **options) if kind == "forest" else GBTRegressor(maxIter=trees, **options)).fit(rows)
+
+
+def recursive_tree_forecast(df: DataFrame, value: str, trees: Trees, lags: list[int], means: list[int], horizon: int, *, key: str = "ward", date: str = "month") -> DataFrame:
+    """(key, date, h, forecast): each series carried on `horizon` months by trees fitted on lag_features() of `lags` and `means`, each forecast taking
+    its place among the last values. The state of a series is an array of these, and all steps of all series are one pass. Series with
+    fewer values than the features need, or with a null among those, go."""
+    n = max([*lags, *means])
+    w = Window.partitionBy(key).orderBy(F.desc(date))
+    last = df.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= n).where(F.col(value).isNotNull())
+    state = last.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("_rn", F.col(value).cast("double").alias("_v")))).alias("_s"), F.max(date).alias("_d")).where(F.size("_s") == n)
+    start = F.struct(F.transform("_s", lambda x: x["_v"]).alias("last"), F.lit(0.0).alias("new"))
+
+    def step(a: Column, h: Column) -> Column:
+        mean = lambda k: F.aggregate(F.slice(a["last"], 1, k), F.lit(0.0), lambda s, v: s + v) / k
+        x = F.array(*(a["last"][k - 1] for k in lags), *(mean(k) for k in means), F.month(F.add_months("_d", h)).cast("double"))
+        new = trees.predicted(x)
+        return F.struct(F.concat(F.array(new), F.slice(a["last"], 1, n + horizon)).alias("last"), new.alias("new"))
+
+    # Each step puts its forecast in front; what was there at first is behind them.
+    done = F.aggregate(F.sequence(F.lit(1), F.lit(horizon)), start, step, lambda a: F.slice(a["last"], 1, horizon))
+    made = state.select(key, "_d", F.posexplode(F.reverse(done)).alias("_i", "forecast"))
+    return made.select(key, F.add_months("_d", F.col("_i") + 1).alias(date), (F.col("_i") + 1).alias("h"), "forecast")
+
+
 def bands(forecast: Column, share: float) -> tuple[Column, Column]:
     return forecast - share * F.abs(forecast), forecast + share * F.abs(forecast)
 

@@ -170,13 +170,100 @@ def group_polygons(polygons: DataFrame, by: str, *, rings: str = "rings") -> Dat
     return polygons.groupBy(by).agg(F.flatten(F.collect_list(rings)).alias(rings), F.count(F.lit(1)).alias("parts"))
 
 
-def nearest_pairs(a: DataFrame, k: int, *, key: str, km: float) -> DataFrame:
-    """(src, dst, km): each row's k nearest others within `km`."""
+def nearest_pairs(a: DataFrame, k: int, *, key: str, lon: str = "lon", lat: str = "lat") -> DataFrame:
+    """(src, dst, km): each row's k nearest others, ties to the least key; all others where there are fewer. Keys are distinct.
+
+    Rows look into their own cell and the eight around, at first cells so small that occupied ones hold about eight rows, and keep the k best. If the last of
+    these is within a cell's width it can't be beaten from outside; the other rows look into cells twice as wide, until one holds all. Of
+    rows at one place the first k + 1 stand for all, so that places with many rows are no hot cells.
+    """
     from pyspark.sql import Window
 
-    pairs = within_distance(a, key=key, km=km)
-    both = pairs.unionByName(pairs.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "km"))
-    return both.withColumn("_r", F.row_number().over(Window.partitionBy("src").orderBy("km", "dst"))).where(F.col("_r") <= k).drop("_r")
+    from urban_spark.operators.graph import _cut
+
+    if k < 1:
+        raise ValueError("k must be positive")
+    rows = _cut(a.select(F.col(key).alias("src"), F.col(lon).cast("double").alias("_px"), F.col(lat).cast("double").alias("_py")).where("_px IS NOT NULL AND _py IS NOT NULL"))
+    first = F.row_number().over(Window.partitionBy("_px", "_py").orderBy("src"))
+    stand = _cut(rows.withColumn("_n", first).where(F.col("_n") <= k + 1).select(F.col("src").alias("dst"), F.col("_px").alias("_tx"), F.col("_py").alias("_ty")))
+    count, x0, x1, y0, y1 = stand.agg(F.count(F.lit(1)), F.min("_tx"), F.max("_tx"), F.min("_ty"), F.max("_ty")).collect()[0]
+    if not count:
+        return rows.select("src", F.col("src").alias("dst"), F.lit(0.0).alias("km")).limit(0)
+    extent = max(x1 - x0, y1 - y0, 1e-9)
+    size = extent
+    while size > extent / (1 << 20):
+        if count <= 8 * stand.select(_cell(F.col("_tx"), size), _cell(F.col("_ty"), size)).distinct().count():
+            break
+        size /= 2
+    d = g.haversine_km(F.col("_px"), F.col("_py"), F.col("_tx"), F.col("_ty"))
+    best = Window.partitionBy("src").orderBy("km", "dst")
+    done, left = [], rows
+    while True:
+        last = size > extent
+        # Near a pole or across all longitudes a cell's width says nothing; only the last cells settle such rows.
+        reach = size * 111.0 * F.greatest(F.lit(0.0), F.cos(F.radians(F.least(F.lit(90.0), F.abs(F.col("_py")) + size))))
+        near = left.withColumn("cx", F.explode(F.sequence(_cell(F.col("_px"), size) - 1, _cell(F.col("_px"), size) + 1)))
+        near = near.withColumn("cy", F.explode(F.sequence(_cell(F.col("_py"), size) - 1, _cell(F.col("_py"), size) + 1)))
+        placed = stand.withColumn("cx", _cell(F.col("_tx"), size)).withColumn("cy", _cell(F.col("_ty"), size))
+        found = near.join(placed, ["cx", "cy"]).where("src <> dst").withColumn("km", d).withColumn("_n", F.row_number().over(best)).where(F.col("_n") <= k)
+        full = F.max(F.when((F.col("_n") == k) & (F.col("km") <= reach), 1).otherwise(0)).over(Window.partitionBy("src"))
+        found = _cut(found.withColumn("_sure", F.lit(last) | (full == 1)).select("src", "dst", "km", "_sure"))
+        done.append(found.where("_sure").select("src", "dst", "km"))
+        if last:
+            return reduce(DataFrame.unionByName, done)
+        left = _cut(left.join(done[-1].select("src").distinct(), "src", "left_anti"))
+        if left.isEmpty():
+            return reduce(DataFrame.unionByName, done)
+        size *= 2
+
+
+def _crossed(polygons: DataFrame, key: str, rings: str, size: float) -> DataFrame:
+    """(key, x1, y1, x2, y2, cx, cy): the edges of polygons in each cell that they run through, column by column."""
+    edge = polygons.select(key, F.explode(F.flatten(F.transform(rings, g._edges))).alias("e"))
+    rows = edge.select(key, *(F.col(f"e.{end}.{c}").alias(f"{c}{i}") for i, end in ((1, "a"), (2, "b")) for c in "xy"))
+    pad = size * 1e-6  # what only touches a cell's border is in the cells on both sides
+    rows = rows.withColumn("cx", F.explode(F.sequence(_cell(F.least("x1", "x2") - pad, size), _cell(F.greatest("x1", "x2") + pad, size))))
+    dx = F.col("x2") - F.col("x1")
+    at = lambda x: F.col("y1") + (x - F.col("x1")) / F.nullif(dx, F.lit(0.0)) * (F.col("y2") - F.col("y1"))
+    within = lambda y: F.least(F.greatest(y, F.least("y1", "y2")), F.greatest("y1", "y2"))
+    steep, here, there = F.abs(dx) <= pad, within(at(F.col("cx") * size - pad)), within(at((F.col("cx") + 1) * size + pad))
+    low, high = F.when(steep, F.least("y1", "y2")).otherwise(F.least(here, there)), F.when(steep, F.greatest("y1", "y2")).otherwise(F.greatest(here, there))
+    return rows.withColumn("cy", F.explode(F.sequence(_cell(low - pad, size), _cell(high + pad, size))))
+
+
+def polygons_meet(a: DataFrame, b: DataFrame, *, key: str, to: str, rings: str = "rings", size: float = CELL) -> DataFrame:
+    """(key, to) for each polygon of `a` and polygon of `b` that share a point, borders included: edges of theirs cross or touch, which is
+    tested where both run through a cell, or a ring of one lies inside the other. Polygons are outer rings and holes, or several parts."""
+    one = _crossed(a.select(key, rings), key, rings, size)
+    two = _crossed(b.select(to, rings), to, rings, size).select(to, "cx", "cy", *(F.col(f"{c}{i}").alias(f"{c}{i + 2}") for i in (1, 2) for c in "xy"))
+    side = lambda p, q, r: (F.col(f"x{q}") - F.col(f"x{p}")) * (F.col(f"y{r}") - F.col(f"y{p}")) - (F.col(f"y{q}") - F.col(f"y{p}")) * (F.col(f"x{r}") - F.col(f"x{p}"))
+    apart = reduce(Column.__or__, (F.greatest(f"{c}1", f"{c}2") < F.least(f"{c}3", f"{c}4") for c in "xy")) | reduce(Column.__or__, (F.greatest(f"{c}3", f"{c}4") < F.least(f"{c}1", f"{c}2") for c in "xy"))
+    across = (F.signum(side(1, 2, 3)) * F.signum(side(1, 2, 4)) <= 0) & (F.signum(side(3, 4, 1)) * F.signum(side(3, 4, 2)) <= 0)
+    borders = one.join(two, ["cx", "cy"]).where(~apart & across).select(key, to)
+
+    def inside(p: DataFrame, name: str, q: DataFrame) -> DataFrame:
+        corners = p.select(name, F.explode(F.transform(rings, lambda r: F.get(r, F.lit(0)))).alias("v")).select(name, F.col("v.x").alias("lon"), F.col("v.y").alias("lat"))
+        return points_in_polygons(corners, q, rings=rings, key=name, size=size).select(key, to)
+
+    return borders.unionByName(inside(a.select(key, rings), key, b.select(to, rings))).unionByName(inside(b.select(to, rings), to, a.select(key, rings))).distinct()
+
+
+def join_meeting(a: DataFrame, b: DataFrame, *, key: str, to: str, rings: str = "rings", size: float = CELL, nearest_left: bool = False) -> DataFrame:
+    """(key, to, method) for all rows of `a`: each polygon of `b` that a polygon meets (`intersects`), else that which holds its centroid
+    (`centroid`; the least of several), else with `nearest_left` that whose centroid is nearest (`nearest`), else `UNMAPPED`. `to` is a string."""
+    met = polygons_meet(a, b, key=key, to=to, rings=rings, size=size)
+    parts = [met.select(key, F.col(to).cast("string").alias(to), F.lit("intersects").alias("method"))]
+    center = lambda df, name: df.withColumn("_c", g.ring_centroid(F.col(rings)[0])).select(name, F.col("_c.x").alias("lon"), F.col("_c.y").alias("lat"))
+    left = center(a.join(met, key, "left_anti"), key)
+    held = points_in_polygons(left, b.select(to, rings), rings=rings, key=key, size=size).groupBy(key).agg(F.min(to).cast("string").alias(to))
+    parts.append(held.withColumn("method", F.lit("centroid")))
+    left = left.join(held, key, "left_anti")
+    if nearest_left:
+        near = nearest(left, center(b, to), key=key, target=to)
+        parts.append(near.select(key, F.col(to).cast("string").alias(to), F.lit("nearest").alias("method")))
+        left = left.join(near, key, "left_anti")
+    parts.append(left.select(key, F.lit("UNMAPPED").alias(to), F.lit("UNMAPPED").alias("method")))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def segment_graph(lines: DataFrame, line: str, tolerance: float) -> tuple[DataFrame, DataFrame]:

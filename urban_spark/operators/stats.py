@@ -9,10 +9,13 @@ import math
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from urban_spark.operators.graph import _cut
 from urban_spark.operators.panel import cumulative
+from urban_spark.operators.sizes import small
 
 
 def gram(df: DataFrame, columns: list[str], weight: Column | None = None) -> tuple[np.ndarray, int]:
@@ -281,6 +284,50 @@ def local_moran(values: DataFrame, weights: DataFrame, value: str, *, key: str,
     return found.withColumn("label", F.when(F.col("p") < significant, F.col("quadrant")).otherwise("NotSig"))
 
 
+def local_moran_permuted(values: DataFrame, weights: DataFrame, value: str, *, key: str, permutations: int = 999, seed: int = 1, significant: float = 0.05) -> DataFrame:
+    """(key, local_i, quadrant, p, z, label): local_moran() with p by conditional permutation: the neighbours of a row are drawn `permutations` times from
+    all others, without replacement. p is the share of draws whose index lies at least as far out as the row's own on its side, the row's own counted
+    in; z is its distance from the draws' mean in their standard deviations.
+
+    Draws are numbers from a hash of seed, row, draw and neighbour, turned into distinct places among the others: nothing is shuffled for
+    a row. Rows without neighbours or value have no p and are NotSig. Keys are distinct.
+    """
+    known = values.where(F.col(value).isNotNull()).select(F.col(key), F.col(value).cast("double").alias("_v"))
+    m = known.agg(F.avg("_v").alias("m"), F.var_pop("_v").alias("v"), F.count(F.lit(1)).alias("n")).first()
+    found = local_moran(values, weights, value, key=key).select(key, "local_i", "quadrant")
+    if m["n"] < 3:
+        return found.select("*", F.lit(None).cast("double").alias("p"), F.lit(None).cast("double").alias("z"), F.lit("NotSig").alias("label"))
+    others = m["n"] - 1
+    # Places of the rows by the order of a hash, in two levels.
+    hashed = known.select(key, (F.col("_v") - m["m"]).alias("_z"), F.xxhash64(key, F.lit(seed)).alias("_h")).withColumn("_b", F.shiftright("_h", 56))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # at most 256 rows
+    starts = hashed.groupBy("_b").agg(F.count(F.lit(1)).alias("_n")).select("_b", before.alias("_before"))
+    at = F.row_number().over(Window.partitionBy("_b").orderBy("_h", key)) - 1 + F.col("_before")
+    placed = _cut(hashed.join(F.broadcast(starts), "_b").select(key, "_z", at.cast("long").alias("_at")))
+    near = weights.where("src <> dst").join(known.select(F.col(key).alias("dst")), "dst", "left_semi").groupBy(F.col("src").alias(key)).agg(F.array_sort(F.collect_list("w")).alias("_w"))
+    asking = placed.join(near, key).where(F.size("_w") < others).withColumn("_run", F.explode(F.sequence(F.lit(1), F.lit(permutations))))
+
+    def draw(taken: Column, j: Column) -> Column:
+        number = F.pmod(F.xxhash64(F.col(key), F.col("_run"), j, F.lit(seed)), F.lit(others) - j)
+        return F.array_sort(F.concat(taken, F.array(F.aggregate(taken, number, lambda v, t: F.when(v >= t, v + 1).otherwise(v)))))
+
+    drawn = F.aggregate(F.sequence(F.lit(0).cast("long"), (F.size("_w") - 1).cast("long")), F.array().cast("array<long>"), draw)
+    # A set of places is dealt to the weights in an order of its own.
+    mixed = F.transform(F.array_sort(F.transform(drawn, lambda v: F.struct(F.xxhash64(F.col(key), F.col("_run"), v).alias("h"), v.alias("v")))), lambda x: x["v"])
+    pairs = asking.select(key, "_run", F.col("_at").alias("_own"), F.explode(F.arrays_zip(mixed.alias("v"), F.col("_w").alias("w"))).alias("_p"))
+    pairs = pairs.select(key, "_run", (F.col("_p.v") + (F.col("_p.v") >= F.col("_own")).cast("long")).alias("_at"), F.col("_p.w").alias("_w"))
+    draws = pairs.join(small(placed.select("_at", F.col("_z").alias("_other"))), "_at").groupBy(key, "_run").agg(F.sum(F.col("_w") * F.col("_other")).alias("_lag"))
+    own = found.join(placed.select(key, "_z"), key)
+    index = F.col("_z") * F.col("_lag") / m["v"]
+    counts = draws.join(own.select(key, "_z", "local_i"), key).groupBy(key).agg(
+        F.sum((index >= F.col("local_i") - 1e-12).cast("long")).alias("_above"), F.sum((index <= F.col("local_i") + 1e-12).cast("long")).alias("_below"), F.avg(index).alias("_mean"), F.stddev_pop(index).alias("_sd")
+    )
+    joined = found.join(counts, key, "left")
+    p = (F.least("_above", "_below") + 1) / (permutations + 1)
+    z = (F.col("local_i") - F.col("_mean")) / F.nullif("_sd", F.lit(0.0))
+    return joined.select(*found.columns, p.alias("p"), z.alias("z"), F.when(p < significant, F.col("quadrant")).otherwise("NotSig").alias("label"))
+
+
 def getis_ord(values: DataFrame, weights: DataFrame, value: str, *, key: str) -> DataFrame:
     """(key, g, z, p): share of the others' total that lies with the neighbours (binary weights), its z score and two-sided p."""
     n, s1, s2 = values.agg(F.count(value), F.sum(value), F.sum(F.col(value) * F.col(value))).collect()[0]
@@ -315,24 +362,34 @@ def difference_in_differences(df: DataFrame, y: str, treated: str, after: str) -
     return ols(df.withColumn("did", F.col(treated) * F.col(after)), y, [treated, after, "did"], "HC3")
 
 
-def nearest_scores(df: DataFrame, *, key: str, treated: str, score: str) -> DataFrame:
-    """(key, match, gap): for each treated row the untreated row with the nearest score (with replacement; ties to the lower
-    score, then key), found beside it in score order within score ranges and their neighbours."""
-    rows = df.select(key, treated, score, F.struct(F.col(score).alias("s"), F.col(key).alias("k")).alias("_p"), F.floor(F.col(score) * 64).alias("_b"))
-    controls = rows.where(F.col(treated) == 0)
-    ends = controls.groupBy("_b").agg(F.min("_p").alias("_lo"), F.max("_p").alias("_hi"))
-    # Nearest non-empty range below and above each range: ranges are few, so one small window over them will do.
-    buckets = rows.select("_b").distinct().join(ends, "_b", "left")
-    w = Window.orderBy("_b")
-    beside = buckets.select("_b", F.last("_hi", True).over(w.rowsBetween(Window.unboundedPreceding, -1)).alias("_before"), F.first("_lo", True).over(w.rowsBetween(1, Window.unboundedFollowing)).alias("_after"))
-    w = Window.partitionBy("_b").orderBy(score, treated, key)
-    control = F.when(F.col(treated) == 0, F.col("_p"))
-    near = rows.withColumn("_l", F.last(control, True).over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("_r", F.first(control, True).over(w.rowsBetween(0, Window.unboundedFollowing)))
-    near = near.where(F.col(treated) == 1).join(F.broadcast(beside), "_b")
-    left, right = F.coalesce("_l", "_before"), F.coalesce("_r", "_after")
-    gap = lambda p: F.abs(F.col(score) - p.getField("s"))
-    best = F.when(right.isNull() | (gap(left) <= gap(right)), left).otherwise(right)
-    return near.select(key, best.getField("k").alias("match"), gap(best).alias("gap"))
+def nearest_scores(df: DataFrame, *, key: str, treated: str, score: str, ranges: int = 64) -> DataFrame:
+    """(key, match, gap): for each treated row the untreated row with the nearest score (with replacement; of equally near ones that with the
+    lower score, of one score below or at the row's own the greatest key, above it the least). Rows without a score match nothing.
+
+    Matches are looked for among distinct scores, each with its least and greatest untreated key, in score order within `ranges` of about as many
+    distinct scores, by a sketch of their quantiles; the nearest scores beyond a range are carried over from the ranges beside it. So neither
+    a crowded stretch of scores nor a score that many rows have is a hot task.
+    """
+    rows = df.select(key, treated, F.col(score).cast("double").alias("_score")).where("_score IS NOT NULL AND NOT isnan(_score)")
+    control = F.when(F.col(treated) == 0, F.col(key))
+    scores = _cut(rows.groupBy("_score").agg(F.min(control).alias("_lo"), F.max(control).alias("_hi")))
+    cuts = sorted(set(scores.stat.approxQuantile("_score", [i / ranges for i in range(1, ranges)], 1 / (4 * ranges)) or []))
+    at = F.lit(0)
+    for cut in cuts:
+        at = at + (F.col("_score") >= F.lit(cut)).cast("int")
+    below, above = (F.when(F.col("_lo").isNotNull(), F.struct(F.col("_score").alias("s"), F.col(c).alias("k"))) for c in ("_hi", "_lo"))
+    placed = scores.select("_score", at.alias("_b"), below.alias("_below"), above.alias("_above"))
+    ends = placed.groupBy("_b").agg(F.max("_below").alias("_hi"), F.min("_above").alias("_lo"))
+    w = Window.orderBy("_b")  # a row a range
+    beside = ends.select("_b", F.last("_hi", True).over(w.rowsBetween(Window.unboundedPreceding, -1)).alias("_before"), F.first("_lo", True).over(w.rowsBetween(1, Window.unboundedFollowing)).alias("_after"))
+    w = Window.partitionBy("_b").orderBy("_score")
+    left, right = F.last("_below", True).over(w.rowsBetween(Window.unboundedPreceding, 0)), F.first("_above", True).over(w.rowsBetween(0, Window.unboundedFollowing))
+    near = placed.select("_score", "_b", left.alias("_l"), right.alias("_r")).join(F.broadcast(beside), "_b")
+    near = near.select("_score", F.coalesce("_l", "_before").alias("_l"), F.coalesce("_r", "_after").alias("_r"))
+    gap = lambda p: F.abs(F.col("_score") - p.getField("s"))
+    best = F.when(F.col("_r").isNull() | (gap(F.col("_l")) <= gap(F.col("_r"))), F.col("_l")).otherwise(F.col("_r"))
+    found = near.select("_score", best.getField("k").alias("match"), gap(best).alias("gap"))
+    return rows.where(F.col(treated) == 1).join(found, "_score").select(key, "match", "gap")
 
 
 def att(df: DataFrame, matches: DataFrame, y: str, *, key: str) -> DataFrame:
@@ -342,12 +399,16 @@ def att(df: DataFrame, matches: DataFrame, y: str, *, key: str) -> DataFrame:
 
 def permuted_att(df: DataFrame, y: str, *, treated: str, stratum: str, key: str, order, runs: int = 99) -> DataFrame:
     """(att, runs, p): mean difference of treated and other rows of a stratum, over strata by their treated rows; and p from
-    reassignments in each of which as many rows of a stratum are treated, the first by order(run), a column. Strata without
-    either kind don't count."""
+    reassignments in each of which as many rows of a stratum are treated, the first by order(run), a column of evenly spread strings such as digests. Strata
+    without either kind don't count."""
     rows = df.select(key, treated, stratum, y)
-    again = rows.withColumn("run", F.explode(F.sequence(F.lit(1), F.lit(runs))))
-    w = Window.partitionBy("run", stratum)
-    dealt = again.withColumn("_t", (F.row_number().over(w.orderBy(order(F.col("run")), key)) <= F.sum(treated).over(w)).cast("int")).select("run", stratum, y, F.col("_t").alias(treated))
+    again = rows.withColumn("run", F.explode(F.sequence(F.lit(1), F.lit(runs)))).withColumn("_o", order(F.col("run"))).withColumn("_b", F.substring("_o", 1, 2))
+    # Places in a stratum in two levels: among those whose order begins alike, and over what the beginnings before hold.
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy("run", stratum).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = again.groupBy("run", stratum, "_b").agg(F.count(F.lit(1)).alias("_n")).withColumn("_before", before).drop("_n")
+    many = rows.groupBy(stratum).agg(F.sum(treated).alias("_many"))
+    place = F.row_number().over(Window.partitionBy("run", stratum, "_b").orderBy("_o", key)) + F.col("_before")
+    dealt = again.join(small(_cut(starts)), ["run", stratum, "_b"]).join(small(many), stratum).withColumn("_t", (place <= F.col("_many")).cast("int")).select("run", stratum, y, F.col("_t").alias(treated))
     both = rows.select(F.lit(0).alias("run"), stratum, y, treated).unionByName(dealt)
     mean = lambda v: F.avg(F.when(F.col(treated) == v, F.col(y)))
     strata = both.groupBy("run", stratum).agg(F.sum(treated).alias("n"), (mean(1) - mean(0)).alias("d")).where("d IS NOT NULL")
@@ -376,6 +437,51 @@ def masked_refits(df: DataFrame, y: str, xs: list[str], masked: str, mask, *, re
     return df.sparkSession.createDataFrame(out, "replica int, arm string, term string, coefficient double")
 
 
+def imputed_refits(df: DataFrame, y: str, xs: list[str], masked: str, mask, *, predictors: list[str], group: str, replicas: int = 100) -> DataFrame:
+    """(replica, arm, term, coefficient): least squares on `replicas` in which the values of `masked` are taken away where mask(replica), a
+    column, holds: on the complete rows, and with what a regression of `masked` on the `predictors`, fitted on the complete rows of each `group`, puts in.
+
+    Only rows that lose their value are met, once for each replica that takes it: their cross products come off those of all rows, and go back with the
+    value put in, which is linear in the others, so that no row is met a second time. Regressions of (replica, group) are solved on the
+    executors; the driver sees a matrix for each replica and arm. Rows with a null in any of the columns don't count.
+    """
+    columns = list(dict.fromkeys([*xs, y, *predictors, masked]))
+    size, at = len(columns) + 1, {c: i + 1 for i, c in enumerate(columns)}
+    taken = F.filter(F.sequence(F.lit(1), F.lit(replicas)), mask)
+    full = df.select(F.col(group).alias("_g"), *(F.col(c).cast("double").alias(c) for c in columns), taken.alias("_r")).dropna(subset=columns)
+    z = [F.lit(1.0), *(F.col(c) for c in columns)]
+    products = F.array(*(F.sum(z[i] * z[j]) for i in range(size) for j in range(size)))
+    whole = full.groupBy("_g").agg(products.alias("_all")).withColumn("replica", F.explode(F.sequence(F.lit(1), F.lit(replicas))))
+    gone = full.withColumn("_k", F.explode("_r")).groupBy(F.col("_g").alias("_h"), "_k").agg(products.alias("_gone"))
+    each = whole.join(gone, F.col("_g").eqNullSafe(F.col("_h")) & (F.col("replica") == F.col("_k")), "left").select("replica", "_all", "_gone")
+
+    def solve(g: np.ndarray, left: list[int], right: int) -> np.ndarray:
+        scale = np.sqrt(np.maximum(np.diag(g), 1e-300))
+        even = g / np.outer(scale, scale)
+        return np.linalg.pinv(even[np.ix_(left, left)], rcond=1e-12) @ even[left, right] / scale[left] * scale[right]
+
+    def put_in(batches):
+        target, left = at[masked], [0, *(at[c] for c in predictors)]
+        for batch in batches:
+            out = []
+            for replica, all_, lost in zip(batch["replica"], batch["_all"], batch["_gone"], strict=True):
+                lost = np.zeros((size, size)) if lost is None else np.array(lost, float).reshape(size, size)
+                kept, turn = np.array(all_, float).reshape(size, size) - lost, np.eye(size)
+                turn[target] = 0.0
+                turn[target, left] = solve(kept, left, target)
+                out.append((replica, kept.ravel().tolist(), (kept + turn @ lost @ turn.T).ravel().tolist()))
+            yield pd.DataFrame(out, columns=["replica", "complete", "imputed"])
+
+    sums = each.mapInPandas(put_in, "replica int, complete array<double>, imputed array<double>").groupBy("replica")
+    found = sums.agg(*(F.array(*(F.sum(F.get(arm, F.lit(i))) for i in range(size * size))).alias(arm) for arm in ("complete", "imputed"))).collect()
+    left, out = [0, *(at[c] for c in xs)], []
+    for r in found:
+        for arm in ("complete", "imputed"):
+            fit = solve(np.array(r[arm]).reshape(size, size), left, at[y])
+            out += [(r["replica"], arm, name, float(v)) for name, v in zip(["const", *xs], fit, strict=True)]
+    return df.sparkSession.createDataFrame(out, "replica int, arm string, term string, coefficient double")
+
+
 def propensity(df: DataFrame, treated: str, xs: list[str]) -> DataFrame:
     """`df` with a logistic propensity score."""
     from pyspark.ml.classification import LogisticRegression

@@ -256,21 +256,44 @@ def p5_wkb(t):
     return rows.select("site", gt.decode_wkb("wkb").alias("g")).select("site", "g.type", v["x"].alias("lon"), v["y"].alias("lat"))
 
 
-@query("j17_nearest_pairs", f"WITH {SITES}, p AS (SELECT a.site AS src, b.site AS dst, {_km('a.lon', 'a.lat', 'b.lon', 'b.lat')} AS km FROM sites a JOIN sites b ON a.site <> b.site) SELECT src, dst, round(km, 6) AS km FROM p WHERE km <= 4 QUALIFY row_number() OVER (PARTITION BY src ORDER BY p.km, dst) <= 3")
+@query("j17_nearest_pairs", f"WITH {SITES}, p AS (SELECT a.site AS src, b.site AS dst, {_km('a.lon', 'a.lat', 'b.lon', 'b.lat')} AS km FROM sites a JOIN sites b ON a.site <> b.site) SELECT src, dst, round(km, 6) AS km FROM p QUALIFY row_number() OVER (PARTITION BY src ORDER BY p.km, dst) <= 3")
 @tabled
 def j17(t):
-    return rounded(s.nearest_pairs(t.sites, 3, key="site", km=4.0), "km", digits=6)
+    return rounded(s.nearest_pairs(t.sites, 3, key="site"), "km", digits=6)
 
 
 @query("j4_polygons_meet", f"WITH {WARDS} SELECT a.ward, b.ward AS zone FROM wards a JOIN wards b ON abs(a.lon - b.lon) < {2 * HALF} AND abs(a.lat - b.lat) < {2 * HALF}")
 @tabled
 def j4(t):
-    a, b = s.cover(squares(t).drop("sector"), "rings", 0.02), s.cover(squares(t).select(F.col("ward").alias("zone"), F.col("rings").alias("r2")), "r2", 0.02)
-    from urban_spark.functions.geo import bounds
+    return s.polygons_meet(squares(t), squares(t).withColumnRenamed("ward", "zone"), key="ward", to="zone")
 
-    p, q = bounds(F.col("rings")), bounds(F.col("r2"))
-    meet = (p["x0"] < q["x1"]) & (q["x0"] < p["x1"]) & (p["y0"] < q["y1"]) & (q["y0"] < p["y1"])
-    return a.join(b, ["cx", "cy"]).where(meet).select("ward", "zone").distinct()
+
+#: Each site's plot in the form of an L, and each sector's ring road: a square frame around the mean place of its wards.
+_L, _FRAME = [(-1, -1), (1, -1), (1, -0.5), (-0.5, -0.5), (-0.5, 1), (-1, 1)], [(-1, -1), (1, -1), (1, 1), (-1, 1)]
+_L_HALF, _OUTER, _INNER = 0.02, 0.09, 0.06
+_plots = " UNION ALL ".join(f"SELECT site, {i} AS i, lon + {x * _L_HALF} AS x, lat + {y * _L_HALF} AS y FROM sites" for i, (x, y) in enumerate(_L))
+_frames = " UNION ALL ".join(f"SELECT sector, {r} AS r, {i} AS i, lon + {x * h} AS x, lat + {y * h} AS y FROM middle" for r, h in enumerate((_OUTER, _INNER)) for i, (x, y) in enumerate(_FRAME))
+_turn = lambda a, b, c: f"sign(({b}x - {a}x) * ({c}y - {a}y) - ({b}y - {a}y) * ({c}x - {a}x))"
+
+
+@query(
+    "j4_join_meeting",
+    f"""WITH {SITES}, {WARDS}, middle AS (SELECT sector, avg(lon) AS lon, avg(lat) AS lat FROM wards GROUP BY 1), pv AS ({_plots}), fv AS ({_frames}),
+ps AS (SELECT a.site, a.x AS px, a.y AS py, b.x AS qx, b.y AS qy FROM pv a JOIN pv b ON a.site = b.site AND b.i = (a.i + 1) % 6), fs AS (SELECT a.sector, a.x AS rx, a.y AS ry, b.x AS sx, b.y AS sy FROM fv a JOIN fv b ON a.sector = b.sector AND a.r = b.r AND b.i = (a.i + 1) % 4),
+crossing AS (SELECT DISTINCT site, sector FROM ps, fs WHERE {_turn('p', 'q', 'r')} * {_turn('p', 'q', 's')} <= 0 AND {_turn('r', 's', 'p')} * {_turn('r', 's', 'q')} <= 0
+  AND greatest(px, qx) >= least(rx, sx) AND greatest(rx, sx) >= least(px, qx) AND greatest(py, qy) >= least(ry, sy) AND greatest(ry, sy) >= least(py, qy)),
+within AS (SELECT site, sector FROM pv JOIN middle ON i = 0 AND abs(x - lon) < {_OUTER} AND abs(y - lat) < {_OUTER} AND NOT (abs(x - lon) < {_INNER} AND abs(y - lat) < {_INNER})
+  UNION SELECT site, sector FROM fv JOIN sites ON i = 0 AND abs(x - lon) < {_L_HALF} AND abs(y - lat) < {_L_HALF} AND NOT (x > lon - {_L_HALF / 2} AND y > lat - {_L_HALF / 2})),
+met AS (SELECT * FROM crossing UNION SELECT * FROM within)
+SELECT site, CAST(sector AS VARCHAR) AS sector, 'intersects' AS method FROM met UNION ALL SELECT site, 'UNMAPPED', 'UNMAPPED' FROM sites WHERE site NOT IN (SELECT site FROM met)""",
+)
+@tabled
+def j4_join(t):
+    """Plots and the ring roads that they lie on; those inside or outside of all rings are unmapped."""
+    ring = lambda shape, half: F.array(*(F.struct((F.col("lon") + x * half).alias("x"), (F.col("lat") + y * half).alias("y")) for x, y in shape))
+    plots = t.sites.select("site", F.array(ring(_L, _L_HALF)).alias("rings"))
+    middle = t.wards.groupBy("sector").agg(F.avg("lon").alias("lon"), F.avg("lat").alias("lat"))
+    return s.join_meeting(plots, middle.select("sector", F.array(ring(_FRAME, _OUTER), ring(_FRAME, _INNER)).alias("rings")), key="site", to="sector")
 
 
 @query("j23_snapped_ends")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from urban_spark.operators import cluster as c
@@ -170,6 +173,30 @@ def m15(t):
     return rounded(s.masked_refits(t.lineitem, "l_extendedprice", ["l_quantity"], "l_quantity", mask, replicas=8, group="l_returnflag"), "coefficient", digits=3)
 
 
+@query(
+    "m15_imputed_refits",
+    """WITH o AS (SELECT o_orderkey AS k, o_orderpriority AS g, o_totalprice AS y, c_acctbal AS x, c_nationkey * 10.0::DOUBLE + c_acctbal / 100 AS z FROM orders JOIN customer ON o_custkey = c_custkey),
+x AS (SELECT CAST(replica AS INTEGER) AS replica, g, y, x, z, md5(k || '-' || replica) < '1' AS masked FROM o, (SELECT unnest(range(1, 101)) AS replica)),
+b AS (SELECT replica, g, regr_slope(x, z) AS slope, regr_intercept(x, z) AS start FROM x WHERE NOT masked GROUP BY 1, 2), i AS (SELECT x.replica, y, masked, CASE WHEN masked THEN start + slope * z ELSE x END AS x FROM x JOIN b ON b.replica = x.replica AND b.g = x.g),
+f AS (SELECT replica, 'complete' AS arm, regr_slope(y, x) AS b, regr_intercept(y, x) AS a FROM i WHERE NOT masked GROUP BY 1 UNION ALL SELECT replica, 'imputed', regr_slope(y, x), regr_intercept(y, x) FROM i GROUP BY 1)
+SELECT replica, arm, 'const' AS term, round(a, 3) AS coefficient FROM f UNION ALL SELECT replica, arm, 'income', round(b, 3) FROM f""",
+)
+@tabled
+def m15_imputed(t):
+    """A hundred replicas with a sixteenth of the incomes taken away: complete rows only, and with a regression on another measure, by priority, put in."""
+    rows = t.orders.join(t.customer, F.col("o_custkey") == F.col("c_custkey"))
+    rows = rows.select("o_orderkey", "o_orderpriority", "o_totalprice", F.col("c_acctbal").alias("income"), (F.col("c_nationkey") * 10.0 + F.col("c_acctbal") / 100).alias("z"))
+    mask = lambda replica: F.md5(F.concat_ws("-", F.col("o_orderkey").cast("string"), replica.cast("string")).cast("binary")) < "1"
+    return rounded(s.imputed_refits(rows, "o_totalprice", ["income"], "income", mask, predictors=["z"], group="o_orderpriority"), "coefficient", digits=3)
+
+
+@query("m11_local_moran_permuted")
+@tabled
+def m11_permuted(t):
+    v, e = _ring(t)
+    return rounded(s.local_moran_permuted(v, e, "x", key="ward"), "local_i", "p", "z", digits=6)
+
+
 def _treated(t):
     df = t.orders.join(t.customer, F.col("o_custkey") == F.col("c_custkey"))
     return df.select("o_orderkey", (F.col("o_orderpriority") == "1-URGENT").cast("int").alias("treated"), (F.col("c_acctbal") / 1000).alias("x1"), (F.col("c_nationkey") / 10).alias("x2"), F.col("o_totalprice").alias("y"))
@@ -279,9 +306,10 @@ def m24(t):
 @query("m25_capped_assignment")
 @tabled
 def m25(t):
+    """Homes to the sectors' middles, each with a fifth of the homes and of their incomes, within 5 %."""
     centers = t.wards.groupBy(F.col("sector").alias("center")).agg(F.avg("lon").alias("cx"), F.avg("lat").alias("cy"))
-    rows = t.homes.select("home", F.lit(1.0).alias("size"), F.col("lon").alias("x"), F.col("lat").alias("y"))
-    return c.capped_assignment(rows, centers, "size", key="home")
+    rows = t.homes.select("home", F.lit(1.0).alias("people"), F.greatest(F.col("income"), F.lit(0.0)).alias("income"), F.col("lon").alias("x"), F.col("lat").alias("y"))
+    return c.balanced_assignment(rows, centers, ("people", "income"), key="home")
 
 
 @query("m26_sanity", "SELECT count(*) AS n, FALSE AS constant_target, 'k' AS constant_features FROM customer")
@@ -358,6 +386,37 @@ def f10(t):
     return rounded(f.tree_forecast(df, "demand", [f"demand_lag_{k}" for k in (1, 2, 3)], F.col("month") < F.lit("2001-01-01").cast("date"))[1], "importance", digits=3)
 
 
+_LAGS, _MEANS = [1, 2, 3, 6, 12], [3, 12]
+
+
+def _carried_on(t, value: str, kind: str, horizon: int):
+    model = f.fit_lag_trees(t.panel, value, _LAGS, _MEANS, F.col("month") < F.lit("2001-01-01").cast("date"), kind=kind)
+    return f.recursive_tree_forecast(t.panel, value, f.compiled(model), _LAGS, _MEANS, horizon).withColumns({"target": F.lit(value), "model": F.lit(kind)})
+
+
+@query("f11_tree_forecast")
+@tabled
+def f11_trees(t):
+    """Both targets of the panel carried on by five years, by a forest and by boosted trees."""
+    parts = [_carried_on(t, value, kind, 60) for value in ("demand", "n") for kind in ("forest", "boosted")]
+    return rounded(reduce(DataFrame.unionByName, parts), "forecast", digits=3)
+
+
+@query("f8_boosted_forecast")
+@tabled
+def f8_boosted(t):
+    """Errors of one-step forecasts by boosted trees, for each target."""
+    parts = []
+    for value in ("demand", "n"):
+        train = F.col("month") < F.lit("2001-01-01").cast("date")
+        trees = f.compiled(f.fit_lag_trees(t.panel, value, _LAGS, _MEANS, train, kind="boosted"))
+        names = f._lag_names(value, _LAGS, _MEANS)
+        rows = f.lag_features(t.panel, value, _LAGS, _MEANS).where(~train).dropna(subset=[value, *names])
+        rows = rows.select(F.lit(value).alias("target"), F.col(value).cast("double").alias("actual"), trees.predicted(F.array(*names)).alias("forecast"))
+        parts.append(f.errors(rows, ["target"]))
+    return reduce(DataFrame.unionByName, parts)
+
+
 @query(
     "f11_recursive_forecast",
     f"""WITH RECURSIVE {PANEL}, r AS (SELECT *, row_number() OVER (PARTITION BY ward ORDER BY month DESC) AS rn FROM panel),
