@@ -23,6 +23,18 @@ def test_imports_without_the_text_operators(tmp_path):
     assert out == [str(len(QUERIES)), "0", "False"]
 
 
+def test_other_queries_outlive_a_broken_text_operator(tmp_path):
+    for name in ("urban_spark", "__spark_entry__.py", "corpus_pipeline.py"):
+        if (ROOT / name).exists():
+            (shutil.copytree if (ROOT / name).is_dir() else shutil.copy)(ROOT / name, tmp_path / name)
+    text = tmp_path / "urban_spark" / "llm"
+    text.mkdir(exist_ok=True)
+    (text / "queries.py").write_text("import a_library_that_is_not_there\n")
+    env = {**os.environ, "PYTHONPATH": str(tmp_path)}
+    out = subprocess.run([sys.executable, "-c", CODE], cwd=tmp_path, env=env, capture_output=True, text=True, check=True)
+    assert out.stdout.split()[0] in (str(len(QUERIES)), str(len(QUERIES) + 1)) and "a_library_that_is_not_there" in out.stderr
+
+
 def test_every_sql_has_its_query():
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries()) and len(QUERIES) > 200
 

@@ -15,6 +15,8 @@ from urban_spark.operators.panel import exact_quantiles
 
 #: Candidates that are broadcast at most.
 MOST_CANDIDATES = 50_000
+#: Columns of a matrix at most.
+MOST_COLUMNS = 2_000
 
 
 def travel_times(wards: DataFrame, candidates: DataFrame, *, ward: str, candidate: str, speed: float = 25.0, factor: float = 1.25) -> DataFrame:
@@ -58,12 +60,20 @@ def violations(df: DataFrame, key: str, rules: dict[str, Column]) -> DataFrame:
     return df.select(key, F.explode(broken).alias("rule"))
 
 
-def composite_access(times: DataFrame, weights: dict[str, float], *, ward: str, kind: str = "kind", minutes: str = "travel_min") -> DataFrame:
-    """Least time to each kind of facility, and their weighted mean over the kinds there are."""
+def travel_matrix(times: DataFrame, *, ward: str, candidate: str, minutes: str = "travel_min", prefix: str = "to_") -> DataFrame:
+    """A row for each ward and a column `to_<candidate>` for each of at most MOST_COLUMNS candidates, in their order."""
+    found = [r[0] for r in times.select(candidate).distinct().orderBy(candidate).limit(MOST_COLUMNS + 1).collect()]
+    if len(found) > MOST_COLUMNS:
+        raise ValueError(f"more than {MOST_COLUMNS} candidates")
+    wide = times.groupBy(ward).pivot(candidate, found).agg(F.min(minutes))
+    return wide.select(ward, *(F.col(f"`{k}`").alias(f"{prefix}{k}") for k in found))
+
+
+def composite_access(times: DataFrame, weights: dict[str, float], *, ward: str, kind: str = "kind", minutes: str = "travel_min", missing: float = 999.0) -> DataFrame:
+    """Least time to each kind of facility, `missing` where there is none of it, and the sum of these by weight."""
     near = times.groupBy(ward).pivot(kind, list(weights)).agg(F.min(minutes))
-    top = sum((F.coalesce(F.col(k) * w, F.lit(0.0)) for k, w in weights.items()), F.lit(0.0))
-    low = sum((F.when(F.col(k).isNotNull(), w).otherwise(0.0) for k, w in weights.items()), F.lit(0.0))
-    return near.withColumn("access", F.when(low > 0, top / low))
+    near = near.withColumns({k: F.coalesce(F.col(k), F.lit(missing)) for k in weights})
+    return near.withColumn("access", sum((F.col(k) * w for k, w in weights.items()), F.lit(0.0)))
 
 
 def income_from_density(density: Column, low: float = 0.2, high: float = 1.0) -> Column:

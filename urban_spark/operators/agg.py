@@ -82,10 +82,12 @@ def histogram(df: DataFrame, value: str, low: float, high: float, bins: int) ->
     return df.where(F.col(value).between(low, high)).groupBy(at.alias("bin")).count().select("bin", (low + F.col("bin") * width).alias("low"), F.col("count").alias("n"))
 
 
-def exceedance(df: DataFrame, keys: list[str], value: str) -> DataFrame:
+def exceedance(df: DataFrame, keys: list[str], value: str, unit: float = 1) -> DataFrame:
+    """Mean and maximum of a severity, and the shares of rows above 0, from 1 and from 2 on. Values may be whole numbers that count `unit` to a
+    severity of 1; sums of these are the same in any order."""
     share = lambda c: F.avg(c.cast("double"))
     v = F.col(value)
-    return df.groupBy(*keys).agg(F.avg(v).alias("mean"), F.max(v).alias("max"), share(v > 0).alias("share_above_0"), share(v >= 1).alias("share_from_1"), share(v >= 2).alias("share_from_2"))
+    return df.groupBy(*keys).agg((F.avg(v) / unit).alias("mean"), (F.max(v) / unit).alias("max"), share(v > 0).alias("share_above_0"), share(v >= unit).alias("share_from_1"), share(v >= 2 * unit).alias("share_from_2"))
 
 
 def quantiles(df: DataFrame, value: str, at: list[float], keys: list[str] = ()) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
 
@@ -135,6 +136,18 @@ class Trees:
         return F.aggregate(F.zip_with(leaves, F.lit(self.weights), lambda v, w: v * w), F.lit(0.0), lambda s, v: s + v)
 
 
+    def of(self, x: np.ndarray) -> np.ndarray:
+        """As predicted(), for an array (rows, features)."""
+        feature, threshold, left, right, value = (np.asarray(a) for a in (self.feature, self.threshold, self.left, self.right, self.value))
+        rows, out = np.arange(len(x)), np.zeros(len(x))
+        for root, weight in zip(self.roots, self.weights, strict=True):
+            node = np.full(len(x), root)
+            for _ in range(self.depth):
+                node = np.where(x[rows, np.maximum(feature[node], 0)] <= threshold[node], left[node], right[node])  # a leaf leads to itself
+            out += weight * value[node]
+        return out
+
+
 def compiled(model) -> Trees:
     """A random forest or gradient-boosted regression model of pyspark.ml with continuous features, as Trees."""
     out = Trees([], [], [], [], [], [], [], model_depth(model))
@@ -189,23 +202,26 @@ def fit_lag_trees(
 
 def recursive_tree_forecast(df: DataFrame, value: str, trees: Trees, lags: list[int], means: list[int], horizon: int, *, key: str = "ward", date: str = "month") -> DataFrame:
     """(key, date, h, forecast): each series carried on `horizon` months by trees fitted on lag_features() of `lags` and `means`, each forecast taking
-    its place among the last values. The state of a series is an array of these, and all steps of all series are one pass. Series with
+    its place among the last values. The state of a series is an array of these; all steps are one pass, in which the trees are walked by all series of a batch at once. Series with
     fewer values than the features need, or with a null among those, go."""
     n = max([*lags, *means])
     w = Window.partitionBy(key).orderBy(F.desc(date))
     last = df.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= n).where(F.col(value).isNotNull())
     state = last.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("_rn", F.col(value).cast("double").alias("_v")))).alias("_s"), F.max(date).alias("_d")).where(F.size("_s") == n)
-    start = F.struct(F.transform("_s", lambda x: x["_v"]).alias("last"), F.lit(0.0).alias("new"))
-
-    def step(a: Column, h: Column) -> Column:
-        mean = lambda k: F.aggregate(F.slice(a["last"], 1, k), F.lit(0.0), lambda s, v: s + v) / k
-        x = F.array(*(a["last"][k - 1] for k in lags), *(mean(k) for k in means), F.month(F.add_months("_d", h)).cast("double"))
-        new = trees.predicted(x)
-        return F.struct(F.concat(F.array(new), F.slice(a["last"], 1, n + horizon)).alias("last"), new.alias("new"))
-
-    # Each step puts its forecast in front; what was there at first is behind them.
-    done = F.aggregate(F.sequence(F.lit(1), F.lit(horizon)), start, step, lambda a: F.slice(a["last"], 1, horizon))
-    made = state.select(key, "_d", F.posexplode(F.reverse(done)).alias("_i", "forecast"))
+    state = state.select(key, "_d", F.month("_d").alias("_m"), F.reverse(F.transform("_s", lambda x: x["_v"])).alias("_last"))
+
+    def carried_on(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            values = np.empty((len(batch), n + horizon))
+            values[:, :n] = np.stack(batch["_last"].to_numpy()) if len(batch) else values[:, :n]
+            for h in range(horizon):
+                past = values[:, h : h + n]
+                month = (batch["_m"].to_numpy() + h) % 12 + 1
+                values[:, n + h] = trees.of(np.column_stack([*(past[:, -k] for k in lags), *(past[:, -k:].mean(axis=1) for k in means), month.astype(float)]))
+            yield pd.DataFrame({key: batch[key], "_d": batch["_d"], "_made": list(values[:, n:])})
+
+    types = {c: df.schema[c].dataType.simpleString() for c in (key, date)}
+    made = state.mapInPandas(carried_on, f"`{key}` {types[key]}, _d {types[date]}, _made array<double>").select(key, "_d", F.posexplode("_made").alias("_i", "forecast"))
     return made.select(key, F.add_months("_d", F.col("_i") + 1).alias(date), (F.col("_i") + 1).alias("h"), "forecast")
 
 

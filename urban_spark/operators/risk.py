@@ -139,3 +139,12 @@ def flood_risk(cells: DataFrame) -> DataFrame:
 
     scaled = min_max(cells.select("cell", "elevation", "flow", "slope"), ["elevation", "flow", "slope"])
     return scaled.select("cell", (0.5 * (1 - F.col("elevation")) + 0.3 * F.col("flow") + 0.2 * (1 - F.col("slope"))).alias("flood_risk"))
+
+
+def ensemble_shares(states: DataFrame, by: str, *, over: str = "ward", run: str = "run", failed: str = "failed") -> DataFrame:
+    """(by, share, failures): the share of all pairs of a run and a value of `over` that fail at each value of `by`: with by="month" the share of wards
+    that fail at a date, with by="ward", over="month" a ward's mean probability. `states` has a row for each run, ward and date; missing ones did
+    not fail."""
+    sizes = states.agg(F.count_distinct(run).alias("_runs"), F.count_distinct(over).alias("_over")).withColumn("_one", F.lit(1))
+    counts = states.groupBy(by).agg(F.sum(F.col(failed).cast("long")).alias("failures")).withColumn("_one", F.lit(1)).join(F.broadcast(sizes), "_one")
+    return counts.select(by, (F.col("failures") / (F.col("_runs") * F.col("_over"))).alias("share"), "failures")

@@ -20,8 +20,7 @@ from urban_spark.sources import io
 
 def _path(t, label: str) -> str:
     """A place in the folder that all executors share."""
-    shared = t.spark.conf.get("spark.checkpoint.dir", None) or t.spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
-    return f"{shared}/{label}-{uuid.uuid4().hex}"
+    return f"{g.shared_dir(t.spark)}/{label}-{uuid.uuid4().hex}"
 
 
 @query("s1_s11_csv", "SELECT CAST(c_custkey AS VARCHAR) AS c_custkey, c_name || ', \"x\"' AS c_name FROM customer")

@@ -11,6 +11,7 @@ from urban_spark.operators import graph as g
 from urban_spark.operators import routes
 from urban_spark.operators import spatial as s
 from urban_spark.operators.clean import hashed_sample
+from urban_spark.operators.sizes import small
 from urban_spark.plans.base import PANEL, SITES, WARDS, query, rounded, tabled
 from urban_spark.plans.relational import od_flows
 from urban_spark.plans.spatial import _km
@@ -187,7 +188,7 @@ def n15(t):
 def n16(t):
     w = t.wards.join(t.customer.groupBy(F.col("c_nationkey").alias("ward")).agg(F.count(F.lit(1)).alias("people")), "ward")
     a_, b_ = w.selectExpr("ward AS src", "lon AS x1", "lat AS y1", "people AS p1"), w.selectExpr("ward AS dst", "lon AS x2", "lat AS y2", "people AS p2")
-    pairs = a_.join(F.broadcast(b_), F.col("src") != F.col("dst")).withColumn("km", haversine_km(F.col("x1"), F.col("y1"), F.col("x2"), F.col("y2")))
+    pairs = a_.join(small(b_), F.col("src") != F.col("dst")).withColumn("km", haversine_km(F.col("x1"), F.col("y1"), F.col("x2"), F.col("y2")))
     return rounded(g.gravity(pairs, "p1", "p2", "km").select("src", "dst", "demand"), "demand", digits=4)
 
 
@@ -218,11 +219,22 @@ def q2(t):
     return rounded(_times(t).groupBy("ward").pivot("kind", ["clinic", "park", "school"]).agg(F.min("travel_min")), "clinic", "park", "school", digits=6)
 
 
+_MATRIX = ", ".join(f"round(min(CASE WHEN b.ward = {k} THEN {_km('a.lon', 'a.lat', 'b.lon', 'b.lat')} * 1.25 / 25 * 60 END), 6) AS to_{k}" for k in range(25))
+
+
+@query("q2_ward_matrix", f"WITH {WARDS} SELECT a.ward, {_MATRIX} FROM wards a, wards b GROUP BY 1")
+@tabled
+def q2_matrix(t):
+    """A row a ward and a column a candidate place, here the wards' own places."""
+    places = t.wards.select(F.col("ward").alias("place"), "lon", "lat")
+    return rounded(q.travel_matrix(q.travel_times(t.wards, places, ward="ward", candidate="place"), ward="ward", candidate="place"), *(f"to_{k}" for k in range(25)), digits=6)
+
+
 @query("q3_tiered_minutes", f"WITH {WARDS}, {SITES}, k AS (SELECT w.ward, s.site, {_km('w.lon', 'w.lat', 's.lon', 's.lat')} * 1.2 AS way FROM wards w JOIN sites s USING (ward)) SELECT ward, site, round(way / CASE WHEN way <= 5 THEN 20.0 WHEN way <= 15 THEN 30.0 ELSE 40.0 END::DOUBLE * 60, 6) AS minutes FROM k")
 @tabled
 def q3(t):
     w = t.wards.select("ward", F.col("lon").alias("x"), F.col("lat").alias("y"))
-    return rounded(t.sites.join(F.broadcast(w), "ward").select("ward", "site", q.tiered_minutes(haversine_km(F.col("lon"), F.col("lat"), F.col("x"), F.col("y"))).alias("minutes")), "minutes", digits=6)
+    return rounded(t.sites.join(small(w), "ward").select("ward", "site", q.tiered_minutes(haversine_km(F.col("lon"), F.col("lat"), F.col("x"), F.col("y"))).alias("minutes")), "minutes", digits=6)
 
 
 @query("q4_time_summary", f"WITH {WARDS}, {SITES}, {TIMES} SELECT ward, round(avg(travel_min), 6) AS mean, round(quantile_cont(travel_min, 0.5), 6) AS median, round(quantile_cont(travel_min, 0.9), 6) AS p90 FROM times GROUP BY 1")
@@ -252,10 +264,18 @@ def q6(t):
     return q.violations(_people(t), "ward", {"crowded": F.col("population") <= 60000, "poor": F.col("income") >= 4500})
 
 
-@query("q7_composite_access", f"WITH {WARDS}, {SITES}, {TIMES}, m AS (SELECT ward, min(CASE WHEN kind = 'clinic' THEN travel_min END) AS clinic, min(CASE WHEN kind = 'park' THEN travel_min END) AS park FROM times GROUP BY 1) SELECT ward, round(clinic * 0.7 + park * 0.3, 6) AS access FROM m")
+@query("q7_composite_access", f"WITH {WARDS}, {SITES}, {TIMES}, m AS (SELECT ward, min(CASE WHEN kind = 'clinic' THEN travel_min END) AS clinic, min(CASE WHEN kind = 'park' THEN travel_min END) AS park, min(CASE WHEN kind = 'school' THEN travel_min END) AS school FROM times GROUP BY 1) SELECT ward, round(coalesce(clinic, 999) * 0.4::DOUBLE + coalesce(school, 999) * 0.3::DOUBLE + coalesce(park, 999) * 0.3::DOUBLE, 6) AS access FROM m")
 @tabled
 def q7(t):
-    return rounded(q.composite_access(_times(t), {"clinic": 0.7, "park": 0.3}, ward="ward").select("ward", "access"), "access", digits=6)
+    return rounded(q.composite_access(_times(t), {"clinic": 0.4, "school": 0.3, "park": 0.3}, ward="ward").select("ward", "access"), "access", digits=6)
+
+
+@query("q7_access_by_large_sites", f"WITH {WARDS}, {SITES}, {TIMES}, m AS (SELECT ward, min(CASE WHEN kind = 'clinic' AND capacity > 4000 AND travel_min <= 40 THEN travel_min END) AS clinic, min(CASE WHEN kind = 'school' AND capacity > 4000 AND travel_min <= 40 THEN travel_min END) AS school FROM times GROUP BY 1) SELECT ward, round(coalesce(clinic, 999) * 0.4::DOUBLE + coalesce(school, 999) * 0.3::DOUBLE + 999 * 0.3::DOUBLE, 6) AS access FROM m WHERE clinic IS NOT NULL OR school IS NOT NULL")
+@tabled
+def q7_large(t):
+    """Large sites within 40 minutes only, and a kind that there is none of: what is missing counts 999 minutes."""
+    times = _times(t).where("capacity > 4000 AND travel_min <= 40 AND kind <> 'park'")
+    return rounded(q.composite_access(times, {"clinic": 0.4, "school": 0.3, "emergency": 0.3}, ward="ward").select("ward", "access"), "access", digits=6)
 
 
 @query("q8_income_estimate", f"WITH {PEOPLE} SELECT ward, round(greatest(0.2, least(1.0, 1 / ln(population / 1000.0::DOUBLE + 2.718281828459045))), 9) AS income FROM people")
@@ -357,7 +377,7 @@ def q18(t):
 @query("q19_sector_counts", f"WITH {PEOPLE} SELECT n_regionkey AS sector, CAST(sum(population) AS BIGINT) AS population, CAST(ceil(sum(population) / 1000.0 * CASE n_regionkey WHEN 1 THEN 3.0 ELSE 2.0 END) AS BIGINT) AS beds FROM people JOIN nation ON n_nationkey = ward GROUP BY 1")
 @tabled
 def q19(t):
-    df = _people(t).join(F.broadcast(t.wards.select("ward", "sector")), "ward").groupBy("sector").agg(F.sum("population").alias("population"))
+    df = _people(t).join(small(t.wards.select("ward", "sector")), "ward").groupBy("sector").agg(F.sum("population").alias("population"))
     return df.withColumn("beds", F.ceil(F.col("population") / 1000.0 * F.when(F.col("sector") == 1, 3.0).otherwise(2.0)))
 
 

@@ -358,6 +358,29 @@ def r13(t):
     return rounded(runs.groupBy("ward").agg(F.avg("failed").alias("probability"), F.count(F.lit(1)).alias("runs")), "probability", digits=9)
 
 
+_RUNS = "WITH e AS (SELECT o_orderkey % 20 AS run, o_custkey % 198 AS ward, CAST(date_trunc('month', o_orderdate) AS DATE) AS month, max(CAST(o_totalprice > 250000 AS INTEGER)) AS failed FROM orders GROUP BY 1, 2, 3)"
+
+
+def _ensemble(t):
+    keys = [(F.col("o_orderkey") % 20).alias("run"), (F.col("o_custkey") % 198).alias("ward"), F.to_date(F.date_trunc("month", "o_orderdate")).alias("month")]
+    return t.orders.groupBy(*keys).agg((F.max("o_totalprice") > 250000).alias("failed"))
+
+
+@query("r13_share_by_date", f"{_RUNS} SELECT month, round(sum(failed) / ((SELECT count(DISTINCT run) FROM e) * (SELECT count(DISTINCT ward) FROM e))::DOUBLE, 9) AS share, CAST(sum(failed) AS BIGINT) AS failures FROM e GROUP BY 1")
+@tabled
+def r13_dates(t):
+    """Share of wards that fail at each date, over the runs of an ensemble."""
+    return rounded(r.ensemble_shares(_ensemble(t), "month"), "share", digits=9)
+
+
+@query("r13_top_wards", f"{_RUNS} SELECT ward, round(sum(failed) / ((SELECT count(DISTINCT run) FROM e) * (SELECT count(DISTINCT month) FROM e))::DOUBLE, 9) AS share, CAST(sum(failed) AS BIGINT) AS failures FROM e GROUP BY 1 ORDER BY failures DESC, ward LIMIT 100")
+@tabled
+def r13_wards(t):
+    """The hundred wards with the highest mean probability over all dates."""
+    shares = r.ensemble_shares(_ensemble(t), "ward", over="month")
+    return rounded(shares.orderBy(F.desc("failures"), "ward").limit(100), "share", digits=9)
+
+
 @query(
     "r17_failure_probability",
     f"""WITH {BASED} SELECT ward, month, round(1 - (1 - least(1.0, greatest(0.0, n / 6.0::DOUBLE - 1) / 2)) * (1 - CASE WHEN baseline IS NULL OR baseline = 0 THEN 0 ELSE least(2.0, greatest(0.0, (demand - baseline) / baseline / 0.4)) / 2 END), 6) AS probability FROM based""",

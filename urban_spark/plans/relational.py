@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from urban_spark.functions import text as tx
 from urban_spark.operators import agg as a
 from urban_spark.operators import clean as c
+from urban_spark.operators.sizes import small
 from urban_spark.plans.base import HOURLY, PANEL, query, rounded, tabled
 
 DEC = "DECIMAL(18,2)"
@@ -137,7 +138,7 @@ def a14(t):
 @query("a15_share_of_total", f"WITH g AS (SELECT n_regionkey AS sector, CAST(sum(CAST(c_acctbal AS {DEC})) AS DOUBLE) AS total FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1) SELECT sector, total, round(total / (SELECT CAST(sum(CAST(total AS {DEC})) AS DOUBLE) FROM g), 6) AS share FROM g")
 @tabled
 def a15(t):
-    df = t.customer.join(F.broadcast(t.nation), F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("n_regionkey").alias("sector"), _cents("c_acctbal").alias("total"))
+    df = t.customer.join(small(t.nation), F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("n_regionkey").alias("sector"), _cents("c_acctbal").alias("total"))
     return a.shares(df, ["sector"], "total").select("sector", F.col("total").cast("double").alias("total"), F.round(F.col("share").cast("double"), 6).alias("share"))
 
 
@@ -162,10 +163,11 @@ def a18(t):
     return a.histogram(t.lineitem, "l_quantity", 0, 50, 10).select("bin", "n")
 
 
-@query("a19_exceedance", f"WITH {HOURLY} SELECT station, round(avg(total / 50 - 0.5), 5) AS mean, round(max(total / 50 - 0.5), 5) AS max, round(avg(CAST(total / 50 - 0.5 > 0 AS DOUBLE)), 9) AS share_above_0, round(avg(CAST(total / 50 - 0.5 >= 1 AS DOUBLE)), 9) AS share_from_1, round(avg(CAST(total / 50 - 0.5 >= 2 AS DOUBLE)), 9) AS share_from_2 FROM hourly GROUP BY 1")
+@query("a19_exceedance", f"WITH {HOURLY}, u AS (SELECT station, CAST(round(total * 10000) AS BIGINT) - 250000 AS u FROM hourly) SELECT station, round(avg(u) / 500000, 5) AS mean, round(max(u) / 500000::DOUBLE, 5) AS max, round(avg(CAST(u > 0 AS DOUBLE)), 9) AS share_above_0, round(avg(CAST(u >= 500000 AS DOUBLE)), 9) AS share_from_1, round(avg(CAST(u >= 1000000 AS DOUBLE)), 9) AS share_from_2 FROM u GROUP BY 1")
 @tabled
 def a19(t):
-    df = a.exceedance(t.hourly.withColumn("sev", F.col("total") / 50 - 0.5), ["station"], "sev")
+    """Severity is total / 50 - 0.5, counted in whole steps of 1 / 500,000."""
+    df = a.exceedance(t.hourly.withColumn("sev", F.round(F.col("total") * 10000).cast("long") - 250000), ["station"], "sev", 500000)
     return rounded(rounded(df, "mean", "max", digits=5), "share_above_0", "share_from_1", "share_from_2", digits=9)
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from urban_spark.functions import geo as g
 from urban_spark.operators import agg as a
 from urban_spark.operators import spatial as s
+from urban_spark.operators.sizes import small
 from urban_spark.plans.base import HOMES, SITES, WARDS, query, rounded, tabled
 
 HALF = 0.03
@@ -51,14 +52,14 @@ def _in(p: str, w: str) -> str:
 @tabled
 def g1(t):
     w = t.wards.select("ward", F.col("lon").alias("wx"), F.col("lat").alias("wy"))
-    return rounded(t.sites.join(F.broadcast(w), "ward").select("site", g.haversine_km(F.col("lon"), F.col("lat"), F.col("wx"), F.col("wy")).alias("km")), "km", digits=6)
+    return rounded(t.sites.join(small(w), "ward").select("site", g.haversine_km(F.col("lon"), F.col("lat"), F.col("wx"), F.col("wy")).alias("km")), "km", digits=6)
 
 
 @query("g2_planar_minutes", f"WITH {WARDS}, {SITES} SELECT site, round(sqrt(pow(w.lon - s.lon, 2) + pow(w.lat - s.lat, 2)) * 111.0 / 25.0 * 60, 6) AS minutes FROM sites s JOIN wards w USING (ward)")
 @tabled
 def g2(t):
     w = t.wards.select("ward", F.col("lon").alias("wx"), F.col("lat").alias("wy"))
-    return rounded(t.sites.join(F.broadcast(w), "ward").select("site", (g.planar_km(F.col("lon"), F.col("lat"), F.col("wx"), F.col("wy")) / 25.0 * 60).alias("minutes")), "minutes", digits=6)
+    return rounded(t.sites.join(small(w), "ward").select("site", (g.planar_km(F.col("lon"), F.col("lat"), F.col("wx"), F.col("wy")) / 25.0 * 60).alias("minutes")), "minutes", digits=6)
 
 
 @query("g3_mercator", f"WITH {HOMES} SELECT home, round({_mx('lon')}, 3) AS x, round({_my('lat')}, 3) AS y, round(lon, 9) AS lon, round(lat, 9) AS lat FROM homes")
@@ -148,7 +149,7 @@ def g18(t):
 @tabled
 def g20(t):
     offsets = t.spark.createDataFrame([(0, 0.01, 0.0), (1, 0.0, 0.01), (2, -0.01, 0.0)], "sector int, dx double, dy double")
-    placed = t.wards.join(F.broadcast(offsets), "sector").select("ward", (F.col("lon") + F.col("dx")).alias("x"), (F.col("lat") + F.col("dy")).alias("y"))
+    placed = t.wards.join(small(offsets), "sector").select("ward", (F.col("lon") + F.col("dx")).alias("x"), (F.col("lat") + F.col("dy")).alias("y"))
     return rounded(placed.withColumn("km", g.haversine_km(F.lit(77.6), F.lit(12.95), F.col("x"), F.col("y"))), "x", "y", "km", digits=6)
 
 
@@ -205,14 +206,14 @@ def j21(t):
 @tabled
 def a9(t):
     w = t.wards.select("ward", F.col("lon").alias("wx"), F.col("lat").alias("wy"))
-    pairs = t.sites.drop("ward").join(F.broadcast(w)).withColumn("km", g.haversine_km(F.col("lon"), F.col("lat"), F.col("wx"), F.col("wy")))
+    pairs = t.sites.drop("ward").join(small(w)).withColumn("km", g.haversine_km(F.col("lon"), F.col("lat"), F.col("wx"), F.col("wy")))
     return rounded(a.inverse_distance(t.wards.select("ward"), pairs, ["capacity"], cell="ward"), "capacity", digits=5)
 
 
 @query("j14_cross_with_few", f"WITH {WARDS}, {SITES} SELECT w.ward, s.site FROM wards w, sites s")
 @tabled
 def j14(t):
-    return t.sites.select("site").join(F.broadcast(t.wards.select("ward"))).select("ward", "site")
+    return t.sites.select("site").join(small(t.wards.select("ward"))).select("ward", "site")
 
 
 @query("j3_assign_polygons")
