@@ -39,7 +39,7 @@ def test_round_trip(spark):
 
 def test_short_payloads_repeats_and_no_rows(spark):
     _, out = trip(spark, [(1, "a", "xy"), (2, "a", "xy"), (3, "a", "long one"), (4, "b", "long one"), (None, "c", "long one"), (3, "a", "long one")], min_bytes=3)
-    assert Counter((r.record_id.removeprefix("urn:page:"), r.record_type) for r in out) == Counter({("1", "response"): 1, ("2", "response"): 1, ("3", "response"): 2, ("4", "revisit"): 1, ("", "revisit"): 1})
+    assert Counter((r.record_id.removeprefix("urn:page:"), r.record_type) for r in out) == Counter({("1", "response"): 1, ("2", "response"): 1, ("3", "response"): 2, ("4", "revisit"): 1, ("urn:page", "revisit"): 1})
     assert trip(spark, [])[1] == []
 
 
@@ -129,3 +129,32 @@ def test_invalid_utf8_passes_through_the_text_sink(spark):
     data = bytes(range(1, 256)) + b"\xc3\x28\xff\xfe"
     spark.createDataFrame([(bytearray(data),)], "b binary").select(F.col("b").cast("string")).coalesce(1).write.option("lineSep", "\0").text(path)
     assert [bytes(r.content) for r in spark.read.format("binaryFile").load(path).collect()] == [data + b"\0"]
+
+
+@pytest.mark.parametrize(
+    ("kind", "ids"),
+    [("long", [3, 1, None, None, 3, 9, -4]), ("string", ["b", "a>\r\nX: y", None, None, "b", "", "é +%"]), ("int", [None, None, None, None, None, None, None]), ("string", ["10", "9", None, None, "10", "urn:page", "x y"])],
+)
+def test_query_on_any_ids(spark, tmp_path, kind, ids):
+    from urban_spark.llm.queries import op10_warc
+
+    html = ["<p>same</p>", "<p>same</p>", "<p>same</p>", "alone", "<p>same</p>", None, ""]
+    spark.createDataFrame(list(zip(ids, ["u"] * 7, html, strict=True)), f"page_id {kind}, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    out = op10_warc(spark, str(tmp_path))
+    assert out.schema["page_id"].dataType.simpleString() == {"long": "bigint"}.get(kind, kind)
+    first = {}
+    for i, h in zip(ids, html, strict=True):
+        if i is not None:
+            first[h or ""] = min(first.get(h or "", i), i)
+    want = Counter()
+    for i, h in zip(ids, html, strict=True):
+        again = (h or "") in first and first[h or ""] != i
+        want[i, len((h or "").encode()), sha((h or "").encode()), "revisit" if again else "response", first[h or ""] if again else None] += 1
+    assert Counter((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in out.collect()) == want
+
+
+def test_query_without_pages(spark, tmp_path):
+    from urban_spark.llm.queries import op10_warc
+
+    spark.createDataFrame([], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    assert op10_warc(spark, str(tmp_path)).collect() == []

@@ -34,9 +34,8 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
     warc.write_warc(pages, path)
     kind = pages.schema["page_id"].dataType
-    number = lambda urn: F.expr(f"substr({urn}, {len('urn:page:') + 1})").cast(kind)
     records = warc.read_warc(spark, path).where("kind = 'record'")
-    return records.select(number("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", number("refers_to").alias("refers_to"))
+    return records.select(warc.page_id("record_id", kind).alias("page_id"), "payload_bytes", "payload_digest", "record_type", warc.page_id("refers_to", kind).alias("refers_to"))
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

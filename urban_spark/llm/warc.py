@@ -13,11 +13,13 @@ import io
 import re
 import zlib
 from collections.abc import Iterator
+from urllib.parse import quote
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType
 
 MAGIC, VERSION = b"\x1f\x8b\x08", re.compile(rb"WARC/[01]\.[0-9]+\r?\n")
 START, BLANK_LINE = re.compile(re.escape(MAGIC) + b"|" + VERSION.pattern), re.compile(rb"\r\n\r\n")
@@ -48,6 +50,17 @@ def record(record_id: str, record_type: str, target_uri: str, payload: bytes, sh
     return "\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
+def urn(name: str | None) -> str:
+    """The record id of a page; that of a page without an id names none."""
+    return "urn:page" if name is None else f"urn:page:{quote(name, safe='')}"
+
+
+def page_id(record_id: Column | str, kind: DataType) -> Column:
+    """The id that a record id was made from, as `kind`; null where it names no page, or no value of that kind."""
+    text = F.col(record_id) if isinstance(record_id, str) else record_id
+    return F.when(text.startswith("urn:page:"), F.url_decode(F.substring(text, len("urn:page:") + 1, 1 << 30)).try_cast(kind))
+
+
 def member(data: bytes) -> bytes:
     """`data` as a gzip member without its last byte, which is 0: above 16 MB an empty member is put behind."""
     pack = zlib.compressobj(6, zlib.DEFLATED, 31)
@@ -80,9 +93,8 @@ def write_warc(pages: DataFrame, path: str, *, id_col: str = "page_id", uri_col:
             for name, uri, payload, first in zip(frame["id"], frame["uri"], frame["body"], frame["first"], strict=True):
                 payload = bytes(payload)
                 again = isinstance(first, str) and first != name
-                kind, target = ("revisit", f"urn:page:{first}") if again else ("response", None)
-                name = f"urn:page:{name if isinstance(name, str) else ''}"
-                out.append(member(record(name, kind, uri, payload, digest(payload), len(payload), target)))
+                kind, target = ("revisit", urn(first)) if again else ("response", None)
+                out.append(member(record(urn(name if isinstance(name, str) else None), kind, uri, payload, digest(payload), len(payload), target)))
             yield pd.DataFrame({"value": out})
 
     made = parts.select("id", "uri", "body", "first").mapInPandas(members, "value binary").select(F.col("value").cast("string"))
