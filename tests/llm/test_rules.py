@@ -61,3 +61,38 @@ def test_accuracies_rise_with_agreement(spark):
     model = accuracies(spark.createDataFrame(rows, "votes array<int>"), 3).collect()[0]
     assert model.accuracy[0] > 0.95 and model.accuracy[2] < 0.5
     assert {tuple(p.votes): p.q > 0.5 for p in model.patterns}[1, 1, -1] and {tuple(p.votes): p.q for p in model.patterns}[0, 0, 0] == 0.5
+
+
+def prose(i, n=12):
+    return " ".join(f"Word{i} goes on with sentence {k} of text{i}k{k}, which ends here." for k in range(n))
+
+
+def test_votes_that_meet_are_weighed(spark):
+    """Good texts that a weak rule votes against are kept; junk of one kind is not, though all other rules speak for it."""
+    from pyspark.sql import functions as F
+
+    from urban_spark.llm.rules import FOR, KINDS, RULES, VOTES, WEAK, rule_features
+
+    good = [(i, prose(i)) for i in range(300)] + [(1000 + i, prose(i, 3)) for i in range(40)] + [(2000 + i, prose(i) + "\nline\nline") for i in range(30)]
+    junk = [(5000 + i, prose(i).replace(" with", " # with").replace(" of", " & of")) for i in range(40)] + [(6000 + i, prose(i).upper()) for i in range(25)]
+    docs = spark.createDataFrame(good + junk, "doc_id long, text string")
+    kept = {r.doc_id: r.kept for r in quality_rules(docs).collect()}
+    assert all(kept[i] for i, _ in good) and not any(kept[i] for i, _ in junk)
+    votes = rule_features(docs).select("_id", *(F.expr(VOTES[r]).alias(r) for r in RULES)).collect()
+    against, for_ = {r["_id"] for r in votes if any(r[x] for x in (*KINDS, *WEAK))}, {r["_id"] for r in votes if any(r[x] for x in FOR)}
+    assert len(against & for_ & {i for i, _ in good}) >= 70 and len(against & for_ & {i for i, _ in junk}) >= 60
+
+
+def test_posterior_is_bayes_by_hand(spark):
+    import math
+
+    from pyspark.sql import functions as F
+
+    from urban_spark.llm.rules import RULES, _start, posterior, vote_model
+
+    rates, shares = _start()
+    fires = [float(j in (1, 8, 12)) for j in range(len(RULES))]
+    got = spark.range(1).select(posterior(F.lit(fires), rates, shares).alias("q")).first().q
+    odds = [p * math.prod(t if f else 1 - t for f, t in zip(fires, r, strict=True)) for r, p in zip(rates, shares, strict=True)]
+    assert all(abs(a - b / sum(odds)) < 1e-12 for a, b in zip(got, odds, strict=True))
+    assert vote_model(spark.createDataFrame([], "votes array<int>")) == (rates, shares)

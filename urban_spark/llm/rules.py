@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from urban_spark.llm.shared import cut, let
+from urban_spark.llm.shared import cut, let, small
 
 SPACE = r"\x20\x09-\x0D"
 WINDOW = 8
 ITERATIONS = 10
 
-_ODD = "(20 * n_symbols > n_words OR 4 * n_upper > word_chars OR 20 * n_marks > n_words OR 10 * n_repeat_words > n_words OR 20 * n_same > n_words OR 5 * n_dup_lines > n_lines)"
-#: name -> SQL condition; a rule votes only where its condition holds, the first group against a text, the second for it.
-AGAINST = {
+#: name -> SQL condition; a rule votes only where its condition holds: KINDS and WEAK against a text, FOR for it, each on its own evidence.
+#: Each of KINDS stands for a kind of junk and is seldom wrong about a good text; those of WEAK often are.
+KINDS = {
     "symbols": "10 * n_symbols > n_words",
     "capitals": "5 * n_upper > 2 * word_chars",
     "exclamations": "10 * n_marks > n_words",
@@ -23,11 +25,18 @@ AGAINST = {
     "word_length": "word_chars > 14 * n_words OR 2 * word_chars < 5 * n_words",
     "no_sentences": "n_words >= 60 AND n_stops = 0",
 }
+WEAK = {"short": "n_words < 60", "long_words": "2 * word_chars > 11 * n_words", "a_line_again": "n_dup_lines > 0"}
+AGAINST = {**KINDS, **WEAK}
 FOR = {
-    "sentences": f"60 * n_stops >= n_words AND 2 * n_stops <= n_words AND NOT {_ODD}",
-    "length": f"n_words >= 40 AND NOT {_ODD}",
-    "word_mix": f"word_chars BETWEEN 3 * n_words AND 10 * n_words AND NOT {_ODD}",
+    "sentences": "60 * n_stops >= n_words AND 2 * n_stops <= n_words",
+    "word_mix": "word_chars BETWEEN 4 * n_words AND 7 * n_words",
+    "few_repeats": "n_repeat_words = 0 AND 10 * n_same <= n_words",
+    "plain": "n_symbols = 0 AND n_marks = 0",
 }
+#: How often a rule is believed to vote before any vote is seen, with the weight of BELIEF documents: on good texts, on the kind of junk that it
+#: stands for, and on other junk; and the share of good texts. A rule of KINDS finds at least OWN of its kind.
+BELIEVED = {"kind": (0.01, 0.95, 0.1), "weak": (0.1, 0.2, 0.2), "for": (0.8, 0.5, 0.5)}
+BELIEF, GOOD, OWN, ROUNDS = 20.0, 0.8, 0.9, 15
 RULES = [*AGAINST, *FOR]
 VOTES = {**{k: f"CASE WHEN {v} THEN -1 ELSE 0 END" for k, v in AGAINST.items()}, **{k: f"CASE WHEN {v} THEN 1 ELSE 0 END" for k, v in FOR.items()}}
 BASE_FAILED = "n_words < 20 OR 100 * n_repeat_words > 30 * n_words"
@@ -102,38 +111,88 @@ def accuracies(voted: DataFrame, rules: int, *by: str) -> DataFrame:
     return model.select(*by, F.col("m").alias("accuracy"), F.expr(scored).alias("patterns"))
 
 
+def _start() -> tuple[list[list[float]], list[float]]:
+    """Believed vote rates by class (good texts, then each kind of junk) and rule, and the classes' shares."""
+    group = lambda rule: "kind" if rule in KINDS else "weak" if rule in WEAK else "for"
+    rates = [[BELIEVED[group(r)][0] for r in RULES]] + [[BELIEVED[group(r)][1 if r == kind else 2] for r in RULES] for kind in KINDS]
+    return rates, [GOOD] + [(1 - GOOD) / len(KINDS)] * len(KINDS)
+
+
+def vote_model(voted: DataFrame, rounds: int = ROUNDS) -> tuple[list[list[float]], list[float]]:
+    """(rates, shares) by expectation-maximisation over the patterns of `votes` (arrays of 1 for, -1 against, 0 abstains, by RULES): how often
+    each rule votes in each class, and how large the classes are. Texts are good or of one of the kinds of junk; given that, rules
+    are independent, and abstaining is as much evidence as voting. One class of all junk would not do: a text that is junk of
+    one kind passes the rules for the others, which would speak for it.
+
+    A round is one aggregate over the patterns, at most 2 ** len(RULES); the driver sees a row a class.
+    """
+    patterns = cut(voted.groupBy("votes").agg(F.count(F.lit(1)).cast("double").alias("n")).withColumn("cast", F.transform("votes", lambda v: F.abs(v).cast("double"))))
+    believed, start = _start()
+    rates, shares = [list(r) for r in believed], list(start)
+    for _ in range(rounds):
+        parts = patterns.select("n", "cast", F.posexplode(posterior(F.col("cast"), rates, shares)).alias("k", "q"))
+        weight = F.col("n") * F.col("q")
+        sums = parts.groupBy("k").agg(F.sum(weight).alias("w"), F.array(*(F.sum(weight * F.get("cast", F.lit(j))) for j in range(len(RULES)))).alias("cast")).collect()
+        total = sum(r["w"] for r in sums)
+        if not total:
+            break
+        for r in sums:
+            k = r["k"]
+            rates[k] = [(c + b * BELIEF) / (r["w"] + BELIEF) for c, b in zip(r["cast"], believed[k], strict=True)]
+            if k:
+                rates[k][k - 1] = max(rates[k][k - 1], OWN)
+            shares[k] = (r["w"] + start[k] * BELIEF) / (total + BELIEF)
+    return rates, shares
+
+
+def posterior(cast: Column, rates: list[list[float]], shares: list[float]) -> Column:
+    """Probabilities of the classes for an array of 1 for each rule that votes and 0 for each that abstains."""
+
+    def log(rate: list[float], share: float) -> Column:
+        step = F.zip_with(cast, F.lit([math.log(t) - math.log(1 - t) for t in rate]), lambda v, w: v * w)
+        return F.aggregate(step, F.lit(math.log(share) + sum(math.log(1 - t) for t in rate)), lambda s, v: s + v)
+
+    def even(logs: Column) -> Column:
+        parts = lambda top: F.transform(logs, lambda v: F.exp(v - top))
+        return let(parts(F.array_max(logs)), lambda e: F.transform(e, lambda v: v / F.aggregate(e, F.lit(0.0), lambda s, x: s + x)))
+
+    return let(F.array(*(log(r, p) for r, p in zip(rates, shares, strict=True))), even)
+
+
 def quality_rules(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", keep_from: float = 0.5) -> DataFrame:
     """(id, counts, base_failed, quality, kept) for each row of `docs`.
 
-    Rules vote on the counts or abstain; the posterior probability of quality, under accuracies fitted to all votes of
-    the corpus, replaces passing each. `kept` needs it to be `keep_from` at least, and the base rule to be passed; where
-    all rules abstain it is 1/2, so that such a text is kept by the default.
+    Rules vote on the counts or abstain, for a text or against it; the posterior probability that it is good, under a model fitted to all
+    votes of the corpus (vote_model), replaces passing each. A rule that votes against many texts that others speak for is
+    outvoted. `kept` needs the probability to be `keep_from` at least, and the base rule to be passed.
 
     Null or empty text: no words, fails the base rule. Texts below WINDOW words repeat none. Repeated rows and repeated or null ids:
     a row each. No rows: no rows. Extra columns are not read. Counts are of whole texts of any length.
     """
     counts = rule_features(docs, id_col=id_col, text_col=text_col)
     voted = cut(counts.withColumn("votes", F.array(*(F.expr(VOTES[r]) for r in RULES))))
-    posterior = accuracies(voted, len(RULES)).select(F.explode("patterns").alias("x")).select("x.votes", F.col("x.q").alias("quality"))
+    rates, shares = vote_model(voted)
+    found = voted.select("votes").distinct().withColumn("quality", posterior(F.transform("votes", lambda v: F.abs(v).cast("double")), rates, shares)[0])
     failed = F.expr(BASE_FAILED)
-    joined = voted.join(F.broadcast(posterior), "votes")  # at most 2 ** len(RULES) rows
+    joined = voted.join(small(cut(found)), "votes")
     return joined.select(
         F.col("_id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (~failed & (F.col("quality") >= keep_from)).alias("kept"), "quality"
     )
 
 
 def sql() -> str:
-    """DuckDB's form of the op4 query: the same counts and votes, and the fit unrolled."""
+    """DuckDB's form of the op4 query: the same counts and votes, and the fit unrolled over tables of rates by class and rule."""
+    rates, shares = _start()
+    rows = lambda values: ", ".join(f"({', '.join(map(repr, v))})" for v in values)
+    believed = f"believed(k, j, t) AS (VALUES {rows((k, j, t) for k, r in enumerate(rates) for j, t in enumerate(r))}), start(k, p) AS (VALUES {rows(enumerate(shares))})"
+    steps = ["t0 AS (SELECT k, j, t::DOUBLE AS t FROM believed), p0 AS (SELECT k, p::DOUBLE AS p FROM start)"]
+    scored = """SELECT i, k, n, exp(l - max(l) OVER (PARTITION BY i)) / sum(exp(l - m)) OVER (PARTITION BY i) AS q FROM (
+  SELECT *, max(l) OVER (PARTITION BY i) AS m FROM (SELECT c.i, t.k, any_value(c.n) AS n, ln(any_value(p.p)) + sum(CASE WHEN c.voted THEN ln(t.t) ELSE ln(1 - t.t) END) AS l FROM cast_ c JOIN t{0} t USING (j) JOIN p{0} p ON p.k = t.k GROUP BY c.i, t.k))"""
+    for s in range(ROUNDS):
+        steps.append(f"""q{s} AS MATERIALIZED ({scored.format(s)}),
+t{s + 1} AS MATERIALIZED (SELECT b.k, b.j, greatest(CASE WHEN b.k = b.j + 1 THEN {OWN} ELSE 0.0 END::DOUBLE, (sum(CASE WHEN c.voted THEN q.n * q.q ELSE 0 END) + any_value(b.t) * {BELIEF}) / (sum(q.n * q.q) + {BELIEF})) AS t FROM q{s} q JOIN cast_ c USING (i) JOIN believed b ON b.k = q.k AND b.j = c.j GROUP BY b.k, b.j),
+p{s + 1} AS MATERIALIZED (SELECT q.k, (sum(q.n * q.q) + any_value(s.p) * {BELIEF}) / ((SELECT sum(n) FROM patterns) + {BELIEF}) AS p FROM q{s} q JOIN start s USING (k) GROUP BY q.k)""")
     names = [f"v{i}" for i in range(len(RULES))]
-    logit = "ln({0} / (1 - {0}))"
-    odds = " + ".join(f"{v} * {logit.format(f'm.a{i}')}" for i, v in enumerate(names))
-    steps = ["m0 AS (SELECT " + ", ".join(f"0.8::DOUBLE AS a{i}" for i in range(len(RULES))) + ")"]
-    for k in range(ITERATIONS):
-        fitted = ", ".join(
-            f"greatest(0.05, least(0.995, (sum(CASE {v} WHEN 1 THEN n * q WHEN -1 THEN n * (1 - q) ELSE 0 END) + 4) / (sum(CASE WHEN {v} <> 0 THEN n ELSE 0 END) + 5))) AS a{i}"
-            for i, v in enumerate(names)
-        )
-        steps.append(f"m{k + 1} AS MATERIALIZED (SELECT {fitted} FROM (SELECT p.*, 1 / (1 + exp(-({odds}))) AS q FROM patterns p, m{k} m))")
     word, blank = r"[^\x20\x09-\x0D]+", r"[\x20\x09-\x0D]"
     return rf"""
 WITH w AS MATERIALIZED (
@@ -150,8 +209,9 @@ WITH w AS MATERIALIZED (
     (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines, coalesce(again.n, 0)::BIGINT AS n_repeat_words, len(list_filter(range(2, len(ws) + 1), lambda i: ws[i] = ws[i - 1])) AS n_same, len(ls) AS n_lines, len(regexp_extract_all(t, '\p{{Lu}}')) AS n_upper,
     len(regexp_extract_all(t, '!')) AS n_marks, len(regexp_extract_all(t, '[.?!](?:[\x20\x09-\x0D]|$)')) AS n_stops FROM w LEFT JOIN again USING (r)
 ), votes AS MATERIALIZED (SELECT *, {", ".join(f"{VOTES[r]} AS {v}" for r, v in zip(RULES, names, strict=True))} FROM f
-), patterns AS MATERIALIZED (SELECT {", ".join(names)}, count(*)::DOUBLE AS n FROM votes GROUP BY ALL
-), {", ".join(steps)}
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, ({BASE_FAILED}) AS base_failed,
-  NOT ({BASE_FAILED}) AND 1 / (1 + exp(-({odds}))) >= 0.5 AS kept FROM votes, m{ITERATIONS} m
+), patterns AS MATERIALIZED (SELECT *, row_number() OVER () AS i FROM (SELECT {", ".join(names)}, count(*)::DOUBLE AS n FROM votes GROUP BY ALL)
+), cast_ AS MATERIALIZED ({" UNION ALL ".join(f"SELECT i, n, {j} AS j, {v} <> 0 AS voted FROM patterns" for j, v in enumerate(names))}
+), {believed}, {", ".join(steps)}, last AS MATERIALIZED ({scored.format(ROUNDS)})
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, ({BASE_FAILED}) AS base_failed, NOT ({BASE_FAILED}) AND q >= 0.5 AS kept
+FROM votes JOIN patterns USING ({", ".join(names)}) JOIN last ON last.i = patterns.i AND last.k = 0
 """
