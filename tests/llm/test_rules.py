@@ -1,3 +1,4 @@
+import random
 from collections import Counter
 
 from urban_spark.llm.rules import quality_rules
@@ -64,17 +65,19 @@ def test_accuracies_rise_with_agreement(spark):
 
 
 def prose(i, n=12):
-    return " ".join(f"Word{i} goes on with sentence {k} of text{i}k{k}, which ends here." for k in range(n))
+    deal = random.Random(i)
+    words = ["with", "of", "stone", "river", "early", "they", "walk", "bright", "under", "quiet", "field", "carry"]
+    return " ".join("Then " + " ".join(deal.choices(words, k=11)).replace("with with", "with").replace("of of", "of") + " ends." for _ in range(n))
 
 
 def test_votes_that_meet_are_weighed(spark):
-    """Good texts that a weak rule votes against are kept; junk of one kind is not, though all other rules speak for it."""
+    """Good texts that a weak rule votes against are kept; junk of one kind is not, though most other rules speak for it."""
     from pyspark.sql import functions as F
 
     from urban_spark.llm.rules import FOR, KINDS, RULES, VOTES, WEAK, rule_features
 
     good = [(i, prose(i)) for i in range(300)] + [(1000 + i, prose(i, 3)) for i in range(40)] + [(2000 + i, prose(i) + "\nline\nline") for i in range(30)]
-    junk = [(5000 + i, prose(i).replace(" with", " # with").replace(" of", " & of")) for i in range(40)] + [(6000 + i, prose(i).upper()) for i in range(25)]
+    junk = [(5000 + i, prose(i).replace(" w", " # w").replace(" t", " | t").replace(" of", " & of")) for i in range(40)] + [(6000 + i, prose(i).upper().replace(".", "!!")) for i in range(25)]
     docs = spark.createDataFrame(good + junk, "doc_id long, text string")
     kept = {r.doc_id: r.kept for r in quality_rules(docs).collect()}
     assert all(kept[i] for i, _ in good) and not any(kept[i] for i, _ in junk)

@@ -35,7 +35,7 @@ FOR = {
 }
 #: How often a rule is believed to vote before any vote is seen, with the weight of BELIEF documents: on good texts, on the kind of junk that it
 #: stands for, and on other junk; and the share of good texts. A rule of KINDS finds at least OWN of its kind.
-BELIEVED = {"kind": (0.01, 0.95, 0.1), "weak": (0.1, 0.2, 0.2), "for": (0.8, 0.5, 0.5)}
+BELIEVED = {"kind": (0.002, 0.95, 0.03), "weak": (0.1, 0.2, 0.2), "for": (0.8, 0.6, 0.6)}
 BELIEF, GOOD, OWN, ROUNDS = 20.0, 0.8, 0.9, 15
 RULES = [*AGAINST, *FOR]
 VOTES = {**{k: f"CASE WHEN {v} THEN -1 ELSE 0 END" for k, v in AGAINST.items()}, **{k: f"CASE WHEN {v} THEN 1 ELSE 0 END" for k, v in FOR.items()}}
