@@ -112,3 +112,13 @@ def test_nearest_pairs_of_few(spark):
     assert s.nearest_pairs(table([]), 3, key="site").collect() == [] and s.nearest_pairs(table([(1, 5.0, 5.0)]), 3, key="site").collect() == []
     same = s.nearest_pairs(table([(i, 5.0, 5.0) for i in range(50)]), 2, key="site")
     assert {(r.src, r.dst) for r in same.where("src IN (0, 1, 40)").collect()} == {(0, 1), (0, 2), (1, 0), (1, 2), (40, 0), (40, 1)} and same.agg(F.count("*")).first()[0] == 100
+
+
+def test_cell_shares_add_up_and_split_cells(spark):
+    shapes = {"a": [square(77.50, 12.90, 0.03)], "b": [square(77.56, 12.90, 0.03)], "ell": [[(77.8, 12.9), (77.86, 12.9), (77.86, 12.91), (77.81, 12.91), (77.81, 12.96), (77.8, 12.96)]]}
+    rows = s.cell_shares(polygons(spark, shapes, "ward"), key="ward", step=0.002, size=1500).collect()
+    total, cells = {}, {}
+    for r in rows:
+        total[r.ward] = total.get(r.ward, 0.0) + r.share
+        cells.setdefault(r.cell, set()).add(r.ward)
+    assert total == {k: pytest.approx(1.0) for k in shapes} and any(v == {"a", "b"} for v in cells.values()) and max(r.share for r in rows) < 0.6

@@ -95,6 +95,15 @@ def lattice(rings: Column, step: float) -> Column:
     return F.filter(grid, lambda v: g.contains(rings, v["x"], v["y"]))
 
 
+def cell_shares(polygons: DataFrame, *, key: str, step: float, size: float, rings: str = "rings") -> DataFrame:
+    """(key, cell, points, share): the hexagons (Mercator edge `size`) that hold lattice points of a polygon, and their share of its points; shares of a polygon add
+    up to 1, and a hexagon across a border has a share of each side. Polygons between the lattice's points have no row; `step` should be well below `size`."""
+    points = polygons.select(key, F.explode(lattice(F.col(rings), step)).alias("_v"))
+    counts = points.groupBy(key, g.cell_id(F.col("_v.x"), F.col("_v.y"), size).alias("cell")).agg(F.count(F.lit(1)).alias("points"))
+    totals = counts.groupBy(key).agg(F.sum("points").alias("_all"))
+    return counts.join(totals, key).select(key, "cell", "points", (F.col("points") / F.col("_all")).alias("share"))
+
+
 def assign_polygons(small: DataFrame, large: DataFrame, *, key: str, to: str, rings: str = "rings", step: float = 0.01) -> DataFrame:
     """(key, to, share, method): the polygon with most of a polygon's lattice points (`within` if all, else `overlap`), else
     that with the nearest centroid. Overlap is counted on a lattice of `step`, not cut exactly."""

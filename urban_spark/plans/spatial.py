@@ -234,3 +234,22 @@ def j18(t):
     return s.queen_neighbours(cells.withColumn("rings", F.array(g.cell_boundary(F.col("cell"), 2000))), key="cell")
 
 
+
+
+_LATTICE = f"""i AS (SELECT ward, lon AS x0, lat AS y0, unnest(range(CAST(floor((lon - {HALF}) / 0.005) AS BIGINT) - 1, CAST(ceil((lon + {HALF}) / 0.005) AS BIGINT) + 2)) AS i FROM wards),
+j AS (SELECT *, unnest(range(CAST(floor((y0 - {HALF}) / 0.005) AS BIGINT) - 1, CAST(ceil((y0 + {HALF}) / 0.005) AS BIGINT) + 2)) AS j FROM i),
+lattice AS (SELECT ward, i * 0.005::DOUBLE AS lon, j * 0.005::DOUBLE AS lat FROM j WHERE i * 0.005::DOUBLE >= x0 - {HALF} AND i * 0.005::DOUBLE < x0 + {HALF} AND j * 0.005::DOUBLE >= y0 - {HALF} AND j * 0.005::DOUBLE < y0 + {HALF})"""
+
+
+@query(
+    "a7_areal_weights",
+    f"""WITH {WARDS}, {_LATTICE}, c AS (SELECT ward, q || ':' || r AS cell, count(*) AS points FROM {cell_sql('lattice', 'ward', 2000)} GROUP BY 1, 2), p AS (SELECT c_nationkey AS ward, count(*) * 1000.0::DOUBLE AS people FROM customer GROUP BY 1)
+SELECT ward, cell, points, round(points / sum(points) OVER (PARTITION BY ward)::DOUBLE, 9) AS share, round(people * points / sum(points) OVER (PARTITION BY ward)::DOUBLE, 4) AS people FROM c JOIN p USING (ward)""",
+)
+@tabled
+def a7_areal(t):
+    """People of the wards over hexagons, by the share of the ward's area that lies in each."""
+    people = t.customer.groupBy(F.col("c_nationkey").alias("ward")).agg((F.count(F.lit(1)) * 1000).cast("double").alias("people"))
+    shares = s.cell_shares(squares(t), key="ward", step=0.005, size=2000)
+    allocated = a.allocate_by_weight(people, shares, key="ward", value="people", weight="points")
+    return rounded(rounded(allocated.select("ward", "cell", "points", "share", "people"), "share", digits=9), "people", digits=4)
