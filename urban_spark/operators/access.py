@@ -137,6 +137,53 @@ def weighted_time_change(times: DataFrame, wards: DataFrame, *, ward: str, popul
     return means.withColumn("reduction_pct", (F.col("before") - F.col("after")) / F.col("before") * 100)
 
 
+def gravity_by_time(times: DataFrame, people: DataFrame, *, key: str, population: str, factor: float = 1e-4) -> DataFrame:
+    """`times` (src, dst, minutes) with the daily trips `demand`: both populations over the minutes and one, 0 from a place to itself."""
+    of = lambda end, name: people.select(F.col(key).alias(end), F.col(population).cast("double").alias(name))
+    both = times.join(of("src", "_a"), "src").join(of("dst", "_b"), "dst")
+    demand = F.when(F.col("src") == F.col("dst"), 0.0).otherwise(F.col("_a") * F.col("_b") / (F.col("minutes") + 1) * factor)
+    return both.withColumn("demand", demand).drop("_a", "_b")
+
+
+def transit_extensions(
+    demand: DataFrame, places: DataFrame, *, key: str, share: float = 0.2, shortest: float = 1.0, longest: float = 15.0, speed: float = 40.0, attracted: float = 1.2,
+    cost_each_km: float = 150e6, most: int = 100,
+) -> DataFrame:
+    """(src, dst, km, saved_min, benefit, cost, bc_ratio), src < dst, the `most` best by ratio: lines between the `share` of pairs with the most trips both ways, if the places lie
+    between `shortest` and `longest` km apart (degrees at 111 km), that save time against now. `demand`: src, dst, minutes, demand; minutes are the same both ways."""
+    at = lambda end, x, y: places.select(F.col(key).alias(end), F.col("lon").alias(x), F.col("lat").alias(y))
+    pair = demand.groupBy(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).agg(F.sum("demand").alias("demand"), F.min("minutes").alias("minutes")).where("src < dst")
+    pair = _cut(pair)
+    kept = int(pair.count() * share)
+    # The trips of the last pair that is taken, then ties by key.
+    top = pair.orderBy(F.desc("demand"), "src", "dst").limit(kept)
+    km = F.sqrt(F.pow(F.col("_x") - F.col("_u"), 2) + F.pow(F.col("_y") - F.col("_v"), 2)) * 111
+    far = top.join(at("src", "_x", "_y"), "src").join(at("dst", "_u", "_v"), "dst").withColumn("km", km).where((F.col("km") > shortest) & (F.col("km") < longest))
+    saved = F.greatest(F.lit(0.0), F.col("minutes") - F.col("km") / speed * 60)
+    rows = far.withColumn("saved_min", saved).withColumn("benefit", F.col("demand") * attracted * F.col("saved_min") * 1000).withColumn("cost", F.col("km") * cost_each_km)
+    rows = rows.withColumn("bc_ratio", F.col("benefit") / F.col("cost")).select("src", "dst", "km", "saved_min", "benefit", "cost", "bc_ratio")
+    return rows.orderBy(F.desc("bc_ratio"), "src", "dst").limit(most)
+
+
+def road_upgrades(
+    edges: DataFrame, importance: DataFrame, demand: DataFrame, *, band: int = 5, faster: float = 0.2, cost_each_km: float = 5e6, lanes_added: int = 2, most_lanes: int = 8
+) -> DataFrame:
+    """(src, dst, importance, demand, saved_min, benefit, cost, bc_ratio) of each road (src, dst, km, minutes, lanes) with fewer than `most_lanes`: its `importance` (src, dst, betweenness) over all
+    pairs of nodes, times the trips (`demand`: src, dst, demand) from the `band` whole numbers around one end to those around the other, times the minutes saved
+    by a road `faster` by that share; over the cost of two more lanes. Nodes are whole numbers, neighbours in their order."""
+    nodes = importance.select(F.col("src").alias("n")).union(importance.select("dst")).distinct().count()
+    pairs = max(nodes * (nodes - 1) / 2, 1.0)
+    low, high = F.least("src", "dst"), F.greatest("src", "dst")
+    roads = edges.where(F.col("lanes") < most_lanes).select("src", "dst", "km", "minutes", low.alias("_a"), high.alias("_b"))
+    share = importance.select(low.alias("_a"), high.alias("_b"), (F.col("betweenness") / pairs).alias("importance"))
+    around = lambda end: F.explode(F.sequence(F.col(end) - band, F.col(end) + band))
+    near = roads.withColumn("_i", around("src")).withColumn("_j", around("dst"))
+    trips = near.join(demand.select(F.col("src").alias("_i"), F.col("dst").alias("_j"), "demand"), ["_i", "_j"]).groupBy("src", "dst").agg(F.sum("demand").alias("demand"))
+    joined = roads.join(share, ["_a", "_b"], "left").join(trips, ["src", "dst"], "left").fillna(0.0, ["importance", "demand"]).withColumn("saved_min", F.col("minutes") * faster)
+    joined = joined.withColumn("benefit", F.col("importance") * F.col("demand") * F.col("saved_min") * 1000).withColumn("cost", F.col("km") * cost_each_km * lanes_added)
+    return joined.withColumn("bc_ratio", F.when(F.col("cost") > 0, F.col("benefit") / F.col("cost")).otherwise(0.0)).select("src", "dst", "importance", "demand", "saved_min", "benefit", "cost", "bc_ratio")
+
+
 def cost_benefit(df: DataFrame, benefit: Column, cost: Column) -> DataFrame:
     """benefit, cost and their ratio; rows without a positive ratio go."""
     return df.withColumn("benefit", benefit).withColumn("cost", cost).withColumn("bc_ratio", F.when(F.col("cost") > 0, F.col("benefit") / F.col("cost"))).where("bc_ratio > 0")

@@ -343,6 +343,41 @@ def q14(t):
     return rounded(df, "before", "after", "reduction_pct", digits=6)
 
 
+@query(
+    "q16_transit_extensions",
+    f"""WITH {SITES}, {WARDS}, {ROADS}, {NETWORK_TIMES}, {PEOPLE},
+d AS (SELECT n.src, n.dst, n.minutes, x.population::DOUBLE * y.population / (n.minutes + 1) * 0.0001::DOUBLE AS demand FROM network_times n JOIN people x ON x.ward = n.src JOIN people y ON y.ward = n.dst WHERE n.src <> n.dst),
+p AS (SELECT least(src, dst) AS src, greatest(src, dst) AS dst, sum(demand) AS demand, min(minutes) AS minutes FROM d GROUP BY 1, 2),
+top AS (SELECT * FROM p QUALIFY row_number() OVER (ORDER BY demand DESC, src, dst) <= floor((SELECT count(*) FROM p) * 0.2::DOUBLE)),
+k AS (SELECT top.*, sqrt(pow(a.lon - b.lon, 2) + pow(a.lat - b.lat, 2)) * 111 AS km FROM top JOIN wards a ON a.ward = src JOIN wards b ON b.ward = dst),
+s AS (SELECT *, greatest(0, minutes - km / 40 * 60) AS saved, km * 150e6::DOUBLE AS cost FROM k WHERE km > 1 AND km < 15), r AS (SELECT *, demand * 1.2::DOUBLE * saved * 1000 AS benefit FROM s)
+SELECT src, dst, round(km, 6) AS km, round(saved, 6) AS saved_min, round(benefit, 1) AS benefit, round(benefit / cost, 9) AS bc_ratio FROM r ORDER BY r.benefit / cost DESC, src, dst LIMIT 100""",
+)
+@tabled
+def q16(t):
+    """Lines between the pairs of wards with the most trips."""
+    demand = q.gravity_by_time(network_times(t), _people(t), key="ward", population="population")
+    found = q.transit_extensions(demand, t.wards, key="ward")
+    return rounded(rounded(rounded(found.select("src", "dst", "km", "saved_min", "benefit", "bc_ratio"), "km", "saved_min", digits=6), "benefit", digits=1), "bc_ratio", digits=9)
+
+
+@query("q15_road_upgrades")
+@tabled
+def q15_roads(t):
+    """Upgrades of the roads between wards, three of which lead on from each."""
+    w = t.wards.select("ward", "lon", "lat")
+    ends = w.select(F.col("ward").alias("src"), F.col("lon").alias("x"), F.col("lat").alias("y"), F.explode(F.array(F.lit(1), F.lit(4), F.lit(9))).alias("k")).withColumn("dst", F.col("src") + F.col("k"))
+    km = haversine_km(F.col("x"), F.col("y"), F.col("lon"), F.col("lat"))
+    edges = ends.join(w.withColumnRenamed("ward", "dst"), "dst").select("src", "dst", km.alias("km"), (km / 35 * 60).alias("minutes"), F.lit(2).alias("lanes"))
+    nodes = w.select(F.col("ward").alias("id"))
+    importance = g.edge_betweenness(edges.select("src", "dst", F.col("minutes").alias("weight")), nodes, weight="weight")
+    halves = importance.withColumn("betweenness", F.col("betweenness") / 2)  # each pair is met from both ends
+    times = routes.distances(routes.route_index(routes.both_ways(edges, "minutes")), nodes, nodes).select(F.col("source").alias("src"), F.col("target").alias("dst"), F.col("distance").alias("minutes"))
+    demand = q.gravity_by_time(times, _people(t), key="ward", population="population")
+    found = q.road_upgrades(edges, halves, demand).orderBy(F.desc("bc_ratio"), "src", "dst").limit(100)
+    return rounded(found.select("src", "dst", "importance", "saved_min", "benefit", "bc_ratio"), "importance", "saved_min", "benefit", "bc_ratio", digits=6)
+
+
 PROJECTS = f"projects AS (SELECT src, dst, src * 1000 + dst AS project, CASE WHEN src % 2 = 0 THEN 'road' ELSE 'transit' END AS type, flow * 3.0::DOUBLE AS benefit, 50.0::DOUBLE + (src * 7 + dst * 13) % 40 AS cost, flow * 3.0::DOUBLE / (50.0 + (src * 7 + dst * 13) % 40) AS bc_ratio FROM flows)"
 
 
