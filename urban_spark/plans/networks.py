@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from urban_spark.functions import geo
 from urban_spark.functions.geo import haversine_km
 from urban_spark.operators import access as q
 from urban_spark.operators import agg as a
@@ -12,9 +13,9 @@ from urban_spark.operators import routes
 from urban_spark.operators import spatial as s
 from urban_spark.operators.clean import hashed_sample
 from urban_spark.operators.sizes import small
-from urban_spark.plans.base import PANEL, SITES, WARDS, query, rounded, tabled
+from urban_spark.plans.base import HOMES, PANEL, SITES, WARDS, query, rounded, tabled
 from urban_spark.plans.relational import od_flows
-from urban_spark.plans.spatial import _km
+from urban_spark.plans.spatial import _km, cell_sql
 
 FLOWS = "flows AS (SELECT c_nationkey AS src, s_nationkey AS dst, count(*) AS flow FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey GROUP BY 1, 2)"
 ROADS = f"""roads AS (SELECT a.site AS src, b.site AS dst, {_km('a.lon', 'a.lat', 'b.lon', 'b.lat')} AS weight FROM sites a JOIN sites b ON b.site IN (a.site + 1, a.site + 7) WHERE b.site % 10 <> 0)"""
@@ -51,6 +52,43 @@ def n1_edges(t):
     return edges
 
 
+_CELLS = f"cells AS (SELECT DISTINCT q || ':' || r AS cell, ward FROM {cell_sql('homes', 'ward', 2000)})"
+_KINDS = {"School": 0, "Health": 1, "Park": 2}
+
+
+def _city(t):
+    """Six kinds of nodes and four of edges: wards, sectors, three kinds of sites and cells; wards in sectors, sites in wards, cells of wards, flows between wards."""
+    sites = t.sites.select(F.col("site"), "ward", (F.col("site") % 3).alias("kind"))
+    cells = t.homes.select(geo.cell_id(F.col("lon"), F.col("lat"), 2000).alias("cell"), "ward").distinct()
+    nodes = {"Ward": (t.nation.select("n_nationkey", "n_name"), "n_nationkey"), "Sector": (t.region, "r_regionkey"), "Cell": (cells.select("cell").distinct(), "cell")}
+    nodes |= {name: (sites.where(F.col("kind") == k).select("site"), "site") for name, k in _KINDS.items()}
+    edges = {
+        "IN": (t.nation.select("n_nationkey", "n_regionkey"), "n_nationkey", "n_regionkey"), "LIES_IN": (sites.select("site", "ward"), "site", "ward"),
+        "CELL_OF": (cells, "cell", "ward"), "FLOW": (od_flows(t).select("src", "dst", "flow"), "src", "dst"),
+    }
+    return g.property_graph(nodes, edges)
+
+
+@query(
+    "n1_city_nodes",
+    f"""WITH {SITES}, {HOMES}, {_CELLS} SELECT CAST(n_nationkey AS VARCHAR) AS id, 'Ward' AS label, '{{"n_name":"' || n_name || '"}}' AS props_json FROM nation UNION ALL SELECT CAST(r_regionkey AS VARCHAR), 'Sector', '{{"r_name":"' || r_name || '"}}' FROM region
+UNION ALL SELECT DISTINCT cell, 'Cell', '{{}}' FROM cells UNION ALL SELECT CAST(site AS VARCHAR), CASE site % 3 WHEN 0 THEN 'School' WHEN 1 THEN 'Health' ELSE 'Park' END, '{{}}' FROM sites""",
+)
+@tabled
+def n1_city_nodes(t):
+    return _city(t)[0]
+
+
+@query(
+    "n1_city_edges",
+    f"""WITH {SITES}, {HOMES}, {_CELLS}, {FLOWS} SELECT CAST(n_nationkey AS VARCHAR) AS src, CAST(n_regionkey AS VARCHAR) AS dst, 'IN' AS type, '{{}}' AS props_json FROM nation UNION ALL SELECT CAST(site AS VARCHAR), CAST(ward AS VARCHAR), 'LIES_IN', '{{}}' FROM sites
+UNION ALL SELECT cell, CAST(ward AS VARCHAR), 'CELL_OF', '{{}}' FROM cells UNION ALL SELECT CAST(src AS VARCHAR), CAST(dst AS VARCHAR), 'FLOW', '{{"flow":' || flow || '}}' FROM flows""",
+)
+@tabled
+def n1_city_edges(t):
+    return _city(t)[1]
+
+
 @query("n2_s16_flow_graph", f"WITH {FLOWS} SELECT src, dst, flow FROM flows")
 @tabled
 def n2(t):
