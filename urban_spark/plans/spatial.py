@@ -117,7 +117,8 @@ def g9(t):
 )
 @tabled
 def g11(t):
-    return t.sites.select(F.explode(g.cell_ring(g.cell_id(F.col("lon"), F.col("lat"), 2000), 2)).alias("cell")).groupBy("cell").agg(F.count(F.lit(1)).alias("sites"))
+    cells = t.sites.select(g.cell_id(F.col("lon"), F.col("lat"), 2000).alias("cell")).groupBy("cell").agg(F.count(F.lit(1)).alias("sites"))
+    return cells.select(F.explode(g.cell_ring(F.col("cell"), 2)).alias("cell"), "sites").groupBy("cell").agg(F.sum("sites").alias("sites"))
 
 
 @query(
