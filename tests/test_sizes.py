@@ -3,6 +3,8 @@
 from pyspark.sql import functions as F
 
 from urban_spark.functions import geo as g
+from urban_spark.operators import graph
+from urban_spark.operators import spatial as s
 
 
 def test_cell_ring_has_its_cell_once(spark):
@@ -14,3 +16,22 @@ def test_cell_ring_has_its_cell_once(spark):
     row = ring.first()
     q, r = map(int, row.cell.split(":"))
     assert sorted(row.ring) == sorted(f"{q + a}:{r + b}" for a in range(-2, 3) for b in range(-2, 3) if abs(a + b) <= 2)
+
+
+def _crowd(spark, rows: int, places: int):
+    k = F.col("id")
+    return spark.range(rows).select(k.alias("k"), (77.5 + k % places * 7 % places / 100.0).alias("lon"), (12.9 + k % places * 3 % places / 100.0).alias("lat"))
+
+
+def test_within_distance_takes_copies_at_one_place_as_lists_and_broadcasts_no_side(spark, monkeypatch):
+    monkeypatch.setattr(s, "SLICE", 7)  # lists of several lengths
+    rows = _crowd(spark, 200, 9)
+    found = s.within_distance(rows, key="k", km=1.5)
+    assert "BroadcastHashJoin" not in found._jdf.queryExecution().executedPlan().toString()
+    a, b = (rows.select(*(F.col(c).alias(f"{c}{i}") for c in rows.columns)) for i in (1, 2))
+    d = g.haversine_km(F.col("lon1"), F.col("lat1"), F.col("lon2"), F.col("lat2"))
+    expected = a.crossJoin(b).where("k1 < k2").select("k1", "k2", d.alias("km")).where("km <= 1.5").collect()
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, expected)) and len(expected) > 2_000
+    rounded = s.within_distance(rows, key="k", km=1.5, digits=2)
+    assert sorted(rounded.select("km").distinct().collect()) == sorted(found.select(F.round("km", 2)).distinct().collect())
+    assert s.within_distance(rows.limit(0), key="k", km=1.5).collect() == []
