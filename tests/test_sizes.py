@@ -35,3 +35,15 @@ def test_within_distance_takes_copies_at_one_place_as_lists_and_broadcasts_no_si
     rounded = s.within_distance(rows, key="k", km=1.5, digits=2)
     assert sorted(rounded.select("km").distinct().collect()) == sorted(found.select(F.round("km", 2)).distinct().collect())
     assert s.within_distance(rows.limit(0), key="k", km=1.5).collect() == []
+
+
+def test_nearest_looks_once_for_a_place(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(graph, "_cut", lambda df, cut=graph._cut: seen.append(cut(df)) or seen[-1])
+    targets = _crowd(spark, 300, 10).withColumnRenamed("k", "t")
+    points = _crowd(spark, 500, 30)
+    found = {r.k: (r.t, r.km) for r in s.nearest(points, targets, key="k", target="t", broadcast_rows=5).collect()}
+    assert max(df.count() for df in seen) <= 30
+    d = g.haversine_km(F.col("lon"), F.col("lat"), F.col("x"), F.col("y"))
+    every = points.crossJoin(targets.select("t", F.col("lon").alias("x"), F.col("lat").alias("y"))).groupBy("k").agg(F.min(F.struct(d.alias("km"), "t")).alias("b"))
+    assert found == {r.k: (r.b.t, r.b.km) for r in every.collect()}

@@ -43,11 +43,11 @@ def nearest(points: DataFrame, targets: DataFrame, *, key: str, target: str, lon
     Up to `broadcast_rows` targets are compared with every point. More are met through cells, at first of about four
     targets each: a point looks into its own cell, or that of the targets' extent nearest to it, and the eight around. What
     it finds within one cell's width can't be beaten from outside; points without such a find look into cells four times
-    as wide, until a cell holds all targets.
+    as wide, until a cell holds all targets. Of targets at one place the least stands for all, and points at one place look once.
     """
     from urban_spark.operators.graph import _cut
 
-    t = targets.select(target, F.col(lon).alias("_tx"), F.col(lat).alias("_ty"))
+    t = targets.select(target, F.col(lon).alias("_tx"), F.col(lat).alias("_ty")).groupBy("_tx", "_ty").agg(F.min(target).alias(target))
     p = points.select(key, F.col(lon).alias("_px"), F.col(lat).alias("_py"))
     km = g.haversine_km(F.col("_px"), F.col("_py"), F.col("_tx"), F.col("_ty"))
     best = lambda df: df.groupBy(key).agg(F.min(F.struct(km.alias("km"), F.col(target).alias("t"))).alias("_b")).select(key, F.col("_b.t").alias(target), F.col("_b.km").alias(out))
@@ -57,7 +57,7 @@ def nearest(points: DataFrame, targets: DataFrame, *, key: str, target: str, lon
     count, x0, x1, y0, y1 = t.agg(F.count(F.lit(1)), F.min("_tx"), F.max("_tx"), F.min("_ty"), F.max("_ty")).collect()[0]
     extent = max(x1 - x0, y1 - y0, 1e-9)
     size = max(math.sqrt(max((x1 - x0) * (y1 - y0), 1e-18) * 4 / count), extent / 4096)
-    done, left = [], p
+    done, left = [], p.select("_px", "_py").distinct().where("_px IS NOT NULL AND _py IS NOT NULL")
     while True:
         last = size > extent
         low, high = (math.floor(x0 / size), math.floor(y0 / size)), (math.floor(x1 / size), math.floor(y1 / size))
@@ -66,18 +66,18 @@ def nearest(points: DataFrame, targets: DataFrame, *, key: str, target: str, lon
         near = left.withColumn("cx", around("_px", 0)).withColumn("cy", around("_py", 1))
         placed = t.withColumn("cx", _cell(F.col("_tx"), size)).withColumn("cy", _cell(F.col("_ty"), size))
         reach = size * 111.0 * F.greatest(F.lit(0.0), F.cos(F.radians(F.least(F.lit(90.0), F.abs(F.col("_py")) + size))))
-        found = near.join(placed, ["cx", "cy"]).groupBy(key, "_px", "_py").agg(F.min(F.struct(km.alias("km"), F.col(target).alias("t"))).alias("_b"))
-        found = _cut(found.select(key, "_px", "_py", F.col("_b.t").alias(target), F.col("_b.km").alias(out), (F.lit(last) | (F.col("_b.km") <= reach)).alias("_sure")))
-        done.append(found.where("_sure").select(key, target, out))
+        found = near.join(placed, ["cx", "cy"]).groupBy("_px", "_py").agg(F.min(F.struct(km.alias("km"), F.col(target).alias("t"))).alias("_b"))
+        found = _cut(found.select("_px", "_py", F.col("_b.t").alias(target), F.col("_b.km").alias(out), (F.lit(last) | (F.col("_b.km") <= reach)).alias("_sure")))
+        done.append(found.where("_sure").select("_px", "_py", target, out))
         if last:
             break
-        left = left.join(done[-1].select(key), key, "left_anti")
+        left = left.join(done[-1].select("_px", "_py"), ["_px", "_py"], "left_anti")
         if found.where("NOT _sure").isEmpty():  # those without any find are still to come
             left = _cut(left)
             if left.isEmpty():
                 break
         size *= 4
-    return reduce(DataFrame.unionByName, done)
+    return p.distinct().join(reduce(DataFrame.unionByName, done), ["_px", "_py"]).select(key, target, out)
 
 
 def join_with_nearest(points: DataFrame, polygons: DataFrame, *, key: str, polygon: str, rings: str = "rings", lon: str = "lon", lat: str = "lat") -> DataFrame:
