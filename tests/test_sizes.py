@@ -1,9 +1,11 @@
 """What larger tables brought to light: plans that grow, copies at one place, work done again in every round."""
 
+import hashlib
+
 from pyspark.sql import functions as F
 
 from urban_spark.functions import geo as g
-from urban_spark.operators import graph
+from urban_spark.operators import access, cluster, graph, risk, stats
 from urban_spark.operators import spatial as s
 
 
@@ -47,3 +49,9 @@ def test_nearest_looks_once_for_a_place(spark, monkeypatch):
     d = g.haversine_km(F.col("lon"), F.col("lat"), F.col("x"), F.col("y"))
     every = points.crossJoin(targets.select("t", F.col("lon").alias("x"), F.col("lat").alias("y"))).groupBy("k").agg(F.min(F.struct(d.alias("km"), "t")).alias("b"))
     assert found == {r.k: (r.b.t, r.b.km) for r in every.collect()}
+
+
+def test_neighbours_at_no_distance_have_no_slope(spark):
+    edges = spark.createDataFrame([(1, 2, 0.0), (2, 1, 0.0), (1, 3, 2.0), (3, 1, 2.0)], "src long, dst long, km double")
+    cells = spark.createDataFrame([(1, 10.0), (2, 90.0), (3, 30.0)], "cell long, elevation double")
+    assert {r.cell: r.slope for r in risk.slope(edges, cells).collect()} == {1: 0.01, 3: 0.01}

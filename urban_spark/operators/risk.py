@@ -113,10 +113,11 @@ def failure_probability(severities: list[Column]) -> Column:
 
 
 def slope(edges: DataFrame, cells: DataFrame) -> DataFrame:
-    """(cell, slope): the greatest rise or fall to a neighbour over its distance; edges (src, dst, km), cells (cell, elevation)."""
+    """(cell, slope): the greatest rise or fall to a neighbour over its distance; edges (src, dst, km), cells (cell, elevation). Neighbours at no
+    distance have no slope and don't count."""
     at = cells.select(F.col("cell").alias("src"), F.col("elevation").alias("_a"))
     other = cells.select(F.col("cell").alias("dst"), F.col("elevation").alias("_b"))
-    return edges.join(at, "src").join(other, "dst").groupBy(F.col("src").alias("cell")).agg(F.max(F.abs(F.col("_a") - F.col("_b")) / (F.col("km") * 1000)).alias("slope"))
+    return edges.where("km > 0").join(at, "src").join(other, "dst").groupBy(F.col("src").alias("cell")).agg(F.max(F.abs(F.col("_a") - F.col("_b")) / (F.col("km") * 1000)).alias("slope"))
 
 
 def flow_accumulation(edges: DataFrame, cells: DataFrame, passes: int = 3) -> DataFrame:
