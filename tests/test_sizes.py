@@ -55,3 +55,14 @@ def test_neighbours_at_no_distance_have_no_slope(spark):
     edges = spark.createDataFrame([(1, 2, 0.0), (2, 1, 0.0), (1, 3, 2.0), (3, 1, 2.0)], "src long, dst long, km double")
     cells = spark.createDataFrame([(1, 10.0), (2, 90.0), (3, 30.0)], "cell long, elevation double")
     assert {r.cell: r.slope for r in risk.slope(edges, cells).collect()} == {1: 0.01, 3: 0.01}
+
+
+def test_dbscan_pairs_places_not_rows(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(cluster, "close_pairs", lambda df, *a, pairs=cluster.close_pairs, **k: seen.append(df.count()) or pairs(df, *a, **k))
+    at = [0.0] * 3 + [1.0] * 2 + [1.9] + [9.0] * 2 + [20.0] * 4 + [None] * 5
+    rows = spark.createDataFrame([(k, x, 0.0) for k, x in enumerate(at, 1)], "k long, x double, y double")
+    found = {r.k: r.label for r in cluster.dbscan(rows, ["x", "y"], key="k", eps=1.0, least=4).collect()}
+    assert found == {k: 1 for k in range(1, 7)} | {7: None, 8: None} | {k: 9 for k in range(9, 13)} | {k: None for k in range(13, 18)}
+    assert seen == [5]
+    assert {r.k: r.label for r in cluster.dbscan(rows, ["x", "y"], key="k", eps=0.1, least=1).collect()} == dict(zip(range(1, 18), [1, 1, 1, 4, 4, 6, 7, 7, 9, 9, 9, 9, 13, 14, 15, 16, 17], strict=True))

@@ -56,16 +56,21 @@ def close_pairs(df: DataFrame, features: list[str], eps: float, *, key: str) ->
 
 def dbscan(df: DataFrame, features: list[str], *, key: str, eps: float, least: int) -> DataFrame:
     """(key, label): the least core row of the cluster, null for noise. Core rows have `least` rows (themselves included) within
-    eps; border rows join the least cluster of a core row near."""
-    pairs = close_pairs(df, features, eps, key=key)
-    core = pairs.groupBy(F.col("src").alias("id")).count().where(F.col("count") + 1 >= least).select("id")
-    if least <= 1:
-        core = df.select(F.col(key).alias("id"))
+    eps; border rows join the least cluster of a core row near. Rows without one of the features are near none.
+
+    Rows at one place share their neighbours, so that pairs are of places, each under its least key and with the number of its rows.
+    """
+    has = reduce(lambda x, y: x & y, (F.col(f).isNotNull() & ~F.isnan(F.col(f).cast("double")) for f in features))
+    places = _cut(df.where(has).groupBy(*features).agg(F.min(key).alias("id"), F.count(F.lit(1)).alias("_n")))
+    pairs = _cut(close_pairs(places, features, eps, key="id"))
+    around = pairs.join(places.select(F.col("id").alias("dst"), "_n"), "dst").groupBy(F.col("src").alias("id")).agg(F.sum("_n").alias("_around"))
+    core = _cut(places.join(around, "id", "left").where(F.col("_n") + F.coalesce("_around", F.lit(0)) >= least).select("id"))
     links = pairs.join(core.select(F.col("id").alias("src")), "src").join(core.select(F.col("id").alias("dst")), "dst")
     labels = components(core, links)
     near = pairs.join(labels.select(F.col("id").alias("dst"), "component"), "dst").groupBy(F.col("src").alias("id")).agg(F.min("component").alias("near"))
-    joined = df.select(F.col(key).alias("id")).join(labels, "id", "left").join(near, "id", "left")
-    return joined.select(F.col("id").alias(key), F.coalesce("component", "near").alias("label"))
+    found = places.join(labels, "id", "left").join(near, "id", "left").select(*features, F.coalesce("component", "near").alias("label"))
+    alone = F.col(key) if least <= 1 else F.lit(None).cast(df.schema[key].dataType)
+    return df.where(has).select(key, *features).join(found, features).select(key, "label").unionByName(df.where(~has).select(key, alone.alias("label")))
 
 
 def capped_assignment(df: DataFrame, centers: DataFrame, size: str, *, key: str, slack: float = 0.05) -> DataFrame:
