@@ -66,3 +66,19 @@ def test_dbscan_pairs_places_not_rows(spark, monkeypatch):
     assert found == {k: 1 for k in range(1, 7)} | {7: None, 8: None} | {k: 9 for k in range(9, 13)} | {k: None for k in range(13, 18)}
     assert seen == [5]
     assert {r.k: r.label for r in cluster.dbscan(rows, ["x", "y"], key="k", eps=0.1, least=1).collect()} == dict(zip(range(1, 18), [1, 1, 1, 4, 4, 6, 7, 7, 9, 9, 9, 9, 13, 14, 15, 16, 17], strict=True))
+
+
+def test_only_the_largest_of_a_place_is_paired(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(s, "within_distance", lambda df, *a, pairs=s.within_distance, **k: seen.append(df.count()) or pairs(df, *a, **k))
+    rows = _crowd(spark, 60, 9).withColumn("size", F.col("k") * 37 % 11)
+    odd = spark.createDataFrame([(100, None, 12.9, 5), (101, 77.5, 12.9, None)], "k long, lon double, lat double, size long")
+    kept, places = [], {r.k: r for r in rows.collect()}
+    far = {(r.src, r.dst) for r in s.within_distance(rows, key="k", km=2.0).collect()}
+    for k in sorted(places, key=lambda k: (-places[k]["size"], k)):
+        if not any((min(k, o), max(k, o)) in far for o in kept):
+            kept.append(k)
+    seen.clear()
+    found = access.suppress_near(rows.unionByName(odd), key="k", size="size", km=2.0)
+    assert sorted(r.k for r in found.collect()) == sorted([*kept, 100, 101])
+    assert seen == [9]

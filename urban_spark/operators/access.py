@@ -129,6 +129,20 @@ def suppress_close(df: DataFrame, pairs: DataFrame, *, key: str, size: str) -> D
     return df if gone is None else df.join(gone.select(F.col("id").alias(key)), key, "left_anti")
 
 
+def suppress_near(df: DataFrame, *, key: str, size: str, km: float, lon: str = "lon", lat: str = "lat") -> DataFrame:
+    """suppress_close() for the rows at most `km` apart. Of rows at one place only the largest can stay, so that the others go before pairs are made.
+    Rows without a size or a place are close to none and stay."""
+    from urban_spark.operators.spatial import within_distance
+
+    has = F.col(size).isNotNull() & F.col(lon).isNotNull() & F.col(lat).isNotNull()
+    placed = df.where(has).select(key, size, F.col(lon).alias("lon"), F.col(lat).alias("lat"))
+    most = placed.groupBy("lon", "lat").agg(F.max(size).alias("_most"))
+    first = placed.join(most, ["lon", "lat"]).where(F.col(size) == F.col("_most")).groupBy("lon", "lat", size).agg(F.min(key).alias(key))
+    first = _cut(first)
+    stay = suppress_close(first, within_distance(first, key=key, km=km), key=key, size=size).select(key)
+    return df.where(~has).unionByName(df.where(has).join(stay, key, "left_semi"))
+
+
 def weighted_time_change(times: DataFrame, wards: DataFrame, *, ward: str, population: str, before: Column, after: Column) -> DataFrame:
     """Population-weighted least time of the facilities of one set, of the other, and the reduction in percent."""
     near = times.groupBy(ward).agg(F.min(F.when(before, F.col("travel_min"))).alias("_a"), F.min(F.when(after, F.col("travel_min"))).alias("_b"))
