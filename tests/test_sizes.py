@@ -82,3 +82,14 @@ def test_only_the_largest_of_a_place_is_paired(spark, monkeypatch):
     found = access.suppress_near(rows.unionByName(odd), key="k", size="size", km=2.0)
     assert sorted(r.k for r in found.collect()) == sorted([*kept, 100, 101])
     assert seen == [9]
+
+
+def test_permuted_effect_counts_rows_without_a_stratum(spark):
+    rows = spark.range(40).select(F.col("id").alias("k"), (F.col("id") % 3 == 0).cast("int").alias("t"), F.lit(None).cast("long").alias("g"), (F.col("id") * 7 % 5).cast("double").alias("y"))
+    order = lambda run: F.md5(F.concat_ws("-", F.col("k").cast("string"), run.cast("string")).cast("binary"))
+    got = stats.permuted_att(rows, "y", treated="t", stratum="g", key="k", order=order, runs=9).first()
+    digest = lambda k, run: hashlib.md5(f"{k}-{run}".encode()).hexdigest()
+    treated = [{k for k in range(40) if k % 3 == 0}] + [set(sorted(range(40), key=lambda k: (digest(k, run), k))[:14]) for run in range(1, 10)]
+    effect = [sum(k * 7 % 5 for k in t) / len(t) - sum(k * 7 % 5 for k in range(40) if k not in t) / (40 - len(t)) for t in treated]
+    assert got.runs == 9 and abs(got.att - effect[0]) < 1e-9
+    assert got.p == (sum(abs(e) >= abs(effect[0]) for e in effect[1:]) + 1) / 10

@@ -401,17 +401,25 @@ def permuted_att(df: DataFrame, y: str, *, treated: str, stratum: str, key: str,
     """(att, runs, p): mean difference of treated and other rows of a stratum, over strata by their treated rows; and p from
     reassignments in each of which as many rows of a stratum are treated, the first by order(run), a column of evenly spread strings such as digests. Strata
     without either kind don't count."""
-    rows = df.select(key, treated, stratum, y)
+    # As many tasks as shuffles have: a small file is one task, and each of its rows is met once a run.
+    rows = df.select(key, treated, stratum, F.col(y).cast("double").alias("_y")).repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
     again = rows.withColumn("run", F.explode(F.sequence(F.lit(1), F.lit(runs)))).withColumn("_o", order(F.col("run"))).withColumn("_b", F.substring("_o", 1, 2))
-    # Places in a stratum in two levels: among those whose order begins alike, and over what the beginnings before hold.
-    before = F.coalesce(F.sum("_n").over(Window.partitionBy("run", stratum).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = again.groupBy("run", stratum, "_b").agg(F.count(F.lit(1)).alias("_n")).withColumn("_before", before).drop("_n")
-    many = rows.groupBy(stratum).agg(F.sum(treated).alias("_many"))
-    place = F.row_number().over(Window.partitionBy("run", stratum, "_b").orderBy("_o", key)) + F.col("_before")
-    dealt = again.join(small(_cut(starts)), ["run", stratum, "_b"]).join(small(many), stratum).withColumn("_t", (place <= F.col("_many")).cast("int")).select("run", stratum, y, F.col("_t").alias(treated))
-    both = rows.select(F.lit(0).alias("run"), stratum, y, treated).unionByName(dealt)
-    mean = lambda v: F.avg(F.when(F.col(treated) == v, F.col(y)))
-    strata = both.groupBy("run", stratum).agg(F.sum(treated).alias("n"), (mean(1) - mean(0)).alias("d")).where("d IS NOT NULL")
+    # Rows whose order begins alike are treated together, or not; only at the beginning within which the treated ones end are places counted.
+    w = Window.partitionBy("run", stratum)
+    sums = again.groupBy("run", stratum, "_b").agg(F.count(F.lit(1)).alias("_n"), F.sum(treated).alias("_t"), F.count("_y").alias("_k"), F.sum("_y").alias("_s"))
+    before = F.coalesce(F.sum("_n").over(w.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sums = _cut(sums.withColumn("_before", before).withColumn("_many", F.coalesce(F.sum("_t").over(w), F.lit(0))))
+    split = (F.col("_before") < F.col("_many")) & (F.col("_before") + F.col("_n") > F.col("_many"))
+    ends = sums.where(split).select(F.col("run").alias("_run"), F.col(stratum).alias("_stratum"), F.col("_b").alias("_begin"), (F.col("_many") - F.col("_before")).alias("_left"))
+    within = again.join(small(ends), (F.col("run") == F.col("_run")) & F.col(stratum).eqNullSafe(F.col("_stratum")) & (F.col("_b") == F.col("_begin")))
+    place = F.row_number().over(Window.partitionBy("run", stratum).orderBy("_o", key))
+    within = within.withColumn("_a", (place <= F.col("_left")).cast("int")).groupBy("run", stratum, "_a").agg(F.count(F.lit(1)).alias("_n"), F.count("_y").alias("_k"), F.sum("_y").alias("_s"))
+    whole = sums.where(~split).withColumn("_a", (F.col("_before") < F.col("_many")).cast("int")).select(*within.columns)
+    own = rows.groupBy(stratum, F.col(treated).cast("int").alias("_a")).agg(F.count(F.lit(1)).alias("_n"), F.count("_y").alias("_k"), F.sum("_y").alias("_s")).withColumn("run", F.lit(0))
+    both = own.unionByName(whole).unionByName(within)
+    total = lambda c, v: F.sum(F.when(F.col("_a") == v, F.col(c)))
+    mean = lambda v: total("_s", v) / F.nullif(total("_k", v), F.lit(0))
+    strata = both.groupBy("run", stratum).agg(total("_n", 1).alias("n"), (mean(1) - mean(0)).alias("d")).where("d IS NOT NULL")
     effects = strata.groupBy("run").agg((F.sum(F.col("n") * F.col("d")) / F.sum("n")).alias("att"))  # a row for each run
     one = effects.agg(F.max(F.when(F.col("run") == 0, F.col("att"))).alias("att"), F.collect_list(F.when(F.col("run") > 0, F.abs("att"))).alias("others"))
     above = F.size(F.filter("others", lambda a: a >= F.abs("att")))
