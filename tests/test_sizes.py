@@ -93,3 +93,15 @@ def test_permuted_effect_counts_rows_without_a_stratum(spark):
     effect = [sum(k * 7 % 5 for k in t) / len(t) - sum(k * 7 % 5 for k in range(40) if k not in t) / (40 - len(t)) for t in treated]
     assert got.runs == 9 and abs(got.att - effect[0]) < 1e-9
     assert got.p == (sum(abs(e) >= abs(effect[0]) for e in effect[1:]) + 1) / 10
+
+
+def test_spectral_radius_makes_its_edges_once(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    def weight(k: int) -> float:
+        made.add(1)
+        return 1.0 + k % 2
+
+    edges = spark.range(6).select(F.col("id").alias("src"), ((F.col("id") + 1) % 6).alias("dst"), F.udf(weight, "double")("id").alias("weight"))
+    assert abs(graph.spectral_radius(edges, rounds=24) - 2**0.5) < 1e-6
+    assert made.value <= 12  # a checkpoint computes its rows twice
