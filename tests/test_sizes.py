@@ -5,7 +5,7 @@ import hashlib
 from pyspark.sql import functions as F
 
 from urban_spark.functions import geo as g
-from urban_spark.operators import access, cluster, graph, risk, stats
+from urban_spark.operators import access, cluster, graph, risk, routes, stats
 from urban_spark.operators import spatial as s
 
 
@@ -105,3 +105,15 @@ def test_spectral_radius_makes_its_edges_once(spark):
     edges = spark.range(6).select(F.col("id").alias("src"), ((F.col("id") + 1) % 6).alias("dst"), F.udf(weight, "double")("id").alias("weight"))
     assert abs(graph.spectral_radius(edges, rounds=24) - 2**0.5) < 1e-6
     assert made.value <= 12  # a checkpoint computes its rows twice
+
+
+def test_route_index_closes_its_core_as_one_block(spark, monkeypatch):
+    monkeypatch.setattr(routes, "shortest_paths", None)  # no rounds over what is left
+    edges = spark.createDataFrame([(k, k + 1, 1.0 + k % 3) for k in range(60)] + [(k, k + 7, 8.0) for k in range(50)], "src long, dst long, weight double")
+    ends = spark.createDataFrame([(0,), (33,), (99,)], "id long")
+    best = {0: 0.0}
+    for k in range(1, 61):
+        best[k] = min([best[k - 1] + 1.0 + (k - 1) % 3] + ([best[k - 7] + 8.0] if 7 <= k < 57 else []))
+    for core in (8, 100):
+        found = routes.distances(routes.route_index(edges, core=core), ends.where("id <> 33"), edges.select(F.col("dst").alias("id")).distinct())
+        assert {(r.source, r.target): r.distance for r in found.collect()} == {(0, k): v for k, v in best.items() if k}

@@ -5,12 +5,17 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from urban_spark.operators.graph import _cut, shortest_paths
 from urban_spark.operators.sizes import small
 
+#: Nodes whose distances are closed as one dense block (8 MB) in a task.
+CORE = 1_000
+
 
 def multimodal_graph(layers: dict[str, tuple[DataFrame, float]], transfers: DataFrame | None = None) -> DataFrame:
     """(src, dst, minutes, mode) of an undirected graph, src < dst: layer -> (edges (src, dst, km), km/h), whose nodes are named `<layer>:<id>`, and `transfers`
@@ -45,11 +50,28 @@ def _least(df: DataFrame) -> DataFrame:
     return df.groupBy("src", "dst").agg(F.min("weight").alias("weight"))
 
 
+def _closed(around: DataFrame) -> DataFrame:
+    """(src, dst, weight) of all shortest ways, 0 from a node to itself, of a graph that has few enough nodes for one dense block."""
+
+    def close(edges: pd.DataFrame) -> pd.DataFrame:
+        names, at = np.unique(np.concatenate([edges["src"].to_numpy(), edges["dst"].to_numpy()]), return_inverse=True)
+        far = np.full((len(names), len(names)), np.inf)
+        np.minimum.at(far, (at[: len(edges)], at[len(edges) :]), edges["weight"].to_numpy())
+        np.fill_diagonal(far, 0.0)
+        for k in range(len(names)):
+            np.minimum(far, far[:, k, None] + far[None, k, :], out=far)
+        a, b = np.nonzero(np.isfinite(far))
+        return pd.DataFrame({"src": names[a], "dst": names[b], "weight": far[a, b]})
+
+    return around.groupBy(F.lit(0).alias("_one")).applyInPandas(close, around.schema)
+
+
 def route_index(edges: DataFrame, *, core: int = 48, growth: float = 4.0) -> RouteIndex:
     """Index of directed `edges` (src, dst, weight), weights not negative, for distances(): nodes are taken out in rounds, each time those with
     fewer neighbours than any neighbour has (ties by hash), and ways through them become edges of their neighbours. About a third of a road
-    network's nodes goes in each round, so rounds grow as the logarithm of the nodes. It ends at `core` nodes, or where the ways through would be
-    more than `growth` times the edges there were at first; the distances within what is left are then computed.
+    network's nodes goes in the first rounds, fewer where what is left is dense; rounds grow as the logarithm of the nodes. It ends at `core` nodes, whose
+    distances are closed as one block, or where the ways through would be more than `growth` times the edges there were at first; the distances
+    within what is left are then computed by rounds.
 
     Meant for networks in the plane. A dense graph is all core: the index then holds the distances of all its pairs.
     """
@@ -59,24 +81,28 @@ def route_index(edges: DataFrame, *, core: int = 48, growth: float = 4.0) -> Rou
     most, outs, intos, level = growth * max(around.count(), 1), [], [], 0
     while True:
         ways = around.select("src", "dst").unionByName(around.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
-        order = ways.groupBy("src").agg(F.count(F.lit(1)).alias("n")).select("src", F.struct("n", F.xxhash64("src").alias("h"), "src").alias("own"))
-        order = _cut(order)
-        least = ways.join(order.select(F.col("src").alias("dst"), F.col("own").alias("near")), "dst").groupBy("src").agg(F.min("near").alias("near"))
-        taken = _cut(order.join(least, "src").where("own < near").select("src", F.col("own.n").alias("n")))
-        nodes, through = order.count(), taken.agg(F.sum(F.col("n") * F.col("n"))).first()[0] or 0
-        if nodes <= core or through > most:
+        own = F.struct("n", F.xxhash64("src").alias("h"), "src")
+        order = ways.groupBy("src").agg(F.count(F.lit(1)).alias("n")).select(F.col("src").alias("dst"), own.alias("near"))
+        ranked = ways.join(order, "dst").groupBy("src").agg(F.count(F.lit(1)).alias("n"), F.min("near").alias("near"))
+        ranked = _cut(ranked.select("src", "n", (own < F.col("near")).alias("go")))
+        nodes, through = ranked.agg(F.count(F.lit(1)), F.sum(F.when(F.col("go"), F.col("n") * F.col("n")))).first()
+        if nodes <= core or (through or 0) > most:
             break
-        gone = taken.select("src")
-        up = _cut(around.join(gone, "src", "left_semi"))
-        down = _cut(around.join(gone.withColumnRenamed("src", "dst"), "dst", "left_semi"))
-        rest = around.join(gone, "src", "left_anti").join(gone.withColumnRenamed("src", "dst"), "dst", "left_anti")
+        gone = small(ranked.where("go").select("src"))
+        up_ends, down_ends = gone.withColumn("up", F.lit(True)), gone.select(F.col("src").alias("dst"), F.lit(True).alias("down"))
+        marked = _cut(around.join(up_ends, "src", "left").join(down_ends, "dst", "left"))
+        up, down = marked.where("up").select("src", "dst", "weight"), marked.where("down").select("src", "dst", "weight")
+        rest = marked.where("up IS NULL AND down IS NULL").select("src", "dst", "weight")
         first, then = down.select("src", F.col("dst").alias("_via"), F.col("weight").alias("_w")), up.select(F.col("src").alias("_via"), "dst", "weight")
         ways_through = first.join(then, "_via").where("src <> dst").select("src", "dst", (F.col("_w") + F.col("weight")).alias("weight"))
         outs.append(up.withColumn("level", F.lit(level)))
         intos.append(down.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight").withColumn("level", F.lit(level)))
         around, level = _cut(_least(rest.unionByName(ways_through))), level + 1
-    left = around.select(F.col("src").alias("id")).unionByName(around.select(F.col("dst").alias("id"))).distinct()
-    within = shortest_paths(around, left).select(F.col("source").alias("src"), F.col("id").alias("dst"), F.col("distance").alias("weight"))
+    if nodes <= core:
+        within = _cut(_closed(around))
+    else:
+        left = around.select(F.col("src").alias("id")).unionByName(around.select(F.col("dst").alias("id"))).distinct()
+        within = shortest_paths(around, left).select(F.col("source").alias("src"), F.col("id").alias("dst"), F.col("distance").alias("weight"))
     empty = around.limit(0).withColumn("level", F.lit(0))
     gather = lambda parts: _cut(reduce(DataFrame.unionByName, parts, empty))
     return RouteIndex(gather(outs), gather(intos), within, level)
@@ -85,10 +111,13 @@ def route_index(edges: DataFrame, *, core: int = 48, growth: float = 4.0) -> Rou
 def _upwards(up: DataFrame, starts: DataFrame, rounds: int) -> DataFrame:
     """(source, id, distance) to all nodes above `starts` (id): the edges of each round once, from the lowest."""
     best = starts.select(F.col("id").alias("source"), "id", F.lit(0.0).alias("distance")).distinct()
+    ways = _cut(up.groupBy("level", F.col("src").alias("id")).agg(F.collect_list(F.struct(F.col("dst").alias("id"), "weight")).alias("_to")))
     for level in range(rounds):
-        edges = up.where(F.col("level") == level).select(F.col("src").alias("id"), "dst", "weight")
-        new = best.join(edges, "id").select("source", F.col("dst").alias("id"), (F.col("distance") + F.col("weight")).alias("distance"))
-        best = best.unionByName(new).groupBy("source", "id").agg(F.min("distance").alias("distance"))
+        # A row goes on itself and by its edges, so that each round reads the one before only once.
+        joined = best.join(ways.where(F.col("level") == level).drop("level"), "id", "left")
+        on = F.transform(F.coalesce("_to", F.array()), lambda e: F.struct(e["id"].alias("id"), (F.col("distance") + e["weight"]).alias("distance")))
+        steps = joined.select("source", F.explode(F.concat(F.array(F.struct("id", "distance")), on)).alias("_s"))
+        best = steps.groupBy("source", F.col("_s.id").alias("id")).agg(F.min("_s.distance").alias("distance"))
         if level % 4 == 3:
             best = _cut(best)
     return _cut(best)
@@ -109,7 +138,7 @@ def travel_matrix(edges: DataFrame, places: DataFrame, snapped: DataFrame, *, ke
     node that `snapped` (key, node) has for each; where no way leads, or a place has no node, the degrees between them at 111 km and `fallback_speed`.
     Places are a stated set; the result is all pairs of them."""
     nodes = snapped.select(F.col("node").alias("id")).where("id IS NOT NULL").distinct()
-    found = distances(route_index(both_ways(edges, "minutes")), nodes, nodes)
+    found = distances(route_index(both_ways(edges, "minutes"), core=CORE), nodes, nodes)
     at = places.select(F.col(key).alias("place"), "lon", "lat").join(snapped.select(F.col(key).alias("place"), "node"), "place", "left")
     a = at.select(F.col("place").alias("src"), F.col("lon").alias("_x"), F.col("lat").alias("_y"), F.col("node").alias("_from"))
     b = at.select(F.col("place").alias("dst"), F.col("lon").alias("_u"), F.col("lat").alias("_v"), F.col("node").alias("_to"))
