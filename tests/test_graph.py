@@ -5,6 +5,7 @@ from collections import deque
 import numpy as np
 import pytest
 
+from urban_spark.operators import condense
 from urban_spark.operators import graph as g
 
 
@@ -166,3 +167,30 @@ def test_rank_and_radius_settle_or_fail(net, spark):
     assert abs(g.spectral_radius(flow, 200, tolerance=1e-6) - max(abs(np.linalg.eigvals(dense)))) < 1e-5
     with pytest.raises(RuntimeError):
         g.spectral_radius(flow, 6, tolerance=1e-12)
+
+
+def test_condensed_paths_are_those_of_brandes(spark):
+    """A grid with many equally long ways, most nodes of which are taken out in rounds, and a part that no source reaches."""
+    rnd, side, weights = random.Random(4), 7, (1.0, 2.0, 7.0)
+    rows = [(x * side + y, u * side + v, rnd.choice(weights)) for x in range(side) for y in range(side) for u, v in ((x + 1, y), (x, y + 1)) if u < side and v < side and rnd.random() < 0.9]
+    rows += [(900, 901, 1.0)]
+    ids, chosen = [*range(side * side), 900, 901, 902], [0, 10, 48]
+    through, over = brandes(rows, ids, chosen)
+    edges, sources = spark.createDataFrame(rows, "src long, dst long, weight double"), spark.createDataFrame([(i,) for i in chosen], "id long")
+    around = g.undirected(edges)
+    c = condense.condense(condense.evened(around), sources, core=30)
+    assert c.made
+    core = condense._core(c)
+    found, parts = condense.settled(c, core)
+    flow = {(r.src, r.dst): r.flow for r in condense.flows(c, core, parts).collect()}
+    assert all(flow.get((a, b), 0.0) + flow.get((b, a), 0.0) == pytest.approx(v, abs=1e-6) for (a, b), v in over.items())
+    reached = {r.id: r.n for r in condense.reach(found).collect()}
+    assert all(sum(f for (_, b), f in flow.items() if b == i) - reached.get(i, 0) == pytest.approx(through[i], abs=1e-6) for i in ids)
+
+
+def test_condensed_closeness_goes_one_way(net):
+    nodes, edges, rows = net
+    some = nodes.where("id < 4")
+    want = {r.id: r.closeness for r in g.closeness(g.shortest_paths(edges, some)).collect()}
+    got = {r.id: r.closeness for r in g.closeness_from(edges, some, core=20).collect()}
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in want)
