@@ -102,3 +102,10 @@ def test_close_to_the_bound(spark):
     pieces = spark.createDataFrame([(i, 0, int(n)) for i, n in enumerate(lengths)], "_row long, piece int, length long")
     used = packing.best_fit_packing(pieces).select("sequence_id").distinct().count()
     assert used <= -(-int(lengths.sum()) // 4096) + 1
+
+
+def test_segments_and_caches_do_not_change_ids():
+    texts = ["some words and some more words " * 40, None, "a b c 123 \u00e9 \u4e2d", ""]
+    want = packing.token_ids(texts, TOKENIZER)
+    for segment, cache in ((1 << 22, 100_000), (64, 2)):
+        assert all(np.array_equal(a, b) for a, b in zip(packing.token_ids(texts, TOKENIZER, segment, cache), want, strict=True))

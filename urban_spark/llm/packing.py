@@ -57,10 +57,10 @@ class _Ids:
     """Words -> their ids as little-endian 32-bit integers. Words part at ASCII white space, which the tokenizer drops, so
     the ids of a text are those of its words in turn; within a word, those of its pre-tokens."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, cache: int = CACHE):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.words, self.stems = Tokenizer.from_file(path), _Recent(), _Recent()
+        self.tokenizer, self.words, self.stems = Tokenizer.from_file(path), _Recent(cache), _Recent(cache)
         # Byte-level spelling: printable bytes stand for themselves, the others for U+0100 and on, in order.
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
         rest = [b for b in range(256) if b not in plain]
@@ -107,18 +107,20 @@ class _Ids:
         return table[at], np.diff(upto[lists.offsets.to_numpy() - lists.offsets[0].as_py()])
 
 
-_ids: dict[str, _Ids] = {}
+_ids: dict[str | tuple[str, int], _Ids] = {}
 
 
-def token_ids(texts: list[str | None], path: str) -> list[np.ndarray]:
+def token_ids(texts: list[str | None], path: str, segment: int | None = None, cache: int = CACHE) -> list[np.ndarray]:
     """Ids of each text (null: empty) without special tokens, then END, as little-endian unsigned 32-bit integers. Long
-    texts are taken by segments of about SEGMENT characters that end at white space."""
-    ids = _ids.get(path) or _ids.setdefault(path, _Ids(path))
+    texts are taken by segments of about `segment` characters (SEGMENT) that end at white space."""
+    segment = segment or SEGMENT
+    key = path if cache == CACHE else (path, cache)
+    ids = _ids.get(key) or _ids.setdefault(key, _Ids(path, cache))
     segments, owner = [], []
     for i, text in enumerate(texts):
         text, low = text or "", 0
         while low < len(text):
-            blank = BLANK.search(text, low + SEGMENT) if len(text) - low > SEGMENT else None
+            blank = BLANK.search(text, low + segment) if len(text) - low > segment else None
             high = blank.start() if blank else len(text)
             segments.append(text[low:high])
             owner.append(i)
@@ -133,25 +135,26 @@ def token_ids(texts: list[str | None], path: str) -> list[np.ndarray]:
     return np.split(out, ends[:-1]) if len(texts) else []
 
 
-def _parts(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
-    """Slices of `batch` with about SEGMENT bytes of text, a row at least."""
+def _parts(batch: pa.RecordBatch, column: int, segment: int) -> Iterator[pa.RecordBatch]:
+    """Slices of `batch` with about `segment` bytes of text, a row at least."""
     size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False))
     low = 0
     while low < batch.num_rows:
-        high = max(low + 1, int(np.searchsorted(size, (size[low - 1] if low else 0) + SEGMENT, side="right")))
+        high = max(low + 1, int(np.searchsorted(size, (size[low - 1] if low else 0) + segment, side="right")))
         yield batch.slice(low, high - low)
         low = high
 
 
-def token_pieces(docs: DataFrame, tokenizer_path: str, *, capacity: int = 4096, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(_row, id, piece, start, length, ids_crc32): documents as token runs, those beyond `capacity` cut every `capacity` ids."""
+def token_pieces(docs: DataFrame, tokenizer_path: str, *, capacity: int = 4096, id_col: str = "doc_id", text_col: str = "text", segment: int = SEGMENT, cache: int = CACHE) -> DataFrame:
+    """(_row, id, piece, start, length, ids_crc32): documents as token runs, those beyond `capacity` cut every `capacity` ids. Tasks
+    encode the distinct words of `segment` bytes at once and keep up to `cache` words of two generations: more is faster and takes memory."""
     kind = docs.schema[id_col].dataType
 
     def cuts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in _parts(batch, 2):
+            for part in _parts(batch, 2, segment):
                 take, found = [], []
-                for i, ids in enumerate(token_ids(part.column(2).to_pylist(), tokenizer_path)):
+                for i, ids in enumerate(token_ids(part.column(2).to_pylist(), tokenizer_path, segment, cache)):
                     for k, start in enumerate(range(0, len(ids), capacity)):
                         run = ids[start : start + capacity]
                         take.append(i)
@@ -261,12 +264,12 @@ def best_fit_packing(pieces: DataFrame, *, capacity: int = 4096, per_bucket: int
     return ranked.mapInPandas(placed, schema)
 
 
-def pack_documents(docs: DataFrame, tokenizer_path: str, *, capacity: int = 4096, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer_path: str, *, capacity: int = 4096, id_col: str = "doc_id", text_col: str = "text", segment: int = SEGMENT, cache: int = CACHE) -> DataFrame:
     """(id, piece, start, length, ids_crc32, sequence_id, offset) for each run of tokens of each document.
 
     Null or empty text: the closing id alone, a run of length 1. Repeated rows and repeated or null ids: runs of their
-    own. No rows: no rows. Ties in length go by row. Extra columns are not read.
+    own. No rows: no rows. Ties in length go by row. Extra columns are not read. `segment` and `cache` as in token_pieces().
     """
-    pieces = cut(token_pieces(docs, tokenizer_path, capacity=capacity, id_col=id_col, text_col=text_col))
+    pieces = cut(token_pieces(docs, tokenizer_path, capacity=capacity, id_col=id_col, text_col=text_col, segment=segment, cache=cache))
     packed = best_fit_packing(pieces, capacity=capacity)
     return packed.select(F.col("_id").alias(id_col), "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
