@@ -1,3 +1,4 @@
+import hashlib
 import json
 
 from pyspark.sql import functions as F
@@ -68,3 +69,16 @@ def test_decodes_geometry_text(spark):
     rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", decode(F.col("t")).alias("g")).orderBy("i").collect()
     assert [(r.g.type, [len(x) for x in r.g.rings]) if r.g else None for r in rows] == [("Point", [1]), ("Polygon", [4, 4]), ("LineString", [2]), ("Point", [1]), ("LineString", [3]), None, None, None, ("MultiPolygon", [4, 4])]
     assert tuple(rows[3].g.rings[0][0]) == (3.5, -40.0) and tuple(rows[2].g.rings[0][1]) == (1.0, 1.0)
+
+
+def test_fingerprints_by_blocks(spark, tmp_path):
+    content = {f"{i}.bin": bytes(j * j * i % 251 for j in range(n)) for i, n in enumerate((1, 64, 999, 1000, 1001, 5000))}
+    for name, data in content.items():
+        (tmp_path / name).write_bytes(data)
+    want = {(name, len(data), hashlib.sha256(data).hexdigest()) for name, data in content.items()}
+    spark.conf.set("spark.sql.sources.binaryFile.maxLength", 100)  # no file is read whole
+    try:
+        for block in (1000, 1 << 20):
+            assert {tuple(r) for r in io.fingerprints(spark, str(tmp_path), block=block).collect()} == want
+    finally:
+        spark.conf.unset("spark.sql.sources.binaryFile.maxLength")
