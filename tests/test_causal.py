@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from urban_spark.operators import cluster as c
 from urban_spark.operators import forecast as f
 from urban_spark.operators import stats as s
+from urban_spark.operators.panel import fill_both_ways
 
 
 def nearest(rows):
@@ -25,6 +26,16 @@ def test_nearest_scores_as_brute_force(spark, crowded):
         assert {r.k: (r.match, r.gap) for r in s.nearest_scores(df, key="k", treated="treated", score="score", ranges=ranges).collect()} == nearest(rows)
 
 
+def test_no_frame_is_computed_anew_for_each_row(spark):
+    """A frame from a row to the end of its partition takes time that grows with the square of the partition."""
+    df = spark.createDataFrame([(i, i % 2, i / 7, None if i < 3 else float(i)) for i in range(20)], "k int, treated int, score double, v double").withColumn("ward", F.lit(1))
+    matched, filled = s.nearest_scores(df, key="k", treated="treated", score="score", ranges=2), fill_both_ways(df, "v", date="k")
+    for out in (matched, filled):
+        plan = out._jdf.queryExecution().optimizedPlan().toString()
+        assert "RowFrame" in plan and "currentrow$(), unboundedfollowing$()" not in plan
+    assert [r.v for r in filled.orderBy("k").collect()] == [3.0, 3.0, 3.0, *map(float, range(3, 20))]
+
+
 def test_nearest_scores_without_controls(spark):
     df = spark.createDataFrame([(1, 1, 0.5)], "k int, treated int, score double")
     assert [tuple(r) for r in s.nearest_scores(df, key="k", treated="treated", score="score").collect()] in ([], [(1, None, None)])

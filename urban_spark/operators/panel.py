@@ -75,8 +75,8 @@ def fill_both_ways(df: DataFrame, value: str, *, key: str = "ward", date: str =
     """Nulls take the last value before, at the start of a series the first after."""
     w = _by(key, date)
     before = F.last(value, True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    after = F.first(value, True).over(w.rowsBetween(0, Window.unboundedFollowing))
-    return df.withColumn(value, F.coalesce(before, after))
+    first = F.first(value, True).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))  # one frame; needed where nothing is before
+    return df.withColumn(value, F.coalesce(before, first))
 
 
 def fill_by_medians(df: DataFrame, value: str, *, key: str = "ward") -> DataFrame:

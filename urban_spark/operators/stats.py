@@ -382,8 +382,9 @@ def nearest_scores(df: DataFrame, *, key: str, treated: str, score: str, ranges:
     ends = placed.groupBy("_b").agg(F.max("_below").alias("_hi"), F.min("_above").alias("_lo"))
     w = Window.orderBy("_b")  # a row a range
     beside = ends.select("_b", F.last("_hi", True).over(w.rowsBetween(Window.unboundedPreceding, -1)).alias("_before"), F.first("_lo", True).over(w.rowsBetween(1, Window.unboundedFollowing)).alias("_after"))
-    w = Window.partitionBy("_b").orderBy("_score")
-    left, right = F.last("_below", True).over(w.rowsBetween(Window.unboundedPreceding, 0)), F.first("_above", True).over(w.rowsBetween(0, Window.unboundedFollowing))
+    # Both run from the start of their order: a frame that ends at the end of the range is computed anew for each row.
+    so_far = lambda c, order: F.last(c, True).over(Window.partitionBy("_b").orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
+    left, right = so_far("_below", F.asc("_score")), so_far("_above", F.desc("_score"))
     near = placed.select("_score", "_b", left.alias("_l"), right.alias("_r")).join(F.broadcast(beside), "_b")
     near = near.select("_score", F.coalesce("_l", "_before").alias("_l"), F.coalesce("_r", "_after").alias("_r"))
     gap = lambda p: F.abs(F.col("_score") - p.getField("s"))
