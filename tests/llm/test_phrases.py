@@ -2,6 +2,7 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -110,3 +111,11 @@ def test_products_past_64_bits(spark):
     a, n, l, r = 3 * 10**12 + 7, 9 * 10**14 + 1, 5 * 10**12 + 3, 4 * 10**12 + 9
     row = spark.createDataFrame([(a, n, l, r)], "a long, n long, l long, r long").select(phrases.score_column().alias("s")).collect()[0].s
     assert row == 1000 * a * n // (l * r)
+
+
+def test_pair_codes_are_short_and_never_none():
+    codes = np.random.default_rng(0).integers(1, 1 << 63, 5000, np.uint64)
+    codes[::7] = 0
+    pairs, present = phrases._pairs(codes), (codes[:-1] > 0) & (codes[1:] > 0)
+    assert ((pairs > 0) == present).all() and set((pairs[present] & np.uint64((1 << 32) - 1)).tolist()) == {1}
+    assert len(set(pairs[present].tolist())) > 0.999 * len(set(zip(codes[:-1][present].tolist(), codes[1:][present].tolist(), strict=True)))

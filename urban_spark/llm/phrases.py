@@ -22,6 +22,7 @@ ROWS, STRETCH, CODES, DISTINCT = 512, 1 << 21, 1 << 20, 200_000
 FILTER_BITS = 1 << 28
 #: Odd multipliers that mix the codes of a window.
 _MIX = np.random.default_rng(5).integers(1 << 62, (1 << 63) - 1, 16, np.uint64) * np.uint64(2) + np.uint64(1)
+_LOW = np.uint64((1 << 32) - 1)
 
 
 def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, list[bytes]]]:
@@ -94,9 +95,10 @@ def _coded(batches: Iterator[pa.RecordBatch], attempt: int, words: _Filter) -> I
 
 
 def _pairs(codes: np.ndarray) -> np.ndarray:
-    """A code for each word and the one after it; 0 where either is missing."""
+    """A code for each word and the one after it; 0 where either is missing. Only its upper 32 bits differ, more than the filter of pairs
+    takes, as what differs is what shuffles can't compress; pairs of one code are counted together, so that too many pass at worst."""
     both = (codes[:-1] * _MIX[0]) ^ (codes[1:] * _MIX[1])
-    return np.where((codes[:-1] > 0) & (codes[1:] > 0), (both ^ (both >> np.uint64(31))) * _MIX[2], 0)
+    return np.where((codes[:-1] > 0) & (codes[1:] > 0), (((both ^ (both >> np.uint64(31))) * _MIX[2]) & ~_LOW) | np.uint64(1), 0)
 
 
 def _sums(columns: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
