@@ -5,7 +5,7 @@ from collections import Counter
 
 import pytest
 
-from urban_spark.llm.variants import signatures, spelling_groups, word_counts
+from urban_spark.llm.variants import near_words, signatures, spelling_groups, word_counts
 
 SCHEMA = "doc_id long, text string, word string, n int, key string"
 
@@ -92,6 +92,14 @@ def test_words_one_edit_apart_share_a_signature():
             assert set(signatures(w)) & set(signatures(v))
 
 
+def test_no_signatures_are_broadcast(spark, tmp_path):
+    spark.createDataFrame([("window", 50), ("windov", 5)], "word string, n long").write.parquet(f"{tmp_path}/words")
+    words = spark.read.parquet(f"{tmp_path}/words")  # a small file, as of many words that compress well
+    for found in near_words(words), spelling_groups(words):
+        assert "BroadcastHashJoin" not in found._jdf.queryExecution().executedPlan().toString()
+        assert found.where("word = 'windov'").count() == 1
+
+
 def test_empty_and_ratio(spark):
     empty = spark.createDataFrame([], SCHEMA)
     assert word_counts(empty).collect() == [] and spelling_groups(word_counts(empty)).collect() == []

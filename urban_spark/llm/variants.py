@@ -93,7 +93,8 @@ def near_words(words: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), part.column(0).take(take), part.column(1).take(take)], ["key", "word", "n"])
 
     rows = words.select("word", "n").mapInArrow(signed, "key long, word string, n long")
-    a, b = rows.alias("a"), rows.select("key", F.col("word").alias("near"), F.col("n").alias("near_n")).alias("b")
+    # No side is broadcast: Spark takes the signatures, 24 a word, for as small as the compressed words they are made from.
+    a, b = rows.alias("a").hint("merge"), rows.select("key", F.col("word").alias("near"), F.col("n").alias("near_n")).alias("b")
     pairs = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("word") < F.col("near")) & (F.levenshtein("word", "near", 1) == 1))
     once = pairs.select("word", "near", "n", "near_n").distinct()
     return once.select(F.explode(F.array(F.struct("word", "near", "n", "near_n"), F.struct(F.col("near").alias("word"), F.col("word").alias("near"), F.col("near_n").alias("n"), F.col("n").alias("near_n")))).alias("p")).select("p.*")
@@ -116,15 +117,15 @@ def spelling_groups(words: DataFrame, *, ratio: int = 5) -> DataFrame:
     best = near_words(words).groupBy("word").agg(F.count(F.lit(1)).alias("n_near"), F.min(F.struct((-F.col("near_n")).alias("less"), "near")).alias("best"))
     frequent = -F.col("best.less") >= ratio * F.col("n")
     found = cut(
-        words.join(best, "word", "left").select(
+        words.hint("merge").join(best, "word", "left").select(
             "word", F.when(frequent, F.col("best.near")).alias("form"), "n", F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"), F.when(frequent, -F.col("best.less")).alias("form_n")
         )
     )
     roots = found.where("form IS NOT NULL").select("word", F.col("form").alias("root"))
     while True:  # each round looks twice as far; counts grow by the ratio at each form, so there are few
         further = roots.select(F.col("word").alias("root"), F.col("root").alias("_root"))
-        step = cut(roots.join(further, "root", "left").select("word", F.coalesce("_root", "root").alias("root"), F.col("_root").isNotNull().alias("moved")))
+        step = cut(roots.hint("merge").join(further, "root", "left").select("word", F.coalesce("_root", "root").alias("root"), F.col("_root").isNotNull().alias("moved")))
         roots = step.select("word", "root")
         if step.where("moved").isEmpty():
             break
-    return found.join(roots, "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
+    return found.hint("merge").join(roots, "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
