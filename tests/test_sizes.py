@@ -117,3 +117,14 @@ def test_route_index_closes_its_core_as_one_block(spark, monkeypatch):
     for core in (45, 100):
         found = routes.distances(routes.route_index(edges, core=core), ends.where("id <> 33"), edges.select(F.col("dst").alias("id")).distinct())
         assert {(r.source, r.target): r.distance for r in found.collect()} == {(0, k): v for k, v in best.items() if k}
+
+
+def test_estimates_of_sizes_do_not_grow_with_rounds(spark):
+    bits = lambda df: df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().bit_length()
+    rows = spark.range(20).select(F.col("id").alias("a"), (F.col("id") % 19 + 1).alias("b"))
+    for _ in range(4):  # each joins with itself, as ways do in an index
+        rows = graph._cut(rows.join(rows.select(F.col("a").alias("b"), F.col("b").alias("c")), "b").select("a", F.col("c").alias("b")))
+    assert rows.count() == 20 and bits(rows) < 20
+    road = spark.createDataFrame([(i, i + 1, 1.0) for i in range(60)], "src long, dst long, weight double")
+    index = routes.route_index(road, core=8)
+    assert index.rounds > 2 and max(bits(df) for df in (index.out, index.into, index.core)) < 20

@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from urban_spark.operators.graph import _cut
+from urban_spark.operators.graph import checkpointed
 
 SUFFIXES = {".parquet": "parquet", ".ndjson": "json", ".jsonl": "json", ".json": "json", ".csv": "csv", ".geojson": "geojson", ".kml": "kml"}
 POINT_LINES = "array<array<double>>"
@@ -201,7 +201,7 @@ def fingerprints(spark: SparkSession, path: str, *, block: int = 256 << 20) -> D
     read = files.select("path", "length", F.lit(0).cast("long").alias("at"), F.lit(None).cast("binary").alias("state"), F.lit(None).cast("string").alias("sha256"))
     read = read.repartitionByRange(min(20_000, max(1, read.count())), "path")
     while True:
-        read = _cut(read.mapInArrow(read_on, read.schema))
+        read = checkpointed(read.mapInArrow(read_on, read.schema))  # a file stays in a partition of its own
         if read.where("sha256 IS NULL").isEmpty():
             return read.select(F.regexp_extract("path", "([^/]+)$", 1).alias("name"), F.col("length").alias("bytes"), "sha256")
 
