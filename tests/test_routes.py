@@ -84,3 +84,44 @@ def test_layers_transfers_and_fallback(spark):
     got = {(r.src, r.dst): r.minutes for r in routes.travel_matrix(edges, places, snapped, key="ward").collect()}
     assert got[("a", "b")] == got[("b", "a")] == pytest.approx(26.0) and got[("a", "a")] == got[("c", "c")] == 0.0
     assert got[("a", "c")] == pytest.approx(222.0) and len(got) == 9
+
+
+def sums(spark, edges, sources, kind="long", **options):
+    index = routes.route_index(spark.createDataFrame(edges, f"src {kind}, dst {kind}, weight double"), **options)
+    ids = lambda x: spark.createDataFrame([(i,) for i in x], f"id {kind}")
+    got = {r.id: (r.n, r.total) for r in routes.distance_sums(index, ids(sources), ids({b for _, b, _ in edges})).collect() if r.n}
+    far = [(t, d) for s in sources for t, d in dijkstra(edges, s).items() if d > 0]
+    want = {t: (sum(x == t for x, _ in far), sum(d for x, d in far if x == t)) for t in {t for t, _ in far}}
+    assert got.keys() == want.keys() and all(got[k] == (want[k][0], pytest.approx(want[k][1])) for k in want)
+    return index
+
+
+def test_sums_of_distances_from_all_nodes(spark, monkeypatch):
+    monkeypatch.setattr(routes, "BLOCK", 30)  # several blocks and parts of them
+    monkeypatch.setattr(routes, "CHUNK", 7)
+    edges = grid(random.Random(6), 9) + [(5, 5, 1.0), (3, 4, 0.0), (1000, 1001, 2.0)]
+    nodes = sorted({x for a, b, _ in edges for x in (a, b)} | {7777})
+    index = sums(spark, edges, nodes, core=20)
+    assert index.bounded and index.rounds > 0
+    sums(spark, [(f"n{a}", f"n{b}", w) for a, b, w in edges if a < 40 or a > 100], [f"n{i}" for i in nodes[:30]], "string", core=6)
+    deal = random.Random(1)
+    assert not sums(spark, [(a, b, deal.random()) for a in range(12) for b in range(12) if a != b], range(12), core=4, growth=0.5).bounded
+
+
+def test_closeness_query_takes_all_sites(spark):
+    from urban_spark.plans import QUERIES
+    from urban_spark.plans.base import Tables
+    from urban_spark.plans.networks import _roads
+
+    folder = "/root/testdata/sf0.01"
+    t = Tables(spark, folder)
+    edges, sites = [tuple(r) for r in _roads(t).collect()], [r.site for r in t.sites.collect()]
+    far = {}
+    for s in sites:
+        for v, d in dijkstra(edges, s).items():
+            if d > 0:
+                far.setdefault(v, []).append(d)
+    mean = {v: len(x) / sum(x) for v, x in far.items()}
+    low, high = min(mean.values()), max(mean.values())
+    got = {r.id: r.closeness for r in QUERIES["n8_closeness"](spark, folder).collect()}
+    assert len(sites) > 50 and got.keys() == mean.keys() and all(got[v] == pytest.approx((x - low) / (high - low), abs=1e-6) for v, x in mean.items())

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
 
@@ -15,6 +17,8 @@ from urban_spark.operators.sizes import small
 
 #: Nodes whose distances are closed as one dense block (8 MB) in a task.
 CORE = 1_000
+#: Sources and targets at most whose pairs a task sums at once, and targets of these whose distances it holds.
+BLOCK, CHUNK = 4_096, 256
 
 
 def multimodal_graph(layers: dict[str, tuple[DataFrame, float]], transfers: DataFrame | None = None) -> DataFrame:
@@ -38,12 +42,13 @@ def both_ways(edges: DataFrame, weight: str) -> DataFrame:
 @dataclass
 class RouteIndex:
     """Edges up to nodes that were taken out later, by the round that took out their lower end: `out` from it and `into` it; and the distances
-    within the `core` that was left."""
+    within the `core` that was left, which is `bounded` if it has no more nodes than asked for."""
 
     out: DataFrame
     into: DataFrame
     core: DataFrame
     rounds: int
+    bounded: bool
 
 
 def _least(df: DataFrame) -> DataFrame:
@@ -105,7 +110,7 @@ def route_index(edges: DataFrame, *, core: int = 48, growth: float = 4.0) -> Rou
         within = shortest_paths(around, left).select(F.col("source").alias("src"), F.col("id").alias("dst"), F.col("distance").alias("weight"))
     empty = around.limit(0).withColumn("level", F.lit(0))
     gather = lambda parts: _cut(reduce(DataFrame.unionByName, parts, empty))
-    return RouteIndex(gather(outs), gather(intos), within, level)
+    return RouteIndex(gather(outs), gather(intos), within, level, nodes <= core)
 
 
 def _upwards(up: DataFrame, starts: DataFrame, rounds: int) -> DataFrame:
@@ -133,6 +138,88 @@ def distances(index: RouteIndex, sources: DataFrame, targets: DataFrame) -> Data
     return up.join(small(down), "id").groupBy("source", "target").agg(F.min(F.col("distance") + F.col("_rest")).alias("distance"))
 
 
+def _summed(core):
+    """A function, for tasks, over rows that each hold the labels of a block of sources (`a`: of, id, distance) and of one of targets (`b`): (id, n, total) of the targets."""
+
+    def by_node(of: np.ndarray, at: np.ndarray, far: np.ndarray, size: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        order = np.argsort(of, kind="stable")
+        ends = np.searchsorted(of[order], np.arange(size + 1))
+        for k in range(size):
+            part = order[ends[k] : ends[k + 1]]
+            yield k, at[part], far[part]
+
+    def labels(of, hub, far):
+        """The nodes; and, of the labels in the core and of those below it, what node they are of (its place), their hub (its place in the core) and distance."""
+        names, _ = core.value
+        nodes, of = np.unique(of, return_inverse=True)
+        at = np.minimum(np.searchsorted(names, hub), max(len(names) - 1, 0))
+        inside = names[at] == hub if len(names) else np.zeros(len(hub), bool)
+        return nodes, (of[inside], at[inside], far[inside]), (of[~inside], hub[~inside], far[~inside])
+
+    def sums(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        _, close = core.value
+        block = None
+        for frame in frames:
+            for row in frame.itertuples(index=False):
+                if row.i != block:
+                    sources, over, below = labels(row.a_of, row.a_id, row.a_distance)
+                    size, block = len(sources), row.i
+                    far = np.full((size, len(close)), np.inf)
+                    for k, at, d in by_node(*over, size):
+                        if len(at):
+                            far[k] = (close[at] + d[:, None]).min(0)
+                    far, order = np.ascontiguousarray(far.T), np.argsort(below[1], kind="stable")
+                    low_of, low_id, low_far = (x[order] for x in below)
+                targets, over, below = labels(row.b_of, row.b_id, row.b_distance)
+                order = np.argsort(below[0], kind="stable")
+                of, hub, rest = (x[order] for x in below)
+                ways, n, total = by_node(*over, len(targets)), [], []
+                for start in range(0, len(targets), CHUNK):
+                    many = min(CHUNK, len(targets) - start)
+                    best = np.full((many, size), np.inf)
+                    for _ in range(many):
+                        k, at, d = next(ways)
+                        if len(at):
+                            best[k - start] = (far[at] + d[:, None]).min(0)
+                    a, b = np.searchsorted(of, (start, start + many))
+                    first, last = np.searchsorted(low_id, hub[a:b]), np.searchsorted(low_id, hub[a:b], "right")
+                    met = np.repeat(np.arange(a, b), last - first)
+                    other = np.arange(len(met)) + np.repeat(first - np.cumsum(last - first) + (last - first), last - first)
+                    np.minimum.at(best.reshape(-1), (of[met] - start) * size + low_of[other], low_far[other] + rest[met])
+                    best[~(np.isfinite(best) & (best > 0))] = 0.0
+                    n.append((best > 0).sum(1))
+                    total.append(best.sum(1))
+                yield pd.DataFrame({"id": targets, "n": np.concatenate(n), "total": np.concatenate(total)})
+
+    return sums
+
+
+def distance_sums(index: RouteIndex, sources: DataFrame, targets: DataFrame) -> DataFrame:
+    """(id, n, total) for each of `targets` (id): how many of `sources` (id) have a way of some length to it, and the sum of the distances. As distances(), but
+    pairs are met and summed block by block in tasks, each with the labels of BLOCK sources and BLOCK targets and the distances within the core; none is written.
+    Time grows with the pairs, memory doesn't. Without a bounded core the pairs are made."""
+    if not index.bounded:
+        return distances(index, sources, targets).where("distance > 0").groupBy(F.col("target").alias("id")).agg(F.count(F.lit(1)).alias("n"), F.sum("distance").alias("total"))
+    within = index.core.toPandas()  # bounded by the core, whatever the graph
+    names, at = np.unique(np.concatenate([within["src"].to_numpy(), within["dst"].to_numpy()]), return_inverse=True)
+    close = np.full((len(names), len(names)), np.inf)
+    close[at[: len(within)], at[len(within) :]] = within["weight"].to_numpy()
+    most = max(sources.count(), targets.count())
+    blocks = max(1, math.ceil(most / min(BLOCK, max(64, math.ceil(most / 8)))))
+
+    def packed(up: DataFrame, nodes: DataFrame, side: str, block: str) -> DataFrame:
+        labels = _upwards(up, nodes, index.rounds).groupBy(F.pmod(F.xxhash64("source"), F.lit(blocks)).alias(block))
+        rows = labels.agg(F.collect_list(F.struct("source", "id", "distance")).alias("_l"))
+        return _cut(rows.select(block, *(F.col(f"_l.{c}").alias(f"{side}_{name}") for c, name in (("source", "of"), ("id", "id"), ("distance", "distance")))))
+
+    a, b = packed(index.out, sources, "a", "i"), packed(index.into, targets, "b", "j")
+    # A task takes a block of sources with about four blocks of targets.
+    pairs = a.repartition(blocks, "i").hint("shuffle_replicate_nl").crossJoin(b.repartition(math.ceil(blocks / 4), "j"))
+    shared = a.sparkSession.sparkContext.broadcast((names, close))
+    found = pairs.mapInPandas(_summed(shared), f"id {b.schema['b_id'].dataType.elementType.simpleString()}, n long, total double")
+    return found.groupBy("id").agg(F.sum("n").alias("n"), F.sum("total").alias("total"))
+
+
 def travel_matrix(edges: DataFrame, places: DataFrame, snapped: DataFrame, *, key: str, fallback_speed: float = 30.0) -> DataFrame:
     """(src, dst, minutes) between all `places` (key, lon, lat), 0 to themselves: over the undirected `edges` (src, dst, minutes) from and to the
     node that `snapped` (key, node) has for each; where no way leads, or a place has no node, the degrees between them at 111 km and `fallback_speed`.
