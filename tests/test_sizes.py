@@ -39,6 +39,10 @@ def test_within_distance_takes_copies_at_one_place_as_lists_and_broadcasts_no_si
     assert s.within_distance(rows.limit(0), key="k", km=1.5).collect() == []
 
 
+def test_pairs_of_two_lists_that_a_task_holds_at_once_are_few():
+    assert s.SLICE**2 <= 4_096  # 65,536 took about three times as long where places are crowded
+
+
 def test_nearest_looks_once_for_a_place(spark, monkeypatch):
     seen = []
     monkeypatch.setattr(graph, "_cut", lambda df, cut=graph._cut: seen.append(cut(df)) or seen[-1])
